@@ -137,3 +137,29 @@ def sample_vectors(df: DataFrame, id_col: str, k: int, seed: int = 0, n_buckets:
         return top.withColumn("slot", F.row_number().over(Window.orderBy("_key", id_col)) - 1).drop("_key")
     s = sample_rows(df, id_col, k, seed, n_buckets)
     return s.withColumnRenamed("draw", "slot").drop("perm_pos")
+
+
+def global_rank(df: DataFrame, order_cols: list, n_parts: int | None = None, out: str = "_rank") -> DataFrame:
+    """0-based dense position of every row in a total order, without a single-partition window.
+
+    Range-partition on the order (Spark samples the keys, so a heavy key range is split),
+    sort inside partitions, take each row's index inside its partition, and add the row count
+    of all earlier partitions (a table with one row per partition, broadcast). The numbered
+    data is checkpointed to ``spark.checkpoint.dir`` first so both uses see the same partitions.
+    ``order_cols`` must be a total order (end with a unique column).
+    """
+    spark = df.sparkSession
+    from stratum.session import checkpoint_dir
+
+    checkpoint_dir(spark)
+    n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    s = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+         .withColumn("_mid", F.monotonically_increasing_id()))
+    s = s.checkpoint(eager=True)
+    s = s.withColumn("_pid", F.shiftright("_mid", 33)).withColumn(
+        "_loc", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
+    per = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = F.broadcast(per.select("_pid", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off")))
+    return (s.join(off, "_pid", "inner").withColumn(out, (F.col("_off") + F.col("_loc")).cast("bigint"))
+            .drop("_mid", "_pid", "_loc", "_off"))

@@ -1,3 +1,4 @@
 """Imports every query module so their ``@query`` registrations run."""
 
 from stratum.plans import q_filter  # noqa: F401
+from stratum.plans import q_tokens  # noqa: F401
