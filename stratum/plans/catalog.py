@@ -3,3 +3,4 @@
 from stratum.plans import q_filter  # noqa: F401
 from stratum.plans import q_tokens  # noqa: F401
 from stratum.plans import q_packing  # noqa: F401
+from stratum.plans import q_vq  # noqa: F401
