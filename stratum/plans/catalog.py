@@ -5,3 +5,4 @@ from stratum.plans import q_tokens  # noqa: F401
 from stratum.plans import q_packing  # noqa: F401
 from stratum.plans import q_vq  # noqa: F401
 from stratum.plans import q_series  # noqa: F401
+from stratum.plans import q_sources  # noqa: F401
