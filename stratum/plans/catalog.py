@@ -7,3 +7,4 @@ from stratum.plans import q_vq  # noqa: F401
 from stratum.plans import q_series  # noqa: F401
 from stratum.plans import q_sources  # noqa: F401
 from stratum.plans import q_stream  # noqa: F401
+from stratum.plans import q_udf  # noqa: F401
