@@ -19,8 +19,13 @@ def _col(c) -> Column:
 
 
 def strip_text(c) -> Column:
-    """Unicode-aware strip of both ends (``str.strip()``); Spark's ``trim`` only strips spaces."""
-    return F.regexp_replace(_col(c), rf"^{_UNICODE_WS}+|{_UNICODE_WS}+$", "")
+    """Unicode-aware strip of both ends (``str.strip()``); Spark's ``trim`` only strips spaces.
+
+    The regex only runs when the first or last character is whitespace (a one-character test),
+    so whole documents without edge whitespace are never scanned."""
+    col = _col(c)
+    edge = F.substring(col, 1, 1).rlike(rf"{_UNICODE_WS}") | F.substring(col, -1, 1).rlike(rf"{_UNICODE_WS}")
+    return F.when(edge, F.regexp_replace(col, rf"^{_UNICODE_WS}+|{_UNICODE_WS}+$", "")).otherwise(col)
 
 
 def squash_ws(c) -> Column:
@@ -81,10 +86,12 @@ def chat_turn(role, content) -> Column:
 
 
 def render_chat(text, code_str) -> Column:
-    """System + user(instruction + text) + assistant(code string) as one chat string, stripped."""
-    s = F.concat(
+    """System + user(instruction + text) + assistant(code string) as one chat string, stripped.
+
+    The string starts with the turn marker and ends with the end marker plus a newline, so the
+    strip removes exactly that newline: the last turn is simply not followed by one."""
+    return F.concat(
         chat_turn("system", F.lit(C.SYSTEM_PROMPT)),
         chat_turn("user", F.concat(F.lit(C.TTS_INSTRUCTION_PREFIX), _col(text))),
-        chat_turn("assistant", _col(code_str)),
+        F.lit(C.TURN_START), F.lit("assistant\n"), _col(code_str), F.lit(C.TURN_END),
     )
-    return strip_text(s)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratum import constants as C
+from stratum.operators.common import spread
 from stratum.operators.ordering import global_rank
 
 TOKEN_PATTERN = r"<\|[A-Za-z0-9_]+\|>|[^ \t\n\r\f\x0b<]+|<"
@@ -46,7 +47,8 @@ def build_vocab(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """T6 (vocabulary half): (token, id). Specials get 0..3, corpus tokens follow by count desc,
     token asc. Markup tokens ``<|...|>`` are not corpus tokens (they come from T4 or the specials)."""
     spark = texts.sparkSession
-    toks = texts.select(F.explode(tokenize(F.col(text_col))).alias("token"))
+    toks = spread(texts).select(F.explode_outer(tokenize(F.col(text_col))).alias("token")).where(
+        F.col("token").isNotNull())
     counts = (toks.where(~F.col("token").rlike(MARKUP_PATTERN))
               .groupBy("token").agg(F.count(F.lit(1)).alias("_n")))
     ranked = global_rank(counts, [F.col("_n").desc(), F.col("token")])
@@ -91,7 +93,9 @@ def tokens_to_ids(df: DataFrame, key_col: str, tokens_col: str, vocab: DataFrame
     ``vocab_rows`` (a checked count) enables the broadcast join; otherwise both sides shuffle.
     Rows with no tokens keep an empty array.
     """
-    exploded = df.select(key_col, F.posexplode(tokens_col).alias("_pos", "token"))
+    # the _outer form keeps Catalyst from re-deriving the token array in an extra filter
+    exploded = (spread(df).select(key_col, F.posexplode_outer(tokens_col).alias("_pos", "token"))
+                .where(F.col("token").isNotNull()))
     joined = exploded.join(_vocab_side(vocab, vocab_rows), "token", "left")
     ids = (joined.groupBy(key_col)
            .agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("id", F.lit(UNK_ID)).alias("id"))))

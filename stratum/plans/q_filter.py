@@ -22,15 +22,13 @@ FROM (SELECT lang, {S.cer('text', 'pred')} AS cer FROM f1) GROUP BY lang""")
 def j1_quality_report(spark, sf_dir):
     """J1 without the recogniser: F1 pairs -> squash -> CER -> keep cer < 10 -> per language."""
     f1 = fx.ref_hyp(spark, sf_dir)
-    scored = flt.cer_filter(f1, threshold=C.CER_THRESHOLD, out="cer").select("doc_id", "lang", "cer")
-    kept = scored.groupBy("lang").agg(
-        F.count(F.lit(1)).alias("n_kept"),
-        F.round(F.avg("cer"), 4).alias("avg_cer_kept"),
-        F.max("cer").alias("max_cer_kept"))
-    total = f1.groupBy("lang").agg(F.count(F.lit(1)).alias("n_total"))
-    return (total.join(kept, "lang", "left")
-            .select("lang", "n_total", F.coalesce("n_kept", F.lit(0)).cast("bigint").alias("n_kept"),
-                    "avg_cer_kept", "max_cer_kept"))
+    scored = flt.score_cer(f1, out="cer")
+    kept = F.col("cer") < F.lit(C.CER_THRESHOLD)
+    return scored.groupBy("lang").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_total"),
+        F.count(F.when(kept, 1)).cast("bigint").alias("n_kept"),
+        F.round(F.avg(F.when(kept, F.col("cer"))), 4).alias("avg_cer_kept"),
+        F.max(F.when(kept, F.col("cer"))).alias("max_cer_kept"))
 
 
 @query("p1_flatten_meta", """

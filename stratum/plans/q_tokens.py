@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stratum import fixtures as fx
 from stratum.functions import text as tx
 from stratum.operators import tokens as tk
+from stratum.operators.common import spread
 from stratum.plans import sql as S
 from stratum.plans.registry import query
 from stratum.session import table
@@ -83,7 +84,7 @@ sft AS (
 
 # ---------------------------------------------------------------- Spark pieces
 def _chat_frame(spark, sf_dir):
-    u = fx.utterances(spark, sf_dir)
+    u = spread(fx.utterances(spark, sf_dir))
     st = tx.strip_text(F.col("text"))
     return u.select("doc_id", "codes", st.alias("stext"),
                     tx.render_chat(st, tx.render_codes(F.col("codes"))).alias("chat"))
