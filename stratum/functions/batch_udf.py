@@ -72,8 +72,9 @@ def make_tokenise_fn(vocab: DataFrame, use_chat_template: bool = True, vocab_row
                                     out="input_ids", vocab_rows=n_vocab)
             rows = rows.withColumn("labels", tk.sft_labels("input_ids", boa))
         else:
-            rows = tk.tokens_to_ids(df.select(key_col, codes_col, tk.tokenize(st).alias("_toks")), key_col, "_toks",
+            rows = tk.tokens_to_ids(df.select(key_col, tk.tokenize(st).alias("_toks")), key_col, "_toks",
                                     vocab, out="_text_ids", vocab_rows=n_vocab)
+            rows = rows.join(df.select(key_col, codes_col), key_col)
             rows = rows.withColumn("input_ids", F.concat("_text_ids", tk.code_ids(codes_col, audio)))
             rows = rows.withColumn("labels", tk.pretrain_labels("input_ids", boa))
         return rows.select(key_col, "input_ids", "labels", F.size("input_ids").alias("length"))

@@ -105,8 +105,9 @@ def pretrain_rows(spark, sf_dir):
     v = _vocab(spark, sf_dir, chat)
     audio = tk.audio_id_array(v)
     boa = audio[0]
-    rows = tk.tokens_to_ids(chat.select("doc_id", "codes", tk.tokenize("stext").alias("toks")),
+    rows = tk.tokens_to_ids(chat.select("doc_id", tk.tokenize("stext").alias("toks")),
                             "doc_id", "toks", v, out="text_ids", vocab_rows=_vocab_rows(v))
+    rows = rows.join(fx.utterances(spark, sf_dir).select("doc_id", "codes"), "doc_id")
     ids = F.concat("text_ids", tk.code_ids("codes", audio))
     return rows.select("doc_id", ids.alias("input_ids")).withColumn("labels", tk.pretrain_labels("input_ids", boa))
 

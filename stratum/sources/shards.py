@@ -48,32 +48,56 @@ def split_member(name: str) -> tuple[str, str]:
 
 @dataclass
 class _TarPartition(InputPartition):
-    path: str
+    paths: list
+
+
+def plan_partitions(paths: list[str], target_bytes: int) -> list[list[str]]:
+    """Consecutive tars are grouped until a group reaches ``target_bytes``; a large tar is a
+    partition of its own. Sizes come from the file system listing, not from the files."""
+    groups, cur, size = [], [], 0
+    for p in paths:
+        try:
+            n = os.path.getsize(_local(p))
+        except OSError:
+            n = target_bytes
+        cur.append(p)
+        size += n
+        if size >= target_bytes:
+            groups.append(cur)
+            cur, size = [], 0
+    if cur:
+        groups.append(cur)
+    return groups
 
 
 class _ShardReader(DataSourceReader):
-    def __init__(self, paths: list[str]):
+    def __init__(self, paths: list[str], target_bytes: int):
         self.paths = paths
+        self.target_bytes = target_bytes
 
     def partitions(self):
-        return [_TarPartition(p) for p in self.paths]
+        return [_TarPartition(g) for g in plan_partitions(self.paths, self.target_bytes)]
 
     def read(self, partition) -> Iterator[tuple]:
-        path = partition.path
-        shard = os.path.basename(_local(path))
-        key, members = None, {}
-        with tarfile.open(_local(path), mode="r|*") as tf:
-            for m in tf:
-                if not m.isfile():
-                    continue
-                stem, ext = split_member(m.name)
-                if key is not None and stem != key:
-                    yield (shard, key, members)
-                    members = {}
-                key = stem
-                members[ext] = tf.extractfile(m).read()
-        if key is not None:
-            yield (shard, key, members)
+        for path in partition.paths:
+            yield from _read_tar(path)
+
+
+def _read_tar(path: str) -> Iterator[tuple]:
+    shard = os.path.basename(_local(path))
+    key, members = None, {}
+    with tarfile.open(_local(path), mode="r|*") as tf:
+        for m in tf:
+            if not m.isfile():
+                continue
+            stem, ext = split_member(m.name)
+            if key is not None and stem != key:
+                yield (shard, key, members)
+                members = {}
+            key = stem
+            members[ext] = tf.extractfile(m).read()
+    if key is not None:
+        yield (shard, key, members)
 
 
 @dataclass
@@ -142,7 +166,7 @@ class TarShardSource(DataSource):
 
     def reader(self, schema: StructType):
         paths = [p for p in self.options.get("paths", "").split(",") if p]
-        return _ShardReader(paths)
+        return _ShardReader(paths, int(self.options.get("targetBytes", 128 * 1024 * 1024)))
 
     def writer(self, schema: StructType, overwrite: bool):
         return _ShardWriter(self.options["path"], overwrite)
@@ -160,10 +184,21 @@ def list_shards(spark: SparkSession, root: str, glob: str = "*.tar", sort: bool
     return df.orderBy("path") if sort else df
 
 
-def read_shards(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """One row per sample (members grouped by stem), one task per tar."""
+def read_shards(spark: SparkSession, paths: list[str], target_bytes: int | None = None) -> DataFrame:
+    """One row per sample (members grouped by stem). A task reads consecutive tars up to
+    ``target_bytes`` (default ``spark.sql.files.maxPartitionBytes``); a large tar is one task."""
     register(spark)
-    return spark.read.format("tarshards").option("paths", ",".join(paths)).load()
+    if target_bytes is None:
+        # like Spark's file scan: at most maxPartitionBytes, but small inputs still use every core
+        max_bytes = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b"))
+        total = sum(os.path.getsize(_local(p)) for p in paths if os.path.exists(_local(p)))
+        per_core = total // max(1, spark.sparkContext.defaultParallelism)
+        target_bytes = max(1, min(max_bytes, max(4 * 1024 * 1024, per_core)))
+        if total < 4 * 1024 * 1024 * spark.sparkContext.defaultParallelism:
+            target_bytes = max(1, per_core)
+    tb = target_bytes
+    return (spark.read.format("tarshards").option("paths", ",".join(paths)).option("targetBytes", str(tb))
+            .load())
 
 
 def shard_samples(shards: DataFrame, json_ddl: str = "text string", audio_ext: str | None = None) -> DataFrame:
@@ -190,8 +225,10 @@ def write_shards(df: DataFrame, path: str, min_rows_per_file: int, order_col: st
         idx = global_rank(df, [F.col(order_col)], out="_idx")
     else:
         idx = epoch_permutation(df, "key", 0, 0).withColumnRenamed("perm_pos", "_idx").drop("_key", "bucket")
+    # all rows of a file go to one task; a task writes several files in file order
+    tasks = min(files, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     out = (idx.withColumn("file", (F.col("_idx") * F.lit(files) / F.lit(n)).cast("bigint"))
-           .repartition(files, "file").sortWithinPartitions("file", "key")
+           .repartition(tasks, "file").sortWithinPartitions("file", "key")
            .select("key", "members", "file"))
     out.write.format("tarshards").mode("append").save(path)
     return files
