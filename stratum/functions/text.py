@@ -55,6 +55,23 @@ def cer_score(ref, hyp, native: bool = False) -> Column:
     return F.round(F.try_divide(F.lit(100.0) * d, F.length(r)), 2)
 
 
+def cer_score_below(ref, hyp, threshold: float) -> Column:
+    """P5 fused with the P6 predicate: the exact score for every row that can score below
+    ``threshold``, NULL for rows that certainly cannot.
+
+    The edit distance is at least the length difference, so round(100 * |n_ref - n_hyp| / n_ref, 2)
+    >= threshold proves the row is dropped without computing the distance. Such rows reach the
+    UDF as empty strings (Spark evaluates a Python UDF on every row, even inside CASE WHEN)."""
+    from stratum.functions.distance import edit_distance_udf
+
+    r, h = squash_ws(ref), squash_ws(hyp)
+    n = F.length(r)
+    bound = F.round(F.try_divide(F.lit(100.0) * F.abs(n - F.length(h)), n), 2)
+    need = bound < F.lit(threshold)
+    d = edit_distance_udf(F.when(need, r).otherwise(F.lit("")), F.when(need, h).otherwise(F.lit("")))
+    return F.when(need, F.round(F.try_divide(F.lit(100.0) * d, n), 2))
+
+
 def render_codes(codes) -> Column:
     """Begin marker + ``<|AUDIO{c}|>`` per code + end marker."""
     body = F.array_join(

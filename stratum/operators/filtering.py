@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratum import constants as C
-from stratum.functions.text import cer_score
+from stratum.functions.text import cer_score, cer_score_below
 from stratum.operators.common import spread
 
 
@@ -37,8 +37,10 @@ def score_cer(df: DataFrame, ref_col: str = "text", hyp_col: str = "pred", out:
 
 def cer_filter(df: DataFrame, ref_col: str = "text", hyp_col: str = "pred", threshold: float = C.CER_THRESHOLD,
                out: str = "cer", native: bool = False) -> DataFrame:
-    """P5 + P6: keep rows with score < threshold (strict). NULL scores (empty reference) are dropped."""
-    score = cer_score(F.col(ref_col), F.col(hyp_col), native)
+    """P5 + P6: keep rows with score < threshold (strict). NULL scores (empty reference) are dropped.
+    Rows whose length difference alone reaches the threshold are dropped without a distance."""
+    score = cer_score(F.col(ref_col), F.col(hyp_col), native=True) if native \
+        else cer_score_below(F.col(ref_col), F.col(hyp_col), threshold)
     return spread(df).withColumn(out, score).where(F.col(out) < F.lit(threshold))
 
 
@@ -64,6 +66,6 @@ def quality_filter(samples: DataFrame, threshold: float = C.CER_THRESHOLD, meta_
     """J1 without the recogniser: samples carry ``json.text`` and ``json.pred`` (from U1);
     score with squashed whitespace, keep ``cer < threshold`` and record ``cer`` in the record."""
     scored = spread(samples).withColumn(
-        "_cer", cer_score(F.col(f"{meta_col}.text"), F.col(f"{meta_col}.pred")))
+        "_cer", cer_score_below(F.col(f"{meta_col}.text"), F.col(f"{meta_col}.pred"), threshold))
     kept = scored.where(F.col("_cer") < F.lit(threshold))
     return enrich_meta(kept, meta_col, cer=F.col("_cer")).drop("_cer")

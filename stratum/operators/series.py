@@ -76,15 +76,17 @@ def _c(c) -> Column:
 
 
 def limit_peak(df: DataFrame, rescale: bool = True, limit: float = C.PEAK_LIMIT, series_col: str = "series_id",
-               value_col: str = "value") -> DataFrame:
+               value_col: str = "value", out_col: str | None = None) -> DataFrame:
     """Rescale each series by min(limit / max|v|, 1) (an all-zero series is left as is), or
-    clamp to [-limit, limit]. The peak is a group-by aggregate joined back, not a window."""
+    clamp to [-limit, limit]. The peak is a group-by aggregate joined back, not a window.
+    The result goes to ``out_col`` (default: replaces ``value_col``)."""
     v = F.col(value_col)
+    out = out_col or value_col
     if not rescale:
-        return df.withColumn(value_col, F.greatest(F.lit(-limit), F.least(F.lit(limit), v)))
+        return df.withColumn(out, F.greatest(F.lit(-limit), F.least(F.lit(limit), v)))
     peaks = df.groupBy(series_col).agg(F.max(F.abs(v)).alias("_mx"))
     factor = F.when(F.col("_mx") > 0, F.least(F.lit(limit) / F.col("_mx"), F.lit(1.0))).otherwise(F.lit(1.0))
-    return df.join(peaks, series_col).withColumn(value_col, v * factor).drop("_mx")
+    return df.join(peaks, series_col).withColumn(out, v * factor).drop("_mx")
 
 
 def convert_channels(df: DataFrame, target_channels: int, series_col: str = "series_id", channel_col: str = "channel",

@@ -77,11 +77,10 @@ SELECT series_id, pos, round(value * CASE WHEN mx > 0 THEN least(0.99 / mx, 1.0)
        round(greatest(-0.99, least(0.99, value)), 6) AS clamped
 FROM f5 JOIN pk USING (series_id)""")
 def g5_limit_peak(spark, sf_dir):
-    s = fx.series(spark, sf_dir)
+    """Both modes in one pass: ``clamped`` is a projection, ``value`` is rescaled by the peak."""
+    s = sr.limit_peak(fx.series(spark, sf_dir), rescale=False, out_col="clamped")
     r = sr.limit_peak(s, rescale=True)
-    c = sr.limit_peak(s, rescale=False).select("series_id", "pos", F.col("value").alias("clamped"))
-    return r.join(c, ["series_id", "pos"]).select("series_id", "pos", _r("value").alias("value"),
-                                                  _r("clamped").alias("clamped"))
+    return r.select("series_id", "pos", _r("value").alias("value"), _r("clamped").alias("clamped"))
 
 
 def _stereo(spark, sf_dir):
