@@ -21,11 +21,9 @@ def quantised_cdf(counts: DataFrame, cardinality: int, total_range_bits: int, gr
     alpha = min_range * cardinality / total_range
     if alpha > 1:
         raise ValueError("you must reduce min_range")
-    spark = counts.sparkSession
-    groups = counts.select(group_col).distinct()
-    symbols = spark.range(cardinality).select(F.col("id").cast("int").alias(symbol_col))
-    # every (group, symbol) pair: groups x cardinality rows, both bounded by the symbol alphabet
-    full = groups.join(F.broadcast(symbols), how="cross").join(
+    # every symbol of every group (groups x cardinality rows): generated per group, no cross join
+    full = counts.select(group_col).distinct().select(
+        group_col, F.explode(F.sequence(F.lit(0), F.lit(cardinality - 1))).alias(symbol_col)).join(
         counts.select(group_col, F.col(symbol_col).cast("int").alias(symbol_col), n_col), [group_col, symbol_col],
         "left").withColumn(n_col, F.coalesce(F.col(n_col), F.lit(0)))
     tot = F.sum(n_col).over(Window.partitionBy(group_col))

@@ -45,19 +45,45 @@ def load_codebook(codebook: DataFrame, layer_col: str = "layer", code_col: str =
     return out
 
 
-def nearest(x: np.ndarray, embed: np.ndarray) -> np.ndarray:
-    """Index of the closest codebook row by squared Euclidean distance (direct differences in
-    float64, blocked so memory stays ~128 MB); ties go to the lowest index."""
+def nearest(x: np.ndarray, embed: np.ndarray, exact: bool = False) -> np.ndarray:
+    """Index of the closest codebook row by squared Euclidean distance; ties go to the lowest index.
+
+    Distances come from the BLAS form |x|^2 - 2 x.e + |e|^2. Rows whose best two distances are
+    closer than that form's rounding error are recomputed with direct differences in float64,
+    so the answer equals the direct computation (``exact=True`` uses it for every row)."""
     k, d = embed.shape
     valid = ~np.isnan(embed).any(axis=1)
     e = np.where(valid[:, None], embed, 0.0)
-    step = max(1, (1 << 24) // max(1, k * d))
     out = np.empty(len(x), dtype=np.int32)
+    if len(x) == 0:
+        return out
+
+    def direct(rows: np.ndarray) -> np.ndarray:
+        step = max(1, (1 << 24) // max(1, k * d))
+        res = np.empty(len(rows), dtype=np.int32)
+        for s in range(0, len(rows), step):
+            blk = rows[s:s + step]
+            dist = ((blk[:, None, :] - e[None, :, :]) ** 2).sum(axis=-1)
+            dist[:, ~valid] = np.inf
+            res[s:s + step] = np.argmin(dist, axis=1)
+        return res
+
+    if exact or k < 2:
+        return direct(x)
+    e2 = (e * e).sum(axis=1)
+    step = max(1, (1 << 24) // k)
     for s in range(0, len(x), step):
         blk = x[s:s + step]
-        dist = ((blk[:, None, :] - e[None, :, :]) ** 2).sum(axis=-1)
+        x2 = (blk * blk).sum(axis=1)
+        dist = x2[:, None] - 2.0 * (blk @ e.T) + e2[None, :]
         dist[:, ~valid] = np.inf
-        out[s:s + step] = np.argmin(dist, axis=1)
+        two = np.partition(dist, 1, axis=1)[:, :2]
+        best = np.argmin(dist, axis=1)
+        scale = x2 + np.max(e2[valid]) if valid.any() else x2
+        close = (two[:, 1] - two[:, 0]) <= 1e-9 * (scale + 1.0)
+        if close.any():
+            best[close] = direct(blk[close])
+        out[s:s + step] = best
     return out
 
 
@@ -117,17 +143,6 @@ def assign_code(df: DataFrame, codebook: DataFrame, layer: int = 0, id_col: str
     return enc.select(id_col, F.element_at("codes", 1).alias("code"))
 
 
-def assign_code_crossjoin(df: DataFrame, codebook: DataFrame, layer: int = 0, id_col: str = "vec_id",
-                          vec_col: str = "vec") -> DataFrame:
-    """V4, all-native twin for small codebooks (checking): broadcast nested loop over <= a few
-    thousand codes, min(struct(distance, code)) per row."""
-    cb = F.broadcast(codebook.where(F.col("layer") == layer).select("code", "centroid"))
-    pairs = df.select(id_col, vec_col).join(cb, how="cross")
-    d = F.aggregate(F.zip_with(vec_col, "centroid", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    return (pairs.groupBy(id_col).agg(F.min(F.struct(d.alias("d"), F.col("code"))).alias("m"))
-            .select(id_col, F.col("m.code").alias("code")))
-
-
 def lookup_code(codes: DataFrame, codebook: DataFrame, layer: int = 0, code_col: str = "code") -> DataFrame:
     """V5: code -> centroid by an equi join with the (bounded, broadcast) codebook."""
     cb = F.broadcast(codebook.where(F.col("layer") == layer).select(F.col("code").alias(code_col), "centroid"))

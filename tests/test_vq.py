@@ -7,11 +7,20 @@ from stratum.operators import vq
 from tests.conftest import SMOKE
 
 
-def test_nearest_matches_crossjoin_twin(spark):
+def test_nearest_matches_brute_force(spark):
     vecs, cb = fx.vectors(spark, SMOKE), fx.codebook(spark, SMOKE)
-    a = vq.assign_code(vecs, cb, 0).toPandas().set_index("vec_id").code
-    b = vq.assign_code_crossjoin(vecs, cb, 0).toPandas().set_index("vec_id").code
-    assert (a.sort_index() == b.sort_index()).all()
+    a = vq.assign_code(vecs, cb, 0).toPandas().set_index("vec_id").code.sort_index()
+    x = np.stack(vecs.orderBy("vec_id").toPandas().vec.to_numpy())
+    e = vq.load_codebook(cb.where(F.col("layer") == 0))[0]
+    brute = [int(np.argmin([((xi - ej) ** 2).sum() for ej in e])) for xi in x]
+    assert list(a) == brute
+
+
+def test_blas_path_equals_direct_on_near_ties():
+    rng = np.random.default_rng(9)
+    e = rng.normal(size=(300, 16))
+    x = np.concatenate([rng.normal(size=(500, 16)), e[:50] + 1e-12, (e[:20] + e[1:21]) / 2])
+    assert (vq.nearest(x, e) == vq.nearest(x, e, exact=True)).all()
 
 
 def test_nearest_tie_goes_to_lowest_code():
