@@ -1,6 +1,6 @@
 """Derived fixtures F1-F8 (see FIXTURES.md), built by Spark from the driver tables.
 
-Each one grows with its source table; the DuckDB twins live in ``stratum.plans.oracle``.
+Each one grows with its source table; the DuckDB twins live in ``stratum.plans.sql``.
 """
 
 from __future__ import annotations
@@ -62,7 +62,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events per user as an ordered series (series_id, pos, value); pos = 0.. by (ts, event_id)."""
     ev = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    ev = ev.withColumn("_chunk", F.date_trunc("day", F.col("ts")))
+    ev = ev.withColumn("_chunk", F.col("ts").cast("date"))  # calendar day of the wall-clock time
     pos = dense_position(ev, partition_cols=["user_id"], chunk_col="_chunk", order_cols=["ts", "event_id"])
     return pos.select(F.col("user_id").alias("series_id"), F.col("_pos").cast("int").alias("pos"), "value")
 

@@ -172,14 +172,15 @@ def micros(df: DataFrame, ts_col: str) -> Column:
 
 
 def resample_series(events: DataFrame, step_seconds: int, series_col: str = "series_id", ts_col: str = "ts",
-                    tie_col: str = "event_id", value_col: str = "value") -> DataFrame:
+                    tie_col: str = "event_id", value_col: str = "value", chunk_seconds: int = 86_400) -> DataFrame:
     """G8 (re-aimed): irregular events -> regular grid (every ``step_seconds`` from the first
     grid point at or after the first event to the last event) by linear interpolation between
     the neighbouring events.
 
-    Two-phase, chunked by day: neighbours are looked up inside (series, day) with an ordered
-    window over the union of grid points and events; a grid point with no neighbour inside its
-    day takes the carry from a small per-(series, day) table (last/first event of other days).
+    Two-phase, chunked by time (``chunk_seconds``, a day by default; shorten it for denser
+    series): neighbours are looked up inside (series, chunk) with an ordered window over the
+    union of grid points and events; a grid point with no neighbour inside its chunk takes the
+    carry from a small per-(series, chunk) table (last/first event of other chunks).
     """
     step = step_seconds * 1_000_000
     ev = events.select(series_col, micros(events, ts_col).alias("_t"), F.col(tie_col).alias("_tie"),
@@ -189,7 +190,7 @@ def resample_series(events: DataFrame, step_seconds: int, series_col: str = "ser
     seq = F.when(first_grid <= F.col("_hi"), F.sequence(first_grid.cast("bigint"), F.col("_hi"),
                                                          F.lit(step).cast("bigint")))
     grid = span.select(series_col, F.explode(seq).alias("_t"))
-    day = F.floor(F.col("_t") / F.lit(86_400_000_000)).cast("bigint")
+    day = F.floor(F.col("_t") / F.lit(chunk_seconds * 1_000_000)).cast("bigint")
     evd = ev.withColumn("_day", day)
     grd = grid.withColumn("_day", day)
 

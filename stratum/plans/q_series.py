@@ -202,7 +202,7 @@ def a5_rolling_throughput(spark, sf_dir):
     """Events per user as training-log records: samples = records so far, items = running value."""
     ev = table(spark, sf_dir, "events")
     ev = ev.select("user_id", "ts", "event_id", "value", (sr.micros(ev, "ts") / F.lit(1e6)).alias("time_s"),
-                   F.date_trunc("day", F.col("ts")).alias("_chunk"))
+                   F.col("ts").cast("date").alias("_chunk"))
     s = od.dense_position(ev, ["user_id"], "_chunk", ["ts", "event_id"])
     rec = s.select(F.col("user_id").alias("series_id"), F.col("_pos").cast("int").alias("pos"), "time_s",
                    (F.col("_pos") + 1).cast("double").alias("samples"), "value")

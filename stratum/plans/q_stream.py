@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import os
 import time
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -110,4 +109,3 @@ def s7_incremental_stream(spark, sf_dir):
     return res.agg(F.count(F.lit(1)).cast("bigint").alias("n_batches"), F.sum("n_rows").cast("bigint").alias("n_rows"))
 
 
-_ = uuid

@@ -119,3 +119,27 @@ def test_budget_boundary_brute_force(spark):
             prev = cum[i - 1] if i else 0
             want = int(np.searchsorted(cum[i:], prev + 100, "right"))
             assert got[(got.seq_id == row.seq_id)].boundary.iloc[0] == want
+
+
+def test_packing_invariant_to_shuffle_partitions(spark):
+    rng = np.random.default_rng(6)
+    df = _seqs(spark, rng.integers(1, 900, 400))
+    seen = []
+    for n in (1, 4, 16):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        a = pk.pack_next_fit(df, capacity=1000, n_buckets=4).select("seq_id", "pack_id", "pos").toPandas()
+        seen.append(sorted(map(tuple, a.to_numpy().tolist())))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_vocab_lookup_broadcasts_checked_side(spark):
+    from stratum.operators import tokens as tk
+
+    vocab = spark.createDataFrame([("a", 4), ("b", 5)], "token string, id long")
+    docs = spark.createDataFrame([(1, ["a", "b", "zz"]), (2, [])], "doc_id long, toks array<string>")
+    out = tk.tokens_to_ids(docs, "doc_id", "toks", vocab, vocab_rows=2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    got = {r.doc_id: list(r.ids) for r in out.collect()}
+    assert got == {1: [4, 5, tk.UNK_ID], 2: []}

@@ -74,3 +74,18 @@ def test_convert_channels_errors(spark):
         raise AssertionError
     except ValueError:
         pass
+
+
+def test_results_do_not_depend_on_session_time_zone(spark):
+    import __spark_entry__ as E
+    from tests.conftest import SMOKE
+
+    qs = E.queries()
+    base = {n: sorted(map(tuple, qs[n](spark, SMOKE).collect())) for n in ("g3_overlap_add", "g8_resample_series",
+                                                                           "a5_rolling_throughput")}
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        for n, rows in base.items():
+            assert sorted(map(tuple, qs[n](spark, SMOKE).collect())) == rows, n
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
