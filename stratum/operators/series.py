@@ -32,6 +32,39 @@ def segment(df: DataFrame, length: int | None, overlap: float = 0.0, series_col:
             .withColumn("i", (p - F.col("win") * F.lit(stride)).cast("int")))
 
 
+def frames(df: DataFrame, frame_len: int, hop: int | None = None, series_col: str = "series_id",
+           pos_col: str = "pos") -> DataFrame:
+    """G1 variant: frames of ``frame_len`` every ``hop`` positions (default half a frame); an
+    incomplete last frame is dropped (``unfold`` semantics). Series lengths are a group-by
+    aggregate joined back."""
+    hop = hop or max(1, frame_len // 2)
+    lengths = df.groupBy(series_col).agg((F.max(pos_col) + 1).alias("_n"))
+    p = F.col(pos_col)
+    first = F.greatest(F.lit(0), F.ceil((p - F.lit(frame_len - 1)) / F.lit(hop))).cast("int")
+    last = F.least(F.floor(p / F.lit(hop)), F.floor((F.col("_n") - F.lit(frame_len)) / F.lit(hop))).cast("int")
+    j = df.join(lengths, series_col).where(last >= first)
+    return (j.withColumn("win", F.explode(F.sequence(first, last)))
+            .withColumn("i", (p - F.col("win") * F.lit(hop)).cast("int")).drop("_n"))
+
+
+def hann(i: Column, length: int) -> Column:
+    """Periodic Hann window value at index i of a frame of ``length``."""
+    return F.lit(0.5) - F.lit(0.5) * F.cos(F.lit(2 * 3.141592653589793 / length) * i)
+
+
+def overlap_add_envelope(seg: DataFrame, frame_len: int, hop: int, series_col: str = "series_id",
+                         value_col: str = "value", min_envelope: float = 1e-11) -> DataFrame:
+    """G3 variant: window-weighted overlap-add divided by the squared-window envelope,
+    value(pos) = sum(w * v) / sum(w^2) with a periodic Hann window; positions whose envelope is
+    not above ``min_envelope`` (the frame edges) are NULL, to be trimmed by ``unpad_series``."""
+    w = hann(F.col("i"), frame_len)
+    pos = (F.col("win") * F.lit(hop) + F.col("i")).cast("int")
+    agg = (seg.select(series_col, pos.alias("pos"), (w * F.col(value_col)).alias("_wv"), (w * w).alias("_ww"))
+           .groupBy(series_col, "pos").agg(F.sum("_wv").alias("_wv"), F.sum("_ww").alias("_ww")))
+    return agg.select(series_col, "pos", F.when(F.col("_ww") > F.lit(min_envelope), F.col("_wv") / F.col("_ww"))
+                      .alias(value_col))
+
+
 def rms_normalise(seg: DataFrame, series_col: str = "series_id", value_col: str = "value",
                   eps: float = C.RMS_EPSILON) -> DataFrame:
     """scale = eps + sqrt(mean(v^2)) per (series, window); value divided by it; scale kept."""

@@ -59,6 +59,31 @@ def g3_overlap_add(spark, sf_dir):
     return o.select("series_id", "pos", _r("value").alias("value"))
 
 
+_FRAMES_SQL = S.with_(S.F5) + """,
+lens AS (SELECT series_id, max(pos) + 1 AS n FROM f5 GROUP BY series_id),
+fr AS (
+  SELECT series_id, CAST(win AS INTEGER) AS win, CAST(pos - win * 8 AS INTEGER) AS i, value
+  FROM (SELECT f5.*, unnest(range(CAST(greatest(0, ceil((pos - 15) / 8.0)) AS BIGINT),
+                                  CAST(least(floor(pos / 8.0), floor((n - 16) / 8.0)) AS BIGINT) + 1)) AS win
+        FROM f5 JOIN lens USING (series_id)))
+"""
+
+
+@query("g1_frames", _FRAMES_SQL + "SELECT series_id, win, i, value FROM fr")
+def g1_frames(spark, sf_dir):
+    """Frames of 16 every 8 positions, incomplete last frame dropped."""
+    return sr.frames(fx.series(spark, sf_dir), 16, 8).select("series_id", "win", "i", "value")
+
+
+@query("g3_overlap_add_envelope", _FRAMES_SQL + """
+SELECT series_id, pos, round(CASE WHEN ww > 1e-11 THEN wv / ww END, 6) AS value
+FROM (SELECT series_id, CAST(win * 8 + i AS INTEGER) AS pos, sum(w * value) AS wv, sum(w * w) AS ww
+      FROM (SELECT *, 0.5 - 0.5 * cos(2 * pi() / 16 * i) AS w FROM fr) GROUP BY ALL)""")
+def g3_overlap_add_envelope(spark, sf_dir):
+    o = sr.overlap_add_envelope(sr.frames(fx.series(spark, sf_dir), 16, 8), 16, 8)
+    return o.select("series_id", "pos", _r("value").alias("value"))
+
+
 @query("g4_log_ops", """
 SELECT event_id, round(ln(greatest(value, 1e-7)), 6) AS safe_log,
        round(sign(value) * ln(1 + abs(value)), 6) AS symlog,

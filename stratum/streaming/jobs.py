@@ -56,12 +56,19 @@ def run_ema_stream(spark: SparkSession, source: DataFrame, initial: DataFrame, r
 
 
 def run_incremental_stream(spark: SparkSession, shard_root: str, out_root: str, checkpoint: str, process,
-                           group_size: int = C.SHARD_GROUP, glob: str = "*.tar"):
+                           group_size: int = C.SHARD_GROUP, glob: str = "*.tar", clean_source: str | None = None,
+                           archive_dir: str | None = None):
     """S7 as a file stream: at most ``group_size`` new shards per micro-batch, output folder
     shard_%03d = batch id, progress kept in the checkpoint (a restart resumes after the last
     committed batch; a half-written batch is redone, never skipped). ``process(paths_df)``
-    turns a micro-batch of shard paths into rows."""
-    listing = (spark.readStream.format("binaryFile")
+    turns a micro-batch of shard paths into rows. ``clean_source`` ("delete" or "archive" with
+    ``archive_dir``) drops consumed shards once their batch is committed."""
+    reader = spark.readStream.format("binaryFile")
+    if clean_source:
+        reader = reader.option("cleanSource", clean_source)
+        if archive_dir:
+            reader = reader.option("sourceArchiveDir", archive_dir)
+    listing = (reader
                .schema("path string, modificationTime timestamp, length long, content binary")
                .option("pathGlobFilter", glob)
                .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", group_size)
