@@ -183,6 +183,43 @@ def v12_bandwidth(spark, sf_dir):
     return r.select("doc_id", "n_frames", "duration_s", "bits", "kbps", "n_q_target")
 
 
+def _nearest_in(name: str, src: str, book: str) -> str:
+    return f"""{name}_d AS (
+  SELECT s.vec_id AS id, b.code,
+         list_sum(list_transform(range(1, len(s.vec) + 1), lambda i: (s.vec[i] - b.c[i]) ** 2)) AS dist
+  FROM {src} s, {book} b),
+{name} AS (
+  SELECT id AS vec_id, code FROM (
+    SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, code) AS rn FROM {name}_d) WHERE rn = 1)"""
+
+
+def _update(name: str, assign: str, prev: str) -> str:
+    return f"""{name}_s AS (
+  SELECT code, list(m ORDER BY d) AS c FROM (
+    SELECT a.code, t.d, avg(v.vec[t.d]) AS m FROM {assign} a JOIN vecs v USING (vec_id), range(1, 65) t(d)
+    GROUP BY a.code, t.d) GROUP BY code),
+{name} AS (SELECT p.code, coalesce(s.c, p.c) AS c FROM {prev} p LEFT JOIN {name}_s s USING (code))"""
+
+
+_KMEANS2 = S.with_(S.VECS) + f""",
+init AS (
+  SELECT CAST(row_number() OVER (ORDER BY {S.key('vec_id', 0)}, vec_id) - 1 AS INTEGER) AS code, vec AS c
+  FROM vecs ORDER BY {S.key('vec_id', 0)}, vec_id LIMIT 16),
+{_nearest_in('a1', 'vecs', 'init')},
+{_update('m1', 'a1', 'init')},
+{_nearest_in('a2', 'vecs', 'm1')},
+{_update('m2', 'a2', 'm1')}
+SELECT m2.code, CAST(coalesce(b.n, 0) AS BIGINT) AS bins, round(list_sum(m2.c), 6) AS centroid_sum
+FROM m2 LEFT JOIN (SELECT code, count(*) AS n FROM a2 GROUP BY code) b USING (code)"""
+
+
+@query("v2_kmeans_two_rounds", _KMEANS2)
+def v2_kmeans_two_rounds(spark, sf_dir):
+    """k-means with 2 Lloyd rounds: the SQL oracle unrolls the same rounds."""
+    km = vq.kmeans(fx.vectors(spark, sf_dir), 16, n_iters=2, seed=0)
+    return km.select("code", "bins", _vsum("centroid").alias("centroid_sum"))
+
+
 @query("v2_kmeans")
 def v2_kmeans(spark, sf_dir):
     """Iterative (no SQL oracle): 16 means, 10 Lloyd rounds over all embeddings."""

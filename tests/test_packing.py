@@ -143,3 +143,10 @@ def test_vocab_lookup_broadcasts_checked_side(spark):
     assert "BroadcastHashJoin" in plan
     got = {r.doc_id: list(r.ids) for r in out.collect()}
     assert got == {1: [4, 5, tk.UNK_ID], 2: []}
+
+
+def test_row_equal_to_capacity_packs_alone(spark):
+    df = _seqs(spark, [100, 40, 60])
+    a = pk.pack_next_fit(df, capacity=100, n_buckets=1).toPandas()
+    full = a[a.seq_id == 0].pack_id.iloc[0]
+    assert (a.pack_id == full).sum() == 1 and len(a) == 3

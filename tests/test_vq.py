@@ -74,3 +74,11 @@ def test_expire_codes(spark):
     assert list(out.expired) == [False, True]
     assert out.cluster_size.iloc[1] == 1.0 and out.centroid.iloc[0][0] == 0.0
     _ = F
+
+
+def test_ema_code_without_members_decays(spark):
+    state = spark.createDataFrame([(0, [0.0], 1.0, [0.0]), (1, [100.0], 1.0, [100.0])],
+                                  "code int, centroid array<double>, cluster_size double, embed_avg array<double>")
+    batch = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, vec array<double>")
+    out = vq.ema_update(state, batch, decay=0.5, eps=0.0).orderBy("code").toPandas()
+    assert out.cluster_size.iloc[1] == 0.5 and out.embed_avg.iloc[1][0] == 50.0
