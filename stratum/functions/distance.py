@@ -14,8 +14,40 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _common_prefix(a: str, b: str) -> int:
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:  # binary search with C-speed slice compares
+        mid = (lo + hi + 1) // 2
+        if a[:mid] == b[:mid]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return lo
+
+
+def _common_suffix(a: str, b: str) -> int:
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if a[len(a) - mid:] == b[len(b) - mid:]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return lo
+
+
 def bit_parallel_distance(a: str, b: str) -> int:
-    """Levenshtein distance between code-point strings ``a`` and ``b``."""
+    """Levenshtein distance between code-point strings ``a`` and ``b``.
+
+    A common prefix and suffix never change the distance, so they are cut first (identical
+    strings cost one comparison); the rest runs the bit-parallel recurrence."""
+    if a == b:
+        return 0
+    p = _common_prefix(a, b)
+    a, b = a[p:], b[p:]
+    q = _common_suffix(a, b)
+    if q:
+        a, b = a[:len(a) - q], b[:len(b) - q]
     m = len(a)
     if m == 0:
         return len(b)
