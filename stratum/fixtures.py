@@ -59,12 +59,20 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
 
 
-def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events per user as an ordered series (series_id, pos, value); pos = 0.. by (ts, event_id)."""
+def series(spark: SparkSession, sf_dir: str, materialize: bool = False) -> DataFrame:
+    """events per user as an ordered series (series_id, pos, value); pos = 0.. by (ts, event_id).
+
+    ``materialize`` writes it once to the checkpoint folder, for plans that read it repeatedly."""
     ev = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
     ev = ev.withColumn("_chunk", F.col("ts").cast("date"))  # calendar day of the wall-clock time
     pos = dense_position(ev, partition_cols=["user_id"], chunk_col="_chunk", order_cols=["ts", "event_id"])
-    return pos.select(F.col("user_id").alias("series_id"), F.col("_pos").cast("int").alias("pos"), "value")
+    out = pos.select(F.col("user_id").alias("series_id"), F.col("_pos").cast("int").alias("pos"), "value")
+    if materialize:
+        from stratum.session import checkpoint_dir
+
+        checkpoint_dir(spark)
+        out = out.checkpoint(eager=True)
+    return out
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from stratum.operators import packing as pk
 from stratum.plans import sql as S
 from stratum.plans.q_tokens import _SFT, sft_rows
 from stratum.plans.registry import query
+from stratum.session import checkpoint_dir
 
 CAP = 4096
 NB = 4  # packing buckets for the queries (a parameter of the operators)
@@ -164,7 +165,9 @@ gathered AS (
 
 
 def _packed(spark, sf_dir):
-    rows = sft_rows(spark, sf_dir)
+    # J3 writes the token rows once: lengths are read for packing, tokens again for the gather
+    checkpoint_dir(spark)
+    rows = sft_rows(spark, sf_dir).checkpoint(eager=True)
     lengths = rows.select(F.col("doc_id").alias("seq_id"), F.size("input_ids").alias("length"))
     assign = pk.pack_next_fit(lengths, capacity=CAP, n_buckets=NB)
     return pk.materialise_packs(assign, rows.withColumnRenamed("doc_id", "seq_id"))

@@ -72,7 +72,7 @@ fr AS (
 @query("g1_frames", _FRAMES_SQL + "SELECT series_id, win, i, value FROM fr")
 def g1_frames(spark, sf_dir):
     """Frames of 16 every 8 positions, incomplete last frame dropped."""
-    return sr.frames(fx.series(spark, sf_dir), 16, 8).select("series_id", "win", "i", "value")
+    return sr.frames(fx.series(spark, sf_dir, materialize=True), 16, 8).select("series_id", "win", "i", "value")
 
 
 @query("g3_overlap_add_envelope", _FRAMES_SQL + """
@@ -80,7 +80,7 @@ SELECT series_id, pos, round(CASE WHEN ww > 1e-11 THEN wv / ww END, 6) AS value
 FROM (SELECT series_id, CAST(win * 8 + i AS INTEGER) AS pos, sum(w * value) AS wv, sum(w * w) AS ww
       FROM (SELECT *, 0.5 - 0.5 * cos(2 * pi() / 16 * i) AS w FROM fr) GROUP BY ALL)""")
 def g3_overlap_add_envelope(spark, sf_dir):
-    o = sr.overlap_add_envelope(sr.frames(fx.series(spark, sf_dir), 16, 8), 16, 8)
+    o = sr.overlap_add_envelope(sr.frames(fx.series(spark, sf_dir, materialize=True), 16, 8), 16, 8)
     return o.select("series_id", "pos", _r("value").alias("value"))
 
 
@@ -103,13 +103,13 @@ SELECT series_id, pos, round(value * CASE WHEN mx > 0 THEN least(0.99 / mx, 1.0)
 FROM f5 JOIN pk USING (series_id)""")
 def g5_limit_peak(spark, sf_dir):
     """Both modes in one pass: ``clamped`` is a projection, ``value`` is rescaled by the peak."""
-    s = sr.limit_peak(fx.series(spark, sf_dir), rescale=False, out_col="clamped")
+    s = sr.limit_peak(fx.series(spark, sf_dir, materialize=True), rescale=False, out_col="clamped")
     r = sr.limit_peak(s, rescale=True)
     return r.select("series_id", "pos", _r("value").alias("value"), _r("clamped").alias("clamped"))
 
 
 def _stereo(spark, sf_dir):
-    s = fx.series(spark, sf_dir)
+    s = fx.series(spark, sf_dir, materialize=True)
     return s.select("series_id", "pos", F.explode(F.array(
         F.struct(F.lit(0).alias("channel"), F.col("value").alias("value")),
         F.struct(F.lit(1).alias("channel"), (F.col("value") * 0.5).alias("value")))).alias("c")).select(
@@ -140,14 +140,14 @@ src AS (
 SELECT src.series_id, CAST(p + 5 AS INTEGER) AS pos, coalesce(f5.value, 0.0) AS value
 FROM src LEFT JOIN f5 ON f5.series_id = src.series_id AND f5.pos = src.s""")
 def g7_pad_series(spark, sf_dir):
-    p = sr.pad_series(fx.series(spark, sf_dir), 5, 5, mode="reflect", extra_for=(16, 8))
+    p = sr.pad_series(fx.series(spark, sf_dir, materialize=True), 5, 5, mode="reflect", extra_for=(16, 8))
     return p.select("series_id", "pos", "value")
 
 
 @query("g7_unpad_series", S.with_(S.F5) + "SELECT series_id, pos, value FROM f5")
 def g7_unpad_series(spark, sf_dir):
     """pad (zero, 4 / 7) then unpad: the original series back."""
-    p = sr.pad_series(fx.series(spark, sf_dir), 4, 7, mode="zero")
+    p = sr.pad_series(fx.series(spark, sf_dir, materialize=True), 4, 7, mode="zero")
     return sr.unpad_series(p, 4, 7).select("series_id", "pos", "value")
 
 
