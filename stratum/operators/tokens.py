@@ -43,15 +43,21 @@ def audio_tokens(spark) -> DataFrame:
     return marks.unionByName(codes)
 
 
-def build_vocab(texts: DataFrame, text_col: str = "text") -> DataFrame:
+def build_vocab(texts: DataFrame, text_col: str = "text", max_vocab: int | None = None) -> DataFrame:
     """T6 (vocabulary half): (token, id). Specials get 0..3, corpus tokens follow by count desc,
-    token asc. Markup tokens ``<|...|>`` are not corpus tokens (they come from T4 or the specials)."""
+    token asc. Markup tokens ``<|...|>`` are not corpus tokens (they come from T4 or the specials).
+
+    ``max_vocab`` keeps only the most frequent corpus tokens (a tokenizer's vocabulary size; the
+    rest become <unk> at look-up). A bounded vocabulary keeps the look-up a broadcast join on
+    corpora whose distinct-token count grows without bound. Default: no cap."""
     spark = texts.sparkSession
     toks = spread(texts).select(F.explode_outer(tokenize(F.col(text_col))).alias("token")).where(
         F.col("token").isNotNull())
     counts = (toks.where(~F.col("token").rlike(MARKUP_PATTERN))
               .groupBy("token").agg(F.count(F.lit(1)).alias("_n")))
     ranked = global_rank(counts, [F.col("_n").desc(), F.col("token")])
+    if max_vocab is not None:
+        ranked = ranked.where(F.col("_rank") < F.lit(max_vocab))
     corpus = ranked.select("token", (F.col("_rank") + len(SPECIAL_TOKENS)).cast("bigint").alias("id"))
     specials = spark.createDataFrame(list(zip(SPECIAL_TOKENS, range(len(SPECIAL_TOKENS)))), "token string, id long")
     return specials.unionByName(corpus)
