@@ -45,12 +45,18 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def codebook(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """two 16-code layers from embeddings; layer 1 scaled by 0.25."""
-    e = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < 32)
-    layer = (F.col("vec_id") >= 16).cast("int")
-    scale = F.when(layer == 1, F.lit(0.25)).otherwise(F.lit(1.0))
-    return e.select(layer.alias("layer"), F.pmod("vec_id", F.lit(16)).cast("int").alias("code"),
-                    F.transform("embedding", lambda x: x.cast("double") * scale).alias("centroid"))
+    """two 16-code layers from the whole embeddings table: layer 0 code c = elementwise mean of
+    the embeddings with vec_id % 16 = c; layer 1 code c = 0.25 x the mean of those with
+    (vec_id div 16) % 16 = c. A partial aggregate per (layer, code, dim)."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "x"))
+    l0 = e.select(F.lit(0).alias("layer"), F.pmod("vec_id", F.lit(16)).cast("int").alias("code"), "pos",
+                  F.col("x").cast("double").alias("x"))
+    l1 = e.select(F.lit(1).alias("layer"), F.pmod(F.floor(F.col("vec_id") / 16), F.lit(16)).cast("int").alias("code"),
+                  "pos", F.col("x").cast("double").alias("x"))
+    means = l0.unionByName(l1).groupBy("layer", "code", "pos").agg(F.avg("x").alias("x"))
+    scale = F.when(F.col("layer") == 1, F.lit(0.25)).otherwise(F.lit(1.0))
+    vec = means.groupBy("layer", "code").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("_v"))
+    return vec.select("layer", "code", F.transform("_v", lambda s: s["x"] * scale).alias("centroid"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

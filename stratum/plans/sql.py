@@ -69,9 +69,15 @@ F3 = r"""f3 AS (
   FROM documents)"""
 
 F4 = """f4 AS (
-  SELECT CAST(vec_id >= 16 AS INTEGER) AS layer, CAST(vec_id % 16 AS INTEGER) AS code,
-         list_transform(embedding, lambda x: x::DOUBLE * CASE WHEN vec_id >= 16 THEN 0.25 ELSE 1.0 END) AS centroid
-  FROM embeddings WHERE vec_id < 32)"""
+  SELECT layer, code, list(x * CASE WHEN layer = 1 THEN 0.25 ELSE 1.0 END ORDER BY pos) AS centroid
+  FROM (SELECT layer, code, pos, avg(x) AS x FROM (
+          SELECT 0 AS layer, CAST(vec_id % 16 AS INTEGER) AS code, unnest(range(len(embedding))) AS pos,
+                 unnest(embedding)::DOUBLE AS x FROM embeddings
+          UNION ALL
+          SELECT 1, CAST((vec_id // 16) % 16 AS INTEGER), unnest(range(len(embedding))), unnest(embedding)::DOUBLE
+          FROM embeddings)
+        GROUP BY ALL)
+  GROUP BY layer, code)"""
 
 VECS = """vecs AS (
   SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM embeddings)"""
