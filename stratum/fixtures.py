@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratum import constants as C
 from stratum.operators.ordering import dense_position
 from stratum.session import table
 
@@ -115,7 +116,7 @@ def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     summed = rows.groupBy("ckpt", "name", "pos").agg(F.sum(F.col("x").cast("double")).alias("x"))
     vec = summed.groupBy("ckpt", "name").agg(
         F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("_v"))
-    file = F.concat(F.when(F.col("ckpt") == 9, F.lit("other_")).otherwise(F.lit("vocos_")),
+    file = F.concat(F.when(F.col("ckpt") == 9, F.lit("other_")).otherwise(F.lit(C.CHECKPOINT_PREFIX)),
                     F.col("ckpt").cast("string"), F.lit("_0."), F.pmod("ckpt", F.lit(4)).cast("string"),
                     F.lit("000.ckpt"))
     return vec.select(file.alias("file"), "name", F.transform("_v", lambda s: s["x"]).alias("vec"))
