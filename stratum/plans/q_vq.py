@@ -193,10 +193,10 @@ def _nearest_in(name: str, src: str, book: str) -> str:
     SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, code) AS rn FROM {name}_d) WHERE rn = 1)"""
 
 
-def _update(name: str, assign: str, prev: str) -> str:
+def _update(name: str, assign: str, prev: str, src: str = "vecs", dim: int = 64) -> str:
     return f"""{name}_s AS (
   SELECT code, list(m ORDER BY d) AS c FROM (
-    SELECT a.code, t.d, avg(v.vec[t.d]) AS m FROM {assign} a JOIN vecs v USING (vec_id), range(1, 65) t(d)
+    SELECT a.code, t.d, avg(v.vec[t.d]) AS m FROM {assign} a JOIN {src} v USING (vec_id), range(1, {dim + 1}) t(d)
     GROUP BY a.code, t.d) GROUP BY code),
 {name} AS (SELECT p.code, coalesce(s.c, p.c) AS c FROM {prev} p LEFT JOIN {name}_s s USING (code))"""
 
@@ -235,3 +235,55 @@ def v2b_init_codebook(spark, sf_dir):
     vq.init_codebook(vecs, 16, path, n_iters=3)
     cb = vq.init_codebook(vecs, 16, path, n_iters=3)  # existing table: returned untouched
     return cb.select("layer", "code", "cluster_size", _vsum("centroid").alias("centroid_sum"))
+
+
+# ---------------------------------------------------------------------- J2 end to end
+_J2_SQL = S.with_(S.F5) + f""",
+lens AS (SELECT series_id, max(pos) + 1 AS n FROM f5 GROUP BY series_id),
+clips AS (SELECT f5.* FROM f5 JOIN lens USING (series_id) WHERE n >= 32),
+clen AS (SELECT series_id, max(pos) + 1 AS n FROM clips GROUP BY series_id),
+fr AS (
+  SELECT series_id, win, CAST(pos - win * 8 AS INTEGER) AS i, value
+  FROM (SELECT c.*, unnest(range(CAST(greatest(0, ceil((pos - 15) / 8.0)) AS BIGINT),
+                                 CAST(least(floor(pos / 8.0), floor((n - 16) / 8.0)) AS BIGINT) + 1)) AS win
+        FROM clips c JOIN clen USING (series_id))),
+nrm AS (SELECT *, value / (1e-8 + sqrt(avg(value * value) OVER (PARTITION BY series_id, win))) AS v FROM fr),
+fvecs AS (
+  SELECT series_id * 1048576 + win AS vec_id, series_id, win, list(v ORDER BY i) AS vec
+  FROM nrm GROUP BY series_id, win),
+init AS (
+  SELECT CAST(row_number() OVER (ORDER BY {S.key('vec_id', 0)}, vec_id) - 1 AS INTEGER) AS code, vec AS c
+  FROM fvecs ORDER BY {S.key('vec_id', 0)}, vec_id LIMIT 16),
+{_nearest_in('a1', 'fvecs', 'init')},
+{_update('m1', 'a1', 'init', 'fvecs', 16)},
+{_nearest_in('a2', 'fvecs', 'm1')},
+{_update('m2', 'a2', 'm1', 'fvecs', 16)},
+{_nearest_in('a3', 'fvecs', 'm2')}
+SELECT f.series_id, CAST(count(*) AS BIGINT) AS n_frames,
+       md5(array_to_string(list(a3.code ORDER BY f.win), ',')) AS codes_md5
+FROM fvecs f JOIN a3 USING (vec_id) GROUP BY f.series_id"""
+
+
+@query("j2_tokenise_series", _J2_SQL)
+def j2_tokenise_series(spark, sf_dir):
+    """J2 on series: clips of at least 32 samples (P7) -> frames of 16 every 8 (G1) -> RMS
+    normalised (G2) -> a 16-code codebook fitted by k-means (V2, 2 rounds) -> nearest code per
+    frame (V4) -> one codes array per clip."""
+    from stratum.operators import filtering as flt
+    from stratum.operators import series as sr
+
+    s = fx.series(spark, sf_dir, materialize=True)
+    n = s.groupBy("series_id").agg((F.max("pos") + 1).alias("n_samples"))
+    clips = flt.min_duration(s.join(n, "series_id"), "n_samples", 32).drop("n_samples")
+    fr = sr.rms_normalise(sr.frames(clips, 16, 8))
+    vecs = (fr.groupBy("series_id", "win").agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("_s"))
+            .select((F.col("series_id") * F.lit(1 << 20) + F.col("win")).alias("vec_id"), "series_id", "win",
+                    F.transform("_s", lambda x: x["value"]).alias("vec")))
+    vecs = vecs.checkpoint(eager=True)  # frame vectors are read by every k-means round
+    km = vq.kmeans(vecs, 16, n_iters=2, seed=0)
+    book = km.select(F.lit(0).alias("layer"), "code", "centroid")
+    codes = vq.assign_code(vecs, book, 0).join(vecs.select("vec_id", "series_id", "win"), "vec_id")
+    per = codes.groupBy("series_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_frames"),
+                                         F.array_sort(F.collect_list(F.struct("win", "code"))).alias("_c"))
+    return per.select("series_id", "n_frames",
+                      F.md5(F.array_join(F.transform("_c", lambda x: x["code"]), ",")).alias("codes_md5"))
