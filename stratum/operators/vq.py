@@ -219,13 +219,19 @@ def _partial_sums(df: DataFrame, vec_col: str, means: np.ndarray) -> DataFrame:
 
 
 def kmeans(df: DataFrame, k: int, n_iters: int = C.KMEANS_ITERS, id_col: str = "vec_id", vec_col: str = "vec",
-           seed: int = 0) -> DataFrame:
+           seed: int = 0, materialize: bool = False) -> DataFrame:
     """V2: Lloyd rounds from k sampled rows (V1). Each round ships the k means to the tasks,
     which return per-partition partial sums (k rows each); only k rows per round reach the
     driver. An empty cluster keeps its previous mean. Returns (code, centroid, bins) where
-    ``bins`` counts the last assignment (made before the last mean update)."""
+    ``bins`` counts the last assignment (made before the last mean update). ``materialize``
+    checkpoints the (id, vector) input once, for inputs whose plan is costly to re-run per round."""
     spark = df.sparkSession
     data = df.select(id_col, vec_col)
+    if materialize:
+        from stratum.session import checkpoint_dir
+
+        checkpoint_dir(spark)
+        data = data.checkpoint(eager=True)
     init = sample_vectors(data, id_col, k, seed).orderBy("slot").collect()
     means = np.stack([np.asarray(r[vec_col], dtype=np.float64) for r in init])
     bins = np.zeros(k, dtype=np.int64)

@@ -279,7 +279,7 @@ def j2_tokenise_series(spark, sf_dir):
     vecs = (fr.groupBy("series_id", "win").agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("_s"))
             .select((F.col("series_id") * F.lit(1 << 20) + F.col("win")).alias("vec_id"), "series_id", "win",
                     F.transform("_s", lambda x: x["value"]).alias("vec")))
-    vecs = vecs.checkpoint(eager=True)  # frame vectors are read by every k-means round
+    vecs = vecs.checkpoint(eager=True)  # frame vectors are read by every k-means round and the assignment
     km = vq.kmeans(vecs, 16, n_iters=2, seed=0)
     book = km.select(F.lit(0).alias("layer"), "code", "centroid")
     codes = vq.assign_code(vecs, book, 0).join(vecs.select("vec_id", "series_id", "win"), "vec_id")
