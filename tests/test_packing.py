@@ -158,3 +158,11 @@ def test_vocab_cap_keeps_most_frequent(spark):
     texts = spark.createDataFrame([("a a a b b c",), ("a b d",)], "text string")
     v = {r.token: r.id for r in tk.build_vocab(texts, max_vocab=2).collect()}
     assert v == {"<|endoftext|>": 0, "<unk>": 1, "<|im_start|>": 2, "<|im_end|>": 3, "a": 4, "b": 5}
+
+
+def test_packing_reads_only_narrow_columns(spark):
+    wide = spark.range(50).select(F.col("id").alias("seq_id"), F.lit(7).alias("length"),
+                                  F.repeat(F.lit("x"), 1000).alias("payload"))
+    plan = pk.pack_next_fit(wide, capacity=100, n_buckets=2)._jdf.queryExecution().executedPlan().toString()
+    group_op = [ln for ln in plan.splitlines() if "FlatMapGroupsInPandas" in ln][0]
+    assert "payload" not in plan and "seq_id" in group_op and "length" in group_op

@@ -63,3 +63,10 @@ def test_render_codes_and_chat(spark):
     assert r.c == "<|beginofaudio|><|AUDIO3|><|AUDIO7|><|endofaudio|>"
     assert r.chat.startswith("<|im_start|>system\nYou are a helpful assistant.<|im_end|>\n<|im_start|>user\n")
     assert r.chat.endswith("<|im_start|>assistant\n" + r.c + "<|im_end|>")
+
+
+def test_cer_rounds_half_up(spark):
+    # 1 deletion in 800 characters: 0.125 -> 0.13 (half up, like DuckDB), not 0.12
+    ref = "a" * 799 + "b"
+    df = spark.createDataFrame([(ref, "a" * 799)], "r string, h string")
+    assert df.select(tx.cer_score("r", "h").alias("c")).first().c == 0.13
