@@ -39,6 +39,25 @@ def _local(path: str) -> str:
     return path[len("file:"):] if path.startswith("file:") else path
 
 
+def _fs(path: str):
+    """(filesystem, path) for local paths and any URI pyarrow knows (s3://, hdfs://, gs://, ...),
+    so tasks read and write shards on the cluster's shared storage, not only on local disks."""
+    import pyarrow.fs as pafs
+
+    if "://" in path and not path.startswith("file:"):
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), os.path.abspath(_local(path))
+
+
+def _size(path: str) -> int:
+    fs, p = _fs(path)
+    return fs.get_file_info(p).size or 0
+
+
+def _join(root: str, name: str) -> str:
+    return root.rstrip("/") + "/" + name
+
+
 def split_member(name: str) -> tuple[str, str]:
     """('dir/abc.json') -> ('dir/abc', 'json'); the stem ends at the first dot of the base name."""
     d, base = os.path.split(name)
@@ -57,7 +76,7 @@ def plan_partitions(paths: list[str], target_bytes: int) -> list[list[str]]:
     groups, cur, size = [], [], 0
     for p in paths:
         try:
-            n = os.path.getsize(_local(p))
+            n = _size(p)
         except OSError:
             n = target_bytes
         cur.append(p)
@@ -84,9 +103,10 @@ class _ShardReader(DataSourceReader):
 
 
 def _read_tar(path: str) -> Iterator[tuple]:
-    shard = os.path.basename(_local(path))
+    shard = os.path.basename(_local(path).rstrip("/"))
     key, members = None, {}
-    with tarfile.open(_local(path), mode="r|*") as tf:
+    fs, p = _fs(path)
+    with fs.open_input_stream(p) as stream, tarfile.open(fileobj=stream, mode="r|*") as tf:
         for m in tf:
             if not m.isfile():
                 continue
@@ -107,7 +127,7 @@ class _Written(WriterCommitMessage):
 
 class _ShardWriter(DataSourceWriter):
     def __init__(self, path: str, overwrite: bool):
-        self.path = _local(path)
+        self.path = path if "://" in path and not path.startswith("file:") else os.path.abspath(_local(path))
         self.overwrite = overwrite
 
     def write(self, iterator) -> _Written:
@@ -116,19 +136,22 @@ class _ShardWriter(DataSourceWriter):
         ctx = TaskContext.get()
         pid = ctx.partitionId() if ctx else 0
         attempt = ctx.attemptNumber() if ctx else 0
-        os.makedirs(self.path, exist_ok=True)
-        written, tf, current, n = [], None, object(), 0
+        fs, root = _fs(self.path)
+        fs.create_dir(root, recursive=True)
+        written, tf, stream, current, n = [], None, None, object(), 0
         for row in iterator:
             has_file = "file" in row.__fields__
             group = row["file"] if has_file else pid
             if tf is None or group != current:
                 if tf is not None:
                     tf.close()
+                    stream.close()
                 current = group
                 final = f"shard-{int(group):06d}.tar" if has_file else f"shard-{pid:06d}-{n:03d}.tar"
-                tmp = os.path.join(self.path, f"._tmp-{uuid.uuid4().hex}-{pid}-{attempt}")
-                written.append((tmp, final))
-                tf = tarfile.open(tmp, mode="w")
+                tmp = _join(root, f"._tmp-{uuid.uuid4().hex}-{pid}-{attempt}")
+                written.append((tmp, _join(root, final)))
+                stream = fs.open_output_stream(tmp)
+                tf = tarfile.open(fileobj=stream, mode="w|")
                 n += 1
             for ext, data in sorted((row["members"] or {}).items()):
                 info = tarfile.TarInfo(name=f"{row['key']}.{ext}")
@@ -137,20 +160,25 @@ class _ShardWriter(DataSourceWriter):
                 tf.addfile(info, io.BytesIO(bytes(data)))
         if tf is not None:
             tf.close()
+            stream.close()
         return _Written(written)
 
     def commit(self, messages) -> None:
+        fs, _ = _fs(self.path)
         for msg in messages:
             for tmp, final in msg.files:
-                os.replace(tmp, os.path.join(self.path, final))
+                fs.move(tmp, final)
 
     def abort(self, messages) -> None:
+        import pyarrow.fs as pafs
+
+        fs, _ = _fs(self.path)
         for msg in messages:
             if msg is None:
                 continue
-            for tmp, _ in msg.files:
-                if os.path.exists(tmp):
-                    os.remove(tmp)
+            for tmp, _final in msg.files:
+                if fs.get_file_info(tmp).type != pafs.FileType.NotFound:
+                    fs.delete_file(tmp)
 
 
 class TarShardSource(DataSource):
@@ -191,7 +219,7 @@ def read_shards(spark: SparkSession, paths: list[str], target_bytes: int | None
     if target_bytes is None:
         # like Spark's file scan: at most maxPartitionBytes, but small inputs still use every core
         max_bytes = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b"))
-        total = sum(os.path.getsize(_local(p)) for p in paths if os.path.exists(_local(p)))
+        total = sum(_size(p) for p in paths)
         per_core = total // max(1, spark.sparkContext.defaultParallelism)
         target_bytes = max(1, min(max_bytes, max(4 * 1024 * 1024, per_core)))
         if total < 4 * 1024 * 1024 * spark.sparkContext.defaultParallelism:

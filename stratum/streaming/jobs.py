@@ -12,11 +12,30 @@ from stratum import constants as C
 from stratum.operators import vq
 
 
-def _versions(root: str) -> list[int]:
-    if not os.path.isdir(root):
+def _listdir(root: str) -> list[str]:
+    """Names under ``root`` on local or shared storage (pyarrow.fs); [] when it does not exist."""
+    import pyarrow.fs as pafs
+
+    from stratum.sources.shards import _fs
+
+    fs, p = _fs(root)
+    if fs.get_file_info(p).type == pafs.FileType.NotFound:
         return []
-    return sorted(int(d.split("=", 1)[1]) for d in os.listdir(root) if d.startswith("v=") and
-                  os.path.exists(os.path.join(root, d, "_SUCCESS")))
+    return [os.path.basename(i.path) for i in fs.get_file_info(pafs.FileSelector(p))]
+
+
+def _exists(path: str) -> bool:
+    import pyarrow.fs as pafs
+
+    from stratum.sources.shards import _fs
+
+    fs, p = _fs(path)
+    return fs.get_file_info(p).type != pafs.FileType.NotFound
+
+
+def _versions(root: str) -> list[int]:
+    return sorted(int(d.split("=", 1)[1]) for d in _listdir(root) if d.startswith("v=") and
+                  _exists(os.path.join(root, d, "_SUCCESS")))
 
 
 def latest_codebook(spark: SparkSession, root: str) -> DataFrame:
@@ -81,7 +100,7 @@ def run_incremental_stream(spark: SparkSession, shard_root: str, out_root: str,
     q = (listing.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    outs = sorted(d for d in os.listdir(out_root) if d.startswith("shard_"))
+    outs = sorted(d for d in _listdir(out_root) if d.startswith("shard_"))
     return spark.createDataFrame(
         [(d, spark.read.json(os.path.join(out_root, d)).count()) for d in outs], "output string, n_rows long")
 
