@@ -15,6 +15,7 @@ from stratum.plans.registry import query
 from stratum.session import checkpoint_dir, table
 from stratum.sources import files as fs
 from stratum.sources import shards as sh
+from stratum.streaming import jobs
 
 DOCS_PER_TAR = 10
 
@@ -82,7 +83,7 @@ def s2_list_shards(spark, sf_dir):
 def s4_write_jsonl(spark, sf_dir):
     path = _scratch(spark, "jsonl")
     n_files = fs.write_jsonl(fx.utterances(spark, sf_dir), path)
-    written = len([f for f in os.listdir(path) if f.endswith(".json")])
+    written = len([f for f in jobs._listdir(path) if f.endswith(".json")])
     rows = spark.read.json(path).count()
     return spark.createDataFrame([(min(n_files, written), rows)], "n_files long, n_rows long")
 

@@ -3,7 +3,6 @@ and returns the result as a DataFrame."""
 
 from __future__ import annotations
 
-import os
 import time
 
 from pyspark.sql import functions as F
@@ -97,7 +96,8 @@ def s7_incremental_stream(spark, sf_dir):
     """Incremental shard job as a file stream: <= 32 new shards per micro-batch."""
     root, _ = _f9(spark, sf_dir)
     out, ckpt = _scratch(spark, "inc-out"), _scratch(spark, "inc-ckpt")
-    os.makedirs(out, exist_ok=True)
+    fs, p = sh._fs(out)
+    fs.create_dir(p, recursive=True)
 
     def process(paths_df):
         paths = [r["path"] for r in paths_df.collect()]  # <= 32 file names per micro-batch
