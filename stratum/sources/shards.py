@@ -45,6 +45,9 @@ def _fs(path: str):
     import pyarrow.fs as pafs
 
     if "://" in path and not path.startswith("file:"):
+        for hadoop_scheme in ("s3a://", "s3n://"):  # Hadoop's names for the same store
+            if path.startswith(hadoop_scheme):
+                path = "s3://" + path[len(hadoop_scheme):]
         return pafs.FileSystem.from_uri(path)
     return pafs.LocalFileSystem(), os.path.abspath(_local(path))
 
