@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin the rows over at least ``min_partitions`` tasks (default: the cluster's
-    parallelism) before a CPU-heavy per-row step. A no-op when the scan already yields enough
-    partitions, which is always the case on large inputs."""
+def spread(df: DataFrame, min_partitions: int | None = None, factor: int = 1) -> DataFrame:
+    """Round-robin the rows over ``min_partitions`` tasks (default: ``factor`` x the cluster's
+    parallelism; a factor above 1 lets rows of very different cost even out over many small
+    tasks) before a CPU-heavy per-row step. A no-op when the scan already yields at least one
+    partition per core, which is always the case on large inputs."""
     sc = df.sparkSession.sparkContext
-    target = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    target = min_partitions or factor * sc.defaultParallelism
+    if df.rdd.getNumPartitions() < sc.defaultParallelism:
         return df.repartition(target)
     return df

@@ -32,7 +32,7 @@ def prune_columns(df: DataFrame, keep: list[str]) -> DataFrame:
 def score_cer(df: DataFrame, ref_col: str = "text", hyp_col: str = "pred", out: str = "cer",
               native: bool = False) -> DataFrame:
     """P5: exact CER score for every row."""
-    return spread(df).withColumn(out, cer_score(F.col(ref_col), F.col(hyp_col), native))
+    return spread(df, factor=4).withColumn(out, cer_score(F.col(ref_col), F.col(hyp_col), native))
 
 
 def cer_filter(df: DataFrame, ref_col: str = "text", hyp_col: str = "pred", threshold: float = C.CER_THRESHOLD,
@@ -41,7 +41,7 @@ def cer_filter(df: DataFrame, ref_col: str = "text", hyp_col: str = "pred", thre
     Rows whose length difference alone reaches the threshold are dropped without a distance."""
     score = cer_score(F.col(ref_col), F.col(hyp_col), native=True) if native \
         else cer_score_below(F.col(ref_col), F.col(hyp_col), threshold)
-    return spread(df).withColumn(out, score).where(F.col(out) < F.lit(threshold))
+    return spread(df, factor=4).withColumn(out, score).where(F.col(out) < F.lit(threshold))
 
 
 def min_duration(df: DataFrame, n_samples_col: str, min_samples: int = C.MIN_SAMPLES) -> DataFrame:
@@ -65,7 +65,7 @@ def enrich_meta(df: DataFrame, meta_col: str = "json", **fields) -> DataFrame:
 def quality_filter(samples: DataFrame, threshold: float = C.CER_THRESHOLD, meta_col: str = "json") -> DataFrame:
     """J1 without the recogniser: samples carry ``json.text`` and ``json.pred`` (from U1);
     score with squashed whitespace, keep ``cer < threshold`` and record ``cer`` in the record."""
-    scored = spread(samples).withColumn(
+    scored = spread(samples, factor=4).withColumn(
         "_cer", cer_score_below(F.col(f"{meta_col}.text"), F.col(f"{meta_col}.pred"), threshold))
     kept = scored.where(F.col("_cer") < F.lit(threshold))
     return enrich_meta(kept, meta_col, cer=F.col("_cer")).drop("_cer")
