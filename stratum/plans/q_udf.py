@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 from stratum import constants as C
 from stratum import fixtures as fx
 from stratum.functions import batch_udf as bu
-from stratum.functions.text import cer_score
+from stratum.functions.text import cer_score_below
+from stratum.operators.common import spread
 from stratum.plans import sql as S
 from stratum.plans.q_tokens import _SFT, _vocab
 from stratum.plans.registry import query
@@ -23,7 +24,8 @@ def u1_score_batches(spark, sf_dir):
     """J1 with a recogniser plugged in through the batch UDF (stub model, batches of 128)."""
     recognise = bu.score_batches(bu.make_stub_recogniser, T.StringType(), batch_size=128)
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    scored = d.withColumn("pred", recognise("text")).withColumn("cer", cer_score(F.col("text"), F.col("pred")))
+    scored = spread(d, factor=4).withColumn("pred", recognise("text")).withColumn(
+        "cer", cer_score_below(F.col("text"), F.col("pred"), C.CER_THRESHOLD))
     return scored.groupBy("lang").agg(
         F.count(F.lit(1)).cast("bigint").alias("n_total"),
         F.count(F.when(F.col("cer") < C.CER_THRESHOLD, 1)).cast("bigint").alias("n_kept"),
