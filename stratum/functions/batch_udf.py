@@ -88,7 +88,7 @@ def make_stub_recogniser():
     of a text is the text without the letter e. Real use plugs a model in here."""
 
     def predict(texts: np.ndarray) -> np.ndarray:
-        return np.array([t.replace("e", "") for t in texts], dtype=object)
+        return np.array([None if t is None else t.replace("e", "") for t in texts], dtype=object)
 
     return predict
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stratum import fixtures as fx
 from stratum.plans import sql as S
-from stratum.plans.q_packing import _SFT_PACKS, _packed
+from stratum.plans.q_packing import _SFT_PACKS
 from stratum.plans.registry import query
 from stratum.session import checkpoint_dir, table
 from stratum.sources import files as fs
@@ -25,10 +25,12 @@ def _scratch(spark, what: str) -> str:
 
 
 def _f9(spark, sf_dir):
-    """documents as shard samples: members <doc_id>.txt and <doc_id>.json."""
+    """documents as shard samples: members <doc_id>.txt (the payload) and <doc_id>.json
+    (metadata with the reference text, as in the reference's shards)."""
     d = table(spark, sf_dir, "documents")
     members = F.create_map(F.lit("txt"), F.encode("text", "UTF-8"),
-                           F.lit("json"), F.encode(F.to_json(F.struct("lang", "source", "n_chars")), "UTF-8"))
+                           F.lit("json"), F.encode(F.to_json(F.struct("text", "lang", "source", "n_chars")),
+                                                   "UTF-8"))
     samples = d.select("doc_id", F.col("doc_id").cast("string").alias("key"), members.alias("members"))
     path = _scratch(spark, "shards")
     n_files = sh.write_shards(samples, path, DOCS_PER_TAR, order_col="doc_id")
@@ -102,9 +104,14 @@ def s5_load_rows(spark, sf_dir):
 @query("s6_write_packed", _SFT_PACKS + """
 SELECT pack_id, CAST(len(ids) AS BIGINT) AS n_tokens, md5(array_to_string(ids, ',')) AS ids_md5 FROM gathered""")
 def s6_write_packed(spark, sf_dir):
+    """J3 as a job: SFT token rows written once, packed (K6), gathered (K9), written (S6), read back."""
+    from stratum.plans.jobs import pack_corpus_job
+    from stratum.plans.q_packing import CAP, NB
+    from stratum.plans.q_tokens import sft_rows
+
     path = _scratch(spark, "packed")
-    fs.write_packed(_packed(spark, sf_dir), path)
-    p = spark.read.parquet(path)
+    rows = sft_rows(spark, sf_dir).withColumnRenamed("doc_id", "seq_id")
+    p = pack_corpus_job(rows, path, capacity=CAP, n_buckets=NB)
     return p.select("pack_id", F.size("input_ids").cast("bigint").alias("n_tokens"),
                     F.md5(F.array_join("input_ids", ",")).alias("ids_md5"))
 
@@ -137,3 +144,22 @@ def s8_verify_checksum(spark, sf_dir):
     f1 = fx.ref_hyp(spark, sf_dir).withColumn("expected", F.substring(F.sha2("text", 256), 1, 12))
     v = fs.verify_checksum(f1, "pred", "expected")
     return v.select("doc_id", F.substring("sha256", 1, 12).alias("sha_prefix"), "ok")
+
+
+@query("j1_filter_shards", S.with_(S.F1) + f"""
+SELECT CAST(count(*) AS BIGINT) AS n_kept, CAST(greatest(1, count(*) // 100) AS BIGINT) AS n_files,
+       round(sum(cer), 4) AS cer_sum
+FROM (SELECT {S.cer('text', "replace(text, 'e', '')")} AS cer FROM documents) WHERE cer < 10.0""")
+def j1_filter_shards(spark, sf_dir):
+    """J1 from shard to shard: F9 tars -> recogniser stub (U1) -> CER < 10 -> json gains pred/cer
+    -> tars of at least 100 samples; the written shards are read back and summarised."""
+    from stratum.functions.batch_udf import make_stub_recogniser
+    from stratum.plans.jobs import quality_filter_job
+
+    root, _ = _f9(spark, sf_dir)
+    out = _scratch(spark, "filtered")
+    quality_filter_job(spark, _shard_paths(spark, root), out, make_stub_recogniser, min_rows_per_file=100)
+    back = sh.shard_samples(sh.read_shards(spark, _shard_paths(spark, out)), "text string, pred string, cer double")
+    return back.agg(F.count(F.lit(1)).cast("bigint").alias("n_kept"),
+                    F.countDistinct("shard").cast("bigint").alias("n_files"),
+                    F.round(F.sum("json.cer"), 4).alias("cer_sum"))
