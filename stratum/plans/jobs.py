@@ -1,8 +1,10 @@
 """The reference's data jobs as Spark job functions composed from the operators.
 
 quality_filter_job (J1): shards -> samples -> recogniser (U1) -> CER filter (P4-P6) -> cer in the
-metadata (P9) -> shards (S3). pack_corpus_job (J3): utterances -> token rows (T1-T9) -> written
-once -> lengths -> packs (K6) -> gather (K9) -> Parquet (S6).
+metadata (P9) -> shards (S3). tokenise_series_job (J2): clips -> length filter (P7) -> frames (G1) ->
+RMS normalisation (G2) -> codebook (V2, or a given one) -> nearest code per frame (V4) -> codes
+per clip -> JSON lines (S4). pack_corpus_job (J3): token rows (T1-T9) -> written once ->
+lengths -> packs (K6) -> gather (K9) -> Parquet (S6).
 """
 
 from __future__ import annotations
@@ -40,6 +42,38 @@ def quality_filter_job(spark: SparkSession, shard_paths: list[str], out_dir: str
     return sh.write_shards(out, out_dir, min_rows_per_file)
 
 
+def tokenise_series(series: DataFrame, frame_len: int, hop: int, min_samples: int, n_codes: int,
+                    kmeans_iters: int = C.KMEANS_ITERS, codebook: DataFrame | None = None, seed: int = 0):
+    """J2 on a long table (series_id, pos, value): returns (codes per clip, codebook). Clips shorter
+    than ``min_samples`` are dropped before any heavy step; frames are RMS-normalised vectors of
+    ``frame_len`` values; without a ``codebook`` one is fitted by k-means on all frames."""
+    from stratum.operators import series as sr
+    from stratum.operators import vq
+
+    n = series.groupBy("series_id").agg((F.max("pos") + 1).alias("_n_samples"))
+    clips = flt.min_duration(series.join(n, "series_id"), "_n_samples", min_samples).drop("_n_samples")
+    fr = sr.rms_normalise(sr.frames(clips, frame_len, hop))
+    vecs = (fr.groupBy("series_id", "win").agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("_s"))
+            .select((F.col("series_id") * F.lit(1 << 20) + F.col("win")).alias("vec_id"), "series_id", "win",
+                    F.transform("_s", lambda x: x["value"]).alias("vec")))
+    checkpoint_dir(series.sparkSession)
+    vecs = vecs.checkpoint(eager=True)  # frame vectors are read by every k-means round and the assignment
+    if codebook is None:
+        km = vq.kmeans(vecs, n_codes, n_iters=kmeans_iters, seed=seed)
+        codebook = km.select(F.lit(0).alias("layer"), "code", "centroid")
+    codes = vq.assign_code(vecs, codebook, 0).join(vecs.select("vec_id", "series_id", "win"), "vec_id")
+    per = codes.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("win", "code"))).alias("_c"))
+    return per.select("series_id", F.transform("_c", lambda x: x["code"]).alias("codes")), codebook
+
+
+def tokenise_series_job(series: DataFrame, out_dir: str, frame_len: int, hop: int, min_samples: int,
+                        n_codes: int, kmeans_iters: int = C.KMEANS_ITERS,
+                        min_rows_per_file: int = C.JSONL_MIN_ROWS) -> int:
+    """J2 written as JSON lines (at least ``min_rows_per_file`` rows per file); returns the file count."""
+    codes, _ = tokenise_series(series, frame_len, hop, min_samples, n_codes, kmeans_iters)
+    return fs.write_jsonl(codes, out_dir, min_rows_per_file)
+
+
 def pack_corpus_job(rows: DataFrame, out_dir: str, capacity: int = C.PACK_CAPACITY, seed: int = 0,
                     n_buckets: int | None = None) -> DataFrame:
     """Token rows (seq_id, input_ids, labels) are written once, packed on their lengths and

@@ -269,21 +269,8 @@ def j2_tokenise_series(spark, sf_dir):
     """J2 on series: clips of at least 32 samples (P7) -> frames of 16 every 8 (G1) -> RMS
     normalised (G2) -> a 16-code codebook fitted by k-means (V2, 2 rounds) -> nearest code per
     frame (V4) -> one codes array per clip."""
-    from stratum.operators import filtering as flt
-    from stratum.operators import series as sr
-
-    s = fx.series(spark, sf_dir, materialize=True)
-    n = s.groupBy("series_id").agg((F.max("pos") + 1).alias("n_samples"))
-    clips = flt.min_duration(s.join(n, "series_id"), "n_samples", 32).drop("n_samples")
-    fr = sr.rms_normalise(sr.frames(clips, 16, 8))
-    vecs = (fr.groupBy("series_id", "win").agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("_s"))
-            .select((F.col("series_id") * F.lit(1 << 20) + F.col("win")).alias("vec_id"), "series_id", "win",
-                    F.transform("_s", lambda x: x["value"]).alias("vec")))
-    vecs = vecs.checkpoint(eager=True)  # frame vectors are read by every k-means round and the assignment
-    km = vq.kmeans(vecs, 16, n_iters=2, seed=0)
-    book = km.select(F.lit(0).alias("layer"), "code", "centroid")
-    codes = vq.assign_code(vecs, book, 0).join(vecs.select("vec_id", "series_id", "win"), "vec_id")
-    per = codes.groupBy("series_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_frames"),
-                                         F.array_sort(F.collect_list(F.struct("win", "code"))).alias("_c"))
-    return per.select("series_id", "n_frames",
-                      F.md5(F.array_join(F.transform("_c", lambda x: x["code"]), ",")).alias("codes_md5"))
+    from stratum.plans.jobs import tokenise_series
+
+    codes, _ = tokenise_series(fx.series(spark, sf_dir, materialize=True), 16, 8, 32, 16, kmeans_iters=2)
+    return codes.select("series_id", F.size("codes").cast("bigint").alias("n_frames"),
+                        F.md5(F.array_join("codes", ",")).alias("codes_md5"))

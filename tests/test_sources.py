@@ -52,3 +52,19 @@ def test_checksum_rows(spark):
     df = spark.createDataFrame([("abc", "ba7816bf"), ("abc", "00")], "c string, e string")
     out = fs.verify_checksum(df, "c", "e").collect()
     assert [r.ok for r in out] == [True, False]
+
+
+def test_tokenise_series_job_writes_jsonl(spark):
+    import numpy as np
+
+    from stratum.plans.jobs import tokenise_series_job
+
+    rng = np.random.default_rng(0)
+    rows = [(sid, i, float(v)) for sid in range(3) for i, v in enumerate(rng.normal(size=40 + 10 * sid))]
+    rows += [(9, i, 1.0) for i in range(5)]  # too short: dropped before framing
+    series = spark.createDataFrame(rows, "series_id long, pos int, value double")
+    out = tempfile.mkdtemp(prefix="stratum-j2-")
+    n = tokenise_series_job(series, out, frame_len=8, hop=4, min_samples=32, n_codes=4, kmeans_iters=2)
+    back = spark.read.json(out).orderBy("series_id").collect()
+    assert n == 1 and [r.series_id for r in back] == [0, 1, 2]
+    assert [len(r.codes) for r in back] == [9, 11, 14] and all(0 <= c < 4 for r in back for c in r.codes)
