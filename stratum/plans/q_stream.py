@@ -12,6 +12,7 @@ from stratum.operators import ordering as od
 from stratum.operators import packing as pk
 from stratum.plans import sql as S
 from stratum.plans.q_sources import _f9, _scratch
+from stratum.plans.q_tokens import _SFT, sft_rows
 from stratum.plans.q_vq import _EMA_SQL, _ema_state, _vsum
 from stratum.plans.registry import query
 from stratum.sources import shards as sh
@@ -109,3 +110,42 @@ def s7_incremental_stream(spark, sf_dir):
     return res.agg(F.count(F.lit(1)).cast("bigint").alias("n_batches"), F.sum("n_rows").cast("bigint").alias("n_rows"))
 
 
+
+
+@query("k12_feed_stream", _SFT + f""",
+lanes AS (SELECT doc_id, len(ids) AS length,
+                 {S.md5_int("'0:lane:' || doc_id::VARCHAR")} % {RANKS * WORKERS} AS lane FROM sft)
+SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(length) AS BIGINT) AS n_tokens, true AS all_padded
+FROM lanes WHERE length <= {MAXLEN}""")
+def k12_feed_stream(spark, sf_dir):
+    """SFT token rows feed a stream of (lane, seq_id, length); the stateful packer emits packs,
+    each micro-batch is gathered with the token rows and padded to 2048 (foreachBatch)."""
+    rows = sft_rows(spark, sf_dir).withColumnRenamed("doc_id", "seq_id").checkpoint(eager=True)
+    lanes = pk.assign_lanes(rows.select("seq_id", F.size("input_ids").alias("length")), "seq_id", RANKS, WORKERS)
+    lanes = lanes.withColumn("_key", od.hash_key("seq_id", 0, 0)).select("lane", "seq_id", "length", "_key")
+    expected = lanes.where(F.col("length") <= MAXLEN).count()
+    src, out, ckpt = _scratch(spark, "feed-in"), _scratch(spark, "feed-out"), _scratch(spark, "feed-ckpt")
+    lanes.repartition(4).write.parquet(src)
+    stream = spark.readStream.schema(lanes.schema).option("maxFilesPerTrigger", 2).parquet(src)
+    q = (ps.pack_stream(stream, MAXLEN, BUF, flush_after_ms=2000).writeStream
+         .foreachBatch(ps.feed_writer(rows, out, MAXLEN)).option("checkpointLocation", ckpt)
+         .trigger(processingTime="1 second").start())
+    schema = "pack_key string, n_rows long, n_tokens long, input_ids array<bigint>, labels array<bigint>"
+    try:
+        deadline = time.time() + 240
+        while time.time() < deadline and q.isActive:
+            time.sleep(2)
+            try:
+                done = spark.read.schema(schema).parquet(out).agg(F.sum("n_rows")).first()[0] or 0
+            except Exception:  # noqa: BLE001  (no batch written yet)
+                done = 0
+            if done >= expected:
+                break
+    finally:
+        err = q.exception()
+        q.stop()
+    if err is not None:
+        raise RuntimeError(f"feed stream failed: {err}")
+    fed = spark.read.schema(schema).parquet(out)
+    return fed.agg(F.sum("n_rows").cast("bigint").alias("n_rows"), F.sum("n_tokens").cast("bigint").alias("n_tokens"),
+                   F.bool_and((F.size("input_ids") == MAXLEN) & (F.size("labels") == MAXLEN)).alias("all_padded"))
