@@ -13,6 +13,18 @@ TABLES = (
 ).split()
 
 
+def _driver_memory() -> str:
+    """16g, or 60 % of the machine's memory when that is less (local mode runs in the driver)."""
+    if os.environ.get("STRATUM_DRIVER_MEMORY"):
+        return os.environ["STRATUM_DRIVER_MEMORY"]
+    try:
+        with open("/proc/meminfo") as f:
+            kb = int(next(line for line in f if line.startswith("MemTotal")).split()[1])
+        return f"{max(1024, min(16 * 1024, int(kb * 0.6 / 1024)))}m"
+    except (OSError, StopIteration, ValueError):
+        return "4g"
+
+
 def get_spark(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "stratum") -> SparkSession:
     """Local session for tests and the bench. On a cluster, use the cluster's session instead."""
     spark = (
@@ -26,7 +38,7 @@ def get_spark(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "st
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("STRATUM_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", _driver_memory())
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
