@@ -50,9 +50,14 @@ def build_vocab(texts: DataFrame, text_col: str = "text", max_vocab: int | None
     ``max_vocab`` keeps only the most frequent corpus tokens (a tokenizer's vocabulary size; the
     rest become <unk> at look-up). A bounded vocabulary keeps the look-up a broadcast join on
     corpora whose distinct-token count grows without bound. Default: no cap."""
-    spark = texts.sparkSession
-    toks = spread(texts).select(F.explode_outer(tokenize(F.col(text_col))).alias("token")).where(
-        F.col("token").isNotNull())
+    toks = spread(texts).select(tokenize(F.col(text_col)).alias("_toks"))
+    return build_vocab_from_tokens(toks, "_toks", max_vocab)
+
+
+def build_vocab_from_tokens(df: DataFrame, tokens_col: str, max_vocab: int | None = None) -> DataFrame:
+    """``build_vocab`` over an already tokenized column (array<string>)."""
+    spark = df.sparkSession
+    toks = df.select(F.explode_outer(tokens_col).alias("token")).where(F.col("token").isNotNull())
     counts = (toks.where(~F.col("token").rlike(MARKUP_PATTERN))
               .groupBy("token").agg(F.count(F.lit(1)).alias("_n")))
     ranked = global_rank(counts, [F.col("_n").desc(), F.col("token")])
