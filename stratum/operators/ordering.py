@@ -53,11 +53,23 @@ def dense_position(df: DataFrame, partition_cols: list[str], chunk_col: str, ord
             .withColumn(out, F.col("_off") + F.col("_rn") - 1).drop("_rn", "_off"))
 
 
+ROWS_PER_BUCKET = 1_000_000
+
+
+def auto_buckets(df: DataFrame, n_buckets: int | None) -> int:
+    """The given bucket count, or one that keeps each bucket near ``ROWS_PER_BUCKET`` rows (at
+    least 64), so a bucket's window is one modest task at any scale. Counting is one cheap job."""
+    if n_buckets:
+        return n_buckets
+    return max(64, -(-df.count() // ROWS_PER_BUCKET))
+
+
 def with_epoch_order(df: DataFrame, id_col: str, seed: int = 0, epoch: int = 0,
-                     n_buckets: int = 64) -> DataFrame:
+                     n_buckets: int | None = None) -> DataFrame:
     """Adds ``_key`` (hash key) and ``bucket`` (monotone in ``_key``)."""
+    nb = auto_buckets(df, n_buckets)
     return (df.withColumn("_key", hash_key(id_col, seed, epoch))
-            .withColumn("bucket", key_bucket(F.col("_key"), n_buckets)))
+            .withColumn("bucket", key_bucket(F.col("_key"), nb)))
 
 
 def _bucket_offsets(df: DataFrame, value: Column | None, name: str) -> DataFrame:
@@ -69,7 +81,7 @@ def _bucket_offsets(df: DataFrame, value: Column | None, name: str) -> DataFrame
 
 
 def epoch_permutation(df: DataFrame, id_col: str, seed: int = 0, epoch: int = 0,
-                      n_buckets: int = 64) -> DataFrame:
+                      n_buckets: int | None = None) -> DataFrame:
     """K1: seeded shuffle; ``perm_pos`` = 0-based global position, every row exactly once."""
     k = with_epoch_order(df, id_col, seed, epoch, n_buckets)
     w = Window.partitionBy("bucket").orderBy("_key", id_col)
@@ -81,7 +93,7 @@ def epoch_permutation(df: DataFrame, id_col: str, seed: int = 0, epoch: int = 0,
 
 
 def running_total(df: DataFrame, id_col: str, length_col: str, seed: int = 0, epoch: int = 0,
-                  n_buckets: int = 64, per_bucket: bool = False) -> DataFrame:
+                  n_buckets: int | None = None, per_bucket: bool = False) -> DataFrame:
     """K2: inclusive cumulative length in shuffled order (``cum``), global or per bucket."""
     k = with_epoch_order(df, id_col, seed, epoch, n_buckets)
     w = Window.partitionBy("bucket").orderBy("_key", id_col).rowsBetween(Window.unboundedPreceding, 0)
@@ -93,7 +105,7 @@ def running_total(df: DataFrame, id_col: str, length_col: str, seed: int = 0, ep
 
 
 def budget_boundary(df: DataFrame, id_col: str, length_col: str, budget: int, seed: int = 0, epoch: int = 0,
-                    n_buckets: int = 64) -> DataFrame:
+                    n_buckets: int | None = None) -> DataFrame:
     """K7: for every row i (as a start) the number of rows j >= i in its bucket whose running total
     is <= running total before i + budget (``searchsorted(cumsum[i:], s + c*n, 'right')``).
 
@@ -113,7 +125,7 @@ def budget_boundary(df: DataFrame, id_col: str, length_col: str, budget: int, se
             .select("bucket", id_col, (F.col("_cnt") - F.col("_rn") + 1).cast("bigint").alias("boundary")))
 
 
-def sample_rows(df: DataFrame, id_col: str, m: int, seed: int = 0, n_buckets: int = 64) -> DataFrame:
+def sample_rows(df: DataFrame, id_col: str, m: int, seed: int = 0, n_buckets: int | None = None) -> DataFrame:
     """M uniform draws with replacement. Draw i picks dense index
     int(md5('<seed>:draw:<i>')[:15]) % n of the K1 order (seed), joined by equality."""
     indexed = epoch_permutation(df, id_col, seed, 0, n_buckets)
@@ -127,7 +139,7 @@ def sample_rows(df: DataFrame, id_col: str, m: int, seed: int = 0, n_buckets: in
     return draws.join(indexed.drop("_key", "bucket"), "perm_pos", "inner")
 
 
-def sample_vectors(df: DataFrame, id_col: str, k: int, seed: int = 0, n_buckets: int = 64) -> DataFrame:
+def sample_vectors(df: DataFrame, id_col: str, k: int, seed: int = 0, n_buckets: int | None = None) -> DataFrame:
     """V1: k rows without replacement when n >= k (the k smallest hash keys; a top-k, so the
     limit is the feature), otherwise k draws with replacement (K13). Adds ``slot`` 0..k-1."""
     n = df.count()
