@@ -164,7 +164,8 @@ def global_rank(df: DataFrame, order_cols: list, n_parts: int | None = None, out
     from stratum.session import checkpoint_dir
 
     checkpoint_dir(spark)
-    n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # at least the shuffle partitions, and enough that a range partition holds ~2M rows
+    n = n_parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // 2_000_000))
     s = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
          .withColumn("_mid", F.monotonically_increasing_id()))
     s = s.checkpoint(eager=True)
