@@ -101,6 +101,8 @@ class _ShardReader(DataSourceReader):
         return [_TarPartition(g) for g in plan_partitions(self.paths, self.target_bytes)]
 
     def read(self, partition) -> Iterator[tuple]:
+        if partition is None:  # no shard paths at all: an empty scan
+            return
         for path in partition.paths:
             yield from _read_tar(path)
 
@@ -251,6 +253,8 @@ def write_shards(df: DataFrame, path: str, min_rows_per_file: int, order_col: st
 
     register(df.sparkSession)
     n = df.count()
+    if n == 0:
+        return 0
     files = max(1, n // min_rows_per_file)
     if order_col:
         idx = global_rank(df, [F.col(order_col)], out="_idx")

@@ -68,3 +68,39 @@ def test_tokenise_series_job_writes_jsonl(spark):
     back = spark.read.json(out).orderBy("series_id").collect()
     assert n == 1 and [r.series_id for r in back] == [0, 1, 2]
     assert [len(r.codes) for r in back] == [9, 11, 14] and all(0 <= c < 4 for r in back for c in r.codes)
+
+
+def test_quality_filter_job_writes_enriched_shards(spark):
+    import json as js
+
+    from stratum.functions.batch_udf import make_stub_recogniser
+    from stratum.plans.jobs import quality_filter_job
+
+    d = tempfile.mkdtemp(prefix="stratum-j1-")
+    texts = {"1": "abcdefghij" * 20, "2": "eeee eeee eeee", "3": "no change here"}
+    _make_tar(os.path.join(d, "a.tar"), [(f"{k}.json", js.dumps({"text": t}).encode()) for k, t in texts.items()]
+              + [("1.mp3", b"\x01")])
+    out = os.path.join(d, "out")
+    n = quality_filter_job(spark, [os.path.join(d, "a.tar")], out, make_stub_recogniser, min_rows_per_file=1)
+    # "1": 20 e's of 200 chars -> 10.0, not kept (strict); "2": all e's -> 100.0; "3": 3 of 12 -> 25.0
+    assert n == 0 and not os.path.exists(out)
+    texts2 = {"4": "abcdefghijklmnopqrstuvwxyz" * 4}  # 4 e's in 104 chars -> 3.85, kept
+    _make_tar(os.path.join(d, "b.tar"), [("4.json", js.dumps({"text": texts2["4"]}).encode()), ("4.mp3", b"\x02")])
+    out2 = os.path.join(d, "out2")
+    quality_filter_job(spark, [os.path.join(d, "b.tar")], out2, make_stub_recogniser, min_rows_per_file=1)
+    back2 = sh.shard_samples(sh.read_shards(spark, [r.path for r in sh.list_shards(spark, out2).collect()]),
+                             "text string, pred string, cer double", audio_ext="mp3").collect()
+    assert len(back2) == 1 and back2[0].json.cer == 3.85 and back2[0].json.pred == texts2["4"].replace("e", "")
+    assert bytes(back2[0].audio) == b"\x02"
+
+
+def test_pack_corpus_job(spark):
+    from stratum.plans.jobs import pack_corpus_job
+
+    rows = spark.createDataFrame([(i, list(range(i + 1)), list(range(i + 1))) for i in range(30)],
+                                 "seq_id long, input_ids array<bigint>, labels array<bigint>")
+    out = tempfile.mkdtemp(prefix="stratum-j3-")
+    packs = pack_corpus_job(rows, os.path.join(out, "p"), capacity=64, n_buckets=2).collect()
+    assert sum(r.n_rows for r in packs) == 30
+    assert sum(len(r.input_ids) for r in packs) == sum(i + 1 for i in range(30))
+    assert max(len(r.input_ids) for r in packs) <= 64
