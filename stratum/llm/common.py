@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stratum.session import checkpoint_dir, table
 
 HOT_SHARE = 1000
-HOT_FLOOR = 20_000
+HOT_FLOOR = 256
 
 
 def read_columns(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:

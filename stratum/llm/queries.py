@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stratum.llm import language_id
+from stratum.llm import sentencepiece_codec as codec
 from stratum.llm.common import read_columns, text_or_empty
 from stratum.llm.exact_dedup import exact_dedup
+from stratum.llm.sentencepiece_codec import normalised
 from stratum.llm.sharding import shard_documents
 from stratum.llm.token_count import count_tokens
 
@@ -44,3 +47,22 @@ def op10_ring_sharding(spark, sf_dir):
     rows = shard_documents(docs, 16, carry={"size": size, "text_crc32": F.crc32(F.encode(text_or_empty("text"), "UTF-8"))})
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op3_sentencepiece_codec")
+def op3_sentencepiece_codec(spark, sf_dir):
+    docs = read_columns(spark, sf_dir, "documents", "doc_id", "text")
+    want = docs.select("doc_id", "text", F.xxhash64(normalised(F.col("text"))).alias("want"))
+    coded = codec.encode(want, keep=["doc_id", "want"], verify=True)
+    back = codec.decode(coded)
+    return back.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.xxhash64("ids").alias("ids_xxhash64"),
+                       (F.xxhash64("decoded") == F.col("want")).alias("round_trip"), "same_as_library")
+
+
+@query("op7_language_id")
+def op7_language_id(spark, sf_dir):
+    docs = read_columns(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    book = language_id.train(docs)
+    rows = docs.select("doc_id", "text", language_id.held_out("doc_id").alias("held_out"))
+    return language_id.identify(rows, book, keep=["doc_id", "held_out"]) \
+        .select("doc_id", "held_out", "lang_pred", "score", "ambiguous")

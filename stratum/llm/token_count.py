@@ -22,6 +22,20 @@ def model_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def pre_tokens(text: str) -> tuple[list[str], bool]:
+    """The pre-tokens of a text without their first space, which the library puts back when it encodes them alone;
+    and whether a single space is left over at the end, which it can't encode alone."""
+    if not text:
+        return [], False
+    text = text.replace(MARK, " ")
+    words = text.split(" ")
+    if "" in words:
+        words = [m[1:] for m in _RUNS.findall(" " + text)]
+        if words[-1] == "":
+            return words[:-1], True
+    return words, False
+
+
 class PreTokenCounter:
     """Counts the tokens of a text pre-token by pre-token.
 
@@ -56,23 +70,14 @@ class PreTokenCounter:
         self.known.update(zip(words, map(len, self.sp.encode(words))))
 
     def count(self, text: str) -> int:
-        if not text:
-            return 0
-        text = text.replace(MARK, " ")
-        words = text.split(" ")
-        tail = 0
-        if "" in words:  # runs of spaces: cut after the first space of each run, which the library puts back
-            words = [m[1:] for m in _RUNS.findall(" " + text)]
-            if words[-1] == "":  # a single space at the end
-                words.pop()
-                tail = self.last_space
+        words, tail = pre_tokens(text)
         counts = list(map(self.known.get, words))
         if None in counts:
             known = {w: n for w, n in zip(words, counts) if n is not None}
             new = list({w for w, n in zip(words, counts) if n is None})
             self._learn(new)
             counts = [known[w] if w in known else self.known[w] for w in words]
-        return sum(counts) + tail
+        return sum(counts) + tail * self.last_space
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, model: str = "piece_bpe_32k.model", id_col: str = "doc_id",
