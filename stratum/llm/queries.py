@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratum.llm import language_id
+from stratum.llm import language_id, pii
 from stratum.llm import sentencepiece_codec as codec
 from stratum.llm.common import read_columns, text_or_empty
 from stratum.llm.exact_dedup import exact_dedup
@@ -66,3 +66,10 @@ def op7_language_id(spark, sf_dir):
     rows = docs.select("doc_id", "text", language_id.held_out("doc_id").alias("held_out"))
     return language_id.identify(rows, book, keep=["doc_id", "held_out"]) \
         .select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+@query("op2_pii")
+def op2_pii(spark, sf_dir):
+    rows = pii.find_pii(read_columns(spark, sf_dir, "documents", "doc_id", "text"))
+    return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"),
+                       pii.span_text(F.col("spans")).alias("spans"))
