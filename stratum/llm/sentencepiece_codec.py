@@ -95,7 +95,7 @@ class Model:
             core = models.Unigram([(p, s) for p, s, _ in self.pieces], self.unknown, self.byte_fallback)
         elif self.kind == MODEL_BPE:
             core = models.BPE({p: i for i, (p, _, _) in enumerate(self.pieces)}, self._merges(), unk_token=self.pieces[self.unknown][0],
-                              fuse_unk=True, byte_fallback=self.byte_fallback, cache_capacity=100_000)
+                              fuse_unk=True, byte_fallback=self.byte_fallback, cache_capacity=0)
         else:
             raise ValueError(f"model type {self.kind} is not supported")
         t = Tokenizer(core)
@@ -123,7 +123,7 @@ class Codec:
     full, serves the repeats. Other models get whole texts. With ``verify``, everything the library encodes is
     encoded by the sentencepiece library too; ``odd`` collects the pre-tokens of what differs."""
 
-    def __init__(self, path: str, verify: bool = False, remember: int = 200_000):
+    def __init__(self, path: str, verify: bool = False, remember: int = 100_000):
         with open(path, "rb") as f:
             self.model = Model(f.read())
         self.tok = self.model.tokenizer()
@@ -163,12 +163,12 @@ class Codec:
         plain = [w for w in words if " " not in w]
         rest = [w for w in words if " " in w]
         lines = [plain[i:i + LINE_WORDS] for i in range(0, len(plain), LINE_WORDS)]
-        for line, ids in zip(lines, self._learn([" ".join(x) for x in lines])):
-            ids = np.frombuffer(ids, np.int32)
-            starts = np.flatnonzero(self.leads[ids])
+        for line, raw in zip(lines, self._learn([" ".join(x) for x in lines])):
+            starts = np.flatnonzero(self.leads[np.frombuffer(raw, np.int32)])
             if len(starts) != len(line):
                 raise ValueError("the ids of a line do not fall into its pre-tokens")
-            self.known.update((w, x.tobytes()) for w, x in zip(line, np.split(ids, starts[1:])))
+            at = [*(starts * 4).tolist(), len(raw)]
+            self.known.update(zip(line, [raw[a:b] for a, b in zip(at, at[1:])]))
         self.known.update(zip(rest, self._learn(rest)))
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
@@ -197,19 +197,19 @@ class Codec:
 
 
 def encode(docs: DataFrame, path: str | None = None, model: str = "piece_bpe_32k.model", text_col: str = "text",
-           ids_col: str = "ids", keep: list[str] | None = None, verify: bool = False) -> DataFrame:
+           ids_col: str = "ids", keep: list[str] | None = None, verify: bool = False, decoded_col: str | None = None) -> DataFrame:
     """The ``keep`` columns (default: all) plus ``ids_col``, the model's ids of each whole text, no begin or end ids.
 
     ``path`` is a model file that every executor can read; by default the public file ``model``. Batches go to the
     library's own threads. Null counts as empty; an empty text has no ids. With ``verify``, same_as_library
-    says whether the sentencepiece library gives the same ids. Rows stay rows; a column named as an output
-    must not be kept."""
+    says whether the sentencepiece library gives the same ids; with ``decoded_col``, that column holds the ids decoded
+    again by the same worker. Rows stay rows; a column named as an output must not be kept."""
     small_batches(docs.sparkSession, 4)
     keep = docs.columns if keep is None else keep
-    if {ids_col, "same_as_library"} & set(keep):
+    if {ids_col, "same_as_library", decoded_col} & set(keep):
         raise ValueError("an output column has the name of a kept one")
     rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], text_or_empty(text_col).alias("_t"))
-    schema = ", ".join([f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)] + ["_ids array<int>"] + ["_same boolean"] * verify)
+    schema = ", ".join([f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)] + ["_ids array<int>"] + ["_same boolean"] * verify + ["_back string"] * bool(decoded_col))
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,12 +221,17 @@ def encode(docs: DataFrame, path: str | None = None, model: str = "piece_bpe_32k
             if ends[-1] >= 1 << 31:
                 raise ValueError("a batch has too many ids")
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], lists] + [pa.array(same, pa.bool_())] * verify,
-                                             [f"k{i}" for i in range(n)] + ["_ids"] + ["_same"] * verify)
+            cols, names = [*b.columns[:n], lists], [*(f"k{i}" for i in range(n)), "_ids"]
+            if verify:
+                cols, names = [*cols, pa.array(same, pa.bool_())], [*names, "_same"]
+            if decoded_col:
+                back = [codec.decode(np.frombuffer(x, np.int32).tolist()) for x in ids]
+                cols, names = [*cols, pa.array(back, pa.string())], [*names, "_back"]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     out = rows.mapInArrow(run, schema)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("_ids").alias(ids_col),
-                      *[F.col("_same").alias("same_as_library")] * verify)
+                      *[F.col("_same").alias("same_as_library")] * verify, *([F.col("_back").alias(decoded_col)] if decoded_col else []))
 
 
 def decode(rows: DataFrame, path: str | None = None, model: str = "piece_bpe_32k.model", ids_col: str = "ids",
