@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratum.llm import language_id, pii
+from stratum.llm import language_id, mixing, pii
 from stratum.llm import sentencepiece_codec as codec
 from stratum.llm.common import read_columns, text_or_empty
 from stratum.llm.exact_dedup import exact_dedup
@@ -72,3 +72,12 @@ def op2_pii(spark, sf_dir):
     rows = pii.find_pii(read_columns(spark, sf_dir, "documents", "doc_id", "text"))
     return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"),
                        pii.span_text(F.col("spans")).alias("spans"))
+
+
+@query("op8_mixing")
+def op8_mixing(spark, sf_dir):
+    docs = read_columns(spark, sf_dir, "documents", "doc_id", "text", "source")
+    labelled = mixing.label_domains(read_columns(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+    rows = mixing.mix(docs, labelled, carry={"source": F.col("source")})
+    domains = sorted(mixing.TARGETS)
+    return rows.select("doc_id", "source", "n_tokens", *[F.get("posterior", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(domains)], "rate", "copies")
