@@ -58,6 +58,31 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n_col: str,
     return out.select(*rows.columns, *[F.coalesce(f"_h_{c}", c).alias(c) for c in vals])
 
 
+#: 2^22 flags in 128 bitmaps of 4 KB each: such a filter is 512 KB at any input size.
+FLAG_SLOTS = 128 * 32768
+
+
+def flag_slot(*cols: Column) -> Column:
+    """The flag that a key falls into."""
+    return F.pmod(F.xxhash64(*cols), F.lit(FLAG_SLOTS))
+
+
+def flag_filter(keys: DataFrame, slot: Column) -> DataFrame:
+    """The flags of ``keys`` as bitmaps. A row whose flag isn't set has none of the keys; the reverse may fail, which
+    only costs work."""
+    return keys.select(slot.alias("_slot")).groupBy(F.bitmap_bucket_number("_slot").alias("_bucket")) \
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
+
+
+def with_flag(rows: DataFrame, flags: DataFrame, slot: Column, out: str) -> DataFrame:
+    """``rows`` plus a boolean: whether the row's flag is set."""
+    pos = F.bitmap_bit_position("_slot")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(pos / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("bigint")
+    return rows.withColumn("_slot", slot).withColumn("_bucket", F.bitmap_bucket_number("_slot")) \
+        .join(F.broadcast(flags), "_bucket", "left") \
+        .withColumn(out, F.coalesce(F.getbit(byte, (pos % 8).cast("int")) == 1, F.lit(False))).drop("_slot", "_bucket", "_bits")
+
+
 def _min_neighbour(edges: DataFrame) -> DataFrame:
     """(u, v) rows -> (u, v, m) with m the smallest v of u."""
     mins = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n"))

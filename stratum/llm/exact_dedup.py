@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import join_groups, materialise, text_or_empty
-
-#: 2^22 flags in 128 bitmaps of 4 KB each: what the refinement step broadcasts is 512 KB at any input size.
-FLAG_SLOTS = 128 * 32768
-
+from stratum.llm.common import flag_filter, flag_slot, join_groups, materialise, text_or_empty, with_flag
 
 def _shared_slots(narrow: DataFrame) -> DataFrame:
     """Bitmaps of the (length, prefix hash) slots that more than one row falls into.
@@ -18,19 +14,7 @@ def _shared_slots(narrow: DataFrame) -> DataFrame:
     pairs = narrow.groupBy("_len", "_prefix").agg(F.count(F.lit(1)).alias("n"))
     lens = pairs.groupBy("_len").agg(F.sum("n").alias("n_len")).where("n_len > 1")
     twice = pairs.where("n > 1").join(lens, "_len", "left_semi")
-    slot = _slot(F.col("_len"), F.col("_prefix"))
-    return twice.select(slot.alias("_slot")).groupBy(F.bitmap_bucket_number("_slot").alias("_bucket")) \
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
-
-
-def _slot(length: Column, prefix: Column) -> Column:
-    return F.pmod(F.xxhash64(length, prefix), F.lit(FLAG_SLOTS))
-
-
-def _is_set(bits: Column, slot: Column) -> Column:
-    pos = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring(bits, (F.floor(pos / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("bigint")
-    return F.coalesce(F.getbit(byte, (pos % 8).cast("int")) == 1, F.lit(False))
+    return flag_filter(twice, flag_slot(F.col("_len"), F.col("_prefix")))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64,
@@ -51,14 +35,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = text_or_empty(text_col)
     narrow = materialise(docs.select(F.octet_length(text).alias("_len"),
                                      F.xxhash64(F.substring(text, 1, prefix_chars)).alias("_prefix")), "op1-narrow")
-    bits = F.broadcast(_shared_slots(narrow))
     carry = carry or {}
     rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), *[v.alias(k) for k, v in carry.items()]) \
-        .withColumn("_len", F.octet_length("_text")) \
-        .withColumn("_slot", _slot(F.col("_len"), F.xxhash64(F.substring("_text", 1, prefix_chars)))) \
-        .withColumn("_bucket", F.bitmap_bucket_number("_slot")) \
-        .join(bits, "_bucket", "left") \
-        .select("_id", *carry, "_len", F.when(_is_set(F.col("_bits"), F.col("_slot")), F.unhex(F.sha2("_text", 256))).alias("_full"),
+        .withColumn("_len", F.octet_length("_text"))
+    rows = with_flag(rows, _shared_slots(narrow), flag_slot(F.col("_len"), F.xxhash64(F.substring("_text", 1, prefix_chars))), "_flag") \
+        .select("_id", *carry, "_len", F.when(F.col("_flag"), F.unhex(F.sha2("_text", 256))).alias("_full"),
                 F.monotonically_increasing_id().alias("_row"))
     rows = materialise(rows, "op1-rows")
     groups = rows.where("_full is not null").groupBy("_len", "_full") \
