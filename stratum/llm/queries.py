@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratum.llm import language_id, mixing, pii
+from stratum.llm import language_id, mixing, ngram_join, pii
 from stratum.llm import sentencepiece_codec as codec
 from stratum.llm.common import read_columns, text_or_empty
 from stratum.llm.exact_dedup import exact_dedup
@@ -81,3 +81,9 @@ def op8_mixing(spark, sf_dir):
     rows = mixing.mix(docs, labelled, carry={"source": F.col("source")})
     domains = sorted(mixing.TARGETS)
     return rows.select("doc_id", "source", "n_tokens", *[F.get("posterior", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(domains)], "rate", "copies")
+
+
+@query("op5_ngram_jaccard_join")
+def op5_ngram_jaccard_join(spark, sf_dir):
+    docs = read_columns(spark, sf_dir, "documents", "doc_id", "text")
+    return ngram_join.jaccard_components(docs, n=3, num=90, den=100)
