@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratum.llm import language_id, mixing, ngram_join, pii
+from stratum.llm import embedding_dedup, language_id, mixing, ngram_join, pii
 from stratum.llm import sentencepiece_codec as codec
 from stratum.llm.common import read_columns, text_or_empty
 from stratum.llm.exact_dedup import exact_dedup
@@ -87,3 +87,8 @@ def op8_mixing(spark, sf_dir):
 def op5_ngram_jaccard_join(spark, sf_dir):
     docs = read_columns(spark, sf_dir, "documents", "doc_id", "text")
     return ngram_join.jaccard_components(docs, n=3, num=90, den=100)
+
+
+@query("op9_embedding_near_dedup")
+def op9_embedding_near_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(read_columns(spark, sf_dir, "embeddings", "vec_id", "embedding"))
