@@ -272,7 +272,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     cell_key = F.col("dim") * 65536 + F.col("cell")
     blocked = placed.withColumn("block", (F.element_at(spots, cell_key) + F.pmod(F.xxhash64("sig"), F.element_at(cuts, cell_key))).cast("int"))
 
-    def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow(key, pdf):
         pdf = pdf.sort_values("sig", kind="stable", ignore_index=True)
         at, path = cover_paths(_matrix(pdf["unit"]))
         return pdf[["cid", "w", "dim", "unit", "block"]].assign(place=at, path=[p.tobytes() for p in path])
@@ -299,7 +299,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
     sent = trees.mapInPandas(send, "cid bigint, w bigint, dim int, unit binary, block int, place bigint, path binary, a int, b int")
 
-    def join(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def join(key, pdf):
         sides = []
         for block in dict.fromkeys(key):
             side = pdf[pdf["block"] == block].sort_values("place")

@@ -267,7 +267,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))) \
         .select("cid", "grp", "grams", F.least("_own", "_other").alias("a"), F.greatest("_own", "_other").alias("b"), "_own")
 
-    def join(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def join(key, pdf):
         pdf = pdf.drop_duplicates("cid").sort_values("cid")
         cross = key[1] != key[2]
         links = _linked(pdf["cid"].tolist(), [np.frombuffer(g, np.uint64) for g in pdf["grams"]],

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratum.llm import embedding_dedup, language_id, mixing, ngram_join, pii
+from stratum.llm import embedding_dedup, language_id, mixing, ngram_join, pii, suffix_dedup
 from stratum.llm import sentencepiece_codec as codec
 from stratum.llm.common import read_columns, text_or_empty
 from stratum.llm.exact_dedup import exact_dedup
@@ -92,3 +92,9 @@ def op5_ngram_jaccard_join(spark, sf_dir):
 @query("op9_embedding_near_dedup")
 def op9_embedding_near_dedup(spark, sf_dir):
     return embedding_dedup.near_duplicates(read_columns(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+@query("op6_suffix_dedup")
+def op6_suffix_dedup(spark, sf_dir):
+    rows = suffix_dedup.remove_repeats(read_columns(spark, sf_dir, "documents", "doc_id", "text"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
