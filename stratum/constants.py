@@ -21,6 +21,7 @@ TURN_END = "<|im_end|>"
 # --- fixed values: labels, capacities, thresholds --------------------------------
 IGNORE_INDEX = -100
 PACK_CAPACITY = 4096          # corpus packing job
+PACK_BUCKETS = 64             # packing buckets unless given; our own choice
 STREAM_CAPACITY = 2048        # streaming packer default
 STREAM_BUFFER = 100           # streaming packer buffer
 CER_THRESHOLD = 10.0          # keep rows with cer < 10.0

@@ -120,3 +120,11 @@ def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("ckpt").cast("string"), F.lit("_0."), F.pmod("ckpt", F.lit(4)).cast("string"),
                     F.lit("000.ckpt"))
     return vec.select(file.alias("file"), "name", F.transform("_v", lambda s: s["x"]).alias("vec"))
+
+
+def written(df):
+    """``df`` written once to the shared folder and read back, for plans that read it several times."""
+    from stratum.session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

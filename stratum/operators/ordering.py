@@ -151,6 +151,29 @@ def sample_vectors(df: DataFrame, id_col: str, k: int, seed: int = 0, n_buckets:
     return s.withColumnRenamed("draw", "slot").drop("perm_pos")
 
 
+def dense_index(df: DataFrame, out: str = "_idx") -> tuple[DataFrame, int]:
+    """``df`` with a 0-based dense position in no particular order, and its row count. The rows are written
+    once to ``spark.checkpoint.dir``, so whatever made them runs once and both uses see the same partitions."""
+    from stratum.session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    s = df.withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    s = s.withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_loc", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
+    per = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    off = F.broadcast(per.select("_pid", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off")))
+    n = per.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0]
+    return s.join(off, "_pid").withColumn(out, (F.col("_off") + F.col("_loc")).cast("bigint")).drop("_mid", "_pid", "_loc", "_off"), int(n)
+
+
+def even_files(indexed: DataFrame, n: int, min_rows: int, index_col: str = "_idx") -> tuple[DataFrame, int]:
+    """Rows with their number in 0..n-1 dealt to max(1, n // min_rows) partitions of floor or ceil of n / files rows
+    each, by a ``file`` column; returns (rows, files)."""
+    files = max(1, n // min_rows)
+    out = indexed.withColumn("file", F.floor(F.col(index_col) * F.lit(files) / F.lit(max(n, 1))).cast("int"))
+    return out.repartitionById(files, F.col("file")), files
+
+
 def global_rank(df: DataFrame, order_cols: list, n_parts: int | None = None, out: str = "_rank") -> DataFrame:
     """0-based dense position of every row in a total order, without a single-partition window.
 

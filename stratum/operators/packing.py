@@ -3,14 +3,14 @@
 Packing moves two columns: the narrow table (seq_id, length). Rows are put in the seeded
 hash order of K1 and cut into ``n_buckets`` buckets that are contiguous in that order; each
 bucket is packed by one ``applyInPandas`` call (numpy inside, ~rows/n_buckets rows of 16
-bytes each, so a bucket is small even at scale). Results are therefore defined per bucket: a
-pack never crosses a bucket boundary. The token arrays are joined back once (K9).
+bytes each). Results are therefore defined per bucket: a pack never crosses a bucket boundary.
+``n_buckets`` is an argument, never derived from the data, so a row more or less changes its
+own bucket only; choose it so that a bucket's narrow rows fit one task. The token arrays are
+joined back once (K9).
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,11 +24,6 @@ PACK_ID_SHIFT = 2**32  # pack_id = bucket * 2^32 + pack number inside the bucket
 _ASSIGN_SCHEMA = "bucket int, seq_id long, length int, pack_no int, pos int"
 
 
-def default_buckets(df: DataFrame, rows_per_bucket: int = 200_000) -> int:
-    """A bucket count that keeps every packing group near ``rows_per_bucket`` rows."""
-    return max(1, math.ceil(df.count() / rows_per_bucket))
-
-
 def _ordered(df: DataFrame, id_col: str, length_col: str, seed: int, epoch: int, n_buckets: int,
              capacity: int, oversize: str) -> DataFrame:
     narrow = df.select(F.col(id_col).cast("bigint").alias("seq_id"), F.col(length_col).cast("int").alias("length"))
@@ -72,13 +67,12 @@ def _next_fit_group(capacity: int):
 
 
 def pack_next_fit(df: DataFrame, id_col: str = "seq_id", length_col: str = "length", capacity: int = C.PACK_CAPACITY,
-                  seed: int = 0, epoch: int = 0, n_buckets: int | None = None, oversize: str = "drop") -> DataFrame:
+                  seed: int = 0, epoch: int = 0, n_buckets: int = C.PACK_BUCKETS, oversize: str = "drop") -> DataFrame:
     """K6: the corpus packer (multifit with one rank): take rows in shuffled order while the pack
     total stays <= capacity; inside a pack order rows by length desc. ``oversize``: "drop" (P8
     first, default), "error", or "own_pack" (an over-long row becomes its own pack).
     Returns (bucket, seq_id, length, pack_no, pos, pack_id)."""
-    nb = n_buckets or default_buckets(df)
-    o = _ordered(df, id_col, length_col, seed, epoch, nb, capacity, oversize)
+    o = _ordered(df, id_col, length_col, seed, epoch, n_buckets, capacity, oversize)
     out = o.groupBy("bucket").applyInPandas(_next_fit_group(capacity), _ASSIGN_SCHEMA)
     return out.withColumn("pack_id", F.col("bucket").cast("bigint") * PACK_ID_SHIFT + F.col("pack_no"))
 
@@ -123,20 +117,18 @@ def _ffd_group(capacity: int):
 
 
 def pack_ffd(df: DataFrame, id_col: str = "seq_id", length_col: str = "length", capacity: int = C.PACK_CAPACITY,
-             seed: int = 0, epoch: int = 0, n_buckets: int | None = None, oversize: str = "drop") -> DataFrame:
+             seed: int = 0, epoch: int = 0, n_buckets: int = C.PACK_BUCKETS, oversize: str = "drop") -> DataFrame:
     """K4: first-fit decreasing per bucket; bins numbered in opening order."""
-    nb = n_buckets or default_buckets(df)
-    o = _ordered(df, id_col, length_col, seed, epoch, nb, capacity, oversize)
+    o = _ordered(df, id_col, length_col, seed, epoch, n_buckets, capacity, oversize)
     out = o.groupBy("bucket").applyInPandas(_ffd_group(capacity), _ASSIGN_SCHEMA)
     return out.withColumn("pack_id", F.col("bucket").cast("bigint") * PACK_ID_SHIFT + F.col("pack_no"))
 
 
 def ffd_fits(df: DataFrame, n_bins: int, id_col: str = "seq_id", length_col: str = "length",
              capacity: int = C.PACK_CAPACITY, seed: int = 0, epoch: int = 0,
-             n_buckets: int | None = None) -> DataFrame:
+             n_buckets: int = C.PACK_BUCKETS) -> DataFrame:
     """K3: can each bucket's rows be packed into ``n_bins`` bins by FFD? One row per bucket."""
-    nb = n_buckets or default_buckets(df)
-    o = _ordered(df, id_col, length_col, seed, epoch, nb, capacity, "keep")
+    o = _ordered(df, id_col, length_col, seed, epoch, n_buckets, capacity, "keep")
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         res = ffd_assign(pdf["length"].to_numpy(dtype=np.int64), pdf["seq_id"].to_numpy(), capacity, n_bins)
@@ -146,55 +138,44 @@ def ffd_fits(df: DataFrame, n_bins: int, id_col: str = "seq_id", length_col: str
     return o.groupBy("bucket").applyInPandas(fn, "bucket int, n_rows long, fits boolean")
 
 
-def multifit_allocate(lengths: np.ndarray, seq: np.ndarray, capacity: int, n: int):
-    """K5 on one bucket in shuffled order. Returns per row (batch_no, rank, pos) with -1 for rows
-    of the tail (rows after the last full batch are reported, not lost)."""
-    total = len(lengths)
-    batch = np.full(total, -1, dtype=np.int32)
-    rank = np.full(total, -1, dtype=np.int32)
-    pos = np.full(total, -1, dtype=np.int32)
-    cum = np.cumsum(lengths)
-    start, s, b_no = 0, 0, 0
-    while start < total:
-        lo = 1
-        hi = 1 + int(np.searchsorted(cum[start:], s + capacity * n, side="right"))
-        while hi - lo > 1:
-            mid = (lo + hi) // 2
-            if ffd_assign(lengths[start:start + mid], seq[start:start + mid], capacity, n) is not None:
-                lo = mid
-            else:
-                hi = mid
-        seg_len, seg_seq = lengths[start:start + lo], seq[start:start + lo]
-        bins, order = ffd_assign(seg_len, seg_seq, capacity)
-        if bins.max(initial=-1) + 1 < n:
+def rank_batches(lengths: np.ndarray, seq: np.ndarray, capacity: int, n: int):
+    """K5 on one bucket in shuffled order: (batch_no, rank, pos) per row, -1 for rows of the tail.
+
+    A batch is the longest run of next rows that first-fit decreasing places in ``n`` bins. No run
+    beyond n * capacity tokens can be, so a window of that many tokens is shortened row by row until
+    it fits. The rows left when a window can't fill all n bins are the tail."""
+    batch, rank, pos = (np.full(len(lengths), -1, dtype=np.int32) for _ in range(3))
+    ends = np.cumsum(lengths)
+    begin, number = 0, 0
+    while begin < len(lengths):
+        limit = ends[begin] - lengths[begin] + n * capacity
+        rows = slice(begin, int(np.searchsorted(ends, limit, side="right")))
+        placed = ffd_assign(lengths[rows], seq[rows], capacity, n)
+        while placed is None:
+            rows = slice(begin, rows.stop - 1)
+            placed = ffd_assign(lengths[rows], seq[rows], capacity, n)
+        bins = placed[0]
+        if len(bins) == 0 or bins.max() + 1 < n:
             break
-        counts: dict[int, int] = {}
-        for i in order:
-            b = int(bins[i])
-            pos[start + i] = counts.get(b, 0)
-            counts[b] = pos[start + i] + 1
-        batch[start:start + lo] = b_no
-        rank[start:start + lo] = bins
-        b_no += 1
-        start += lo
-        s = int(cum[start - 1])
+        batch[rows], rank[rows] = number, bins
+        pos[rows] = _positions_in_packs(bins, lengths[rows], seq[rows])
+        begin, number = rows.stop, number + 1
     return batch, rank, pos
 
 
 def pack_multifit(df: DataFrame, n_ranks: int, id_col: str = "seq_id", length_col: str = "length",
                   capacity: int = C.PACK_CAPACITY, seed: int = 0, epoch: int = 0,
-                  n_buckets: int | None = None, oversize: str = "drop") -> DataFrame:
+                  n_buckets: int = C.PACK_BUCKETS, oversize: str = "drop") -> DataFrame:
     """K5: n ranks at once: the longest prefix that FFD fits in ``n_ranks`` bins forms a batch,
     bin r goes to rank r; stop when a prefix fills fewer than n bins. Output for all ranks;
     tail rows get NULL batch/rank (the reference drops them silently)."""
-    nb = n_buckets or default_buckets(df)
-    o = _ordered(df, id_col, length_col, seed, epoch, nb, capacity, oversize)
+    o = _ordered(df, id_col, length_col, seed, epoch, n_buckets, capacity, oversize)
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_key", "seq_id"], kind="mergesort")
         lengths = pdf["length"].to_numpy(dtype=np.int64)
         seq = pdf["seq_id"].to_numpy()
-        b, r, p = multifit_allocate(lengths, seq, capacity, n_ranks)
+        b, r, p = rank_batches(lengths, seq, capacity, n_ranks)
         return pd.DataFrame({"bucket": pdf["bucket"].to_numpy(dtype=np.int32), "seq_id": seq,
                              "length": lengths.astype(np.int32),
                              "batch_no": pd.array(np.where(b < 0, None, b), dtype="Int32"),
@@ -217,19 +198,27 @@ def assign_lanes(df: DataFrame, id_col: str, n_ranks: int, n_workers: int, seed:
             .withColumn("worker_seed", F.col("rank") * F.lit(n_workers) + F.col("worker")))
 
 
-def materialise_packs(assign: DataFrame, rows: DataFrame, pack_col: str = "pack_id", id_col: str = "seq_id",
+def split_tail(assign: DataFrame, batch_col: str = "batch_id") -> tuple[DataFrame, DataFrame]:
+    """K5 rows in a batch, and the tail rows that fill no whole batch (to be reported or packed again)."""
+    return assign.where(F.col(batch_col).isNotNull()), assign.where(F.col(batch_col).isNull())
+
+
+def materialise_packs(assign: DataFrame, rows: DataFrame, pack_col: str | list[str] = "pack_id", id_col: str = "seq_id",
                       ids_col: str = "input_ids", labels_col: str = "labels") -> DataFrame:
-    """K9: gather token rows into their packs, concatenated in ``pos`` order.
+    """K9: gather token rows into their packs, concatenated in ``pos`` order. ``pack_col`` names the
+    columns that tell packs apart: pack_id for K4 and K6, [batch_id, rank] for K5, whose tail
+    (no batch) belongs to no pack; see ``split_tail``.
 
-    One equi join on seq_id and one aggregation on pack_id; each pack holds at most
+    One equi join on seq_id and one aggregation on the pack; each pack holds at most
     ``capacity`` tokens, so the collected group is bounded. Position ids restart per member."""
-    a = assign.select(pack_col, F.col(id_col).alias("_sid"), "pos")
+    packs = [pack_col] if isinstance(pack_col, str) else list(pack_col)
+    a = assign.dropna(subset=packs).select(*packs, F.col(id_col).alias("_sid"), "pos")
     r = rows.select(F.col(id_col).alias("_sid"), ids_col, labels_col)
-    g = (a.join(r, "_sid", "inner").groupBy(pack_col)
+    g = (a.join(r, "_sid", "inner").groupBy(*packs)
          .agg(F.array_sort(F.collect_list(F.struct("pos", ids_col, labels_col))).alias("_m"),
               F.count(F.lit(1)).alias("n_rows")))
     return g.select(
-        pack_col, "n_rows",
+        *packs, "n_rows",
         F.flatten(F.transform("_m", lambda m: m[ids_col])).alias(ids_col),
         F.flatten(F.transform("_m", lambda m: m[labels_col])).alias(labels_col),
         F.flatten(F.transform("_m", lambda m: F.when(F.size(m[ids_col]) > 0,

@@ -125,41 +125,47 @@ def limit_peak(df: DataFrame, rescale: bool = True, limit: float = C.PEAK_LIMIT,
 def convert_channels(df: DataFrame, target_channels: int, series_col: str = "series_id", channel_col: str = "channel",
                      pos_col: str = "pos", value_col: str = "value", channels: int | None = None) -> DataFrame:
     """Target 1 -> mean over channels per position; target 2 -> mono duplicated (stereo kept);
-    other targets only from mono (copied). Input must be mono or stereo."""
-    n_in = channels or df.agg(F.countDistinct(channel_col)).first()[0]
-    if n_in not in (1, 2):
-        raise ValueError("Audio must be mono or stereo.")
+    other targets only from mono (copied). Decided per series by its own number of channels, which must be 1 or
+    2; ``channels`` states it for all of them and saves the count. A series that can't be converted fails the plan."""
+    if channels is not None and channels not in (1, 2):
+        raise ValueError(f"{channels} channels given; only 1 or 2 can be converted")
+    if channels is None:
+        per = df.groupBy(series_col).agg(F.countDistinct(channel_col).alias("_n_in"))
+        rows = df.join(per, series_col)
+    else:
+        rows = df.withColumn("_n_in", F.lit(channels).cast("bigint"))
+    fail = F.raise_error(F.concat(F.lit("no conversion from "), F.col("_n_in").cast("string"),
+                                  F.lit(f" to {target_channels} channels in series "), F.col(series_col).cast("string")))
     if target_channels == 1:
-        return (df.groupBy(series_col, pos_col).agg(F.avg(value_col).alias(value_col))
+        value = F.when(F.col("_n_in") <= 2, F.col(value_col)).otherwise(fail.cast("double"))
+        return (rows.withColumn(value_col, value).groupBy(series_col, pos_col).agg(F.avg(value_col).alias(value_col))
                 .withColumn(channel_col, F.lit(0)))
-    if target_channels == 2 and n_in == 2:
-        return df
-    if n_in == 1:
-        return (df.drop(channel_col)
-                .withColumn(channel_col, F.explode(F.sequence(F.lit(0), F.lit(target_channels - 1)))))
-    raise ValueError(f"Impossible to convert from {n_in} to {target_channels}")
+    copies = F.sequence(F.lit(0), F.lit(target_channels - 1))
+    kept = F.array(F.col(channel_col).cast("int")) if target_channels == 2 else fail.cast("array<int>")
+    to = F.when(F.col("_n_in") == 1, copies).when(F.col("_n_in") == 2, kept).otherwise(fail.cast("array<int>"))
+    return rows.withColumn(channel_col, F.explode(to)).drop("_n_in")
 
 
-def extra_padding_for_conv1d(length: Column, kernel: int, stride: int, padding_total: int = 0) -> Column:
-    """End padding so the last stride window is full."""
-    n_frames = (length - F.lit(kernel) + F.lit(padding_total)) / F.lit(float(stride)) + 1
-    ideal = (F.ceil(n_frames) - 1) * F.lit(stride) + F.lit(kernel - padding_total)
-    return (ideal - length).cast("int")
+def missing_to_full_window(length: Column, kernel: int, stride: int, padded: int = 0) -> Column:
+    """How many positions a series of ``length`` plus ``padded`` lacks for its last window of
+    ``kernel`` to end at a whole number of strides."""
+    return F.pmod(F.lit(kernel - padded) - length, F.lit(stride)).cast("int")
 
 
 def pad_series(df: DataFrame, left: int, right: int, mode: str = "zero", value: float = 0.0,
                series_col: str = "series_id", pos_col: str = "pos", value_col: str = "value",
-               extra_for: tuple[int, int] | None = None) -> DataFrame:
+               extra_for: tuple[int, int] | None = None, extra_mode: str = "zero") -> DataFrame:
     """Pad every series on the left/right (zero/constant or reflect). Reflect on a series not
-    longer than the pad first zero-extends it (then trims), as the reference does.
-    ``extra_for=(kernel, stride)`` adds end zeros so the last convolution window is full.
+    longer than the pad first zero-extends it (then trims).
+    ``extra_for=(kernel, stride)`` adds positions at the end so the last convolution window is full: zeros, or with
+    ``extra_mode="reflect"`` more of the reflected series.
 
     Only the new positions are generated (left + right + extra per series); original rows are
     shifted in place, and reflected values are fetched with an equi join on (series, pos)."""
     lengths = df.groupBy(series_col).agg((F.max(pos_col) + 1).alias("_n"))
     n = F.col("_n")
     if extra_for is not None:
-        lengths = lengths.withColumn("_extra", extra_padding_for_conv1d(n, *extra_for))
+        lengths = lengths.withColumn("_extra", missing_to_full_window(n, *extra_for))
     else:
         lengths = lengths.withColumn("_extra", F.lit(0))
     r_total = F.lit(right) + F.col("_extra")
@@ -169,12 +175,12 @@ def pad_series(df: DataFrame, left: int, right: int, mode: str = "zero", value:
         F.when(r_total > 0, F.sequence(n, n + r_total - 1)).otherwise(F.array().cast("array<int>")),
     )).alias("_p"))
     if mode == "reflect":
-        max_pad = max(left, right)
-        n2 = F.when(n <= max_pad, F.lit(max_pad + 1)).otherwise(n)  # zero-extended length
+        max_pad = F.greatest(F.lit(left), r_total) if extra_mode == "reflect" else F.lit(max(left, right))
+        n2 = F.when(n <= max_pad, max_pad + 1).otherwise(n)  # zero-extended length
         p = F.col("_p")
         src = F.when(p < 0, -p).when(p >= n2, F.lit(2) * (n2 - 1) - p).otherwise(p)
-        # the extra conv padding (beyond the reflected right pad) is zeros
-        src = F.when(p >= n + F.lit(right), F.lit(None)).otherwise(src)
+        if extra_mode != "reflect":
+            src = F.when(p >= n + F.lit(right), F.lit(None)).otherwise(src)
         new = new.withColumn("_src", src.cast("int"))
         orig = df.select(series_col, F.col(pos_col).alias("_src"), F.col(value_col).alias("_v"))
         new = new.join(orig, [series_col, "_src"], "left").withColumn(

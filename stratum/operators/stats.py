@@ -16,11 +16,11 @@ def quantised_cdf(counts: DataFrame, cardinality: int, total_range_bits: int, gr
     rounded down to ``roundoff``; range = floor((1 - alpha) * 2^b * pdf) + min_range with
     alpha = min_range * N / 2^b; cdf = running sum in symbol order. Checks raise in the plan."""
     if min_range < 2:
-        raise ValueError("min_range must be at least 2.")
+        raise ValueError(f"a range of {min_range} leaves no room to code a symbol; use 2 or more")
     total_range = 2**total_range_bits
     alpha = min_range * cardinality / total_range
     if alpha > 1:
-        raise ValueError("you must reduce min_range")
+        raise ValueError(f"{cardinality} symbols of range {min_range} exceed 2^{total_range_bits}")
     # every symbol of every group (groups x cardinality rows): generated per group, no cross join
     full = counts.select(group_col).distinct().select(
         group_col, F.explode(F.sequence(F.lit(0), F.lit(cardinality - 1))).alias(symbol_col)).join(
@@ -55,7 +55,7 @@ def assert_uniform(df: DataFrame, worker_col: str = "worker", raise_on_mismatch:
     rep = rep.withColumn("uniform", F.col("total") == F.col("min_count") * F.col("n_workers"))
     if raise_on_mismatch:
         rep = rep.withColumn("uniform", F.when(F.col("uniform"), F.lit(True)).otherwise(
-            F.raise_error(F.lit("Mismatch in number of params")).cast("boolean")))
+            F.raise_error(F.lit("workers hold different numbers of rows")).cast("boolean")))
     return rep
 
 

@@ -100,16 +100,18 @@ def _vocab_side(vocab: DataFrame, n_rows: int | None) -> DataFrame:
 def tokens_to_ids(df: DataFrame, key_col: str, tokens_col: str, vocab: DataFrame, out: str = "ids",
                   vocab_rows: int | None = None) -> DataFrame:
     """T5: look every token up (equi join), unknown -> <unk>, re-assemble in token order.
-    Returns (key, ids); a row without tokens keeps an empty array.
+    Returns (key, ids), one row per input row, also where rows repeat a key; a row without tokens keeps an
+    empty array.
 
     ``vocab_rows`` (a checked count) enables the broadcast join; otherwise both sides shuffle.
     The token array is computed once: no join back to the input.
     """
     # the _outer form keeps empty rows and stops Catalyst re-deriving the array in a filter
-    exploded = spread(df).select(key_col, F.posexplode_outer(tokens_col).alias("_pos", "token"))
+    exploded = spread(df).select(F.monotonically_increasing_id().alias("_row"), key_col, tokens_col) \
+        .select("_row", key_col, F.posexplode_outer(tokens_col).alias("_pos", "token"))
     joined = exploded.join(_vocab_side(vocab, vocab_rows), "token", "left")
     item = F.when(F.col("token").isNotNull(), F.struct("_pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")))
-    ids = joined.groupBy(key_col).agg(F.array_sort(F.collect_list(item)).alias("_s"))
+    ids = joined.groupBy("_row", key_col).agg(F.array_sort(F.collect_list(item)).alias("_s"))
     return ids.select(key_col, F.transform("_s", lambda s: s["id"]).alias(out))
 
 

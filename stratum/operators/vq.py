@@ -19,17 +19,22 @@ from pyspark.sql import functions as F
 
 from stratum import constants as C
 from stratum.operators.ordering import sample_vectors
+from stratum.session import path_exists
 
-MAX_CODEBOOK_ROWS = 1 << 16  # refuse to ship larger codebooks to every task
+MAX_CODEBOOK_BYTES = 256 << 20  # larger codebooks are refused rather than shipped to every task
+_FETCH_ROWS = 1 << 20
 
 
 def load_codebook(codebook: DataFrame, layer_col: str = "layer", code_col: str = "code",
                   vec_col: str = "centroid") -> dict[int, np.ndarray]:
     """Collect a (bounded) codebook to {layer: matrix[bins, dim]}; missing codes are NaN rows."""
-    n = codebook.count()
-    if n > MAX_CODEBOOK_ROWS:
-        raise ValueError(f"codebook has {n} rows; at most {MAX_CODEBOOK_ROWS} are broadcast")
-    rows = codebook.select(layer_col, code_col, vec_col).collect()
+    first = codebook.select(vec_col).first()
+    if first is None:
+        raise ValueError("empty codebook")
+    most = min(_FETCH_ROWS, MAX_CODEBOOK_BYTES // (8 * max(1, len(first[0]))))
+    rows = codebook.select(layer_col, code_col, vec_col).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"codebook of over {most} rows of {len(first[0])} doubles; {MAX_CODEBOOK_BYTES >> 20} MB are shipped at most")
     out: dict[int, np.ndarray] = {}
     dims = {len(r[vec_col]) for r in rows}
     if len(dims) != 1:
@@ -94,13 +99,15 @@ def _matrix(series: pd.Series) -> np.ndarray:
 
 
 def rvq_encode(df: DataFrame, codebook: DataFrame, id_col: str = "vec_id", vec_col: str = "vec",
-               n_q: int | None = None, mode: str = "residual", with_quantized: bool = False) -> DataFrame:
-    """V6/V7 encode: ``codes`` array<int>, one per layer.
+               n_q: int | None = None, mode: str = "residual", with_quantized: bool = False,
+               keep: list[str] | None = None) -> DataFrame:
+    """V6/V7 encode: ``codes`` array<int>, one per layer. ``keep`` names further columns to carry along.
 
     mode="residual" (V6, and V7's encode): each layer quantises the residual left by the
     previous layers. mode="parallel" (V7 forward): every layer quantises the same input and
     ``quantized`` is the last layer's vector. ``loss`` holds the per-layer mean squared error
     between the layer input and its code (the commitment term)."""
+    keep = keep or []
     books = load_codebook(codebook)
     layers = sorted(books)[: n_q or len(books)]
     mats = [books[layer] for layer in layers]
@@ -122,25 +129,26 @@ def rvq_encode(df: DataFrame, codebook: DataFrame, id_col: str = "vec_id", vec_c
                     quantized = quantized + q
                 else:
                     quantized = q
-            out = pd.DataFrame({id_col: pdf[id_col].to_numpy()})
+            out = pdf[[id_col, *keep]].copy()
             out["codes"] = list(np.stack(codes, axis=1).astype(np.int32)) if len(x) else []
             out["loss"] = list(np.stack(losses, axis=1)) if len(x) else []
             if with_quantized:
                 out["quantized"] = list(quantized)
             yield out
 
-    schema = f"{id_col} long, codes array<int>, loss array<double>"
+    kept = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in keep)
+    schema = f"{id_col} long, {kept}codes array<int>, loss array<double>"
     if with_quantized:
         schema += ", quantized array<double>"
-    return df.select(id_col, vec_col).mapInPandas(fn, schema)
+    return df.select(id_col, *keep, vec_col).mapInPandas(fn, schema)
 
 
 def assign_code(df: DataFrame, codebook: DataFrame, layer: int = 0, id_col: str = "vec_id",
-                vec_col: str = "vec") -> DataFrame:
+                vec_col: str = "vec", keep: list[str] | None = None) -> DataFrame:
     """V4: nearest code of one codebook layer (tie -> lowest code)."""
     cb = codebook.where(F.col("layer") == layer)
-    enc = rvq_encode(df, cb, id_col, vec_col, n_q=1)
-    return enc.select(id_col, F.element_at("codes", 1).alias("code"))
+    enc = rvq_encode(df, cb, id_col, vec_col, n_q=1, keep=keep)
+    return enc.select(id_col, *(keep or []), F.element_at("codes", 1).alias("code"))
 
 
 def lookup_code(codes: DataFrame, codebook: DataFrame, layer: int = 0, code_col: str = "code") -> DataFrame:
@@ -150,11 +158,12 @@ def lookup_code(codes: DataFrame, codebook: DataFrame, layer: int = 0, code_col:
 
 
 def rvq_decode(codes: DataFrame, codebook: DataFrame, id_col: str = "vec_id", codes_col: str = "codes",
-               bins: int | None = None) -> DataFrame:
+               bins: int | None = None, keep: list[str] | None = None) -> DataFrame:
     """V6 decode / V8 codes_to_features: sum over layers of centroid[layer][code].
 
     The layers are stacked into one matrix indexed by layer * bins + code (V8) and shipped to
     the tasks (bounded); each Arrow batch is a numpy gather + sum. No shuffle."""
+    keep = keep or []
     books = load_codebook(codebook)
     nb = bins or max(m.shape[0] for m in books.values())
     dim = next(iter(books.values())).shape[1]
@@ -165,14 +174,29 @@ def rvq_decode(codes: DataFrame, codebook: DataFrame, id_col: str = "vec_id", co
 
     def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            feats = []
-            for cs in pdf[codes_col]:
-                cs = np.asarray(cs, dtype=np.int64)
-                keys = np.arange(len(cs)) * nb + cs
-                feats.append(stacked[keys].sum(axis=0) if len(cs) else np.zeros(dim))
-            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), "features": feats})
-
-    return codes.select(id_col, codes_col).mapInPandas(fn, f"{id_col} long, features array<double>")
+            sizes = np.array([len(cs) for cs in pdf[codes_col]], dtype=np.int64)
+            flat = np.concatenate([*(np.asarray(cs, dtype=np.int64) for cs in pdf[codes_col]), np.zeros(0, np.int64)])
+            starts = np.cumsum(sizes) - sizes
+            vectors = stacked[(np.arange(len(flat)) - np.repeat(starts, sizes)) * nb + flat]
+            sums = np.zeros((len(sizes), dim))
+            if len(flat):
+                sums[sizes > 0] = np.add.reduceat(vectors, starts[sizes > 0], axis=0)
+            feats = list(sums)
+            yield pdf[[id_col, *keep]].assign(features=feats)
+
+    kept = "".join(f"{c} {codes.schema[c].dataType.simpleString()}, " for c in [id_col, *keep])
+    return codes.select(id_col, *keep, codes_col).mapInPandas(fn, f"{kept}features array<double>")
+
+
+def codes_to_features(codes: DataFrame, codebook: DataFrame, id_col: str = "series_id", codes_col: str = "codes",
+                      bins: int | None = None) -> DataFrame:
+    """V8 over time: ``codes`` holds, layer after layer, the codes of a clip's L steps (array of arrays); every
+    step gets the sum over layers of centroid[layer][code]. Returns (id, step, features), one row per step."""
+    layers = F.size(codes_col)
+    steps = codes.where(layers > 0).select(F.col(id_col), F.col(codes_col).alias("_c"),
+                                           F.posexplode(F.element_at(codes_col, 1)).alias("step", "_c0"))
+    per = steps.select(id_col, "step", F.transform("_c", lambda layer: F.get(layer, F.col("step"))).alias("_codes"))
+    return rvq_decode(per, codebook, id_col, "_codes", bins, keep=["step"])
 
 
 def code_histogram(codes: DataFrame, codes_col: str = "codes", bins: int = C.CODE_VOCAB_SIZE) -> DataFrame:
@@ -208,14 +232,13 @@ def _partial_sums(df: DataFrame, vec_col: str, means: np.ndarray) -> DataFrame:
             c = nearest(x, means)
             n += np.bincount(c, minlength=k)
             np.add.at(s, c, x)
-        yield pd.DataFrame({"code": np.arange(k, dtype=np.int32), "n": n, "s": list(s)})
+        used = np.flatnonzero(n)
+        if len(used):
+            yield pd.DataFrame({"code": used.astype(np.int32), "n": n[used], "s": list(s[used])})
 
     parts = df.select(vec_col).mapInPandas(fn, "code int, n long, s array<double>")
-    summed = parts.select("code", F.posexplode("s").alias("_d", "_v")).groupBy("code", "_d").agg(
-        F.sum("_v").alias("_v"))
-    counts = parts.groupBy("code").agg(F.sum("n").alias("n"))
-    vec = summed.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("_d", "_v"))).alias("_s"))
-    return counts.join(vec, "code").select("code", "n", F.transform("_s", lambda s: s["_v"]).alias("s"))
+    summed = parts.groupBy("code").agg(F.sum("n").alias("n"), *[F.sum(F.get("s", F.lit(i))).alias(f"_s{i}") for i in range(d)])
+    return summed.select("code", "n", F.array(*[f"_s{i}" for i in range(d)]).alias("s"))
 
 
 def kmeans(df: DataFrame, k: int, n_iters: int = C.KMEANS_ITERS, id_col: str = "vec_id", vec_col: str = "vec",
@@ -244,20 +267,25 @@ def kmeans(df: DataFrame, k: int, n_iters: int = C.KMEANS_ITERS, id_col: str = "
             sums[r["code"]] = np.asarray(r["s"])
         new = sums / np.maximum(bins, 1)[:, None]
         means = np.where((bins == 0)[:, None], means, new)
-    pdf = pd.DataFrame({"code": np.arange(k, dtype=np.int32), "centroid": list(means), "bins": bins})
-    return spark.createDataFrame(pdf, "code int, centroid array<double>, bins long")
+    rows = list(zip(range(k), means.tolist(), bins.tolist()))
+    return spark.createDataFrame(rows, "code int, centroid array<double>, bins long")
 
 
 def init_codebook(df: DataFrame, k: int, path: str, n_iters: int = C.KMEANS_ITERS, id_col: str = "vec_id",
-                  vec_col: str = "vec", layer: int = 0, seed: int = 0) -> DataFrame:
+                  vec_col: str = "vec", layer: int = 0, seed: int = 0, start: str = "kmeans") -> DataFrame:
     """One-time initialisation. If a codebook table exists at ``path`` it is returned
-    untouched; otherwise k-means runs and embed = embed_avg = means, cluster_size = bins."""
+    untouched; otherwise k-means runs and embed = embed_avg = means, cluster_size = bins.
+    ``start="random"`` skips the rounds: uniform values within sqrt(6 / dim) of 0, sizes 0."""
     spark = df.sparkSession
-    try:
+    if path_exists(spark, path):
         return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001  (no table yet)
-        pass
-    km = kmeans(df, k, n_iters, id_col, vec_col, seed)
+    if start == "random":
+        dim = len(df.select(vec_col).first()[0])
+        bound = math.sqrt(6.0 / dim)
+        values = np.random.default_rng(seed).uniform(-bound, bound, (k, dim))
+        km = spark.createDataFrame(list(zip(range(k), values.tolist(), [0] * k)), "code int, centroid array<double>, bins long")
+    else:
+        km = kmeans(df, k, n_iters, id_col, vec_col, seed)
     cb = km.select(F.lit(layer).alias("layer"), "code", F.col("centroid"), F.col("bins").cast("double")
                    .alias("cluster_size"), F.col("centroid").alias("embed_avg"))
     cb.write.mode("errorifexists").parquet(path)

@@ -25,20 +25,26 @@ from stratum.sources import files as fs
 from stratum.sources import shards as sh
 
 
-def quality_filter_job(spark: SparkSession, shard_paths: list[str], out_dir: str,
+def quality_filter_job(spark: SparkSession, shard_paths: list[str] | DataFrame, out_dir: str,
                        make_recogniser: Callable[[], Callable[[np.ndarray], np.ndarray]],
-                       text_member: str = "json", threshold: float = C.CER_THRESHOLD,
+                       input_member: str | None = None, threshold: float = C.CER_THRESHOLD,
                        min_rows_per_file: int = C.SHARD_MIN_ROWS, batch_size: int = 128) -> int:
-    """Keep the samples whose transcript scores CER < threshold; write them as shards with
-    ``json`` enriched by ``pred`` and ``cer``. The recogniser is fed the reference text here
-    (the audio decoder is a user model too); returns the number of files written."""
+    """Keep the samples whose transcript scores CER < threshold and write them as shards. The ``json`` member keeps
+    everything it held, of any type, and gains ``pred`` and ``cer``.
+
+    The recogniser gets the bytes of ``input_member`` (such as "mp3"); None feeds it the reference text, for text models and
+    tests. It runs once per sample: what it kept is written before files are formed. Returns the number of files."""
     recognise = bu.score_batches(make_recogniser, T.StringType(), batch_size=batch_size)
-    samples = sh.shard_samples(sh.read_shards(spark, shard_paths), "text string")
-    scored = samples.withColumn("json", F.col("json").withField("pred", recognise(F.col("json.text"))))
+    samples = sh.read_shards(spark, shard_paths).withColumn("_doc", F.decode(F.col("members")["json"], "UTF-8")) \
+        .withColumn("json", F.from_json("_doc", "text string"))
+    heard = F.col("members")[input_member] if input_member else F.col("json.text")
+    scored = samples.withColumn("json", F.col("json").withField("pred", recognise(heard)))
     kept = flt.quality_filter(scored, threshold, "json")
+    old = F.map_filter(F.from_json("_doc", "map<string, variant>"), lambda k, v: ~k.isin("pred", "cer"))
+    new = F.from_json(F.to_json(F.struct("json.pred", "json.cer")), "map<string, variant>")
     out = kept.select("key", F.map_concat(
         F.map_filter("members", lambda k, v: k != F.lit("json")),
-        F.create_map(F.lit("json"), F.encode(F.to_json("json"), "UTF-8"))).alias("members"))
+        F.create_map(F.lit("json"), F.encode(F.to_json(F.map_concat(old, new)), "UTF-8"))).alias("members"))
     return sh.write_shards(out, out_dir, min_rows_per_file)
 
 
@@ -54,14 +60,14 @@ def tokenise_series(series: DataFrame, frame_len: int, hop: int, min_samples: in
     clips = flt.min_duration(series.join(n, "series_id"), "_n_samples", min_samples).drop("_n_samples")
     fr = sr.rms_normalise(sr.frames(clips, frame_len, hop))
     vecs = (fr.groupBy("series_id", "win").agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("_s"))
-            .select((F.col("series_id") * F.lit(1 << 20) + F.col("win")).alias("vec_id"), "series_id", "win",
+            .select("series_id", "win", F.concat_ws(":", "series_id", "win").alias("vec_id"),
                     F.transform("_s", lambda x: x["value"]).alias("vec")))
     checkpoint_dir(series.sparkSession)
     vecs = vecs.checkpoint(eager=True)  # frame vectors are read by every k-means round and the assignment
     if codebook is None:
         km = vq.kmeans(vecs, n_codes, n_iters=kmeans_iters, seed=seed)
         codebook = km.select(F.lit(0).alias("layer"), "code", "centroid")
-    codes = vq.assign_code(vecs, codebook, 0).join(vecs.select("vec_id", "series_id", "win"), "vec_id")
+    codes = vq.assign_code(vecs, codebook, 0, id_col="series_id", keep=["win"])
     per = codes.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("win", "code"))).alias("_c"))
     return per.select("series_id", F.transform("_c", lambda x: x["code"]).alias("codes")), codebook
 

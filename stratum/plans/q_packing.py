@@ -13,7 +13,9 @@ from stratum.plans.registry import query
 from stratum.session import checkpoint_dir
 
 CAP = 4096
-NB = 4  # packing buckets for the queries (a parameter of the operators)
+NB = 64  # packing buckets for the queries (a parameter of the operators)
+NB_RANKS, RANKS = 8, 4  # K5: a batch needs the rows of several ranks
+
 
 
 def _ordered_sql(src: str, seed: int, n_buckets: int, where: str = "TRUE") -> str:
@@ -116,24 +118,43 @@ def k3_ffd_fits(spark, sf_dir):
     return pk.ffd_fits(_f3(spark, sf_dir), n_bins=16, capacity=CAP, n_buckets=NB)
 
 
-@query("k5_pack_multifit", S.with_(S.F3, _ordered_sql("f3", 0, NB, f"length <= {CAP}")) + """
+@query("k5_pack_multifit", S.with_(S.F3, _ordered_sql("f3", 0, NB_RANKS, f"length <= {CAP}")) + """
 SELECT bucket, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(length) AS BIGINT) AS n_tokens,
        true AS loads_ok, true AS ranks_ok
 FROM o GROUP BY bucket""")
 def k5_pack_multifit(spark, sf_dir):
     """Invariant check: every row reported once, no bin over capacity, every batch uses all ranks."""
-    a = pk.pack_multifit(_f3(spark, sf_dir), n_ranks=4, capacity=CAP, n_buckets=NB)
+    a = pk.pack_multifit(_f3(spark, sf_dir), n_ranks=RANKS, capacity=CAP, n_buckets=NB_RANKS)
     loads = (a.where(F.col("batch_no").isNotNull()).groupBy("bucket", "batch_no", "rank")
              .agg(F.sum("length").alias("load")))
     per_batch = loads.groupBy("bucket", "batch_no").agg(F.count(F.lit(1)).alias("n_bins"),
                                                         F.max("load").alias("max_load"))
     ok = per_batch.groupBy("bucket").agg(F.bool_and(F.col("max_load") <= CAP).alias("loads_ok"),
-                                         F.bool_and(F.col("n_bins") == 4).alias("ranks_ok"))
+                                         F.bool_and(F.col("n_bins") == RANKS).alias("ranks_ok"))
     rows = a.groupBy("bucket").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"),
                                    F.sum("length").cast("bigint").alias("n_tokens"))
     return (rows.join(ok, "bucket", "left")
-            .select("bucket", "n_rows", "n_tokens", F.coalesce("loads_ok", F.lit(True)).alias("loads_ok"),
-                    F.coalesce("ranks_ok", F.lit(True)).alias("ranks_ok")))
+            .select("bucket", "n_rows", "n_tokens", F.coalesce("loads_ok", F.lit(False)).alias("loads_ok"),
+                    F.coalesce("ranks_ok", F.lit(False)).alias("ranks_ok")))
+
+
+@query("k5_gathered_ranks", _SFT + f"""SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(len(ids)) AS BIGINT) AS n_tokens,
+       true AS once, true AS fits, true AS ranks FROM sft WHERE len(ids) <= {CAP}""")
+def k5_gathered_ranks(spark, sf_dir):
+    """K5 to K9 to K8: token rows gathered by (batch, rank), one output per rank, the tail reported. Every row is either in
+    one pack or in the tail, each pack is within the capacity, each batch has a pack for every rank."""
+    rows = fx.written(sft_rows(spark, sf_dir).withColumnRenamed("doc_id", "seq_id"))
+    lengths = rows.select("seq_id", F.size("input_ids").alias("length"))
+    packed, tail = pk.split_tail(fx.written(pk.pack_multifit(lengths, RANKS, capacity=CAP, n_buckets=NB_RANKS)))
+    packs = pk.materialise_packs(packed, rows, ["batch_id", "rank"])
+    got = packs.agg(F.sum("n_rows").alias("_n"), F.sum(F.size("input_ids")).alias("_t"), F.max(F.size("input_ids")).alias("_m"),
+                    F.count(F.lit(1)).alias("_p"), F.countDistinct("batch_id").alias("_b"))
+    left = tail.agg(F.count(F.lit(1)).alias("_tn"), F.coalesce(F.sum("length"), F.lit(0)).alias("_tt"))
+    ids = packed.select("seq_id").unionByName(tail.select("seq_id")).agg((F.count(F.lit(1)) == F.countDistinct("seq_id")).alias("once"))
+    one = F.lit(1).alias("_one")
+    return got.select("*", one).join(left.select("*", one), "_one").join(ids.select("*", one), "_one").select(
+        (F.col("_n") + F.col("_tn")).cast("bigint").alias("n_rows"), (F.col("_t") + F.col("_tt")).cast("bigint").alias("n_tokens"), "once",
+        (F.col("_m") <= CAP).alias("fits"), (F.col("_p") == F.col("_b") * RANKS).alias("ranks"))
 
 
 @query("k8_assign_rank", S.with_(S.F3) + f"""

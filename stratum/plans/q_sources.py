@@ -38,7 +38,7 @@ def _f9(spark, sf_dir):
 
 
 def _shard_paths(spark, root):
-    return [r["path"] for r in sh.list_shards(spark, root).collect()]  # one row per file
+    return sh.list_shards(spark, root, sort=False)
 
 
 _FILES_SQL = f"""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS rn,
@@ -81,13 +81,30 @@ def s2_list_shards(spark, sf_dir):
     return ranked.select("shard", "position")
 
 
-@query("s4_write_jsonl", "SELECT CAST(1 AS BIGINT) AS n_files, CAST(count(*) AS BIGINT) AS n_rows FROM documents")
+@query("s3_overwrite_shards", """
+SELECT CAST(greatest(1, n // 25) AS BIGINT) AS n_files, CAST(n AS BIGINT) AS n_rows, true AS least_kept
+FROM (SELECT count(*) AS n FROM documents WHERE lang <> 'en')""")
+def s3_overwrite_shards(spark, sf_dir):
+    """Shards of all documents, then the folder overwritten with some of them: only the new rows are left, in files of at least 25."""
+    d = table(spark, sf_dir, "documents")
+    rows = d.select(F.col("doc_id").cast("string").alias("key"), F.create_map(F.lit("txt"), F.encode("text", "UTF-8")).alias("members"), "lang")
+    path = _scratch(spark, "overwritten")
+    sh.write_shards(rows, path, 10)
+    sh.write_shards(rows.where("lang <> 'en'"), path, 25, overwrite=True)
+    per = sh.read_shards(spark, _shard_paths(spark, path), members=[]).groupBy("shard").agg(F.count(F.lit(1)).alias("c"))
+    return per.agg(F.count(F.lit(1)).cast("bigint").alias("n_files"), F.sum("c").cast("bigint").alias("n_rows"),
+                   ((F.min("c") >= 25) | (F.count(F.lit(1)) == 1)).alias("least_kept"))
+
+
+@query("s4_write_jsonl", """
+SELECT CAST(greatest(1, n // 30) AS BIGINT) AS n_files, CAST(n AS BIGINT) AS n_rows, CAST(n // greatest(1, n // 30) AS BIGINT) AS min_rows
+FROM (SELECT count(*) AS n FROM documents)""")
 def s4_write_jsonl(spark, sf_dir):
     path = _scratch(spark, "jsonl")
-    n_files = fs.write_jsonl(fx.utterances(spark, sf_dir), path)
-    written = len([f for f in jobs._listdir(path) if f.endswith(".json")])
-    rows = spark.read.json(path).count()
-    return spark.createDataFrame([(min(n_files, written), rows)], "n_files long, n_rows long")
+    fs.write_jsonl(fx.utterances(spark, sf_dir), path, 30)
+    per = spark.read.text(path).groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("c"))
+    return per.agg(F.count(F.lit(1)).cast("bigint").alias("n_files"), F.sum("c").cast("bigint").alias("n_rows"),
+                   F.min("c").cast("bigint").alias("min_rows"))
 
 
 @query("s5_load_rows", S.with_(S.F2) + """
@@ -116,25 +133,28 @@ def s6_write_packed(spark, sf_dir):
                     F.md5(F.array_join("input_ids", ",")).alias("ids_md5"))
 
 
-@query("s7_incremental_shards", _FILES_SQL + """
-SELECT printf('shard_%03d', file // 32) AS output, CAST(count(*) AS BIGINT) AS n_rows, 1 AS run
-FROM files GROUP BY file // 32""")
+@query("s7_incremental_shards", _FILES_SQL + """,
+f AS (SELECT file, file % 2 AS odd, count(*) AS n FROM files GROUP BY file),
+o AS (SELECT *, row_number() OVER (PARTITION BY odd ORDER BY file) - 1 AS i, sum(odd) OVER () AS n_odd FROM f)
+SELECT printf('shard_%03d', CAST(i // 8 + CASE WHEN odd = 1 THEN 0 ELSE ceil(n_odd / 8.0) END AS BIGINT)) AS output,
+       CAST(sum(n) AS BIGINT) AS n_rows, CAST(CASE WHEN odd = 1 THEN 1 ELSE 2 END AS INTEGER) AS run
+FROM o GROUP BY ALL""")
 def s7_incremental_shards(spark, sf_dir):
-    """Two runs of the incremental job over the same shards: the second finds nothing to do."""
+    """Run 1 sees every other shard; run 2 sees all, the new ones before and between the old; run 3 finds nothing to do. Every shard
+    is processed once."""
     root, _ = _f9(spark, sf_dir)
     out = _scratch(spark, "incremental")
+    listing = sh.list_shards(spark, root, sort=False)
+    number = F.regexp_extract("path", r"shard-([0-9]+)[.]tar$", 1).cast("bigint")
 
     def process(paths_df):
-        paths = [r["path"] for r in paths_df.select("path").collect()]  # <= 32 file names
-        s = sh.read_shards(spark, paths)
+        s = sh.read_shards(spark, listing.join(paths_df.select("path"), "path"))
         return s.select(F.col("key").cast("bigint").alias("doc_id"), F.decode(F.col("members")["txt"], "UTF-8")
                         .alias("text"))
 
-    first = fs.run_incremental(spark, sh.list_shards(spark, root, sort=False), out, process).withColumn(
-        "run", F.lit(1))
-    second = fs.run_incremental(spark, sh.list_shards(spark, root, sort=False), out, process).withColumn(
-        "run", F.lit(2))
-    return first.unionByName(second)
+    runs = [fs.run_incremental(spark, seen, out, process, group_size=8).withColumn("run", F.lit(k + 1))
+            for k, seen in enumerate([listing.where(number % 2 == 1), listing, listing])]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
 
 
 @query("s8_verify_checksum", S.with_(S.F1) + """
@@ -146,20 +166,21 @@ def s8_verify_checksum(spark, sf_dir):
     return v.select("doc_id", F.substring("sha256", 1, 12).alias("sha_prefix"), "ok")
 
 
-@query("j1_filter_shards", S.with_(S.F1) + f"""
-SELECT CAST(count(*) AS BIGINT) AS n_kept, CAST(greatest(1, count(*) // 100) AS BIGINT) AS n_files,
-       round(sum(cer), 4) AS cer_sum
-FROM (SELECT {S.cer('text', "replace(text, 'e', '')")} AS cer FROM documents) WHERE cer < 10.0""")
+@query("j1_filter_shards", f"""
+SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5, md5(replace(text, 'e', '')) AS pred_md5, round(cer, 4) AS cer, 4 + 2 AS n_keys
+FROM (SELECT *, {S.cer('text', "replace(text, 'e', '')")} AS cer FROM documents) WHERE cer < 10.0""")
 def j1_filter_shards(spark, sf_dir):
-    """J1 from shard to shard: F9 tars -> recogniser stub (U1) -> CER < 10 -> json gains pred/cer
-    -> tars of at least 100 samples; the written shards are read back and summarised."""
+    """J1 from shard to shard: F9 tars -> recogniser stub (U1) -> CER < 10 -> json keeps its keys and gains pred/cer
+    -> tars of at least 100 samples; the whole records are read back."""
     from stratum.functions.batch_udf import make_stub_recogniser
     from stratum.plans.jobs import quality_filter_job
 
     root, _ = _f9(spark, sf_dir)
     out = _scratch(spark, "filtered")
     quality_filter_job(spark, _shard_paths(spark, root), out, make_stub_recogniser, min_rows_per_file=100)
-    back = sh.shard_samples(sh.read_shards(spark, _shard_paths(spark, out)), "text string, pred string, cer double")
-    return back.agg(F.count(F.lit(1)).cast("bigint").alias("n_kept"),
-                    F.countDistinct("shard").cast("bigint").alias("n_files"),
-                    F.round(F.sum("json.cer"), 4).alias("cer_sum"))
+    back = sh.shard_samples(sh.read_shards(spark, _shard_paths(spark, out)),
+                            "text string, pred string, cer double, lang string, source string, n_chars long")
+    keys = F.json_object_keys(F.decode(F.col("members")["json"], "UTF-8"))
+    return back.select(F.col("key").cast("bigint").alias("doc_id"), "json.lang", "json.source", "json.n_chars",
+                       F.md5("json.text").alias("text_md5"), F.md5("json.pred").alias("pred_md5"),
+                       F.round("json.cer", 4).alias("cer"), F.size(keys).alias("n_keys"))

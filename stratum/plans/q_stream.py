@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import time
 
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from stratum import fixtures as fx
@@ -15,6 +16,7 @@ from stratum.plans.q_sources import _f9, _scratch
 from stratum.plans.q_tokens import _SFT, sft_rows
 from stratum.plans.q_vq import _EMA_SQL, _ema_state, _vsum
 from stratum.plans.registry import query
+from stratum.session import path_exists
 from stratum.sources import shards as sh
 from stratum.streaming import jobs
 from stratum.streaming import pack_stream as ps
@@ -28,24 +30,43 @@ def _lane_rows(spark, sf_dir):
     return lanes.withColumn("_key", od.hash_key("seq_id", 0, 0)).select("lane", "seq_id", "length", "_key")
 
 
-def _lane_report(packs):
-    ex = packs.select("lane", "n_tokens", F.size("seq_ids").alias("_n"))
-    return ex.groupBy("lane").agg(F.sum("_n").cast("bigint").alias("n_rows"),
-                                  F.sum("n_tokens").cast("bigint").alias("n_tokens"),
-                                  F.bool_and(F.col("n_tokens") <= MAXLEN).alias("fits"))
+def _wait(q, rows_out, out, expected, limit_s=900):
+    """Until ``expected`` rows are out. A stream that fails, ends early or takes over ``limit_s`` seconds raises: no result is
+    returned from part of the rows."""
+    deadline = time.time() + limit_s
+    while True:
+        if q.exception() is not None:
+            raise RuntimeError(f"stream failed: {q.exception()}")
+        done = (rows_out().first()[0] or 0) if path_exists(SparkSession.getActiveSession(), out) else 0
+        if done >= expected:
+            return
+        if not q.isActive or time.time() > deadline:
+            raise RuntimeError(f"stream gave {done} of {expected} rows")
+        time.sleep(2)
+
+
+def _lane_report(packs, key=("lane", "pack_no")):
+    """Per lane: rows and tokens, whether every pack fits and has a number of its own, each row is in one pack, and the ids themselves."""
+    ex = packs.withColumn("_seq", F.explode("seq_ids"))
+    ids = ex.groupBy("lane").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"), F.countDistinct("_seq").alias("_d"),
+                                 F.sum(F.conv(F.substring(F.md5(F.col("_seq").cast("string")), 1, 8), 16, 10).cast("bigint")).cast("bigint").alias("id_sum"))
+    per = packs.groupBy("lane").agg(F.sum("n_tokens").cast("bigint").alias("n_tokens"),
+                                    F.bool_and(F.col("n_tokens") <= MAXLEN).alias("_fits"),
+                                    (F.count(F.lit(1)) == F.countDistinct(*key)).alias("_keys"))
+    return ids.join(per, "lane").select("lane", "n_rows", "n_tokens", "id_sum", (F.col("_fits") & F.col("_keys") & (F.col("_d") == F.col("n_rows"))).alias("fits"))
 
 
 _LANES_SQL = S.with_(S.F3) + f"""
 SELECT CAST(lane AS INTEGER) AS lane, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(length) AS BIGINT) AS n_tokens,
-       true AS fits
-FROM (SELECT {S.md5_int("'0:lane:' || seq_id::VARCHAR")} % {RANKS * WORKERS} AS lane, length FROM f3)
+       CAST(sum(('0x' || substr(md5(seq_id::VARCHAR), 1, 8))::BIGINT) AS BIGINT) AS id_sum, true AS fits
+FROM (SELECT seq_id, {S.md5_int("'0:lane:' || seq_id::VARCHAR")} % {RANKS * WORKERS} AS lane, length FROM f3)
 WHERE length <= {MAXLEN} GROUP BY lane"""
 
 
 @query("k12_pack_stream", _LANES_SQL)
 def k12_pack_stream(spark, sf_dir):
     """Batch twin of the streaming packer (flush at the end): every row packed once per lane."""
-    return _lane_report(ps.pack_lanes_batch(_lane_rows(spark, sf_dir), MAXLEN, BUF))
+    return _lane_report(ps.pack_lanes_batch(_lane_rows(spark, sf_dir), MAXLEN, BUF), ("lane", "bucket", "pack_no"))
 
 
 @query("k12_pack_stream_live", _LANES_SQL)
@@ -61,15 +82,7 @@ def k12_pack_stream_live(spark, sf_dir):
     q = (ps.pack_stream(stream, MAXLEN, BUF, flush_after_ms=2000).writeStream.format("parquet")
          .option("checkpointLocation", ckpt).option("path", out).trigger(processingTime="1 second").start())
     try:
-        deadline = time.time() + 240
-        while time.time() < deadline and q.isActive:
-            time.sleep(2)
-            try:
-                done = spark.read.schema(ps.PACK_SCHEMA).parquet(out).select(F.sum(F.size("seq_ids"))).first()[0]
-            except Exception:  # noqa: BLE001  (no file yet)
-                done = 0
-            if (done or 0) >= expected:
-                break
+        _wait(q, lambda: spark.read.schema(ps.PACK_SCHEMA).parquet(out).select(F.sum(F.size("seq_ids"))), out, expected)
     finally:
         err = q.exception()
         q.stop()
@@ -101,8 +114,7 @@ def s7_incremental_stream(spark, sf_dir):
     fs.create_dir(p, recursive=True)
 
     def process(paths_df):
-        paths = [r["path"] for r in paths_df.collect()]  # <= 32 file names per micro-batch
-        s = sh.read_shards(spark, paths)
+        s = sh.read_shards(spark, [r["path"] for r in paths_df.collect()])  # <= 32 file names per micro-batch
         return s.select(F.col("key").cast("bigint").alias("doc_id"), F.decode(F.col("members")["txt"], "UTF-8")
                         .alias("text"))
 
@@ -132,15 +144,7 @@ def k12_feed_stream(spark, sf_dir):
          .trigger(processingTime="1 second").start())
     schema = "pack_key string, n_rows long, n_tokens long, input_ids array<bigint>, labels array<bigint>"
     try:
-        deadline = time.time() + 240
-        while time.time() < deadline and q.isActive:
-            time.sleep(2)
-            try:
-                done = spark.read.schema(schema).parquet(out).agg(F.sum("n_rows")).first()[0] or 0
-            except Exception:  # noqa: BLE001  (no batch written yet)
-                done = 0
-            if done >= expected:
-                break
+        _wait(q, lambda: spark.read.schema(schema).parquet(out).agg(F.sum("n_rows")), out, expected)
     finally:
         err = q.exception()
         q.stop()

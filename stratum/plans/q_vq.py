@@ -101,17 +101,17 @@ def v7_single_stage_vq(spark, sf_dir):
 
 
 @query("v8_codes_to_features", S.with_(S.F2, S.F4) + """
-SELECT doc_id, round(list_sum(f), 6) AS feature_sum
-FROM (SELECT doc_id, list_transform(range(1, 65), lambda i: a.centroid[i] + b.centroid[i]) AS f
-      FROM (SELECT doc_id, codes[1] % 16 AS k0, codes[len(codes)] % 16 AS k1 FROM f2) x
-      JOIN f4 a ON a.layer = 0 AND a.code = x.k0 JOIN f4 b ON b.layer = 1 AND b.code = x.k1)""")
+, steps AS (
+  SELECT doc_id, unnest(range(0, len(codes))) AS step, codes FROM f2)
+SELECT doc_id, CAST(step AS INTEGER) AS step, round(list_sum(list_transform(range(1, 65), lambda i: a.centroid[i] + b.centroid[i])), 6) AS feature_sum
+FROM (SELECT doc_id, step, codes[step + 1] % 16 AS k0, codes[len(codes) - step] % 16 AS k1 FROM steps) x
+JOIN f4 a ON a.layer = 0 AND a.code = x.k0 JOIN f4 b ON b.layer = 1 AND b.code = x.k1""")
 def v8_codes_to_features(spark, sf_dir):
-    """Two-layer codes per utterance (first and last F2 code, mod 16) -> summed features."""
-    u = fx.utterances(spark, sf_dir).select(
-        "doc_id", F.array(F.pmod(F.element_at("codes", 1), F.lit(16)),
-                          F.pmod(F.element_at("codes", -1), F.lit(16))).alias("codes"))
-    d = vq.rvq_decode(u, fx.codebook(spark, sf_dir), id_col="doc_id", bins=16)
-    return d.select("doc_id", _vsum("features").alias("feature_sum"))
+    """Every utterance's F2 codes (mod 16) as layer 0 and, reversed in time, as layer 1 -> one feature vector per step."""
+    layer = F.transform("codes", lambda c: F.pmod(c, F.lit(16)))
+    u = fx.utterances(spark, sf_dir).select("doc_id", F.array(layer, F.reverse(layer)).alias("codes"))
+    d = vq.codes_to_features(u, fx.codebook(spark, sf_dir), id_col="doc_id", bins=16)
+    return d.select("doc_id", "step", _vsum("features").alias("feature_sum"))
 
 
 @query("v11_quantisation_error", _RVQ + """,
@@ -249,7 +249,7 @@ fr AS (
         FROM clips c JOIN clen USING (series_id))),
 nrm AS (SELECT *, value / (1e-8 + sqrt(avg(value * value) OVER (PARTITION BY series_id, win))) AS v FROM fr),
 fvecs AS (
-  SELECT series_id * 1048576 + win AS vec_id, series_id, win, list(v ORDER BY i) AS vec
+  SELECT series_id::VARCHAR || ':' || win::VARCHAR AS vec_id, series_id, win, list(v ORDER BY i) AS vec
   FROM nrm GROUP BY series_id, win),
 init AS (
   SELECT CAST(row_number() OVER (ORDER BY {S.key('vec_id', 0)}, vec_id) - 1 AS INTEGER) AS code, vec AS c

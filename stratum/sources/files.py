@@ -9,15 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum import constants as C
+from stratum.session import path_exists
 
 
 def write_jsonl(df: DataFrame, path: str, min_rows_per_file: int = C.JSONL_MIN_ROWS) -> int:
     """JSON lines with at least ``min_rows_per_file`` rows per file (Spark's
-    ``maxRecordsPerFile`` is an upper bound, not this); non-ASCII text is written as is.
-    Returns the number of files."""
-    n = df.count()
-    files = max(1, n // min_rows_per_file)
-    df.repartition(files).write.mode("overwrite").json(path)
+    ``maxRecordsPerFile`` is an upper bound, not this); non-ASCII text is written as is. The rows are
+    numbered densely and dealt by number, so no file falls short. Returns the number of files."""
+    from stratum.operators.ordering import dense_index, even_files
+
+    rows, n = dense_index(df, "_idx")
+    rows, files = even_files(rows, n, min_rows_per_file)
+    rows.select(*df.columns).write.mode("overwrite").json(path)
     return files
 
 
@@ -43,41 +46,36 @@ def verify_checksum(df: DataFrame, content_col: str, expected_col: str, raise_on
     return out
 
 
-def shard_groups(listing: DataFrame, group_size: int = C.SHARD_GROUP) -> DataFrame:
-    """S7 (batch twin): group index = position in the sorted listing // group_size, output name
-    shard_%03d. The listing has one row per file; its position is a dense rank by path."""
-    from stratum.operators.ordering import global_rank
+def pending_shards(listing: DataFrame, manifest: DataFrame | None) -> DataFrame:
+    """Paths of the listing that no committed group holds (``left_anti`` by path)."""
+    paths = listing.select("path").distinct()
+    return paths if manifest is None else paths.join(manifest.select("path"), "path", "left_anti")
 
-    ranked = global_rank(listing.select("path"), [F.col("path")], out="_i")
-    return ranked.select("path", (F.col("_i") / F.lit(group_size)).cast("bigint").alias("group_id")).withColumn(
-        "output", F.format_string("shard_%03d", F.col("group_id")))
 
+def shard_groups(paths: DataFrame, group_size: int = C.SHARD_GROUP, first: int = 0) -> DataFrame:
+    """S7 (batch twin): group index = ``first`` + position in the sorted paths // group_size, output name
+    shard_%03d. One row per file; its position is a dense rank by path."""
+    from stratum.operators.ordering import global_rank
 
-def pending_groups(groups: DataFrame, manifest: DataFrame | None) -> DataFrame:
-    """Groups whose output is not recorded as committed (``left_anti`` with the manifest).
-    A group is recorded only after its output is fully written (no half-written skip, Q11)."""
-    if manifest is None:
-        return groups
-    return groups.join(manifest.select("output").distinct(), "output", "left_anti")
+    ranked = global_rank(paths.select("path"), [F.col("path")], out="_i")
+    return ranked.select("path", (F.floor(F.col("_i") / F.lit(group_size)) + F.lit(first)).cast("bigint").alias("group_id")).withColumn(
+        "output", F.format_string("shard_%03d", F.col("group_id")))
 
 
 def run_incremental(spark: SparkSession, listing: DataFrame, out_root: str, process, group_size: int = C.SHARD_GROUP,
                     manifest_path: str | None = None) -> DataFrame:
-    """Process pending groups of shards; ``process(paths_df) -> DataFrame`` gives the rows of
-    one group, written as JSON lines to ``out_root/shard_%03d``; then the group is appended to the
-    manifest (commit marker). Only group metadata (one row per file) reaches the driver."""
+    """Process the shards that no earlier run did. The manifest holds one row per processed path, so shards may arrive in any
+    order of names; new groups are numbered after the largest committed one. ``process(paths_df) -> DataFrame`` gives
+    the rows of one group, written as JSON lines to ``out_root/shard_%03d``; then the group's paths are appended to
+    the manifest (commit marker), so a half-written group is redone. Returns (output, n_rows) of this run."""
     manifest_path = manifest_path or os.path.join(out_root, "_manifest")
-    try:
-        manifest = spark.read.parquet(manifest_path)
-    except Exception:  # noqa: BLE001  (first run)
-        manifest = None
-    todo = pending_groups(shard_groups(listing, group_size), manifest)
+    manifest = spark.read.parquet(manifest_path) if path_exists(spark, manifest_path) else None
+    first = 0 if manifest is None else manifest.agg(F.max("group_id")).first()[0] + 1
+    groups = shard_groups(pending_shards(listing, manifest), group_size, first).checkpoint(eager=True)
     done = []
-    for g in sorted(r["output"] for r in todo.select("output").distinct().collect()):
-        paths = todo.where(F.col("output") == g)
-        rows = process(paths)
-        n = rows.count()
-        rows.write.mode("overwrite").json(os.path.join(out_root, g))
-        spark.createDataFrame([(g, n)], "output string, n_rows long").write.mode("append").parquet(manifest_path)
-        done.append((g, n))
+    for g in sorted(r["output"] for r in groups.select("output").distinct().collect()):
+        paths = groups.where(F.col("output") == g)
+        process(paths).write.mode("overwrite").json(os.path.join(out_root, g))
+        paths.select("path", "group_id", "output").coalesce(1).write.mode("append").parquet(manifest_path)
+        done.append((g, spark.read.text(os.path.join(out_root, g)).count()))
     return spark.createDataFrame(done, "output string, n_rows long")

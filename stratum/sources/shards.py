@@ -6,19 +6,22 @@ members that share a stem (base name up to the first dot, the shard convention)
 "tar.gz" for compound extensions). Members of one sample are adjacent in a shard, so a reader
 holds one sample at a time.
 
-Write: each task writes its rows into tar files under a temporary name; the job commit renames
-them (an aborted or lost task leaves nothing behind). A row's ``file`` column (if present)
-starts a new tar whenever it changes, so callers can size files exactly.
+Write: each task writes its rows into tar files under a temporary name that carries the job's id;
+the job commit renames them and then writes ``_SUCCESS``. In overwrite mode the commit first deletes
+the folder's earlier shards. An abort deletes every temporary file of the job, also those of tasks that sent
+no message. Equal rows give equal bytes. A row's ``file`` column (if present) starts a new tar whenever it
+changes, so callers can size files exactly.
 """
 
 from __future__ import annotations
 
 import io
+import json
 import os
 import tarfile
-import time
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +35,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
+_RENAMES = 16
 SHARD_SCHEMA = "shard string, key string, members map<string, binary>"
 
 
@@ -73,15 +77,11 @@ class _TarPartition(InputPartition):
     paths: list
 
 
-def plan_partitions(paths: list[str], target_bytes: int) -> list[list[str]]:
+def plan_partitions(paths: list[str], sizes: list[int], target_bytes: int) -> list[list[str]]:
     """Consecutive tars are grouped until a group reaches ``target_bytes``; a large tar is a
-    partition of its own. Sizes come from the file system listing, not from the files."""
+    partition of its own."""
     groups, cur, size = [], [], 0
-    for p in paths:
-        try:
-            n = _size(p)
-        except OSError:
-            n = target_bytes
+    for p, n in zip(paths, sizes):
         cur.append(p)
         size += n
         if size >= target_bytes:
@@ -93,21 +93,21 @@ def plan_partitions(paths: list[str], target_bytes: int) -> list[list[str]]:
 
 
 class _ShardReader(DataSourceReader):
-    def __init__(self, paths: list[str], target_bytes: int):
-        self.paths = paths
-        self.target_bytes = target_bytes
+    def __init__(self, paths: list[str], sizes: list[int], target_bytes: int, members: list[str] | None):
+        self.paths, self.sizes, self.target_bytes, self.members = paths, sizes, target_bytes, members
 
     def partitions(self):
-        return [_TarPartition(g) for g in plan_partitions(self.paths, self.target_bytes)]
+        return [_TarPartition(g) for g in plan_partitions(self.paths, self.sizes, self.target_bytes)]
 
     def read(self, partition) -> Iterator[tuple]:
         if partition is None:  # no shard paths at all: an empty scan
             return
         for path in partition.paths:
-            yield from _read_tar(path)
+            yield from _read_tar(path, self.members)
 
 
-def _read_tar(path: str) -> Iterator[tuple]:
+def _read_tar(path: str, wanted: list[str] | None = None) -> Iterator[tuple]:
+    """Samples of one tar; with ``wanted`` only those members' bytes are read, the others are skipped."""
     shard = os.path.basename(_local(path).rstrip("/"))
     key, members = None, {}
     fs, p = _fs(path)
@@ -120,7 +120,8 @@ def _read_tar(path: str) -> Iterator[tuple]:
                 yield (shard, key, members)
                 members = {}
             key = stem
-            members[ext] = tf.extractfile(m).read()
+            if wanted is None or ext in wanted:
+                members[ext] = tf.extractfile(m).read()
     if key is not None:
         yield (shard, key, members)
 
@@ -134,6 +135,7 @@ class _ShardWriter(DataSourceWriter):
     def __init__(self, path: str, overwrite: bool):
         self.path = path if "://" in path and not path.startswith("file:") else os.path.abspath(_local(path))
         self.overwrite = overwrite
+        self.temporary = f"._tmp-{uuid.uuid4().hex}-"
 
     def write(self, iterator) -> _Written:
         from pyspark import TaskContext
@@ -153,7 +155,7 @@ class _ShardWriter(DataSourceWriter):
                     stream.close()
                 current = group
                 final = f"shard-{int(group):06d}.tar" if has_file else f"shard-{pid:06d}-{n:03d}.tar"
-                tmp = _join(root, f"._tmp-{uuid.uuid4().hex}-{pid}-{attempt}")
+                tmp = _join(root, f"{self.temporary}{pid}-{attempt}-{n}")
                 written.append((tmp, _join(root, final)))
                 stream = fs.open_output_stream(tmp)
                 tf = tarfile.open(fileobj=stream, mode="w|")
@@ -161,33 +163,43 @@ class _ShardWriter(DataSourceWriter):
             for ext, data in sorted((row["members"] or {}).items()):
                 info = tarfile.TarInfo(name=f"{row['key']}.{ext}")
                 info.size = len(data)
-                info.mtime = int(time.time())
+                info.mtime = 0
                 tf.addfile(info, io.BytesIO(bytes(data)))
         if tf is not None:
             tf.close()
             stream.close()
         return _Written(written)
 
+    def _names(self, fs, root: str) -> list[str]:
+        import pyarrow.fs as pafs
+
+        if fs.get_file_info(root).type == pafs.FileType.NotFound:
+            return []
+        return [i.path for i in fs.get_file_info(pafs.FileSelector(root)) if i.type == pafs.FileType.File]
+
     def commit(self, messages) -> None:
-        fs, _ = _fs(self.path)
-        for msg in messages:
-            for tmp, final in msg.files:
-                fs.move(tmp, final)
+        fs, root = _fs(self.path)
+        moves = [m for msg in messages if msg is not None for m in msg.files]
+        if self.overwrite:
+            for old in self._names(fs, root):
+                name = os.path.basename(old)
+                if name == "_SUCCESS" or name.startswith("shard-") and name.endswith(".tar"):
+                    fs.delete_file(old)
+        fs.create_dir(root, recursive=True)
+        with ThreadPoolExecutor(_RENAMES) as pool:
+            list(pool.map(lambda m: fs.move(*m), moves))
+        with fs.open_output_stream(_join(root, "_SUCCESS")):
+            pass
 
     def abort(self, messages) -> None:
-        import pyarrow.fs as pafs
-
-        fs, _ = _fs(self.path)
-        for msg in messages:
-            if msg is None:
-                continue
-            for tmp, _final in msg.files:
-                if fs.get_file_info(tmp).type != pafs.FileType.NotFound:
-                    fs.delete_file(tmp)
+        fs, root = _fs(self.path)
+        for path in self._names(fs, root):
+            if os.path.basename(path).startswith(self.temporary):
+                fs.delete_file(path)
 
 
 class TarShardSource(DataSource):
-    """``spark.read.format("tarshards").option("paths", "a.tar,b.tar")`` /
+    """``spark.read.format("tarshards").option("files", '[["a.tar", 1024]]')`` (path and size) /
     ``df.write.format("tarshards").save(dir)``."""
 
     @classmethod
@@ -198,8 +210,10 @@ class TarShardSource(DataSource):
         return SHARD_SCHEMA
 
     def reader(self, schema: StructType):
-        paths = [p for p in self.options.get("paths", "").split(",") if p]
-        return _ShardReader(paths, int(self.options.get("targetBytes", 128 * 1024 * 1024)))
+        files = json.loads(self.options.get("files", "[]"))
+        members = self.options.get("members")
+        return _ShardReader([p for p, _ in files], [n for _, n in files],
+                            int(self.options.get("targetBytes", 128 * 1024 * 1024)), json.loads(members) if members else None)
 
     def writer(self, schema: StructType, overwrite: bool):
         return _ShardWriter(self.options["path"], overwrite)
@@ -217,21 +231,30 @@ def list_shards(spark: SparkSession, root: str, glob: str = "*.tar", sort: bool
     return df.orderBy("path") if sort else df
 
 
-def read_shards(spark: SparkSession, paths: list[str], target_bytes: int | None = None) -> DataFrame:
+def read_shards(spark: SparkSession, paths: list[str] | DataFrame, target_bytes: int | None = None,
+                members: list[str] | None = None) -> DataFrame:
     """One row per sample (members grouped by stem). A task reads consecutive tars up to
-    ``target_bytes`` (default ``spark.sql.files.maxPartitionBytes``); a large tar is one task."""
+    ``target_bytes`` (default ``spark.sql.files.maxPartitionBytes``); a large tar is one task.
+
+    ``paths`` may be the listing of ``list_shards``, which has the sizes already; for plain paths they are asked for
+    once, many at a time. ``members`` (extensions) leaves all other members unread. The driver holds
+    a path and a size per file, as for any file scan."""
     register(spark)
+    if isinstance(paths, DataFrame):
+        files = [[r["path"], r["length"]] for r in paths.select("path", "length").orderBy("path").collect()]
+    else:
+        with ThreadPoolExecutor(_RENAMES) as pool:
+            files = [[p, n] for p, n in zip(paths, pool.map(_size, paths))]
     if target_bytes is None:
         # like Spark's file scan: at most maxPartitionBytes, but small inputs still use every core
         max_bytes = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b"))
-        total = sum(_size(p) for p in paths)
+        total = sum(n for _, n in files)
         per_core = total // max(1, spark.sparkContext.defaultParallelism)
         target_bytes = max(1, min(max_bytes, max(4 * 1024 * 1024, per_core)))
         if total < 4 * 1024 * 1024 * spark.sparkContext.defaultParallelism:
             target_bytes = max(1, per_core)
-    tb = target_bytes
-    return (spark.read.format("tarshards").option("paths", ",".join(paths)).option("targetBytes", str(tb))
-            .load())
+    reader = spark.read.format("tarshards").option("files", json.dumps(files)).option("targetBytes", str(target_bytes))
+    return (reader.option("members", json.dumps(members)) if members is not None else reader).load()
 
 
 def shard_samples(shards: DataFrame, json_ddl: str = "text string", audio_ext: str | None = None) -> DataFrame:
@@ -243,27 +266,25 @@ def shard_samples(shards: DataFrame, json_ddl: str = "text string", audio_ext: s
     return out
 
 
-def write_shards(df: DataFrame, path: str, min_rows_per_file: int, order_col: str | None = None) -> int:
-    """S3: write samples ``(key, members)`` as tar files with at least ``min_rows_per_file`` rows each.
+def write_shards(df: DataFrame, path: str, min_rows_per_file: int, order_col: str | None = None,
+                 overwrite: bool = False) -> int:
+    """S3: write samples ``(key, members)`` as tar files with at least ``min_rows_per_file`` rows each, in
+    ``order_col`` order where given. ``overwrite`` replaces the folder's earlier shards.
 
-    Files = max(1, n // min_rows); a dense global row index (two-phase, see ordering) gives
-    file = index * files // n, so every file gets floor or ceil of n / files rows. Returns the
-    number of files."""
-    from stratum.operators.ordering import epoch_permutation, global_rank
+    The rows are written once to the shared folder and numbered densely there, so what made them runs once;
+    then file = index * files // n, and the payload moves in one shuffle with one task per file. Returns the number of
+    files."""
+    from stratum.operators.ordering import dense_index, even_files, global_rank
 
     register(df.sparkSession)
-    n = df.count()
-    if n == 0:
-        return 0
-    files = max(1, n // min_rows_per_file)
     if order_col:
         idx = global_rank(df, [F.col(order_col)], out="_idx")
+        n = idx.count()
     else:
-        idx = epoch_permutation(df, "key", 0, 0).withColumnRenamed("perm_pos", "_idx").drop("_key", "bucket")
-    # all rows of a file go to one task; a task writes several files in file order
-    tasks = min(files, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    out = (idx.withColumn("file", (F.col("_idx") * F.lit(files) / F.lit(n)).cast("bigint"))
-           .repartition(tasks, "file").sortWithinPartitions("file", "key")
-           .select("key", "members", "file"))
-    out.write.format("tarshards").mode("append").save(path)
-    return files
+        idx, n = dense_index(df, "_idx")
+    if n == 0 and not overwrite:
+        return 0
+    out, files = even_files(idx, n, min_rows_per_file)
+    out.sortWithinPartitions("file", "key").select("key", "members", F.col("file").cast("bigint").alias("file")) \
+        .write.format("tarshards").mode("overwrite" if overwrite else "append").save(path)
+    return files if n else 0

@@ -102,7 +102,7 @@ def run_incremental_stream(spark: SparkSession, shard_root: str, out_root: str,
     q.awaitTermination()
     outs = sorted(d for d in _listdir(out_root) if d.startswith("shard_"))
     return spark.createDataFrame(
-        [(d, spark.read.json(os.path.join(out_root, d)).count()) for d in outs], "output string, n_rows long")
+        [(d, spark.read.text(os.path.join(out_root, d)).count()) for d in outs], "output string, n_rows long")
 
 
 def stream_from_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1) -> DataFrame:

@@ -29,19 +29,15 @@ STATE_SCHEMA = "seq_ids array<long>, lengths array<int>, n_packs long"
 def take_pack(seq: list, lens: list, max_length: int, lane_seed: int, pack_no: int):
     """One pack from the buffer: shuffle, walk from the end, keep rows that fit.
     Returns (chosen seq ids, chosen lengths, remaining seq ids, remaining lengths)."""
-    rng = np.random.default_rng([lane_seed, pack_no])
-    order = rng.permutation(len(seq))
-    seq = [seq[i] for i in order]
-    lens = [lens[i] for i in order]
-    cur, chosen = 0, []
-    idx = len(seq) - 1
-    while idx >= 0 and cur < max_length:
-        if cur + lens[idx] <= max_length:
-            cur += lens[idx]
-            chosen.append(idx)
-        idx -= 1
-    keep = sorted(set(range(len(seq))) - set(chosen))
-    return ([seq[i] for i in chosen], [lens[i] for i in chosen], [seq[i] for i in keep], [lens[i] for i in keep])
+    shuffled = np.random.default_rng([lane_seed, pack_no]).permutation(len(seq))
+    room, taken = max_length, []
+    for i in shuffled[::-1].tolist():
+        if room and lens[i] <= room:
+            taken.append(i)
+            room -= lens[i]
+    out = set(taken)
+    left = [i for i in shuffled.tolist() if i not in out]
+    return [seq[i] for i in taken], [lens[i] for i in taken], [seq[i] for i in left], [lens[i] for i in left]
 
 
 def run_lane(lane: int, seq: list, lens: list, n_packs: int, rows: pd.DataFrame, max_length: int, buf_size: int,
@@ -69,16 +65,14 @@ def _packs_frame(packs) -> pd.DataFrame:
 
 
 def pack_lanes_batch(df: DataFrame, max_length: int = C.STREAM_CAPACITY, buf_size: int = C.STREAM_BUFFER,
-                     order_col: str = "_key", flush: bool = True, n_buckets: int | None = None) -> DataFrame:
+                     order_col: str = "_key", flush: bool = True, n_buckets: int = C.PACK_BUCKETS) -> DataFrame:
     """Batch twin of K12: rows ``(lane, seq_id, length, <order_col>)``. A lane is cut into
-    ``n_buckets`` contiguous stretches of the hash order (default: ~200k rows each) and each
+    ``n_buckets`` contiguous stretches of the hash order (an argument, never derived) and each
     (lane, bucket) is one ``applyInPandas`` group holding the narrow columns only; the buffer
     is flushed at the end of each stretch."""
     from stratum.operators.ordering import key_bucket
-    from stratum.operators.packing import default_buckets
 
-    nb = n_buckets or default_buckets(df)
-    keyed = df.select("lane", "seq_id", "length", order_col).withColumn("bucket", key_bucket(F.col(order_col), nb))
+    keyed = df.select("lane", "seq_id", "length", order_col).withColumn("bucket", key_bucket(F.col(order_col), n_buckets))
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([order_col, "seq_id"], kind="mergesort")
@@ -106,7 +100,7 @@ def pack_stream(stream: DataFrame, max_length: int = C.STREAM_CAPACITY, buf_size
         if state.hasTimedOut:
             packs, seq, lens, n_packs = run_lane(lane, seq, lens, n_packs, pd.DataFrame(
                 {"seq_id": [], "length": []}), max_length, buf_size, True)
-            state.remove()
+            state.update((seq, lens, n_packs))  # the buffer is empty now; pack numbers go on
         else:
             frames = [p for p in pdfs if len(p)]
             rows = (pd.concat(frames).sort_values([order_col, "seq_id"], kind="mergesort") if frames
