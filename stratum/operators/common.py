@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+SPREAD_BYTES = 128 << 20
+
+
 def spread(df: DataFrame, min_partitions: int | None = None, factor: int = 1) -> DataFrame:
     """Round-robin the rows over ``min_partitions`` tasks (default: ``factor`` x the cluster's
     parallelism; a factor above 1 lets rows of very different cost even out over many small
-    tasks) before a CPU-heavy per-row step. A no-op when the scan already yields at least one
-    partition per core, which is always the case on large inputs."""
+    tasks) before a CPU-heavy per-row step, where the optimiser's estimate of its size is below
+    ``SPREAD_BYTES`` per core: a scan that small may be a single task. Larger inputs are left as they are. The
+    estimate comes from the plan alone; nothing is run for it, and the rows are the same either way."""
     sc = df.sparkSession.sparkContext
-    target = min_partitions or factor * sc.defaultParallelism
-    if df.rdd.getNumPartitions() < sc.defaultParallelism:
-        return df.repartition(target)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < SPREAD_BYTES * sc.defaultParallelism:
+        return df.repartition(min_partitions or factor * sc.defaultParallelism)
     return df

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from stratum import constants as C
 from stratum.operators.common import spread
 from stratum.operators.ordering import global_rank
+from stratum.session import checkpoint_dir
 
 TOKEN_PATTERN = r"<\|[A-Za-z0-9_]+\|>|[^ \t\n\r\f\x0b<]+|<"
 MARKUP_PATTERN = r"^<\|[A-Za-z0-9_]+\|>$"
@@ -60,6 +61,8 @@ def build_vocab_from_tokens(df: DataFrame, tokens_col: str, max_vocab: int | Non
     toks = df.select(F.explode_outer(tokens_col).alias("token")).where(F.col("token").isNotNull())
     counts = (toks.where(~F.col("token").rlike(MARKUP_PATTERN))
               .groupBy("token").agg(F.count(F.lit(1)).alias("_n")))
+    checkpoint_dir(spark)
+    counts = counts.checkpoint(eager=True)  # the corpus is tokenised once; counting and ranking read this
     ranked = global_rank(counts, [F.col("_n").desc(), F.col("token")])
     if max_vocab is not None:
         ranked = ranked.where(F.col("_rank") < F.lit(max_vocab))
