@@ -6,8 +6,9 @@ scaled to ``n_buckets``, give a bucket that is monotone in the key, so
 
     global position = position inside the bucket + number of rows in earlier buckets.
 
-The per-bucket count table has ``n_buckets`` rows (a parameter, never derived from the data
-size), so broadcasting it is bounded. Buckets are uniform because md5 is; no bucket is hot.
+Answers per bucket (K7, K2 per bucket, packing) take ``n_buckets`` as an argument. Global positions don't
+depend on it; there it may grow with the row count (one bucket per million rows), and so does the offset
+table, one row per bucket, that is broadcast. Buckets are uniform because md5 is; no bucket is hot.
 """
 
 from __future__ import annotations
@@ -94,7 +95,10 @@ def epoch_permutation(df: DataFrame, id_col: str, seed: int = 0, epoch: int = 0,
 
 def running_total(df: DataFrame, id_col: str, length_col: str, seed: int = 0, epoch: int = 0,
                   n_buckets: int | None = None, per_bucket: bool = False) -> DataFrame:
-    """K2: inclusive cumulative length in shuffled order (``cum``), global or per bucket."""
+    """K2: inclusive cumulative length in shuffled order (``cum``), global or per bucket. What ``per_bucket`` gives depends
+    on the buckets, so it asks for ``n_buckets``; the global answer is the same for any number."""
+    if per_bucket and not n_buckets:
+        raise ValueError("per_bucket needs n_buckets")
     k = with_epoch_order(df, id_col, seed, epoch, n_buckets)
     w = Window.partitionBy("bucket").orderBy("_key", id_col).rowsBetween(Window.unboundedPreceding, 0)
     local = k.withColumn("cum", F.sum(length_col).over(w).cast("bigint"))
@@ -104,8 +108,8 @@ def running_total(df: DataFrame, id_col: str, length_col: str, seed: int = 0, ep
     return local.join(off, "bucket", "inner").withColumn("cum", F.col("cum") + F.col("_off")).drop("_off")
 
 
-def budget_boundary(df: DataFrame, id_col: str, length_col: str, budget: int, seed: int = 0, epoch: int = 0,
-                    n_buckets: int | None = None) -> DataFrame:
+def budget_boundary(df: DataFrame, id_col: str, length_col: str, budget: int, n_buckets: int, seed: int = 0,
+                    epoch: int = 0) -> DataFrame:
     """K7: for every row i (as a start) the number of rows j >= i in its bucket whose running total
     is <= running total before i + budget (``searchsorted(cumsum[i:], s + c*n, 'right')``).
 

@@ -24,8 +24,8 @@ SPECIAL_TOKENS = ("<|endoftext|>", "<unk>", "<|im_start|>", "<|im_end|>")
 PAD_ID = 0
 UNK_ID = 1
 
-# A vocabulary up to this many rows is broadcast for the id look-up; larger ones are shuffled.
-BROADCAST_VOCAB_ROWS = 2_000_000
+# A vocabulary up to this many bytes (tokens and ids) is broadcast for the id look-up; larger ones are shuffled.
+BROADCAST_VOCAB_BYTES = 64 << 20
 
 
 def tokenize(c) -> Column:
@@ -44,18 +44,15 @@ def audio_tokens(spark) -> DataFrame:
     return marks.unionByName(codes)
 
 
-def build_vocab(texts: DataFrame, text_col: str = "text", max_vocab: int | None = None) -> DataFrame:
+def build_vocab(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """T6 (vocabulary half): (token, id). Specials get 0..3, corpus tokens follow by count desc,
-    token asc. Markup tokens ``<|...|>`` are not corpus tokens (they come from T4 or the specials).
-
-    ``max_vocab`` keeps only the most frequent corpus tokens (a tokenizer's vocabulary size; the
-    rest become <unk> at look-up). A bounded vocabulary keeps the look-up a broadcast join on
-    corpora whose distinct-token count grows without bound. Default: no cap."""
+    token asc. Markup tokens ``<|...|>`` are not corpus tokens (they come from T4 or the specials). Every
+    corpus token is in it."""
     toks = spread(texts).select(tokenize(F.col(text_col)).alias("_toks"))
-    return build_vocab_from_tokens(toks, "_toks", max_vocab)
+    return build_vocab_from_tokens(toks, "_toks")
 
 
-def build_vocab_from_tokens(df: DataFrame, tokens_col: str, max_vocab: int | None = None) -> DataFrame:
+def build_vocab_from_tokens(df: DataFrame, tokens_col: str) -> DataFrame:
     """``build_vocab`` over an already tokenized column (array<string>)."""
     spark = df.sparkSession
     toks = df.select(F.explode_outer(tokens_col).alias("token")).where(F.col("token").isNotNull())
@@ -64,8 +61,6 @@ def build_vocab_from_tokens(df: DataFrame, tokens_col: str, max_vocab: int | Non
     checkpoint_dir(spark)
     counts = counts.checkpoint(eager=True)  # the corpus is tokenised once; counting and ranking read this
     ranked = global_rank(counts, [F.col("_n").desc(), F.col("token")])
-    if max_vocab is not None:
-        ranked = ranked.where(F.col("_rank") < F.lit(max_vocab))
     corpus = ranked.select("token", (F.col("_rank") + len(SPECIAL_TOKENS)).cast("bigint").alias("id"))
     specials = spark.createDataFrame(list(zip(SPECIAL_TOKENS, range(len(SPECIAL_TOKENS)))), "token string, id long")
     return specials.unionByName(corpus)
@@ -95,9 +90,10 @@ def audio_id_array(vocab: DataFrame) -> list[int]:
 
 
 def _vocab_side(vocab: DataFrame, n_rows: int | None) -> DataFrame:
-    if n_rows is not None and n_rows <= BROADCAST_VOCAB_ROWS:
-        return F.broadcast(vocab)
-    return vocab
+    if n_rows is None or 16 * n_rows > BROADCAST_VOCAB_BYTES:
+        return vocab
+    size = vocab.agg(F.sum(F.octet_length("token") + 16)).first()[0] or 0
+    return F.broadcast(vocab) if size <= BROADCAST_VOCAB_BYTES else vocab
 
 
 def tokens_to_ids(df: DataFrame, key_col: str, tokens_col: str, vocab: DataFrame, out: str = "ids",
@@ -106,7 +102,8 @@ def tokens_to_ids(df: DataFrame, key_col: str, tokens_col: str, vocab: DataFrame
     Returns (key, ids), one row per input row, also where rows repeat a key; a row without tokens keeps an
     empty array.
 
-    ``vocab_rows`` (a checked count) enables the broadcast join; otherwise both sides shuffle.
+    ``vocab_rows`` (a checked count) allows the broadcast join where the vocabulary's bytes, which are summed
+    for it, are few enough; otherwise both sides shuffle.
     The token array is computed once: no join back to the input.
     """
     # the _outer form keeps empty rows and stops Catalyst re-deriving the array in a filter

@@ -6,6 +6,7 @@ from stratum.session import TABLES
 from tests.conftest import SMOKE
 
 NO_ORACLE = {"v2_kmeans", "v2b_init_codebook"}
+PLAIN = ["v2_kmeans_two_rounds", "j2_tokenise_series"]
 
 
 def test_entry_runs(spark):
@@ -41,5 +42,6 @@ def test_oracles_on_smoke_tables(spark):
     con = _duck()
     qs, orc = E.queries(), E.oracle_sql()
     for name in ["j1_quality_report", "p4_squash_ws", "t3_render_chat", "k6_pack_next_fit", "k4_pack_ffd",
-                 "v6_rvq_encode", "g3_overlap_add", "a1_quantised_cdf", "a4_topk_average", "g8_resample_series"]:
+                 "v6_rvq_encode", "g3_overlap_add", "a1_quantised_cdf", "a4_topk_average", "g8_resample_series", *PLAIN,
+                 "k5_gathered_ranks", "v8_codes_to_features", "s7_incremental_shards", "s3_overwrite_shards"]:
         assert _same(qs[name](spark, SMOKE), con, orc[name]), name

@@ -152,14 +152,6 @@ def test_row_equal_to_capacity_packs_alone(spark):
     assert (a.pack_id == full).sum() == 1 and len(a) == 3
 
 
-def test_vocab_cap_keeps_most_frequent(spark):
-    from stratum.operators import tokens as tk
-
-    texts = spark.createDataFrame([("a a a b b c",), ("a b d",)], "text string")
-    v = {r.token: r.id for r in tk.build_vocab(texts, max_vocab=2).collect()}
-    assert v == {"<|endoftext|>": 0, "<unk>": 1, "<|im_start|>": 2, "<|im_end|>": 3, "a": 4, "b": 5}
-
-
 def test_packing_reads_only_narrow_columns(spark):
     wide = spark.range(50).select(F.col("id").alias("seq_id"), F.lit(7).alias("length"),
                                   F.repeat(F.lit("x"), 1000).alias("payload"))

@@ -2,7 +2,9 @@ import io
 import os
 import tarfile
 import tempfile
+import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from stratum.sources import files as fs
@@ -104,3 +106,74 @@ def test_pack_corpus_job(spark):
     assert sum(r.n_rows for r in packs) == 30
     assert sum(len(r.input_ids) for r in packs) == sum(i + 1 for i in range(30))
     assert max(len(r.input_ids) for r in packs) <= 64
+
+
+def test_recogniser_runs_once_per_sample_and_records_stay_whole(spark, tmp_path):
+    import json
+
+    from stratum.plans.jobs import quality_filter_job
+    from stratum.sources import shards as sh
+
+    calls = str(tmp_path / "calls")
+    os.makedirs(calls)
+
+    def make():
+        def predict(batch):
+            for x in batch:
+                open(f"{calls}/{uuid.uuid4().hex}", "w").close()
+            return np.array([bytes(x).decode() for x in batch], dtype=object)
+
+        return predict
+
+    meta = [{"text": f"text {i}", "lang": "é", "n": i, "deep": {"a": [1, None, "x"]}, "pred": "old"} for i in range(40)]
+    rows = spark.createDataFrame([(str(i), {"json": json.dumps(m).encode(), "mp3": (m["text"] if i % 2 else "quite another").encode()})
+                                  for i, m in enumerate(meta)], "key string, members map<string,binary>")
+    sh.write_shards(rows, str(tmp_path / "in"), 10)
+    n = quality_filter_job(spark, sh.list_shards(spark, str(tmp_path / "in")), str(tmp_path / "out"), make, input_member="mp3", min_rows_per_file=7)
+    back = {r["key"]: r["members"] for r in sh.read_shards(spark, sh.list_shards(spark, str(tmp_path / "out"))).collect()}
+    assert len(os.listdir(calls)) == 40 and n == 2 and sorted(map(int, back)) == list(range(1, 40, 2))
+    for k, members in back.items():
+        want = meta[int(k)] | {"pred": f"text {k}", "cer": 0.0}
+        assert json.loads(bytes(members["json"])) == want and bytes(members["mp3"]).decode() == f"text {k}"
+
+
+def test_overwrite_minimum_rows_and_equal_bytes(spark, tmp_path):
+    from stratum.sources import files as fs
+    from stratum.sources import shards as sh
+
+    rows = spark.createDataFrame([(f"{i:03d}", {"txt": b"x" * i}) for i in range(101)], "key string, members map<string,binary>")
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    for path in (a, b, a):
+        sh.write_shards(rows, path, 10, order_col="key", overwrite=True)
+    names = sorted(os.listdir(a))
+    assert names == sorted(os.listdir(b)) and "_SUCCESS" in names and len(names) == 11
+    for x in names:
+        with open(f"{a}/{x}", "rb") as f, open(f"{b}/{x}", "rb") as g:
+            assert f.read() == g.read()
+    sh.write_shards(rows.limit(2), a, 10, overwrite=True)
+    assert sh.read_shards(spark, sh.list_shards(spark, a)).count() == 2
+    fs.write_jsonl(rows.select("key"), str(tmp_path / "j"), 10)
+    sizes = [sum(1 for _ in open(f"{tmp_path}/j/{x}")) for x in os.listdir(tmp_path / "j") if x.endswith(".json")]
+    assert len(sizes) == 10 and min(sizes) >= 10 and sum(sizes) == 101
+
+
+def test_one_more_row_changes_its_own_bucket_only(spark):
+    from stratum.operators import packing as pk
+
+    df = spark.range(500).selectExpr("id AS seq_id", "CAST(id * 37 % 900 + 1 AS INT) AS length")
+    more = df.unionByName(spark.createDataFrame([(10_000, 77)], "seq_id long, length int"))
+    a, b = ({(r["seq_id"], r["pack_id"]): r["bucket"] for r in pk.pack_next_fit(x, n_buckets=16).collect()} for x in (df, more))
+    assert len({bucket for k, bucket in b.items() if k not in a}) == 1
+
+
+def test_ranks_gather_apart_and_the_tail_is_reported(spark):
+    from stratum.operators import packing as pk
+
+    rows = spark.range(400).selectExpr("id AS seq_id", "sequence(1, CAST(id * 31 % 90 + 1 AS INT)) AS input_ids").selectExpr("*", "input_ids AS labels")
+    packed, tail = pk.split_tail(pk.pack_multifit(rows.selectExpr("seq_id", "size(input_ids) AS length"), 4, capacity=100, n_buckets=3))
+    packs = pk.materialise_packs(packed, rows, ["batch_id", "rank"]).collect()
+    assert max(len(r["input_ids"]) for r in packs) <= 100 and sum(r["n_rows"] for r in packs) + tail.count() == 400
+    batches = {}
+    for r in packs:
+        batches.setdefault(r["batch_id"], set()).add(r["rank"])
+    assert batches and all(v == {0, 1, 2, 3} for v in batches.values())
