@@ -112,92 +112,97 @@ def block_keys(grams: np.ndarray, t: Threshold) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
-class _Node:
-    __slots__ = ("part", "left", "least", "most", "children", "rows", "one", "mixed")
-
-    def __init__(self, part: np.ndarray):
-        self.part, self.left, self.least, self.most = part, 0, 1 << 62, 0
-        self.children: dict[bytes, _Node] = {}
-        self.rows: list[int] = []
-        self.one, self.mixed = -1, False
-
-
 class PrefixTree:
     """A trie of ordered n-gram sets; each level holds the part of a set in one LEVELS-th of the order's range, so
-    sets that begin alike share nodes. ``link`` finds similar sets: the overlap with a node's part is worked out once for
-    all sets below it, and a subtree is left when its overlap so far plus the shorter remaining length can't
-    reach what its smallest set needs, or when its sets are connected to the probe already."""
-
-    def __init__(self, t: Threshold):
-        self.t, self.root = t, _Node(np.zeros(0, np.uint64))
-        self.up: list[int] = []
-        self.sizes: list[int] = []
-        self.links: list[tuple[int, int]] = []
-
-    def add_row(self, grams: np.ndarray) -> tuple[int, list[np.ndarray]]:
-        row = len(self.up)
-        self.up.append(row)
-        self.sizes.append(len(grams))
-        cuts = np.searchsorted(grams, [np.uint64(k << 61) for k in range(1, LEVELS)])
-        return row, np.split(grams, cuts)
-
-    def _find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def insert(self, row: int, parts: list[np.ndarray]) -> None:
-        node, left = self.root, self.sizes[row]
-        for part in parts:
-            child = node.children.get(part.tobytes())
-            if child is None:
-                child = node.children[part.tobytes()] = _Node(part)
-            node, left = child, left - len(part)
-            node.left = max(node.left, left)
-            node.least, node.most = min(node.least, self.sizes[row]), max(node.most, self.sizes[row])
-            if node.one < 0:
-                node.one = row
-            elif not node.mixed and self._find(node.one) != self._find(row):
-                node.mixed = True
-        node.rows.append(row)
-
-    def link(self, row: int, parts: list[np.ndarray]) -> None:
-        size, t = self.sizes[row], self.t
-        after = np.cumsum([len(p) for p in parts[::-1]])[::-1].tolist()[1:] + [0]
-        stack = [(c, 0, 0) for c in self.root.children.values()]
-        while stack:
-            node, level, overlap = stack.pop()
-            if not node.mixed and self._find(node.one) == self._find(row):
-                continue
-            if node.most * t.den < size * t.num or size * t.den < node.least * t.num:
-                continue
-            mine = parts[level]
-            if len(mine) and len(node.part):
-                at = np.searchsorted(mine, node.part)
-                overlap += int(np.count_nonzero(mine[np.minimum(at, len(mine) - 1)] == node.part))
-            if overlap + min(after[level], node.left) < t.needed(size, node.least):
-                continue
-            if level + 1 < LEVELS:
-                stack.extend((c, level + 1, overlap) for c in node.children.values())
-                continue
-            for other in node.rows:
-                if self._find(other) != self._find(row) and t.enough(overlap, size, self.sizes[other]):
-                    self.links.append((row, other))
-                    self.up[self._find(row)] = self._find(other)
+    sets that begin alike share nodes. Rows are sorted by their parts, so a node is a range of rows on its level;
+    ``parts`` holds the n-grams of a level's nodes one after another."""
+
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray, cuts: np.ndarray):
+        """``sets``: sorted n-gram numbers; ``cuts``: per row where each level's part begins and the last one ends."""
+        keys = [tuple(g[i:j].tobytes() for i, j in zip(c, c[1:])) for g, c in zip(sets, cuts.tolist())]
+        self.order = np.array(sorted(range(len(sets)), key=keys.__getitem__), np.int64)
+        rows = self.order.tolist()
+        new = np.zeros(len(rows), bool)
+        self.first, self.last, self.parent, self.parts, self.part_at, self.left, self.least = [], [], [], [], [], [], []
+        size, above = sizes[self.order], np.zeros(len(rows), np.int64)
+        for level in range(LEVELS):
+            new = new | np.array([True] + [keys[x][level] != keys[y][level] for x, y in zip(rows[1:], rows)])
+            first = np.flatnonzero(new)
+            lead = [rows[k] for k in first]
+            part = [sets[r][cuts[r, level]:cuts[r, level + 1]] for r in lead]
+            self.first.append(first)
+            self.last.append(np.append(first[1:], len(rows)))
+            self.parent.append(above[first])
+            above = np.cumsum(new) - 1
+            self.parts.append(np.concatenate(part))
+            self.part_at.append(np.concatenate(([0], np.cumsum([len(x) for x in part]))))
+            self.left.append(np.maximum.reduceat(size - cuts[self.order, level + 1], first))
+            self.least.append(np.minimum.reduceat(size, first))
+
+    def overlaps(self, level: int, nodes: np.ndarray, mine: np.ndarray) -> np.ndarray:
+        """How many n-grams of each node's part are marked in ``mine``."""
+        at, end = self.part_at[level][nodes], self.part_at[level][nodes + 1]
+        if 2 * len(nodes) > len(self.first[level]):
+            total = np.concatenate(([0], np.cumsum(mine[self.parts[level]])))
+            return total[end] - total[at]
+        n = end - at
+        start = np.cumsum(n) - n
+        hit = mine[self.parts[level][np.arange(n.sum()) + np.repeat(at - start, n)]]
+        total = np.concatenate(([0], np.cumsum(hit)))
+        return total[start + n] - total[start]
 
 
 def _linked(ids: list[int], sets: list[np.ndarray], side: list[int], t: Threshold) -> list[tuple[int, int]]:
-    """Links that connect what similarity connects. Rows of side 0 are the tree's, those of side 1 only probe; without
-    any of side 1 every row does both."""
-    tree, cross = PrefixTree(t), 1 in side
-    rows = [tree.add_row(g) for g in sets]
-    for (row, parts), s in sorted(zip(rows, side), key=lambda x: x[1]):
-        if not cross or s == 1:
-            tree.link(row, parts)
-        if s == 0:
-            tree.insert(row, parts)
-    return [(ids[a], ids[b]) for a, b in tree.links]
+    """Links that connect what similarity connects. Rows of side 0 are the tree's; those of side 1 only probe it, and without
+    any of side 1 every row probes for those before it.
+
+    A probe goes down the levels with all nodes at once: the overlap with a node's part is worked out once for all sets below it. A
+    node is left when its overlap so far plus the shorter remaining length can't reach what its smallest set
+    needs, or when no set below it is of a possible size and not yet connected to the probe."""
+    if len(sets) < 2:
+        return []
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.array([len(g) for g in sets], np.int64)
+    ends = np.cumsum(sizes)
+    bounds = [np.uint64(k << 61) for k in range(1, LEVELS)]
+    cuts = np.stack([np.concatenate(([0], np.searchsorted(g, bounds), [len(g)])) for g in sets])
+    coded = [codes[e - n:e] for e, n in zip(ends, sizes)]
+    cross = 1 in side
+    own = np.flatnonzero(np.array(side) == 0)
+    if not len(own):
+        return []
+    tree = PrefixTree([coded[k] for k in own], sizes[own], cuts[own])
+    members = own[tree.order]
+    label = np.arange(len(sets))
+    mine = np.zeros(len(values), bool)
+    links: list[tuple[int, int]] = []
+    probes = [(k, len(members)) for k in np.flatnonzero(np.array(side) == 1)] if cross else [(k, i) for i, k in enumerate(members)]
+    for row, before in probes:
+        size = int(sizes[row])
+        other = sizes[members[:before]]
+        open_ = (label[members[:before]] != label[row]) & (other * t.den >= size * t.num) & (size * t.den >= other * t.num)
+        if not open_.any():
+            continue
+        reached = np.concatenate(([0], np.cumsum(open_), np.full(len(members) - before, open_.sum())))
+        mine[coded[row]] = True
+        alive, shared = np.ones(1, bool), np.zeros(1, np.int64)  # the root
+        for level in range(LEVELS):
+            nodes = np.flatnonzero(alive[tree.parent[level]])
+            nodes = nodes[reached[tree.last[level][nodes]] > reached[tree.first[level][nodes]]]
+            overlap = shared[tree.parent[level][nodes]] + tree.overlaps(level, nodes, mine)
+            left = np.minimum(size - cuts[row, level + 1], tree.left[level][nodes])
+            keep = overlap + left >= -(-t.num * (size + tree.least[level][nodes]) // (t.num + t.den))
+            alive, shared = np.zeros(len(tree.first[level]), bool), np.zeros(len(tree.first[level]), np.int64)
+            alive[nodes[keep]], shared[nodes[keep]] = True, overlap[keep]
+            if not keep.any():
+                break
+        mine[coded[row]] = False
+        for node in np.flatnonzero(alive):
+            for k in members[tree.first[-1][node]:tree.last[-1][node]] if level + 1 == LEVELS else []:
+                if label[k] != label[row] and t.enough(int(shared[node]), size, int(sizes[k])):
+                    links.append((ids[row], ids[k]))
+                    label[label == label[k]] = label[row]
+    return links
 
 
 def _shingled(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
