@@ -19,8 +19,9 @@ BLOCK_ROWS = 8192
 #: Vectors that the top of the tree is chosen from, and its most cells: what is broadcast is bounded by them.
 TOP_SAMPLE = 4096
 TOP_CELLS = 256
-#: Covering radii of the levels, each half of the one above; unit vectors lie within 2 of each other.
-RADII = (1.0, 0.5, 0.25, 0.125, 0.0625)
+#: Covering radii of the levels below the root, each half of the one above. The root covers all unit vectors (radius 2); a level of
+#: radius 1 is left out, since node pairs that wide are never far enough apart to be left.
+RADII = (0.5, 0.25, 0.125, 0.0625)
 _ROWS = 512
 _SLACK = 1e-9
 
@@ -131,16 +132,21 @@ class DualJoin:
         self.shift = 0 if self.same else len(a.x)
         self.label = np.arange(len(a.x) + len(self.counts[1]))
         if len(a.x) and len(self.b.x):
-            self._walk(0, np.arange(len(a.starts[0])), np.arange(len(self.b.starts[0])))
+            roots = np.arange(len(a.starts[0]))
+            self._walk(0, roots, roots if self.same else np.arange(len(self.b.starts[0])))
 
     def _walk(self, level: int, na: np.ndarray, nb: np.ndarray) -> None:
         a, b = self.a, self.b
         one_a, one_b = a.ends[level][na] - a.starts[level][na] == 1, b.ends[level][nb] - b.starts[level][nb] == 1
         rows_a, rows_b = a.starts[level][na[one_a]], b.starts[level][nb[one_b]]
-        centres = b.x[rows_b]
+        centres, half = b.x[rows_b], self.same and na is nb
         for k in range(0, len(rows_a), _ROWS):
-            i, j = np.nonzero(a.x[rows_a[k:k + _ROWS]] @ centres.T >= self.least)
-            self._pairs(rows_a[k:k + _ROWS][i], rows_b[j])
+            begin = k if half else 0  # rows against themselves: each pair once, counted both ways
+            i, j = np.nonzero(a.x[rows_a[k:k + _ROWS]] @ centres[begin:].T >= self.least)
+            if half:
+                i, j = i[i < j], j[i < j]
+                self._pairs(rows_b[begin + j], rows_a[k + i])
+            self._pairs(rows_a[k + i], rows_b[begin + j])
         if not one_b.all():
             self._wide(level, na, nb[~one_b])
         if not one_a.all() and one_b.any():
