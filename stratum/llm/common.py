@@ -31,7 +31,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/stratum-llm/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, mb: int = 8) -> None:
@@ -45,10 +54,10 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n_col: str,
     ``n_col`` of ``groups`` is the number of rows of the key. Keys with over max(HOT_FLOOR, total / HOT_SHARE)
     rows, HOT_SHARE of them at most whatever the data, are broadcast; their rows are then scattered by
     ``spread`` in the shuffle join that serves all the others. Null keys match nothing."""
-    total = groups.agg(F.sum(n_col)).first()[0] or 0
-    at = max(HOT_FLOOR, total // HOT_SHARE)
+    total, most = groups.agg(F.sum(n_col), F.max(n_col)).first()
+    at = max(HOT_FLOOR, (total or 0) // HOT_SHARE)
     vals = [c for c in groups.columns if c not in keys]
-    if not groups.where(F.col(n_col) > at).take(1):
+    if (most or 0) <= at:
         return rows.join(groups, keys, "left")
     hot = groups.where(F.col(n_col) > at).select(*keys, *[F.col(c).alias(f"_h_{c}") for c in vals], F.lit(True).alias("_hot"))
     cold = groups.where(F.col(n_col) <= at).withColumn("_salt", F.lit(0).cast("bigint"))
@@ -83,10 +92,10 @@ def with_flag(rows: DataFrame, flags: DataFrame, slot: Column, out: str) -> Data
         .withColumn(out, F.coalesce(F.getbit(byte, (pos % 8).cast("int")) == 1, F.lit(False))).drop("_slot", "_bucket", "_bits")
 
 
-def _min_neighbour(edges: DataFrame) -> DataFrame:
-    """(u, v) rows -> (u, v, m) with m the smallest v of u."""
-    mins = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n"))
-    return join_groups(edges, mins, ["u"], "_n", F.col("v")).select("u", "v", "m")
+def _min_neighbour(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, v) rows -> (u, v, m) with m the smallest v of u; and the table of these minima, which that reads."""
+    mins = materialise(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")), "cc-min")
+    return join_groups(edges, mins, ["u"], "_n", F.col("v")).select("u", "v", "m"), mins
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
@@ -100,14 +109,14 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     before = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _min_neighbour(both).select("u", "v", F.least("u", "m").alias("m")) \
-            .where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialise(large, "cc")
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        sm = _min_neighbour(down)
+        lm, large_mins = _min_neighbour(both)
+        large = materialise(lm.select("u", "v", F.least("u", "m").alias("m"))
+                            .where("v > u and v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")), "cc")
+        sm, small_mins = _min_neighbour(large)
         small = sm.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")) \
             .unionByName(sm.select("u", F.col("m").alias("v"))).distinct()
-        e = materialise(small, "cc")
+        old, e = e, materialise(small, "cc")
+        discard(old, large, large_mins, small_mins)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

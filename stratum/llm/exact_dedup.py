@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratum.llm.common import flag_filter, flag_slot, join_groups, materialise, text_or_empty, with_flag
 
+
 def _shared_slots(narrow: DataFrame) -> DataFrame:
     """Bitmaps of the (length, prefix hash) slots that more than one row falls into.
 
