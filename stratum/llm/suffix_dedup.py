@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratum.llm.common import flag_filter, flag_slot, materialise, small_batches, text_or_empty, with_flag
@@ -23,8 +24,9 @@ _BUCKETS, _LOW_BITS, _FLAG_BITS = 64, 40, 21
 PIECE_BYTES = 1 << 20
 BUCKET_BYTES = 24 << 20
 SAMPLE_DOCS = 2000
-HOT_SHARE = 20_000
-HOT_FLOOR = 2000
+#: A lead that comes in over 1 of HOT_SHARE suffixes (and HOT_FLOOR times) is hot: at most HOT_SHARE leads are broadcast.
+HOT_SHARE = 100_000
+HOT_FLOOR = 50_000
 _C = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x165667B19E3779F9))
 
 
@@ -182,7 +184,7 @@ def _repeating_leads(key, table):
     often = total > 1
     flags = np.zeros(1 << _FLAG_BITS, np.uint8)
     flags[values[head][often] >> np.uint64(_LOW_BITS - _FLAG_BITS)] = 1
-    hot = total >= HOT_FLOOR
+    hot = total >= max(HOT_FLOOR, int(total.sum()) // HOT_SHARE)
     lead = values[head][hot] | (np.uint64(key[0].as_py()) << np.uint64(_LOW_BITS))
     return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "flags": pa.array([np.packbits(flags).tobytes()], pa.binary()),
                      "hot": pa.array([lead.tobytes()], pa.binary()), "hot_n": pa.array([total[hot].astype(np.int64).tobytes()], pa.binary()),
@@ -224,7 +226,7 @@ _SENT = "bucket int, kind int, ids binary, digs binary, place binary, first bina
 
 
 def _send(rows: DataFrame, plan, n_buckets: int) -> DataFrame:
-    """What each batch can't settle alone, packed by bucket: kind 0 settled spans, kind 1 contexts by range of their
+    """What each batch can't settle alone, packed and compressed by bucket: kind 0 settled spans, kind 1 contexts by range of their
     lead, kind 2 strings around hot leads by hash.
 
     Strings that a smaller id of the batch has are covered at once. A suffix goes on only where it has the batch's
@@ -242,27 +244,34 @@ def _send(rows: DataFrame, plan, n_buckets: int) -> DataFrame:
             ids, digs, place, first, last, hot, ctx = (np.concatenate(x) for x in zip(*parts))
             covered, least = repeated(ctx, ids, first, last)
             out: list[tuple] = []
+            pack = zstandard.ZstdCompressor(level=3).compress
 
             def put(bucket, kind, rows, *cols):
-                order = np.argsort(bucket, kind="stable")
-                bucket, rows = bucket[order], rows[order]
-                cols = [c[order] for c in cols]
+                if (np.diff(bucket) < 0).any():
+                    order = np.argsort(bucket, kind="stable")
+                    bucket, rows, cols = bucket[order], rows[order], [c[order] for c in cols]
                 cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else []
                 for x, y in zip(cut, [*cut[1:], len(bucket)]):
-                    out.append((int(bucket[x]), kind, ids[rows[x:y]].astype(np.int64).tobytes(), digs[rows[x:y]].astype(np.int64).tobytes(),
-                                *[np.ascontiguousarray(c[x:y]).tobytes() for c in cols]))
+                    out.append((int(bucket[x]), kind, *[pack(np.ascontiguousarray(c).tobytes()) for c in (
+                        ids[rows[x:y]].astype(np.int64), digs[rows[x:y]].astype(np.int32), *[c[x:y] for c in cols])]))
 
             row, start, end = spans_of(covered, place)
             put((digs[row] % n_buckets).astype(np.int64), 0, row, start.astype(np.int32), end.astype(np.int32), np.zeros((len(row), 0), np.uint8), np.zeros((len(row), 0), np.uint8))
             cold = np.flatnonzero(~hot & least.any(1))
-            put(np.searchsorted(know.splitters, _leads(ctx[cold]), "right"), 1, cold, place[cold].astype(np.int32),
-                first[cold].astype(np.uint8), last[cold].astype(np.uint8), ctx[cold])
-            for back in range(_LEFT + 1):
-                rows = np.flatnonzero(hot & least[:, back])
-                if len(rows):
-                    h = _strings(ctx[rows], back)
-                    put((h[:, 0] % np.uint64(n_buckets)).astype(np.int64), 2, rows, (place[rows] - back).astype(np.int32),
-                        np.zeros((len(rows), 0), np.uint8), np.zeros((len(rows), 0), np.uint8), h)
+            leads = _leads(ctx[cold])
+            order = np.argsort(leads, kind="stable")
+            leads, cold = leads[order], cold[order]
+            at = np.arange(_CONTEXT)  # bytes that none of a suffix's strings reaches are blanked
+            used = (at >= _LEFT - first[cold, None]) & (at < _LEFT + LENGTH - last[cold, None])
+            put(np.searchsorted(know.splitters, leads, "right"), 1, cold, place[cold].astype(np.int32),
+                first[cold].astype(np.uint8), last[cold].astype(np.uint8), ctx[cold] * used)
+            if hot.any():
+                by = [np.flatnonzero(hot & least[:, back]) for back in range(_LEFT + 1)]
+                rows = np.concatenate(by)
+                h = np.concatenate([_strings(ctx[x], back) for back, x in enumerate(by)])
+                begin = place[rows] - np.repeat(np.arange(_LEFT + 1), [len(x) for x in by])
+                put((h[:, 0] % np.uint64(n_buckets)).astype(np.int64), 2, rows, begin.astype(np.int32),
+                    np.zeros((len(rows), 0), np.uint8), np.zeros((len(rows), 0), np.uint8), h)
             cols = list(zip(*out)) if out else [()] * 8
             types = (pa.int32(), pa.int32(), *[pa.binary()] * 6)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [x.split()[0] for x in _SENT.split(", ")])
@@ -275,12 +284,14 @@ def _settle(key, table):
     kinds = np.array(table.column("kind").to_pylist(), np.int64)
     cols = {n: table.column(n).to_pylist() for n in ("ids", "digs", "place", "first", "last", "data")}
 
+    unpack = zstandard.ZstdDecompressor().decompress
+
     def of(kind: int, name: str, dtype, width: int = 1) -> np.ndarray:
-        x = np.frombuffer(b"".join(cols[name][k] for k in np.flatnonzero(kinds == kind)), dtype)
+        x = np.frombuffer(b"".join(unpack(cols[name][k]) for k in np.flatnonzero(kinds == kind)), dtype)
         return x.reshape(-1, width) if width > 1 else x
 
     ids = [of(k, "ids", np.int64) for k in range(3)]
-    digs = [of(k, "digs", np.int64) for k in range(3)]
+    digs = [of(k, "digs", np.int32) for k in range(3)]
     place = of(1, "place", np.int32).astype(np.int64)
     covered, _ = repeated(of(1, "data", np.uint8, _CONTEXT), ids[1], of(1, "first", np.uint8), of(1, "last", np.uint8))
     row, start, end = spans_of(covered, place)
@@ -317,7 +328,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     part = rows.where(F.pmod(F.xxhash64(F.lit("splitters"), "dig"), F.lit(1 << 30)) < int(min(1.0, SAMPLE_DOCS / max(n_docs, 1)) * (1 << 30)) + 1)
     leads = np.sort(np.frombuffer(b"".join(bytes(r[0]) for r in part.mapInArrow(sample, "leads binary").collect()), f"S{LEAD}"))
     plan.splitters = np.unique(leads[np.arange(1, n_buckets) * len(leads) // n_buckets]) if len(leads) else leads
-    return _send(rows, spark.sparkContext.broadcast(plan), n_buckets).groupBy("bucket").applyInArrow(_settle, "id bigint, dig bigint, start int, end int")
+    return _send(rows, spark.sparkContext.broadcast(plan), n_buckets).groupBy("bucket").applyInArrow(_settle, "id bigint, dig int, start int, end int")
 
 
 def _merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
@@ -330,6 +341,11 @@ def _merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
+def _digest(text: Column) -> Column:
+    """31 bits of a hash that tell apart rows of one id."""
+    return F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col`` (a whole number), n_bytes, n_removed, n_spans, kept (the remaining bytes).
 
@@ -348,7 +364,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null texts count as empty. A null id counts as larger than all others; rows of one id don't cover each other; equal rows get equal
     results. An empty table gives an empty result."""
     order = F.coalesce(F.col(id_col).cast("bigint"), F.lit((1 << 63) - 1))
-    rows = docs.select(order.alias("id"), F.xxhash64(text_or_empty(text_col)).alias("dig"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(order.alias("id"), _digest(text_or_empty(text_col)).alias("dig"), text_or_empty(text_col).alias("text"))
     spans = materialise(repeated_spans(rows).groupBy("id", "dig").agg(
         F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")), "op6-spans")
     full = with_flag(docs.select(F.col(id_col).alias("_id"), order.alias("_order"), text_or_empty(text_col).alias("_text")),
@@ -367,7 +383,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r + len(k) for r, k in zip(removed, kept)], pa.int64()), pa.array(removed, pa.int64()),
                                               pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], ["_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    met = full.where("_flag").withColumn("_dig", F.xxhash64("_text")) \
+    met = full.where("_flag").withColumn("_dig", _digest(F.col("_text"))) \
         .join(spans, (F.col("_order") == F.col("id")) & (F.col("_dig") == F.col("dig")), "left").select("_id", "_text", "starts", "ends")
     changed = met.mapInArrow(cut, f"_id {docs.schema[id_col].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
     none = F.lit(0).cast("bigint")
