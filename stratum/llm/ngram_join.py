@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratum.llm.common import connected_components, flag_filter, flag_slot, join_groups, materialise, small_batches, text_or_empty, with_flag
@@ -158,15 +158,15 @@ class PrefixTree:
         return total[start + n] - total[start]
 
 
-def _linked(ids: list[int], sets: list[np.ndarray], side: list[int], t: Threshold) -> list[tuple[int, int]]:
-    """Links that connect what similarity connects. Rows of side 0 are the tree's; those of side 1 only probe it, and without
-    any of side 1 every row probes for those before it.
+def _probes(sets: list[np.ndarray], side: list[int], t: Threshold) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, all rows that it probes and is similar to), every similar pair once. Rows of side 0 are the tree's; those of side 1
+    only probe it, and without any of side 1 every row probes for those before it.
 
     A probe goes down the levels with all nodes at once: the overlap with a node's part is worked out once for all sets below it. A
     node is left when its overlap so far plus the shorter remaining length can't reach what its smallest set
-    needs, or when no set below it is of a possible size and not yet connected to the probe."""
+    needs, or when no set below it is of a possible size."""
     if len(sets) < 2:
-        return []
+        return
     values, codes = np.unique(np.concatenate(sets), return_inverse=True)
     sizes = np.array([len(g) for g in sets], np.int64)
     ends = np.cumsum(sizes)
@@ -176,17 +176,15 @@ def _linked(ids: list[int], sets: list[np.ndarray], side: list[int], t: Threshol
     cross = 1 in side
     own = np.flatnonzero(np.array(side) == 0)
     if not len(own):
-        return []
+        return
     tree = PrefixTree([coded[k] for k in own], sizes[own], cuts[own])
     members = own[tree.order]
-    label = np.arange(len(sets))
     mine = np.zeros(len(values), bool)
-    links: list[tuple[int, int]] = []
     probes = [(k, len(members)) for k in np.flatnonzero(np.array(side) == 1)] if cross else [(k, i) for i, k in enumerate(members)]
     for row, before in probes:
         size = int(sizes[row])
         other = sizes[members[:before]]
-        open_ = (label[members[:before]] != label[row]) & (other * t.den >= size * t.num) & (size * t.den >= other * t.num)
+        open_ = (other * t.den >= size * t.num) & (size * t.den >= other * t.num)
         if not open_.any():
             continue
         reached = np.concatenate(([0], np.cumsum(open_), np.full(len(members) - before, open_.sum())))
@@ -203,16 +201,41 @@ def _linked(ids: list[int], sets: list[np.ndarray], side: list[int], t: Threshol
             if not keep.any():
                 break
         mine[coded[row]] = False
-        for node in np.flatnonzero(alive):
-            for k in members[tree.first[-1][node]:tree.last[-1][node]] if level + 1 == LEVELS else []:
-                if label[k] != label[row] and t.enough(int(shared[node]), size, int(sizes[k])):
-                    links.append((ids[row], ids[k]))
-                    label[label == label[k]] = label[row]
-    return links
+        leaves = np.flatnonzero(alive)
+        if not len(leaves):
+            continue
+        at, held = tree.first[-1][leaves], tree.last[-1][leaves] - tree.first[-1][leaves]
+        at = np.arange(held.sum()) + np.repeat(at - np.cumsum(held) + held, held)
+        overlap = np.repeat(shared[leaves], held)[at < before]
+        found = members[at[at < before]]
+        found = found[t.den * overlap >= t.num * (size + sizes[found] - overlap)]
+        if len(found):
+            yield int(row), found
+
+
+def _linked(ids: list[int], sets: list[np.ndarray], side: list[int], t: Threshold) -> list[tuple[int, int]]:
+    """All links of ``_probes`` as pairs of ids."""
+    return [(ids[row], ids[k]) for row, found in _probes(sets, side, t) for k in found]
+
+
+def _counted(ids: np.ndarray, weights: np.ndarray, sets: list[np.ndarray], side: list[int], t: Threshold) -> pd.DataFrame:
+    """(x, y, w) of each set with links: its id, the first id that links reach from it, and the weights of all sets linked with it."""
+    total, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    for row, found in _probes(sets, side, t):
+        total[row] += weights[found].sum()
+        total[found] += weights[row]
+        joined = np.zeros(len(ids), bool)
+        joined[label[found]] = joined[label[row]] = True
+        label[joined[label]] = np.flatnonzero(joined)[0]
+    linked = total > 0
+    return pd.DataFrame({"x": ids[linked], "y": ids[label[linked]], "w": total[linked]}, dtype="int64")
 
 
 def _shingled(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
-    """(_id, n, sig, keys) of each (_id, _text) row: set size, 128-bit digest of the set (null if empty) and block keys."""
+    """(_id, n, sig, keys) of each (_id, _text) row: set size, 128-bit digest of the set (null if empty) and block keys; then
+    the further columns of ``docs``."""
+    more = docs.columns[2:]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, limit = Shingler(n), Threshold(*t)
         for b in batches:
@@ -222,30 +245,89 @@ def _shingled(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                 pa.ListArray.from_arrays(at, pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))], ["_id", "n", "sig", "keys"])
+                 pa.ListArray.from_arrays(at, pa.array(np.concatenate([*keys, np.zeros(0, np.int64)]))), *b.columns[2:]], ["_id", "n", "sig", "keys", *more])
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, f"_id {docs.schema['_id'].dataType.simpleString()}, n bigint, sig binary, keys array<bigint>")
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in more)
+    return docs.mapInArrow(run, f"_id {docs.schema['_id'].dataType.simpleString()}, n bigint, sig binary, keys array<bigint>{kinds}")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """(cid, grp, grams) of (_text, cid, sig, grp) rows whose text has that digest."""
+    """(cid, grp, rows, grams) of (_text, cid, sig, grp, rows) rows whose text has that digest."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
         for b in batches:
             sets = [shingler.ngrams(x).tobytes() for x in b.column(0).to_pylist()]
             mask = pa.array([xxhash.xxh3_128_digest(s) == d for s, d in zip(sets, b.column(2).to_pylist())], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(3), pa.array(sets, pa.binary())], ["cid", "grp", "grams"]).filter(mask)
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(3), b.column(4), pa.array(sets, pa.binary())], ["cid", "grp", "rows", "grams"]).filter(mask)
+
+    return docs.select("_text", "cid", "sig", "grp", "rows").mapInArrow(run, "cid bigint, grp bigint, rows bigint, grams binary")
 
-    return docs.select("_text", "cid", "sig", "grp").mapInArrow(run, "cid bigint, grp bigint, grams binary")
+
+def _families(rows: DataFrame, n: int, num: int, den: int, group_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``_shingled`` rows; their classes of equal sets (sig, rep, rep_hash, rows, cid); and the candidate classes' sets dealt into the
+    groups (grp, a, b) to be joined. ``rows`` has _id, _text and _hash."""
+    seen = materialise(_shingled(rows, n, (num, den)), "op5-sets")
+    least = F.min(F.struct(F.col("_id").isNull().alias("nil"), F.col("_id").alias("id"), F.col("_hash").alias("hash")))
+    classes = materialise(seen.where("sig is not null").groupBy("sig").agg(
+        least.alias("least"), F.count(F.lit(1)).alias("rows"), F.first("keys").alias("keys"))
+        .select("sig", F.col("least.id").alias("rep"), F.col("least.hash").alias("rep_hash"), "rows", "keys")
+        .withColumn("cid", F.monotonically_increasing_id()), "op5-classes")
+    keyed = classes.select("cid", F.explode("keys").alias("key"))
+    heads = keyed.groupBy("key").agg(F.min("cid").alias("head"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    stars = join_groups(keyed, materialise(heads, "op5-heads"), ["key"], "_n", F.col("cid")).where("head < cid").select("cid", "head")
+    groups = materialise(connected_components(stars, "cid", "head").select(F.col("node").alias("cid"), F.col("component").alias("grp")), "op5-groups")
+    wanted = materialise(groups.join(classes.select("cid", "rep", "sig", "rows"), "cid"), "op5-wanted")
+    texts = with_flag(rows.select("_id", "_text"), flag_filter(wanted, flag_slot(F.col("rep"))), flag_slot(F.col("_id")), "_flag").where("_flag").drop("_flag")
+    sets = _sets(texts.join(wanted, F.col("_id").eqNullSafe(F.col("rep"))), n)
+    sizes = wanted.groupBy("grp").agg(F.count(F.lit(1)).alias("_n"))
+    sets = join_groups(sets, sizes, ["grp"], "_n", F.col("cid")) \
+        .withColumn("_blocks", F.ceil(F.col("_n") / group_rows).cast("int")) \
+        .withColumn("_own", F.pmod(F.xxhash64("cid"), F.col("_blocks")).cast("int")) \
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))) \
+        .select("cid", "grp", "rows", "grams", F.least("_own", "_other").alias("a"), F.greatest("_own", "_other").alias("b"), "_own")
+    return seen, classes, sets
+
+
+def _group(key, pdf) -> tuple[pd.DataFrame, list[np.ndarray], list[int]]:
+    """A group's rows, one per class in order, their sets, and the sides of ``_probes``."""
+    pdf = pdf.drop_duplicates("cid").sort_values("cid")
+    cross = key[1] != key[2]
+    return pdf, [np.frombuffer(g, np.uint64) for g in pdf["grams"]], [int(cross and o == key[2]) for o in pdf["_own"]]
+
+
+def _rows(id_col: str, text_col: str) -> list[Column]:
+    text = text_or_empty(text_col)
+    return [F.col(id_col).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_hash")]
+
+
+def jaccard_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 4, den: int = 5,
+                  group_rows: int = GROUP_ROWS) -> DataFrame:
+    """The join's pairs: (sig_a, sig_b, id_a, id_b, rows_a, rows_b), one row per two different sets that are linked (see
+    ``jaccard_components``, whose ``sig`` gives the members of each): digest, smallest id and number of rows. Rows of one ``sig``
+    are linked too and not listed."""
+    _, classes, sets = _families(docs.select(*_rows(id_col, text_col)), n, num, den, group_rows)
+
+    def join(key, pdf):
+        pdf, grams, side = _group(key, pdf)
+        return pd.DataFrame(_linked(pdf["cid"].tolist(), grams, side, Threshold(num, den)), columns=["x", "y"], dtype="int64")
+
+    links = sets.groupBy("grp", "a", "b").applyInPandas(join, "x bigint, y bigint") \
+        .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    for c, to in (("x", "a"), ("y", "b")):
+        links = links.join(classes.select(F.col("cid").alias(c), F.col("sig").alias(f"sig_{to}"), F.col("rep").alias(f"id_{to}"),
+                                          F.col("rows").alias(f"rows_{to}")), c)
+    return links.select("sig_a", "sig_b", "id_a", "id_b", "rows_a", "rows_b")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 4, den: int = 5,
-                       group_rows: int = GROUP_ROWS) -> DataFrame:
-    """One row per input row: ``id_col``, n_shingles, component_id (smallest id reachable by links, its own included).
+                       group_rows: int = GROUP_ROWS, carry: dict[str, Column] | None = None) -> DataFrame:
+    """One row per input row: ``id_col``, n_shingles, n_links (how many other rows it is linked with), component_id (smallest id
+    reachable by links, its own included), kept, sig (digest of the set, null if empty), then ``carry``. ``kept`` marks the row of
+    a component with the smallest id, of several such the one with the smallest hash of the text; rows equal in both agree.
 
     Two documents are linked when the Jaccard similarity of their sets of word ``n``-grams is num / den or more. Every
-    such link counts; no pair is lost and none is judged by a sketch.
+    such link is verified and counted; no pair is lost and none is judged by a sketch. ``jaccard_pairs`` lists them.
 
     1. One pass over the texts gives each set's digest and block keys (``block_keys``, exact by the pigeonhole
        principle). Documents with equal sets form one class, so copies take no further work.
@@ -253,44 +335,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
        the join's groups, mostly real families of near copies.
     3. Only candidate texts are read again (a bounded bitmap filter keeps the others from the shuffle), one per class. Each
        group is joined by a ``PrefixTree``; groups beyond ``group_rows`` are dealt into blocks and joined for every
-       two blocks. The links are a spanning set of all links of the group.
+       two blocks. A group gives one row per class: the rows it is linked with there, and where its links lead.
     4. The links' connected components give the ids.
 
     N-grams are compared as 64-bit hashes. Null or wordless texts have n_shingles 0 and are linked with nothing. Rows
     that repeat an id are rows of their own, linked by their texts; a component of null ids only has component_id null, and a null-id
     row outside any component too. An empty table gives an empty result."""
-    rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
-    seen = materialise(_shingled(rows, n, (num, den)), "op5-sets")
-    classes = materialise(seen.where("sig is not null").groupBy("sig").agg(
-        F.min("_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("keys").alias("keys"))
-        .withColumn("cid", F.monotonically_increasing_id()), "op5-classes")
-    keyed = classes.select("cid", F.explode("keys").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("cid").alias("head"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    stars = join_groups(keyed, materialise(heads, "op5-heads"), ["key"], "_n", F.col("cid")).where("head < cid").select("cid", "head")
-    groups = materialise(connected_components(stars, "cid", "head").select(F.col("node").alias("cid"), F.col("component").alias("grp")), "op5-groups")
-    wanted = materialise(groups.join(classes.select("cid", "rep", "sig"), "cid"), "op5-wanted")
-    texts = with_flag(rows, flag_filter(wanted, flag_slot(F.col("rep"))), flag_slot(F.col("_id")), "_flag").where("_flag").drop("_flag")
-    sets = _sets(texts.join(wanted, F.col("_id").eqNullSafe(F.col("rep"))), n)
-    sizes = wanted.groupBy("grp").agg(F.count(F.lit(1)).alias("_n"))
-    sets = join_groups(sets, sizes, ["grp"], "_n", F.col("cid")) \
-        .withColumn("_blocks", F.ceil(F.col("_n") / group_rows).cast("int")) \
-        .withColumn("_own", F.pmod(F.xxhash64("cid"), F.col("_blocks")).cast("int")) \
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))) \
-        .select("cid", "grp", "grams", F.least("_own", "_other").alias("a"), F.greatest("_own", "_other").alias("b"), "_own")
+    carry = carry or {}
+    seen, classes, sets = _families(docs.select(*_rows(id_col, text_col), *[v.alias(k) for k, v in carry.items()]), n, num, den, group_rows)
 
     def join(key, pdf):
-        pdf = pdf.drop_duplicates("cid").sort_values("cid")
-        cross = key[1] != key[2]
-        links = _linked(pdf["cid"].tolist(), [np.frombuffer(g, np.uint64) for g in pdf["grams"]],
-                        [int(cross and o == key[2]) for o in pdf["_own"]], Threshold(num, den))
-        return pd.DataFrame(links, columns=["x", "y"], dtype="int64")
+        pdf, grams, side = _group(key, pdf)
+        return _counted(pdf["cid"].to_numpy(np.int64), pdf["rows"].to_numpy(np.int64), grams, side, Threshold(num, den))
 
-    links = sets.groupBy("grp", "a", "b").applyInPandas(join, "x bigint, y bigint")
+    links = materialise(sets.groupBy("grp", "a", "b").applyInPandas(join, "x bigint, y bigint, w bigint"), "op5-links")
     found = connected_components(links, "x", "y")
-    named = classes.select("cid", "sig", "rep", "rows").join(found.withColumnRenamed("node", "cid"), "cid", "left") \
-        .withColumn("component", F.coalesce("component", "cid"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("_n"))
-    named = join_groups(named, materialise(least, "op5-least"), ["component"], "_n", F.col("cid")).select("sig", "rows", "component_id")
-    out = join_groups(seen.select("_id", "n", "sig"), materialise(named, "op5-named"), ["sig"], "rows", F.col("_id"))
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"),
-                      F.when(F.col("sig").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
+    others = links.groupBy(F.col("x").alias("cid")).agg(F.sum("w").alias("w"))
+    named = classes.select("cid", "sig", "rep", "rep_hash", "rows").join(found.withColumnRenamed("node", "cid"), "cid", "left") \
+        .join(others, "cid", "left") \
+        .withColumn("component", F.coalesce("component", "cid")) \
+        .withColumn("n_links", F.coalesce("w", F.lit(0)) + F.col("rows") - 1)
+    first = F.min(F.struct(F.col("rep").isNull().alias("nil"), F.col("rep").alias("id"), F.col("rep_hash").alias("hash")))
+    least = named.groupBy("component").agg(first.alias("least"), F.count(F.lit(1)).alias("_n")) \
+        .select("component", F.col("least.id").alias("component_id"), F.col("least.hash").alias("kept_hash"), "_n")
+    named = join_groups(named, materialise(least, "op5-least"), ["component"], "_n", F.col("cid")).select("sig", "rows", "n_links", "component_id", "kept_hash")
+    out = join_groups(seen.drop("keys"), materialise(named, "op5-named"), ["sig"], "rows", F.col("_id"))
+    alone = F.col("sig").isNull()
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+                      F.when(alone, F.col("_id")).otherwise(F.col("component_id")).alias("component_id"),
+                      (alone | (F.col("_id").eqNullSafe(F.col("component_id")) & (F.col("_hash") == F.col("kept_hash")))).alias("kept"), "sig", *carry)

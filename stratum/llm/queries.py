@@ -86,7 +86,7 @@ def op8_mixing(spark, sf_dir):
 @query("op5_ngram_jaccard_join")
 def op5_ngram_jaccard_join(spark, sf_dir):
     docs = read_columns(spark, sf_dir, "documents", "doc_id", "text")
-    return ngram_join.jaccard_components(docs, n=3, num=90, den=100)
+    return ngram_join.jaccard_components(docs, n=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
 
 
 @query("op9_embedding_near_dedup")

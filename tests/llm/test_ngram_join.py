@@ -102,3 +102,28 @@ def test_edges(frame):
     rows = [(7, "a b c d e f"), (7, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (None, "x y"), (9, None), (5, long), (4, long + " end")]
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in N.jaccard_components(frame(rows)).collect()), key=str)
     assert got == sorted([(7, 2, 3), (7, 2, 3), (3, 2, 3), (None, 2, 3), (None, 1, None), (9, 0, 9), (5, 59996, 4), (4, 59997, 4)], key=str)
+
+
+@pytest.mark.parametrize("n,num,den,block", [(3, 90, 100, 4000), (5, 4, 5, 7)])
+def test_every_link_against_brute_force(frame, n, num, den, block):
+    rows = corpus(n) + [(9000, "one two"), (9001, "One  two")]
+    sets = {d: grams(t, n) for d, t in rows}
+
+    def linked(a, b):
+        both = len(a & b)
+        return bool(a and b) and den * both >= num * (len(a) + len(b) - both)
+
+    ids = sorted(sets)
+    want = {(x, y) for x in ids for y in ids if x < y and linked(sets[x], sets[y])}
+    out = N.jaccard_components(frame(rows), n=n, num=num, den=den, group_rows=block).collect()
+    assert {r["doc_id"]: r["n_links"] for r in out} == {d: sum(d in p for p in want) for d in ids}
+    assert sum(r["kept"] for r in out) == sum(r["doc_id"] == r["component_id"] for r in out)
+    members = {}
+    for r in out:
+        members.setdefault(r["sig"], []).append(r["doc_id"])
+    members.pop(None)
+    pairs = N.jaccard_pairs(frame(rows), n=n, num=num, den=den, group_rows=block).collect()
+    assert all((r["id_a"], r["rows_a"]) == (min(members[r["sig_a"]]), len(members[r["sig_a"]])) for r in pairs)
+    got = [(min(x, y), max(x, y)) for r in pairs for x in members[r["sig_a"]] for y in members[r["sig_b"]]]
+    got += [(x, y) for m in members.values() for x in m for y in m if x < y]
+    assert len(got) == len(set(got)) and set(got) == want
