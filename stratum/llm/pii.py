@@ -28,8 +28,8 @@ LOOSE = {
     "card": [r"(?<![0-9])[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{2,4}(?![0-9])"],
     "phone": [r"(?<![0-9+])\+?[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"],
 }
-#: A kind is looked for only in texts that match this.
-HINT = {"email": r"@|[(\[]at[)\]]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]", "phone": r"[0-9]{2}"}
+#: A kind is looked for only in texts that match this, which its base and loose patterns all imply.
+HINT = {"email": r"@|[(\[]at[)\]]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]", "phone": r"\+[0-9]|[0-9]{2}"}
 #: Every feature has a small fixed range, so all candidates of any corpus fall into at most their product of cells.
 RANGES = {"kind": 4, "digits": 8, "joint": 6, "check": 2, "before": 5, "after": 5, "context": 3}
 N_CELLS = 4 * 8 * 6 * 2 * 5 * 5 * 3

@@ -45,6 +45,15 @@ def test_base_spans_against_the_plain_patterns(frame):
         assert set(want) <= {tuple(x) for x in r["spans"]}
 
 
+def test_phones_without_adjacent_digits(frame):
+    texts = ["call +1 2 3 4 5 6 7 8 9 0", "+1-2-3-4-5-6-7-8-9-0", "(+1.2(3)4 5-6.7 8 9 0 1)", "+1 2 3 4 5 6 7 8 9"]
+    rows = {r["doc_id"]: r for r in pii.find_pii(frame(list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        want = brute(t)
+        assert [tuple(x) for x in rows[i]["base"]] == want
+        assert rows[i]["n_phone"] == (i < 3) == sum(k == "phone" for k, _, _ in want)
+
+
 def test_added_spans_and_calibration(frame):
     """Two cards side by side fail the base check; the trees learn the shape from single ones. Random numbers stay."""
     def card(i):
