@@ -40,11 +40,17 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5 with five words and a similarity of 0.8. The smallest id of each component stays; a null id stays too,
-    for it belongs to no component by its id."""
-    found = ngram_join.jaccard_components(docs.select("doc_id", "text"), n=5, num=4, den=5)
-    gone = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_kid")).distinct(), "pipeline-near")
-    return docs.join(gone, docs["doc_id"] == gone["_kid"], "left_anti").select(*docs.columns)
+    """Operator 5 with five words and a similarity of 0.8. One row of each component stays: the one with the smallest id (null
+    last), of several such the one with the smallest hash of the text, of equal rows any. Texts without words all stay."""
+    found = ngram_join.jaccard_components(docs.select("doc_id", "text"), n=5, num=4, den=5, carry={"_khash": F.xxhash64(text_or_empty("text"))})
+    keys = found.where("n_shingles > 0").groupBy(F.col("doc_id").alias("_kid"), "_khash") \
+        .agg(F.first("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows")).where("not _kept or _rows > 1")
+    keys = materialise(keys, "pipeline-near")
+    rows = docs.withColumn("_h", F.xxhash64(text_or_empty("text")))
+    match = rows["doc_id"].eqNullSafe(keys["_kid"]) & (rows["_h"] == keys["_khash"])
+    out = rows.join(keys, match, "left_anti").select(*docs.columns)
+    again = keys.where("_kept").select("_kid", "_khash")
+    return out if again.isEmpty() else out.unionByName(_kept_rows(docs, again, once=True))
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

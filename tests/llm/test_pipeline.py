@@ -65,3 +65,15 @@ def test_rates_take_effect(spark):
     again = P.mix_to_targets(spark, docs, SMALL)
     assert out.groupBy("doc_id").count().exceptAll(again.groupBy("doc_id").count()).count() == 0
     assert out.agg(F.count("*")).first()[0] > 0
+
+
+def test_near_copies_where_ids_repeat(frame, spark):
+    """Rows are dropped by id and text: what only shares an id with a near copy stays, and near copies that share an id don't."""
+    def words(k, end=""):
+        return " ".join(f"w{k}x{i}" for i in range(60)) + end
+
+    rows = [(1, words(1)), (5, words(1, " z")), (5, words(2)), (7, words(3)), (7, words(3, " z")), (7, words(4)), (8, words(4, " z")),
+            (None, words(5)), (None, words(5, " z")), (None, words(1, " y")), (9, words(6)), (9, words(6)), (10, ""), (10, ""), (None, None)]
+    out = P.drop_near_copies(spark, frame(rows), SMALL).collect()
+    kinds = sorted((str(r["doc_id"]), (r["text"] or "").split("x")[0]) for r in out)
+    assert kinds == sorted([("1", "w1"), ("5", "w2"), ("7", "w3"), ("7", "w4"), ("None", "w5"), ("9", "w6"), ("10", ""), ("10", ""), ("None", "")])
