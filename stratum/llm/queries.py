@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from stratum.llm import embedding_dedup, language_id, mixing, ngram_join, pii, suffix_dedup
 from stratum.llm import sentencepiece_codec as codec
 from stratum.llm.common import read_columns, text_or_empty
+from stratum.llm.embedding_whitening import whiten
 from stratum.llm.exact_dedup import exact_dedup
+from stratum.llm.fill_in_middle import cut_texts, restored
 from stratum.llm.sentencepiece_codec import normalised
 from stratum.llm.sharding import shard_documents
 from stratum.llm.token_count import count_tokens
@@ -98,3 +100,29 @@ def op9_embedding_near_dedup(spark, sf_dir):
 def op6_suffix_dedup(spark, sf_dir):
     rows = suffix_dedup.remove_repeats(read_columns(spark, sf_dir, "documents", "doc_id", "text"))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op12_fill_in_middle", oracle="""
+    WITH h AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+                      sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+    k AS (SELECT doc_id, t, n, CAST('0x' || substr(x, 1, 8) AS UBIGINT) % (n + 1) AS c1, CAST('0x' || substr(x, 9, 8) AS UBIGINT) % (n + 1) AS c2,
+                 CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                           OR CAST('0x' || substr(x, 17, 8) AS UBIGINT) % 100 >= 90 THEN 'plain'
+                      WHEN CAST('0x' || substr(x, 25, 8) AS UBIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+    c AS (SELECT doc_id, t, n, form, CAST(least(c1, c2) AS BIGINT) AS a, CAST(greatest(c1, c2) AS BIGINT) AS b FROM k),
+    p AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM c)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                            ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+           sha256(t) AS restored_sha256
+    FROM p""")
+def op12_fill_in_middle(spark, sf_dir):
+    rows = cut_texts(read_columns(spark, sf_dir, "documents", "doc_id", "text"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+@query("op13_embedding_whitening")
+def op13_embedding_whitening(spark, sf_dir):
+    rows = whiten(read_columns(spark, sf_dir, "embeddings", "vec_id", "embedding"), components=4)
+    return rows.withColumn("deviation", F.col("deviation").try_cast("bigint"))  # null where it leaves the contract's type
