@@ -60,7 +60,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n_col: str,
     if (most or 0) <= at:
         return rows.join(groups, keys, "left")
     hot = groups.where(F.col(n_col) > at).select(*keys, *[F.col(c).alias(f"_h_{c}") for c in vals], F.lit(True).alias("_hot"))
-    cold = groups.where(F.col(n_col) <= at).withColumn("_salt", F.lit(0).cast("bigint"))
+    # 0 for every key, but not a literal: a constant would leave the join's keys and with it the rows' hash partitioning
+    cold = groups.where(F.col(n_col) <= at).withColumn("_salt", F.least(F.col(n_col), F.lit(0)).cast("bigint"))
     left = rows.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(1 << 20)) + 1).otherwise(F.lit(0).cast("bigint")))
     out = left.join(cold, [*keys, "_salt"], "left")
@@ -71,9 +72,14 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n_col: str,
 FLAG_SLOTS = 128 * 32768
 
 
-def flag_slot(*cols: Column) -> Column:
+def flag_slots(n_keys: int, most: int = 1 << 29) -> int:
+    """Flags for ``n_keys`` keys: 16 or more a key, so few false hits, in ``most`` flags (64 MB) at most."""
+    return min(most, max(FLAG_SLOTS, 1 << (16 * n_keys).bit_length()))
+
+
+def flag_slot(*cols: Column, slots: int = FLAG_SLOTS) -> Column:
     """The flag that a key falls into."""
-    return F.pmod(F.xxhash64(*cols), F.lit(FLAG_SLOTS))
+    return F.pmod(F.xxhash64(*cols), F.lit(slots))
 
 
 def flag_filter(keys: DataFrame, slot: Column) -> DataFrame:

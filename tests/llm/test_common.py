@@ -28,3 +28,19 @@ def test_join_groups_with_and_without_hot_keys(spark, monkeypatch):
         monkeypatch.setattr(C, "HOT_FLOOR", floor)
         got = C.join_groups(rows, groups, ["k"], "n", F.col("id")).select("id", "k", "n", "top").collect()
         assert sorted(got, key=str) == want
+
+
+def test_hot_rows_are_dealt_by_the_salt(spark, monkeypatch):
+    """The small side's salt must not fold into a constant: the rows' exchange has to hash it too."""
+    monkeypatch.setattr(C, "HOT_FLOOR", 10)
+    rows = C.materialise(spark.range(400).selectExpr("if(id < 200, 0, id) as k", "id"), "test-rows")
+    groups = C.materialise(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "test-groups")
+    out = C.join_groups(rows, groups, ["k"], "n", F.col("id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [line for line in plan.splitlines() if "hashpartitioning" in line]
+    assert dealt and all("_salt" in line for line in dealt), plan
+    assert sorted((r["id"], r["n"]) for r in out.collect()) == [(i, 200 if i < 200 else 1) for i in range(400)]
