@@ -13,6 +13,7 @@ from stratum.llm.fill_in_middle import cut_texts, restored
 from stratum.llm.sentencepiece_codec import normalised
 from stratum.llm.sharding import shard_documents
 from stratum.llm.token_count import count_tokens
+from stratum.llm.warc import read_archives, write_archives
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +127,17 @@ def op12_fill_in_middle(spark, sf_dir):
 def op13_embedding_whitening(spark, sf_dir):
     rows = whiten(read_columns(spark, sf_dir, "embeddings", "vec_id", "embedding"), components=4)
     return rows.withColumn("deviation", F.col("deviation").try_cast("bigint"))  # null where it leaves the contract's type
+
+
+@query("op11_warc", oracle="""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS t, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+    g AS (SELECT page_id, n, sha1(t) AS payload_digest, max(page_id) OVER (PARTITION BY t) AS last FROM p)
+    SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, payload_digest,
+           CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to
+    FROM g""")
+def op11_warc(spark, sf_dir):
+    pages = read_columns(spark, sf_dir, "pages", "page_id", "url", "html")
+    kind = pages.schema["page_id"].dataType
+    return read_archives(write_archives(pages)).select(
+        F.col("row_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
