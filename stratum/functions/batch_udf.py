@@ -54,7 +54,7 @@ def map_rows(df: DataFrame, cls: type, schema: str) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
-def make_tokenise_fn(vocab: DataFrame, use_chat_template: bool = True, vocab_rows: int | None = None):
+def make_tokenise_fn(vocab: DataFrame, use_chat_template: bool = True):
     """The corpus format function ``text, codes -> input_ids, labels, length`` bound to a
     vocabulary, as a DataFrame -> DataFrame function (partitions replace worker processes)."""
     from stratum.functions import text as tx
@@ -62,20 +62,16 @@ def make_tokenise_fn(vocab: DataFrame, use_chat_template: bool = True, vocab_row
 
     audio = tk.audio_id_array(vocab)
     boa = audio[0]
-    n_vocab = vocab_rows if vocab_rows is not None else vocab.count()
 
     def fn(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", codes_col: str = "codes") -> DataFrame:
         st = tx.strip_text(F.col(text_col))
         if use_chat_template:
             chat = tx.render_chat(st, tx.render_codes(F.col(codes_col)))
-            rows = tk.tokens_to_ids(df.select(key_col, tk.tokenize(chat).alias("_toks")), key_col, "_toks", vocab,
-                                    out="input_ids", vocab_rows=n_vocab)
+            rows = tk.tokens_to_ids(df.select(key_col, tk.tokenize(chat).alias("_toks")), "_toks", vocab, out="input_ids")
             rows = rows.withColumn("labels", tk.sft_labels("input_ids", boa))
         else:
-            rows = tk.tokens_to_ids(df.select(key_col, tk.tokenize(st).alias("_toks")), key_col, "_toks",
-                                    vocab, out="_text_ids", vocab_rows=n_vocab)
-            rows = rows.join(df.select(key_col, codes_col), key_col)
-            rows = rows.withColumn("input_ids", F.concat("_text_ids", tk.code_ids(codes_col, audio)))
+            rows = tk.tokens_to_ids(df.select(key_col, F.col(codes_col).alias("_codes"), tk.tokenize(st).alias("_toks")), "_toks", vocab, out="_text_ids")
+            rows = rows.select(key_col, F.concat("_text_ids", tk.code_ids("_codes", audio)).alias("input_ids"))
             rows = rows.withColumn("labels", tk.pretrain_labels("input_ids", boa))
         return rows.select(key_col, "input_ids", "labels", F.size("input_ids").alias("length"))
 

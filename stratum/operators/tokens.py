@@ -8,13 +8,14 @@ audio tokens are appended after every text token (so the label rules hold, see T
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratum import constants as C
-from stratum.operators.common import spread
+from stratum.operators.common import join_counted, write_once
 from stratum.operators.ordering import global_rank
-from stratum.session import checkpoint_dir
 
 TOKEN_PATTERN = r"<\|[A-Za-z0-9_]+\|>|[^ \t\n\r\f\x0b<]+|<"
 MARKUP_PATTERN = r"^<\|[A-Za-z0-9_]+\|>$"
@@ -24,7 +25,7 @@ SPECIAL_TOKENS = ("<|endoftext|>", "<unk>", "<|im_start|>", "<|im_end|>")
 PAD_ID = 0
 UNK_ID = 1
 
-# A vocabulary up to this many bytes (tokens and ids) is broadcast for the id look-up; larger ones are shuffled.
+# Up to this many bytes (tokens and ids) of a vocabulary, its commonest tokens first, every worker holds as a dictionary.
 BROADCAST_VOCAB_BYTES = 64 << 20
 
 
@@ -34,21 +35,22 @@ def tokenize(c) -> Column:
     return F.regexp_extract_all(col, F.lit(TOKEN_PATTERN), 0)
 
 
-def audio_tokens(spark) -> DataFrame:
-    """The audio token list in order: begin, end, then code 0..4095 (``ordinal`` 0..4097)."""
-    codes = spark.range(C.CODE_VOCAB_SIZE).select(
-        (F.col("id") + 2).alias("ordinal"),
-        F.concat(F.lit(C.CODE_TEMPLATE_PREFIX), F.col("id").cast("string"), F.lit(C.CODE_TEMPLATE_SUFFIX))
-        .alias("token"))
-    marks = spark.createDataFrame([(0, C.BOA_TOKEN), (1, C.EOA_TOKEN)], "ordinal long, token string")
-    return marks.unionByName(codes)
+def audio_token_list() -> list[str]:
+    """The audio tokens in order: begin, end, then code 0..4095."""
+    return [C.BOA_TOKEN, C.EOA_TOKEN, *[f"{C.CODE_TEMPLATE_PREFIX}{i}{C.CODE_TEMPLATE_SUFFIX}" for i in range(C.CODE_VOCAB_SIZE)]]
+
+
+def _audio_ids(vocab: DataFrame) -> dict[str, int]:
+    """Ids of the audio tokens that ``vocab`` holds (bounded: 4098)."""
+    audio = vocab.sparkSession.createDataFrame([(t,) for t in audio_token_list()], "token string")
+    return dict(vocab.select("token", "id").join(F.broadcast(audio), "token", "left_semi").collect())
 
 
 def build_vocab(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """T6 (vocabulary half): (token, id). Specials get 0..3, corpus tokens follow by count desc,
     token asc. Markup tokens ``<|...|>`` are not corpus tokens (they come from T4 or the specials). Every
     corpus token is in it."""
-    toks = spread(texts).select(tokenize(F.col(text_col)).alias("_toks"))
+    toks = texts.select(tokenize(F.col(text_col)).alias("_toks"))
     return build_vocab_from_tokens(toks, "_toks")
 
 
@@ -56,10 +58,10 @@ def build_vocab_from_tokens(df: DataFrame, tokens_col: str) -> DataFrame:
     """``build_vocab`` over an already tokenized column (array<string>)."""
     spark = df.sparkSession
     toks = df.select(F.explode_outer(tokens_col).alias("token")).where(F.col("token").isNotNull())
-    counts = (toks.where(~F.col("token").rlike(MARKUP_PATTERN))
+    markup = F.startswith("token", F.lit("<|")) & F.col("token").rlike(MARKUP_PATTERN)  # the pattern only where it can match
+    counts = (toks.where(~markup)
               .groupBy("token").agg(F.count(F.lit(1)).alias("_n")))
-    checkpoint_dir(spark)
-    counts = counts.checkpoint(eager=True)  # the corpus is tokenised once; counting and ranking read this
+    counts = write_once(counts, "token-counts")  # the corpus is tokenised once; counting and ranking read this
     ranked = global_rank(counts, [F.col("_n").desc(), F.col("token")])
     corpus = ranked.select("token", (F.col("_rank") + len(SPECIAL_TOKENS)).cast("bigint").alias("id"))
     specials = spark.createDataFrame(list(zip(SPECIAL_TOKENS, range(len(SPECIAL_TOKENS)))), "token string, id long")
@@ -67,52 +69,152 @@ def build_vocab_from_tokens(df: DataFrame, tokens_col: str) -> DataFrame:
 
 
 def expand_vocab(vocab: DataFrame) -> DataFrame:
-    """T4: append the audio tokens that are not in ``vocab`` (anti join), in list order, with
-    ids max(id)+1, max(id)+2, ... The audio list is bounded (4098 rows)."""
-    spark = vocab.sparkSession
-    from pyspark.sql import Window
-
-    missing = audio_tokens(spark).join(vocab.select("token"), "token", "left_anti")
+    """T4: append the audio tokens that are not in ``vocab``, in list order, with ids max(id)+1, max(id)+2, ... The
+    audio list is bounded (4098 rows), and so is what the driver learns of the vocabulary."""
     top = vocab.agg(F.max("id")).first()[0]  # one scalar
-    w = Window.orderBy("ordinal")  # 4098 rows at most
-    added = missing.select("token", (F.lit(top) + F.row_number().over(w)).cast("bigint").alias("id"))
+    held = _audio_ids(vocab)
+    missing = [t for t in audio_token_list() if t not in held]
+    first = -1 if top is None else top
+    added = vocab.sparkSession.createDataFrame([(t, first + 1 + i) for i, t in enumerate(missing)], "token string, id bigint")
     return vocab.unionByName(added)
 
 
 def audio_id_array(vocab: DataFrame) -> list[int]:
     """Ids of begin, end and code 0..4095 as a Python list (bounded: 4098 values)."""
-    spark = vocab.sparkSession
-    rows = (audio_tokens(spark).join(vocab, "token", "inner").select("ordinal", "id")
-            .orderBy("ordinal").collect())
-    if len(rows) != C.CODE_VOCAB_SIZE + 2:
+    held = _audio_ids(vocab)
+    if len(held) != C.CODE_VOCAB_SIZE + 2:
         raise ValueError("vocabulary lacks audio tokens; run expand_vocab first")
-    return [int(r["id"]) for r in rows]
-
-
-def _vocab_side(vocab: DataFrame, n_rows: int | None) -> DataFrame:
-    if n_rows is None or 16 * n_rows > BROADCAST_VOCAB_BYTES:
-        return vocab
-    size = vocab.agg(F.sum(F.octet_length("token") + 16)).first()[0] or 0
-    return F.broadcast(vocab) if size <= BROADCAST_VOCAB_BYTES else vocab
-
-
-def tokens_to_ids(df: DataFrame, key_col: str, tokens_col: str, vocab: DataFrame, out: str = "ids",
-                  vocab_rows: int | None = None) -> DataFrame:
-    """T5: look every token up (equi join), unknown -> <unk>, re-assemble in token order.
-    Returns (key, ids), one row per input row, also where rows repeat a key; a row without tokens keeps an
-    empty array.
-
-    ``vocab_rows`` (a checked count) allows the broadcast join where the vocabulary's bytes, which are summed
-    for it, are few enough; otherwise both sides shuffle.
-    The token array is computed once: no join back to the input.
-    """
-    # the _outer form keeps empty rows and stops Catalyst re-deriving the array in a filter
-    exploded = spread(df).select(F.monotonically_increasing_id().alias("_row"), key_col, tokens_col) \
-        .select("_row", key_col, F.posexplode_outer(tokens_col).alias("_pos", "token"))
-    joined = exploded.join(_vocab_side(vocab, vocab_rows), "token", "left")
-    item = F.when(F.col("token").isNotNull(), F.struct("_pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")))
-    ids = joined.groupBy("_row", key_col).agg(F.array_sort(F.collect_list(item)).alias("_s"))
-    return ids.select(key_col, F.transform("_s", lambda s: s["id"]).alias(out))
+    return [int(held[t]) for t in audio_token_list()]
+
+
+_dictionaries: dict = {}
+
+
+def _dictionary(shared: tuple) -> dict:
+    """Token -> id of a named, broadcast Arrow table, built once per Python worker (the last vocabulary is kept)."""
+    import pyarrow as pa
+
+    name, table = shared
+    if name not in _dictionaries:
+        t = pa.ipc.open_stream(table.value).read_all()
+        _dictionaries.clear()
+        _dictionaries[name] = dict(zip(t["token"].to_pylist(), t["id"].to_pylist()))
+    return _dictionaries[name]
+
+
+def _share(vocab: DataFrame) -> tuple:
+    """The vocabulary as a name and a broadcast variable in Arrow's form; its bytes were checked before."""
+    import pyarrow as pa
+
+    table = vocab.select("token", F.col("id").cast("bigint").alias("id")).toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return uuid.uuid4().hex, vocab.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+
+def head_of_vocab(vocab: DataFrame, limit: int, steps: int = 4096) -> int | None:
+    """None if the vocabulary's bytes are at most ``limit``; else an id below which they are. Ids follow frequency, so those below
+    it are the commonest tokens."""
+    size = F.octet_length("token") + 16
+    total, top = vocab.agg(F.sum(size), F.max("id")).first()
+    if (total or 0) <= limit:
+        return None
+    step = top // steps + 1
+    parts = vocab.groupBy(F.floor(F.col("id") / step).cast("bigint").alias("part")).agg(F.sum(size).alias("n")).collect()  # ``steps`` rows
+    held, cut = 0, 0
+    for r in sorted(parts, key=lambda r: r["part"]):
+        held += r["n"]
+        if held > limit:
+            break
+        cut = (r["part"] + 1) * step
+    return cut
+
+
+def _look_up(df: DataFrame, tokens_col: str, shared, out: str, misses: str | None) -> DataFrame:
+    """``df`` with the ids of ``tokens_col`` in its place, row by row: the tokens of an Arrow batch are dictionary-encoded, each
+    distinct one is looked up once, and the ids go back by the list's own offsets. With ``misses``, also
+    the (position, token) pairs that the dictionary lacks."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark.sql import types as T
+
+    at = df.columns.index(tokens_col)
+    kept = [c for c in df.columns if c != tokens_col]
+    fields = [df.schema[c] for c in kept] + [T.StructField(out, T.ArrayType(T.LongType()))]
+    if misses:
+        fields.append(T.StructField(misses, T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("token", T.StringType())]))))
+
+    def run(batches):
+        ids = _dictionary(shared)
+        for b in batches:
+            lists = b.column(at)
+            n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(n)])
+            code = lists.flatten().dictionary_encode()
+            known = np.array([ids.get(t, -1) for t in code.dictionary.to_pylist()], np.int64)
+            flat = known[code.indices.to_numpy()] if len(code) else np.zeros(0, np.int64)
+            offsets = pa.array(ends, pa.int32())
+            cols = [c for i, c in enumerate(b.columns) if i != at]
+            cols.append(pa.ListArray.from_arrays(offsets, pa.array(np.where(flat < 0, UNK_ID, flat))))
+            if misses:
+                lost = np.flatnonzero(flat < 0)
+                row = np.searchsorted(ends, lost, side="right") - 1
+                pairs = pa.StructArray.from_arrays([pa.array(lost - ends[row], pa.int32()), code.take(pa.array(lost)).dictionary_decode()],
+                                                   ["pos", "token"])
+                cols.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(lost, ends), pa.int32()), pairs))
+            yield pa.RecordBatch.from_arrays(cols, [f.name for f in fields])
+
+    return df.mapInArrow(run, T.StructType(fields))
+
+
+def _fill(rows: DataFrame, ids_col: str, found_col: str) -> DataFrame:
+    """``rows`` with the (pos, id) pairs of ``found_col`` written over ``ids_col``."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark.sql import types as T
+
+    ids_at, found_at = rows.columns.index(ids_col), rows.columns.index(found_col)
+    schema = T.StructType([f for f in rows.schema if f.name != found_col])
+
+    def run(batches):
+        for b in batches:
+            ids, found = b.column(ids_at), b.column(found_at)
+            starts = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy())])
+            flat = ids.flatten().to_numpy(zero_copy_only=False).copy()
+            row = np.repeat(np.arange(len(b)), pc.fill_null(pc.list_value_length(found), 0).to_numpy())
+            pairs = found.flatten()
+            flat[starts[row] + pairs.field("pos").to_numpy()] = pairs.field("id").to_numpy()
+            new = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat))
+            cols = [new if i == ids_at else c for i, c in enumerate(b.columns) if i != found_at]
+            yield pa.RecordBatch.from_arrays(cols, schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def tokens_to_ids(df: DataFrame, tokens_col: str, vocab: DataFrame, out: str = "ids", limit: int | None = None) -> DataFrame:
+    """T5: ``df`` with ``tokens_col`` replaced by ``out``, the tokens' ids in token order; unknown -> <unk>. All other columns
+    stay with their row, so nothing is joined back. Null arrays count as empty, null tokens are left out.
+
+    ``vocab`` (token, id, by falling frequency) is best a written table. Up to ``limit`` bytes (default BROADCAST_VOCAB_BYTES;
+    summed first) it becomes a dictionary that every worker holds, and the look-up is one map stage. Of a larger vocabulary the
+    commonest tokens up to the limit are looked up that way, so the tokens that make up most of a corpus never leave their row; the
+    rest are counted, resolved once per distinct token and joined to their positions, tokens that are still common (such as a repeated unknown one)
+    by broadcast."""
+    tokens = df.withColumn(tokens_col, F.array_compact(tokens_col))
+    cut = head_of_vocab(vocab, BROADCAST_VOCAB_BYTES if limit is None else limit)
+    if cut is None:
+        return _look_up(tokens, tokens_col, _share(vocab), out, None)
+    looked = _look_up(tokens, tokens_col, _share(vocab.where(F.col("id") < cut)), out, "_miss")
+    rows = write_once(looked.withColumn("_row", F.monotonically_increasing_id()), "token-rows")
+    miss = write_once(rows.select("_row", F.explode("_miss").alias("_m")).select("_row", "_m.pos", "_m.token"), "token-misses")
+    tail = miss.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).join(vocab.where(F.col("id") >= cut).select("token", "id"), "token")
+    ids = join_counted(miss, write_once(tail, "token-tail"), "token", "_n")
+    found = ids.groupBy("_row").agg(F.collect_list(F.struct("pos", F.col("id").cast("bigint").alias("id"))).alias("_found"))
+    whole = rows.drop("_miss").join(found, "_row", "left").drop("_row")
+    return _fill(whole, out, "_found")
 
 
 def code_ids(codes, audio_ids: list[int]) -> Column:

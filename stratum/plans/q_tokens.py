@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stratum import fixtures as fx
 from stratum.functions import text as tx
 from stratum.operators import tokens as tk
-from stratum.operators.common import spread
+from stratum.operators.common import spread, write_once
 from stratum.plans import sql as S
 from stratum.plans.registry import query
 from stratum.session import table
@@ -92,33 +92,24 @@ def _chat_frame(spark, sf_dir):
 
 def _vocab(spark, sf_dir, chat=None):
     chat = chat if chat is not None else _chat_frame(spark, sf_dir)
-    v = tk.expand_vocab(tk.build_vocab(chat, "chat"))
-    return v  # corpus part already checkpointed by global_rank; the audio part is 4098 generated rows
-
-
-def _vocab_rows(v):
-    return v.count()
+    return write_once(tk.expand_vocab(tk.build_vocab(chat, "chat")), "vocab")
 
 
 def pretrain_rows(spark, sf_dir):
     chat = _chat_frame(spark, sf_dir)
     v = _vocab(spark, sf_dir, chat)
     audio = tk.audio_id_array(v)
-    boa = audio[0]
-    rows = tk.tokens_to_ids(chat.select("doc_id", tk.tokenize("stext").alias("toks")),
-                            "doc_id", "toks", v, out="text_ids", vocab_rows=_vocab_rows(v))
-    rows = rows.join(fx.utterances(spark, sf_dir).select("doc_id", "codes"), "doc_id")
+    rows = tk.tokens_to_ids(chat.select("doc_id", "codes", tk.tokenize("stext").alias("toks")), "toks", v, out="text_ids")
     ids = F.concat("text_ids", tk.code_ids("codes", audio))
-    return rows.select("doc_id", ids.alias("input_ids")).withColumn("labels", tk.pretrain_labels("input_ids", boa))
+    return rows.select("doc_id", ids.alias("input_ids")).withColumn("labels", tk.pretrain_labels("input_ids", audio[0]))
 
 
 def sft_rows(spark, sf_dir):
     chat = _chat_frame(spark, sf_dir)
     v = _vocab(spark, sf_dir, chat)
     boa = tk.audio_id_array(v)[0]
-    rows = tk.tokens_to_ids(chat.select("doc_id", tk.tokenize("chat").alias("toks")), "doc_id", "toks", v,
-                            out="input_ids", vocab_rows=_vocab_rows(v))
-    return rows.select("doc_id", "input_ids").withColumn("labels", tk.sft_labels("input_ids", boa))
+    rows = tk.tokens_to_ids(chat.select("doc_id", tk.tokenize("chat").alias("toks")), "toks", v, out="input_ids")
+    return rows.withColumn("labels", tk.sft_labels("input_ids", boa))
 
 
 # ---------------------------------------------------------------- queries
@@ -176,7 +167,7 @@ def t5_token_to_id(spark, sf_dir):
     """Look-up of text the vocabulary was not built from (benchmark items): unknown -> <unk>."""
     v = _vocab(spark, sf_dir)
     b = table(spark, sf_dir, "benchmark").select("item_id", tk.tokenize("text").alias("toks"))
-    r = tk.tokens_to_ids(b, "item_id", "toks", v, vocab_rows=_vocab_rows(v))
+    r = tk.tokens_to_ids(b, "toks", v)
     return r.select("item_id", F.size("ids").cast("bigint").alias("n_tokens"),
                     F.size(F.filter("ids", lambda x: x == tk.UNK_ID)).cast("bigint").alias("n_unk"),
                     _ids_md5("ids").alias("ids_md5"))
@@ -187,8 +178,7 @@ SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_tokens, md5(array_to_string(ids, ',
 def t6_text_to_ids(spark, sf_dir):
     chat = _chat_frame(spark, sf_dir)
     v = _vocab(spark, sf_dir, chat)
-    r = tk.tokens_to_ids(chat.select("doc_id", tk.tokenize("stext").alias("toks")), "doc_id", "toks", v,
-                         vocab_rows=_vocab_rows(v))
+    r = tk.tokens_to_ids(chat.select("doc_id", tk.tokenize("stext").alias("toks")), "toks", v)
     return r.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), _ids_md5("ids").alias("ids_md5"))
 
 

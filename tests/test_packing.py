@@ -133,18 +133,6 @@ def test_packing_invariant_to_shuffle_partitions(spark):
     assert seen[0] == seen[1] == seen[2]
 
 
-def test_vocab_lookup_broadcasts_checked_side(spark):
-    from stratum.operators import tokens as tk
-
-    vocab = spark.createDataFrame([("a", 4), ("b", 5)], "token string, id long")
-    docs = spark.createDataFrame([(1, ["a", "b", "zz"]), (2, [])], "doc_id long, toks array<string>")
-    out = tk.tokens_to_ids(docs, "doc_id", "toks", vocab, vocab_rows=2)
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan
-    got = {r.doc_id: list(r.ids) for r in out.collect()}
-    assert got == {1: [4, 5, tk.UNK_ID], 2: []}
-
-
 def test_row_equal_to_capacity_packs_alone(spark):
     df = _seqs(spark, [100, 40, 60])
     a = pk.pack_next_fit(df, capacity=100, n_buckets=1).toPandas()
