@@ -1,18 +1,24 @@
 """Code-point edit distance as an Arrow-batched pandas UDF.
 
 Spark's native ``levenshtein`` is a plain O(n*m) dynamic programme (and its threshold form is
-slower still on this build). The bit-parallel recurrence below (Myers 1999, in Hyyrö's form for
-global edit distance) advances one whole DP column per character with a handful of machine-word
-operations on Python integers, i.e. O(n * m / 64). On whole documents it is ~10x faster than the
-native expression, so the CER operators use it; ``native=True`` keeps the JVM-only path.
+slower still on this build). The bit-parallel recurrence (Myers 1999, in Hyyrö's banded form of 2003)
+advances the cells of a column that lie within ``k`` of the diagonal with a handful of machine-word
+operations on Python integers of 2k + 1 bits. ``k`` is the largest distance that matters: the bound that a filter's threshold sets
+for the row's length, or else a guess that grows until the distance lies within it. So a pair costs O(n * d / 64), with d its
+distance or the bound, and a pair beyond its bound is given up as soon as that is certain (Ukkonen's cut-off).
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: First guess of the band; bands up to here cost about the same.
+FIRST_BAND = 256
+
 
 def _common_prefix(a: str, b: str) -> int:
     lo, hi = 0, min(len(a), len(b))
@@ -36,51 +42,109 @@ def _common_suffix(a: str, b: str) -> int:
     return lo
 
 
-def bit_parallel_distance(a: str, b: str) -> int:
-    """Levenshtein distance between code-point strings ``a`` and ``b``.
+def _band(a: str, b: str, k: int) -> int | None:
+    """Distance of ``a`` and ``b`` (``a`` not the shorter) if it is at most ``k``, else None.
+
+    Bit t of the vectors in column j stands for row j - k + t. The score follows the band's lowest diagonal until
+    that reaches the last row, then the last row itself; along the row it can fall by one a column at most, which
+    tells early when the end can't be within ``k``."""
+    m, n = len(a), len(b)
+    k = min(k, m)
+    if m - n > k:
+        return None
+    width = 2 * k + 1
+    full = (1 << width) - 1
+    at: dict[str, list] = {}
+    for i, ch in enumerate(a):
+        at.setdefault(ch, []).append(i)
+    # rows that hold a common character, shifted by k so that column j's window starts at bit j; as bytes, so that a window is cut
+    # out without touching the rest. Rare characters stay lists, so all of it takes a few bytes per row whatever the alphabet
+    size = (width + 14) // 8
+    length = (m + k + n) // 8 + size + 1
+    rows = {}
+    for ch in set(b):
+        if 64 * len(at.get(ch, ())) > m:
+            bits = bytearray(length)
+            for i in at[ch]:
+                bits[(i + k) >> 3] |= 1 << ((i + k) & 7)
+            rows[ch] = bytes(bits)
+    whole = int.from_bytes
+
+    def rare(ch: str, j: int) -> int:
+        held = at.get(ch, ())
+        return sum(1 << (i + k - j) for i in held[bisect_left(held, j - k):bisect_left(held, j + k + 1)])
+
+    pv, mv, score = full ^ ((1 << k) - 1), 0, k
+    falling = m - k  # columns in which the band's lowest row is above or at the last row
+    most = 2 * k + n - m
+    for j, ch in enumerate(b):
+        if ch in rows:
+            x = (whole(rows[ch][j >> 3:(j >> 3) + size], "little") >> (j & 7)) & full
+        else:
+            x = rare(ch, j)
+        d0 = (((x & pv) + pv) ^ pv) | x | mv
+        ph = (mv | ~(d0 | pv)) & full
+        mh = d0 & pv & full
+        if j < falling:
+            if not (d0 >> (width - 1)) & 1:
+                score += 1
+                if score > most:
+                    return None
+        else:
+            t = m - j - 1 + k
+            score += ((ph >> t) & 1) - ((mh >> t) & 1)
+        d0 = (d0 & full) >> 1
+        pv = (mh | ~(d0 | ph)) & full
+        mv = d0 & ph
+    return score if score <= k else None
+
+
+def bounded_distance(a: str, b: str, bound: int | None = None) -> int | None:
+    """Levenshtein distance between code-point strings ``a`` and ``b``; None if it is above ``bound``.
 
     A common prefix and suffix never change the distance, so they are cut first (identical
-    strings cost one comparison); the rest runs the bit-parallel recurrence."""
+    strings cost one comparison); the rest runs in bands of growing width up to the bound."""
     if a == b:
-        return 0
+        return 0 if bound is None or bound >= 0 else None
     p = _common_prefix(a, b)
     a, b = a[p:], b[p:]
     q = _common_suffix(a, b)
     if q:
         a, b = a[:len(a) - q], b[:len(b) - q]
-    m = len(a)
-    if m == 0:
-        return len(b)
-    peq: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        peq[ch] = peq.get(ch, 0) | (1 << i)
-    full = (1 << m) - 1
-    top = 1 << (m - 1)
-    pv, mv, score = full, 0, m
-    get = peq.get
-    for ch in b:
-        eq = get(ch, 0)
-        xv = eq | mv
-        xh = (((eq & pv) + pv) ^ pv) | eq
-        ph = mv | (~(xh | pv) & full)
-        mh = pv & xh
-        if ph & top:
-            score += 1
-        elif mh & top:
-            score -= 1
-        ph = ((ph << 1) | 1) & full
-        mh = (mh << 1) & full
-        pv = mh | (~(xv | ph) & full)
-        mv = ph & xv
-    return score
+    if len(a) < len(b):
+        a, b = b, a
+    most = len(a) if bound is None else min(bound, len(a))
+    if len(a) - len(b) > most:
+        return None
+    if not b:
+        return len(a)
+    k = min(most, max(FIRST_BAND, 2 * (len(a) - len(b))))
+    while (d := _band(a, b, k)) is None:
+        if k >= most:
+            return None
+        k = min(most, 4 * k)
+    return d
+
+
+def bit_parallel_distance(a: str, b: str) -> int:
+    """``bounded_distance`` without a bound."""
+    return bounded_distance(a, b)
 
 
 @F.pandas_udf(T.IntegerType())
 def _edit_distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    out = [None if (r is None or h is None) else bit_parallel_distance(r, h) for r, h in zip(ref, hyp)]
+    out = [None if (r is None or h is None) else bounded_distance(r, h) for r, h in zip(ref, hyp)]
+    return pd.Series(out, dtype="Int32")
+
+
+@F.pandas_udf(T.IntegerType())
+def _distance_within(ref: pd.Series, hyp: pd.Series, bound: pd.Series) -> pd.Series:
+    out = [None if (r is None or h is None or k is None or k != k) else bounded_distance(r, h, int(k)) for r, h, k in zip(ref, hyp, bound)]
     return pd.Series(out, dtype="Int32")
 
 
 # Marked non-deterministic only so Catalyst never copies the (costly) call into a pushed-down
 # filter: it then runs exactly once per row, after any repartition placed in front of it.
 edit_distance_udf = _edit_distance.asNondeterministic()
+#: (ref, hyp, bound) -> the distance, NULL above the bound.
+distance_within_udf = _distance_within.asNondeterministic()

@@ -33,15 +33,6 @@ def squash_ws(c) -> Column:
     return F.regexp_replace(_col(c), rf"{_UNICODE_WS}+", "")
 
 
-def edit_distance(ref, hyp, max_distance: Column | int | None = None) -> Column:
-    """Code-point Levenshtein distance. With ``max_distance`` Spark runs the banded
-    O(n*k) algorithm and returns -1 once the distance exceeds the bound."""
-    if max_distance is None:
-        return F.levenshtein(_col(ref), _col(hyp))
-    bound = F.lit(max_distance) if isinstance(max_distance, int) else max_distance
-    return F.call_function("levenshtein", _col(ref), _col(hyp), bound)
-
-
 def cer_score(ref, hyp, native: bool = False) -> Column:
     """P5: round(CER * 100, 2) of whitespace-squashed strings; CER = distance / len(ref).
 
@@ -59,16 +50,17 @@ def cer_score_below(ref, hyp, threshold: float) -> Column:
     """P5 fused with the P6 predicate: the exact score for every row that can score below
     ``threshold``, NULL for rows that certainly cannot.
 
-    The edit distance is at least the length difference, so round(100 * |n_ref - n_hyp| / n_ref, 2)
-    >= threshold proves the row is dropped without computing the distance. Such rows reach the
-    UDF as empty strings (Spark evaluates a Python UDF on every row, even inside CASE WHEN)."""
-    from stratum.functions.distance import edit_distance_udf
+    A score below the threshold needs a distance of at most threshold * length / 100 (one more is allowed, for the rounding),
+    and that bound limits the band of the distance. The distance is at least the length difference, so rows whose difference alone
+    reaches the threshold get a NULL bound and no distance (Spark evaluates a Python UDF on every row, even inside CASE WHEN)."""
+    from stratum.functions.distance import distance_within_udf
 
     r, h = squash_ws(ref), squash_ws(hyp)
     n = F.length(r)
-    bound = F.round(F.try_divide(F.lit(100.0) * F.abs(n - F.length(h)), n), 2)
-    need = bound < F.lit(threshold)
-    d = edit_distance_udf(F.when(need, r).otherwise(F.lit("")), F.when(need, h).otherwise(F.lit("")))
+    least = F.round(F.try_divide(F.lit(100.0) * F.abs(n - F.length(h)), n), 2)
+    need = least < F.lit(threshold)
+    bound = F.when(need, F.ceil(F.lit(float(threshold)) * n / 100.0).cast("int") + 1)
+    d = distance_within_udf(F.when(need, r).otherwise(F.lit("")), F.when(need, h).otherwise(F.lit("")), bound)
     return F.when(need, F.round(F.try_divide(F.lit(100.0) * d, n), 2))
 
 

@@ -5,7 +5,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from stratum.functions import text as tx
-from stratum.functions.distance import bit_parallel_distance
+from stratum.functions import distance
+from stratum.functions.distance import bit_parallel_distance, bounded_distance
 
 
 def _lev(a, b):
@@ -31,6 +32,52 @@ def test_long_strings_match_dp():
     assert bit_parallel_distance(a, b) == _lev(a, b)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab한é", max_size=30), st.text(alphabet="ab한é", max_size=30), st.integers(0, 30), st.sampled_from([1, 2, 5, 256]))
+def test_every_band_and_bound_matches_dp(a, b, bound, first):
+    was, distance.FIRST_BAND = distance.FIRST_BAND, first
+    try:
+        d = _lev(a, b)
+        assert bounded_distance(a, b) == d and bounded_distance(a, b, bound) == (d if d <= bound else None)
+    finally:
+        distance.FIRST_BAND = was
+
+
+def test_long_texts_with_rare_characters_match_dp():
+    rnd = random.Random(9)
+    a = "".join(chr(0x4E00 + int(rnd.paretovariate(0.4)) % 3000) for _ in range(900))
+    b = "".join(c for c in a if rnd.random() > 0.05) + "end"
+    d = _lev(a, b)
+    assert bit_parallel_distance(a, b) == d and bounded_distance(a, b, d) == d and bounded_distance(a, b, d - 1) is None
+
+
+def test_cost_of_a_kept_row_follows_its_length_not_its_square(monkeypatch):
+    """Twice the text, with the same edits a character and the same bound, takes about twice the word operations: the band doubles only
+    with the bound, and an unrelated pair is given up after about as many columns as the bound."""
+    seen = []
+    real = distance._band
+    monkeypatch.setattr(distance, "_band", lambda a, b, k: seen.append((len(b), k)) or real(a, b, k))
+    a = "".join(random.Random(3).choice("etaoin shrdlu") for _ in range(40_000))
+    assert bounded_distance(a + "x", "y" + a.replace("lu", "l"), 2000) is not None and max(k for _, k in seen) <= 2000
+    columns = []
+    monkeypatch.setattr(distance, "bisect_left", lambda *x: columns.append(1) or 0)
+    assert bounded_distance("a" * 50_000, "b" * 50_000, 100) is None and len(columns) <= 2 * 202
+
+
+def test_scores_below_a_threshold_equal_the_exact_ones(spark):
+    rnd = random.Random(4)
+    rows = []
+    for i in range(300):
+        a = "".join(rnd.choice("ab c한\n") for _ in range(rnd.randrange(0, 60)))
+        rows.append((i, a, "".join(c for c in a if rnd.random() > rnd.random() * 0.2) + "z" * rnd.randrange(0, 3)))
+    rows += [(900, None, "a"), (901, "a", None), (902, "", ""), (903, "x" * 200, "x" * 190), (904, "x" * 200, "x" * 180 + "y" * 20)]
+    df = spark.createDataFrame(rows, "id long, r string, h string")
+    for threshold in (0.0, 5.0, 10.0, 33.33, 150.0):
+        out = df.select("id", tx.cer_score("r", "h").alias("all"), tx.cer_score_below("r", "h", threshold).alias("low")).collect()
+        assert {r.id: r.low for r in out if r.low is not None and r.low < threshold} == \
+            {r.id: r["all"] for r in out if r["all"] is not None and r["all"] < threshold}
+
+
 def test_strip_and_squash_unicode(spark):
     rows = [("　 a b \x1c\n",), ("",), ("x",)]
     df = spark.createDataFrame(rows, "s string")
