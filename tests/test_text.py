@@ -51,17 +51,37 @@ def test_long_texts_with_rare_characters_match_dp():
     assert bit_parallel_distance(a, b) == d and bounded_distance(a, b, d) == d and bounded_distance(a, b, d - 1) is None
 
 
-def test_cost_of_a_kept_row_follows_its_length_not_its_square(monkeypatch):
-    """Twice the text, with the same edits a character and the same bound, takes about twice the word operations: the band doubles only
-    with the bound, and an unrelated pair is given up after about as many columns as the bound."""
+def test_cost_follows_the_edits_not_the_square_of_the_length(monkeypatch):
+    used = []
+    real = distance._few_edits
+
+    def counted(a, b, most, steps):
+        d, left = real(a, b, most, steps)
+        used.append(steps - left)
+        return d, left
+
+    monkeypatch.setattr(distance, "_few_edits", counted)
+    monkeypatch.setattr(distance, "_band", None)  # not needed for any of these
+    rnd = random.Random(3)
+    for n in (20_000, 40_000):
+        a = "".join(rnd.choice("etaoin shrdlu") for _ in range(n))
+        b = "".join(c for i, c in enumerate(a) if i % 50)  # only deletions: about two steps each
+        used.clear()
+        assert bounded_distance(a, b, n // 10) is not None and sum(used) <= 2 * (n // 50) + 10
+    used.clear()
+    assert bounded_distance("a" * 50_000, "b" * 50_000, 100) is None and sum(used) < 50_000
+
+
+def test_pairs_with_many_edits_go_by_bands(monkeypatch):
     seen = []
     real = distance._band
-    monkeypatch.setattr(distance, "_band", lambda a, b, k: seen.append((len(b), k)) or real(a, b, k))
-    a = "".join(random.Random(3).choice("etaoin shrdlu") for _ in range(40_000))
-    assert bounded_distance(a + "x", "y" + a.replace("lu", "l"), 2000) is not None and max(k for _, k in seen) <= 2000
-    columns = []
-    monkeypatch.setattr(distance, "bisect_left", lambda *x: columns.append(1) or 0)
-    assert bounded_distance("a" * 50_000, "b" * 50_000, 100) is None and len(columns) <= 2 * 202
+    monkeypatch.setattr(distance, "_band", lambda a, b, k: seen.append(k) or real(a, b, k))
+    rnd = random.Random(5)
+    a, b = ("".join(rnd.choice("abcd") for _ in range(700)) for _ in range(2))
+    d = _lev(a, b)
+    assert bounded_distance(a, b) == d and max(seen) < 4 * d
+    seen.clear()
+    assert bounded_distance(a, b, d) == d and bounded_distance(a, b, d - 1) is None and max(seen) <= d
 
 
 def test_scores_below_a_threshold_equal_the_exact_ones(spark):
