@@ -18,7 +18,7 @@ from stratum.plans.q_vq import _EMA_SQL, _ema_state, _vsum
 from stratum.plans.registry import query
 from stratum.session import path_exists
 from stratum.sources import shards as sh
-from stratum.streaming import jobs
+from stratum.streaming import feed, jobs
 from stratum.streaming import pack_stream as ps
 
 MAXLEN, BUF, RANKS, WORKERS = 2048, 100, 4, 2
@@ -130,17 +130,17 @@ lanes AS (SELECT doc_id, len(ids) AS length,
 SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(length) AS BIGINT) AS n_tokens, true AS all_padded
 FROM lanes WHERE length <= {MAXLEN}""")
 def k12_feed_stream(spark, sf_dir):
-    """SFT token rows feed a stream of (lane, seq_id, length); the stateful packer emits packs,
-    each micro-batch is gathered with the token rows and padded to 2048 (foreachBatch)."""
-    rows = sft_rows(spark, sf_dir).withColumnRenamed("doc_id", "seq_id").checkpoint(eager=True)
-    lanes = pk.assign_lanes(rows.select("seq_id", F.size("input_ids").alias("length")), "seq_id", RANKS, WORKERS)
-    lanes = lanes.withColumn("_key", od.hash_key("seq_id", 0, 0)).select("lane", "seq_id", "length", "_key")
+    """SFT token rows, laid out by lane and order, feed a stream of (lane, seq_id, length); the stateful packer emits packs, and each
+    micro-batch gathers its token rows from the partitions that hold them and pads them to 2048 (foreachBatch)."""
+    rows = pk.assign_lanes(sft_rows(spark, sf_dir).withColumnRenamed("doc_id", "seq_id"), "seq_id", RANKS, WORKERS)
+    store = feed.store_tokens(rows, _scratch(spark, "feed-tokens"), stretches=8)
+    lanes = feed.lane_order(store, spark)
     expected = lanes.where(F.col("length") <= MAXLEN).count()
     src, out, ckpt = _scratch(spark, "feed-in"), _scratch(spark, "feed-out"), _scratch(spark, "feed-ckpt")
-    lanes.repartition(4).write.parquet(src)
+    lanes.repartitionByRange(4, "_key").sortWithinPartitions("_key").write.parquet(src)
     stream = spark.readStream.schema(lanes.schema).option("maxFilesPerTrigger", 2).parquet(src)
     q = (ps.pack_stream(stream, MAXLEN, BUF, flush_after_ms=2000).writeStream
-         .foreachBatch(ps.feed_writer(rows, out, MAXLEN)).option("checkpointLocation", ckpt)
+         .foreachBatch(feed.feed_writer(store, out, MAXLEN)).option("checkpointLocation", ckpt)
          .trigger(processingTime="1 second").start())
     schema = "pack_key string, n_rows long, n_tokens long, input_ids array<bigint>, labels array<bigint>"
     try:

@@ -120,20 +120,3 @@ def pack_stream(stream: DataFrame, max_length: int = C.STREAM_CAPACITY, buf_size
 def explode_packs(packs: DataFrame) -> DataFrame:
     """(lane, pack_no, seq_id, pos) rows of the packs, for K9."""
     return packs.select("lane", "pack_no", F.posexplode("seq_ids").alias("pos", "seq_id"))
-
-
-def feed_writer(rows: DataFrame, out_dir: str, max_length: int, pad_id: int = 0):
-    """foreachBatch function for J4: each micro-batch of packs is gathered with the token rows
-    (K9: equi join on seq_id, bounded packs) and right-padded to ``max_length`` (K10), then
-    written to ``out_dir/batch=<id>`` (overwrite: a replayed batch replaces its own output)."""
-    from stratum.operators import packing as pk
-
-    def fn(packs: DataFrame, batch_id: int) -> None:
-        assign = packs.select(F.concat_ws(":", "lane", "pack_no").alias("pack_key"), "lane",
-                              F.posexplode("seq_ids").alias("pos", "seq_id"))
-        gathered = pk.materialise_packs(assign, rows, pack_col="pack_key")
-        gathered = gathered.withColumn("n_tokens", F.size("input_ids").cast("bigint"))
-        padded = pk.pad_rows(gathered, max_length, pad_id)
-        padded.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch={batch_id}")
-
-    return fn
