@@ -170,12 +170,17 @@ def dense_index(df: DataFrame, out: str = "_idx") -> tuple[DataFrame, int]:
     return s.join(off, "_pid").withColumn(out, (F.col("_off") + F.col("_loc")).cast("bigint")).drop("_mid", "_pid", "_loc", "_off"), int(n)
 
 
-def even_files(indexed: DataFrame, n: int, min_rows: int, index_col: str = "_idx") -> tuple[DataFrame, int]:
-    """Rows with their number in 0..n-1 dealt to max(1, n // min_rows) partitions of floor or ceil of n / files rows
-    each, by a ``file`` column; returns (rows, files)."""
+def even_files(indexed: DataFrame, n: int, min_rows: int, index_col: str = "_idx", task_bytes: int | None = None) -> tuple[DataFrame, int]:
+    """Rows with their number in 0..n-1 dealt to max(1, n // min_rows) files of floor or ceil of n / files rows
+    each, by a ``file`` column; returns (rows, files). One partition per file, or with ``task_bytes`` one per run of neighbouring
+    files of about that many bytes by the optimiser's estimate (never fewer partitions than cores, if there are as many files)."""
     files = max(1, n // min_rows)
     out = indexed.withColumn("file", F.floor(F.col(index_col) * F.lit(files) / F.lit(max(n, 1))).cast("int"))
-    return out.repartitionById(files, F.col("file")), files
+    if task_bytes is None:
+        return out.repartitionById(files, F.col("file")), files
+    size = int(str(indexed._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = min(files, max(2 * indexed.sparkSession.sparkContext.defaultParallelism, -(-size // task_bytes)))
+    return out.repartitionById(tasks, F.floor(F.col("file") * F.lit(tasks) / F.lit(files)).cast("int")), files
 
 
 def global_rank(df: DataFrame, order_cols: list, n_parts: int | None = None, out: str = "_rank") -> DataFrame:

@@ -17,7 +17,6 @@ from stratum.plans.q_tokens import _SFT, sft_rows
 from stratum.plans.q_vq import _EMA_SQL, _ema_state, _vsum
 from stratum.plans.registry import query
 from stratum.session import path_exists
-from stratum.sources import shards as sh
 from stratum.streaming import feed, jobs
 from stratum.streaming import pack_stream as ps
 
@@ -107,23 +106,16 @@ def v9s_ema_stream(spark, sf_dir):
 SELECT CAST(ceil(greatest(1, count(*) // 10) / 32.0) AS BIGINT) AS n_batches, CAST(count(*) AS BIGINT) AS n_rows
 FROM documents""")
 def s7_incremental_stream(spark, sf_dir):
-    """Incremental shard job as a file stream: <= 32 new shards per micro-batch."""
+    """Incremental shard job as a stream: <= 32 new shards per micro-batch."""
     root, _ = _f9(spark, sf_dir)
-    out, ckpt = _scratch(spark, "inc-out"), _scratch(spark, "inc-ckpt")
-    fs, p = sh._fs(out)
-    fs.create_dir(p, recursive=True)
 
-    def process(paths_df):
-        s = sh.read_shards(spark, [r["path"] for r in paths_df.collect()])  # <= 32 file names per micro-batch
-        return s.select(F.col("key").cast("bigint").alias("doc_id"), F.decode(F.col("members")["txt"], "UTF-8")
-                        .alias("text"))
+    def process(samples):
+        return samples.select(F.col("key").cast("bigint").alias("doc_id"), F.decode(F.col("members")["txt"], "UTF-8").alias("text"))
 
-    res = jobs.run_incremental_stream(spark, root, out, ckpt, process)
+    res = jobs.run_shard_stream(spark, root, _scratch(spark, "inc-out"), _scratch(spark, "inc-ckpt"), process)
     return res.agg(F.count(F.lit(1)).cast("bigint").alias("n_batches"), F.sum("n_rows").cast("bigint").alias("n_rows"))
 
 
-
-
 @query("k12_feed_stream", _SFT + f""",
 lanes AS (SELECT doc_id, len(ids) AS length,
                  {S.md5_int("'0:lane:' || doc_id::VARCHAR")} % {RANKS * WORKERS} AS lane FROM sft)

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stratum import constants as C
@@ -46,6 +46,16 @@ def verify_checksum(df: DataFrame, content_col: str, expected_col: str, raise_on
     return out
 
 
+MANIFEST = "path string, group_id bigint, output string"
+
+
+def write_counted(rows: DataFrame, path: str) -> int:
+    """Write JSON lines, replacing what is there, and return their number as counted while they were written."""
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(path)
+    return seen.get["n"]
+
+
 def pending_shards(listing: DataFrame, manifest: DataFrame | None) -> DataFrame:
     """Paths of the listing that no committed group holds (``left_anti`` by path)."""
     paths = listing.select("path").distinct()
@@ -69,13 +79,14 @@ def run_incremental(spark: SparkSession, listing: DataFrame, out_root: str, proc
     the rows of one group, written as JSON lines to ``out_root/shard_%03d``; then the group's paths are appended to
     the manifest (commit marker), so a half-written group is redone. Returns (output, n_rows) of this run."""
     manifest_path = manifest_path or os.path.join(out_root, "_manifest")
-    manifest = spark.read.parquet(manifest_path) if path_exists(spark, manifest_path) else None
-    first = 0 if manifest is None else manifest.agg(F.max("group_id")).first()[0] + 1
+    # with its schema declared, a folder that a failed first run left empty reads as no rows
+    manifest = spark.read.schema(MANIFEST).parquet(manifest_path) if path_exists(spark, manifest_path) else None
+    first = 0 if manifest is None else manifest.agg(F.coalesce(F.max("group_id") + 1, F.lit(0))).first()[0]
     groups = shard_groups(pending_shards(listing, manifest), group_size, first).checkpoint(eager=True)
     done = []
     for g in sorted(r["output"] for r in groups.select("output").distinct().collect()):
         paths = groups.where(F.col("output") == g)
-        process(paths).write.mode("overwrite").json(os.path.join(out_root, g))
+        n = write_counted(process(paths), os.path.join(out_root, g))
         paths.select("path", "group_id", "output").coalesce(1).write.mode("append").parquet(manifest_path)
-        done.append((g, spark.read.text(os.path.join(out_root, g)).count()))
+        done.append((g, n))
     return spark.createDataFrame(done, "output string, n_rows long")

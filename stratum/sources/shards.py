@@ -1,10 +1,12 @@
-"""Tar shard source and sink (S1-S3) as a Python DataSource ("tarshards").
+"""Tar shard source and sink (S1-S3, S7) as a Python DataSource ("tarshards").
 
-Read: one input partition per tar file; members are streamed (``tarfile`` mode ``r|*``) and the
-members that share a stem (base name up to the first dot, the shard convention) become one row
-``(shard, key, members map<string, binary>)`` keyed by the rest of the name ("json", "mp3",
-"tar.gz" for compound extensions). Members of one sample are adjacent in a shard, so a reader
-holds one sample at a time.
+Read: members are streamed (``tarfile`` mode ``r|*``) and the members that share a stem (base name up to the first dot, the shard
+convention) become one row ``(shard, key, members map<string, binary>)`` keyed by the rest of the name ("json", "mp3",
+"tar.gz" for compound extensions). Members of one sample are adjacent in a shard, so a reader holds one sample at a time. Small
+tars share a task. A tar larger than a task's share is cut where samples begin: a Spark job hops over its
+headers, skipping the payloads, and each task then reads its own byte range.
+
+Stream: new shards in order of (modification time, path), which is the offset.
 
 Write: each task writes its rows into tar files under a temporary name that carries the job's id;
 the job commit renames them and then writes ``_SUCCESS``. In overwrite mode the commit first deletes
@@ -19,6 +21,7 @@ import io
 import json
 import os
 import tarfile
+import time
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -29,13 +32,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceReader,
+    DataSourceStreamReader,
     DataSourceWriter,
+    EqualTo,
+    Filter,
+    In,
     InputPartition,
     WriterCommitMessage,
 )
 from pyspark.sql.types import StructType
 
 _RENAMES = 16
+_TARGET = 128 * 1024 * 1024
 SHARD_SCHEMA = "shard string, key string, members map<string, binary>"
 
 
@@ -74,14 +82,13 @@ def split_member(name: str) -> tuple[str, str]:
 
 @dataclass
 class _TarPartition(InputPartition):
-    paths: list
+    splits: list  # (path, start, end), end None for a whole file
 
 
-def plan_partitions(paths: list[str], sizes: list[int], target_bytes: int) -> list[list[str]]:
-    """Consecutive tars are grouped until a group reaches ``target_bytes``; a large tar is a
-    partition of its own."""
+def plan_partitions(splits: list, sizes: list[int], target_bytes: int) -> list[list]:
+    """Consecutive splits are grouped until a group reaches ``target_bytes``."""
     groups, cur, size = [], [], 0
-    for p, n in zip(paths, sizes):
+    for p, n in zip(splits, sizes):
         cur.append(p)
         size += n
         if size >= target_bytes:
@@ -92,40 +99,218 @@ def plan_partitions(paths: list[str], sizes: list[int], target_bytes: int) -> li
     return groups
 
 
+def tar_members(path: str) -> Iterator[tuple[int, str, int, int]]:
+    """(offset of its header, name, offset of its data, size) of each file in an uncompressed tar, by hopping from header to header; no
+    payload is read. Raises ``tarfile.ReadError`` where that can't be done (a compressed tar)."""
+    fs, p = _fs(path)
+    with fs.open_input_file(p) as f, tarfile.open(fileobj=f, mode="r:") as tf:
+        while (m := tf.next()) is not None:
+            tf.members.clear()  # else every header is kept
+            if tf.pax_headers:
+                raise tarfile.ReadError("headers for the whole archive: its parts can't be read alone")
+            if m.isfile():
+                yield m.offset, m.name, m.offset_data, m.size
+
+
+def split_tar(path: str, target_bytes: int) -> list[tuple[int, int | None]]:
+    """Byte ranges of a tar that begin and end between samples, each of about ``target_bytes``; the whole file if it can't be cut."""
+    cuts, stem, end = [0], None, 0
+    try:
+        for header, name, data, size in tar_members(path):
+            key = split_member(name)[0]
+            if key != stem and stem is not None and header - cuts[-1] >= target_bytes:
+                cuts.append(header)
+            stem, end = key, data + -(-size // 512) * 512
+    except tarfile.ReadError:
+        return [(0, None)]
+    return list(zip(cuts, [*cuts[1:], end]))
+
+
+def index_members(spark: SparkSession, paths: list[str] | DataFrame) -> DataFrame:
+    """Offset index of the members of uncompressed tars: path, shard, key, ext, header, offset, size. One task a tar at most; only
+    headers are read. Write it once to look members up, or to see what a shard holds."""
+    import pandas as pd
+
+    def run(it):
+        for pdf in it:
+            for path in pdf["path"]:
+                rows = []
+                for header, name, data, size in tar_members(path):
+                    rows.append((path, os.path.basename(_local(path).rstrip("/")), *split_member(name), header, data, size))
+                    if len(rows) == 10_000:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+                yield pd.DataFrame(rows, columns=names)
+
+    names = ["path", "shard", "key", "ext", "header", "offset", "size"]
+    schema = "path string, shard string, key string, ext string, header bigint, offset bigint, size bigint"
+    return _one_task_each(spark, paths).mapInPandas(run, schema)
+
+
+def _one_task_each(spark: SparkSession, paths: list[str] | DataFrame) -> DataFrame:
+    df = paths.select("path") if isinstance(paths, DataFrame) else spark.createDataFrame([(p,) for p in paths], "path string")
+    n = df.count() if isinstance(paths, DataFrame) else len(paths)
+    return df.repartition(max(1, min(n, 16 * spark.sparkContext.defaultParallelism)))
+
+
+def _split_large(spark: SparkSession, paths: list[str], target_bytes: int) -> dict[str, list]:
+    """Splits of the tars that are larger than a task's share, found by Spark; the driver gets a row per split."""
+    import pandas as pd
+
+    def run(it):
+        for pdf in it:
+            rows = [(p, a, b) for p in pdf["path"] for a, b in split_tar(p, target_bytes)]
+            yield pd.DataFrame({"path": [r[0] for r in rows], "start": pd.array([r[1] for r in rows], "Int64"),
+                                "end": pd.array([r[2] for r in rows], "Int64")})
+
+    found: dict[str, list] = {}
+    for r in _one_task_each(spark, paths).mapInPandas(run, "path string, start bigint, end bigint").orderBy("path", "start").collect():
+        found.setdefault(r["path"], []).append((r["start"], r["end"]))
+    return found
+
+
 class _ShardReader(DataSourceReader):
-    def __init__(self, paths: list[str], sizes: list[int], target_bytes: int, members: list[str] | None):
-        self.paths, self.sizes, self.target_bytes, self.members = paths, sizes, target_bytes, members
+    def __init__(self, splits: list, sizes: list[int], target_bytes: int, members: list[str] | None):
+        self.splits, self.sizes, self.target_bytes, self.members = splits, sizes, target_bytes, members
+        self.shards: set | None = None
+        self.keys: set | None = None
 
     def partitions(self):
-        return [_TarPartition(g) for g in plan_partitions(self.paths, self.sizes, self.target_bytes)]
+        kept = [(s, n) for s, n in zip(self.splits, self.sizes) if self.shards is None or _shard_name(s[0]) in self.shards]
+        return [_TarPartition(g) for g in plan_partitions([s for s, _ in kept], [n for _, n in kept], self.target_bytes)]
 
     def read(self, partition) -> Iterator[tuple]:
         if partition is None:  # no shard paths at all: an empty scan
             return
-        for path in partition.paths:
-            yield from _read_tar(path, self.members)
+        for split in partition.splits:
+            yield from _read_tar(*split, self.members, self.keys)
+
+
+class _FilteringShardReader(_ShardReader):
+    """Takes over filters on ``shard`` and ``key`` (=, IN): other shards aren't opened, and of other samples no payload is read.
+    Spark accepts such a reader only while ``spark.sql.python.filterPushdown.enabled`` is set."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
+            if values is None or f.attribute not in (("shard",), ("key",)):
+                yield f
+            elif f.attribute == ("shard",):
+                self.shards = values if self.shards is None else self.shards & values
+            else:
+                self.keys = values if self.keys is None else self.keys & values
+
 
+def _shard_name(path: str) -> str:
+    return os.path.basename(_local(path).rstrip("/"))
 
-def _read_tar(path: str, wanted: list[str] | None = None) -> Iterator[tuple]:
-    """Samples of one tar; with ``wanted`` only those members' bytes are read, the others are skipped."""
-    shard = os.path.basename(_local(path).rstrip("/"))
+
+class _Range:
+    """The bytes of a file from ``start`` to ``end``, as a stream."""
+
+    def __init__(self, f, start: int, end: int):
+        self.f, self.left = f, end - start
+        f.seek(start)
+
+    def read(self, n: int = -1) -> bytes:
+        data = self.f.read(self.left if n < 0 else min(n, self.left))
+        self.left -= len(data)
+        return data
+
+
+def _read_tar(path: str, start: int = 0, end: int | None = None, wanted: list[str] | None = None, keys: set | None = None) -> Iterator[tuple]:
+    """Samples of a tar or of a byte range of one; with ``wanted`` (extensions) or ``keys`` (samples) only those members'
+    payloads are kept, the others are skipped."""
+    shard = _shard_name(path)
     key, members = None, {}
     fs, p = _fs(path)
-    with fs.open_input_stream(p) as stream, tarfile.open(fileobj=stream, mode="r|*") as tf:
-        for m in tf:
-            if not m.isfile():
-                continue
-            stem, ext = split_member(m.name)
-            if key is not None and stem != key:
-                yield (shard, key, members)
-                members = {}
-            key = stem
-            if wanted is None or ext in wanted:
-                members[ext] = tf.extractfile(m).read()
+    with (fs.open_input_stream(p) if end is None else fs.open_input_file(p)) as f:
+        if end is not None and end <= start:
+            return
+        with tarfile.open(fileobj=f if end is None else _Range(f, start, end), mode="r|*" if end is None else "r|") as tf:
+            for m in tf:
+                if not m.isfile():
+                    continue
+                stem, ext = split_member(m.name)
+                if keys is not None and stem not in keys:
+                    continue
+                if key is not None and stem != key:
+                    yield (shard, key, members)
+                    members = {}
+                key = stem
+                if wanted is None or ext in wanted:
+                    members[ext] = tf.extractfile(m).read()
     if key is not None:
         yield (shard, key, members)
 
 
+class _ShardStreamReader(DataSourceStreamReader):
+    """Shards under a folder in order of (modification time, path); the offset is that of the last shard taken.
+
+    A shard younger than ``settle`` seconds waits, so that none can still appear before an offset. ``limit`` shards are taken at a
+    time at most; a restarted reader goes on from the last offset it handed out, which it keeps in the file ``progress`` (Spark's
+    own checkpoint stays what decides: an offset that was handed out but never logged only makes the next batch larger)."""
+
+    def __init__(self, root: str, suffix: str, target_bytes: int, members: list[str] | None, settle: float, limit: int | None, progress: str | None):
+        self.root, self.suffix, self.target_bytes, self.members = root, suffix, target_bytes, members
+        self.settle, self.limit, self.progress = settle, limit, progress
+        self.at: list | None = None
+
+    def _listed(self) -> list[tuple[int, str, int]]:
+        import pyarrow.fs as pafs
+
+        fs, p = _fs(self.root)
+        young = time.time_ns() - int(self.settle * 1e9)
+        found = fs.get_file_info(pafs.FileSelector(p, recursive=True, allow_not_found=True))
+        return sorted((i.mtime_ns, i.path, i.size) for i in found if i.type == pafs.FileType.File and i.path.endswith(self.suffix)
+                      and i.mtime_ns <= young and not i.base_name.startswith(("_", ".")))
+
+    def initialOffset(self) -> dict:
+        return {"time": 0, "path": ""}
+
+    def latestOffset(self) -> dict:
+        if self.at is None:
+            self.at = self._kept() or [0, ""]
+        new = [[t, p] for t, p, _ in self._listed() if [t, p] > self.at]
+        if new:
+            self.at = new[min(self.limit or len(new), len(new)) - 1]
+            self._keep()
+        return {"time": self.at[0], "path": self.at[1]}
+
+    def _kept(self) -> list | None:
+        import pyarrow.fs as pafs
+
+        if not self.progress:
+            return None
+        fs, p = _fs(self.progress)
+        if fs.get_file_info(p).type != pafs.FileType.File or not fs.get_file_info(p).size:
+            return None
+        with fs.open_input_stream(p) as f:
+            return json.loads(f.read())
+
+    def _keep(self) -> None:
+        if self.progress:
+            fs, p = _fs(self.progress)
+            fs.create_dir(os.path.dirname(p), recursive=True)
+            with fs.open_output_stream(p + ".new") as f:
+                f.write(json.dumps(self.at).encode())
+            fs.move(p + ".new", p)
+
+    def partitions(self, start: dict, end: dict):
+        lo, hi = [start["time"], start["path"]], [end["time"], end["path"]]
+        if self.at is None or hi > self.at:
+            self.at = hi
+        files = [(p, n) for t, p, n in self._listed() if lo < [t, p] <= hi]
+        with ThreadPoolExecutor(_RENAMES) as pool:  # headers only, and only of large tars
+            cuts = pool.map(lambda f: split_tar(f[0], self.target_bytes) if f[1] > 2 * self.target_bytes else [(0, None)], files)
+            splits = [(p, a, b, n if b is None else b - a) for (p, n), ranges in zip(files, cuts) for a, b in ranges]
+        return [_TarPartition(g) for g in plan_partitions([s[:3] for s in splits], [s[3] for s in splits], self.target_bytes)]
+
+    def read(self, partition) -> Iterator[tuple]:
+        for split in partition.splits:
+            yield from _read_tar(*split, self.members)
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     files: list
@@ -199,8 +384,8 @@ class _ShardWriter(DataSourceWriter):
 
 
 class TarShardSource(DataSource):
-    """``spark.read.format("tarshards").option("files", '[["a.tar", 1024]]')`` (path and size) /
-    ``df.write.format("tarshards").save(dir)``."""
+    """``spark.read.format("tarshards").option("splits", '[["a.tar", 0, null, 1024]]')`` (path, start, end, size) /
+    ``spark.readStream.format("tarshards").load(dir)`` / ``df.write.format("tarshards").save(dir)``."""
 
     @classmethod
     def name(cls):
@@ -209,11 +394,19 @@ class TarShardSource(DataSource):
     def schema(self):
         return SHARD_SCHEMA
 
-    def reader(self, schema: StructType):
-        files = json.loads(self.options.get("files", "[]"))
+    def _members(self) -> list[str] | None:
         members = self.options.get("members")
-        return _ShardReader([p for p, _ in files], [n for _, n in files],
-                            int(self.options.get("targetBytes", 128 * 1024 * 1024)), json.loads(members) if members else None)
+        return json.loads(members) if members else None
+
+    def reader(self, schema: StructType):
+        splits = json.loads(self.options.get("splits", "[]"))
+        kind = _FilteringShardReader if self.options.get("pushFilters") == "true" else _ShardReader
+        return kind([tuple(s[:3]) for s in splits], [s[3] for s in splits], int(self.options.get("targetBytes", _TARGET)), self._members())
+
+    def streamReader(self, schema: StructType):
+        limit = self.options.get("maxFilesPerTrigger")
+        return _ShardStreamReader(self.options["path"], self.options.get("suffix", ".tar"), int(self.options.get("targetBytes", _TARGET)), self._members(),
+                                  float(self.options.get("settleSeconds", 2)), int(limit) if limit else None, self.options.get("progress"))
 
     def writer(self, schema: StructType, overwrite: bool):
         return _ShardWriter(self.options["path"], overwrite)
@@ -234,11 +427,13 @@ def list_shards(spark: SparkSession, root: str, glob: str = "*.tar", sort: bool
 def read_shards(spark: SparkSession, paths: list[str] | DataFrame, target_bytes: int | None = None,
                 members: list[str] | None = None) -> DataFrame:
     """One row per sample (members grouped by stem). A task reads consecutive tars up to
-    ``target_bytes`` (default ``spark.sql.files.maxPartitionBytes``); a large tar is one task.
+    ``target_bytes`` (default ``spark.sql.files.maxPartitionBytes``). A tar of more than twice that is cut between samples into byte
+    ranges of about that size; a compressed one can't be and is one task. Where ``spark.sql.python.filterPushdown.enabled`` is set,
+    filters on ``shard`` and ``key`` decide what is opened and read.
 
     ``paths`` may be the listing of ``list_shards``, which has the sizes already; for plain paths they are asked for
     once, many at a time. ``members`` (extensions) leaves all other members unread. The driver holds
-    a path and a size per file, as for any file scan."""
+    a path and a size per file or range, as for any file scan."""
     register(spark)
     if isinstance(paths, DataFrame):
         files = [[r["path"], r["length"]] for r in paths.select("path", "length").orderBy("path").collect()]
@@ -253,10 +448,28 @@ def read_shards(spark: SparkSession, paths: list[str] | DataFrame, target_bytes:
         target_bytes = max(1, min(max_bytes, max(4 * 1024 * 1024, per_core)))
         if total < 4 * 1024 * 1024 * spark.sparkContext.defaultParallelism:
             target_bytes = max(1, per_core)
-    reader = spark.read.format("tarshards").option("files", json.dumps(files)).option("targetBytes", str(target_bytes))
+    large = [p for p, n in files if n > 2 * max(target_bytes, 1 << 20)]
+    cut = _split_large(spark, large, target_bytes) if large else {}
+    splits = [[p, a, b, n if b is None else b - a] for p, n in files for a, b in cut.get(p, [(0, None)])]
+    reader = spark.read.format("tarshards").option("splits", json.dumps(splits)).option("targetBytes", str(target_bytes)) \
+        .option("pushFilters", str(spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")).lower())
     return (reader.option("members", json.dumps(members)) if members is not None else reader).load()
 
 
+def stream_shards(spark: SparkSession, root: str, max_files: int | None = None, progress: str | None = None, settle_seconds: float = 2.0,
+                  members: list[str] | None = None, suffix: str = ".tar") -> DataFrame:
+    """The samples of shards as they appear under ``root``, as a streaming DataFrame. The offset is (modification time, path) of the last
+    shard taken, so a shard must get its time when it appears there; ``settle_seconds`` covers stores with coarse
+    times. ``max_files`` limits a micro-batch and needs ``progress``, a file of this query's own."""
+    register(spark)
+    if max_files and not progress:
+        raise ValueError("max_files needs a progress file")
+    reader = spark.readStream.format("tarshards").option("suffix", suffix).option("settleSeconds", str(settle_seconds))
+    for name, value in (("maxFilesPerTrigger", max_files), ("progress", progress), ("members", json.dumps(members) if members is not None else None)):
+        reader = reader.option(name, str(value)) if value is not None else reader
+    return reader.load(root)
+
+
 def shard_samples(shards: DataFrame, json_ddl: str = "text string", audio_ext: str | None = None) -> DataFrame:
     """Sample view of a shard scan: ``json`` parsed with a declared schema, plus the audio bytes."""
     meta = F.from_json(F.decode(F.col("members")["json"], "UTF-8"), json_ddl)
@@ -271,20 +484,22 @@ def write_shards(df: DataFrame, path: str, min_rows_per_file: int, order_col: st
     """S3: write samples ``(key, members)`` as tar files with at least ``min_rows_per_file`` rows each, in
     ``order_col`` order where given. ``overwrite`` replaces the folder's earlier shards.
 
-    The rows are written once to the shared folder and numbered densely there, so what made them runs once;
-    then file = index * files // n, and the payload moves in one shuffle with one task per file. Returns the number of
-    files."""
+    The rows are written once to the shared folder, so what made them runs once, and numbered densely there;
+    then file = index * files // n, and the payload moves in one shuffle. A task writes a run of neighbouring files, several where they are
+    small. Returns the number of files."""
+    from stratum.operators.common import write_once
     from stratum.operators.ordering import dense_index, even_files, global_rank
 
     register(df.sparkSession)
     if order_col:
-        idx = global_rank(df, [F.col(order_col)], out="_idx")
-        n = idx.count()
+        rows = write_once(df, "shard-rows")
+        n = rows.count()
+        idx = global_rank(rows, [F.col(order_col)], out="_idx")
     else:
         idx, n = dense_index(df, "_idx")
     if n == 0 and not overwrite:
         return 0
-    out, files = even_files(idx, n, min_rows_per_file)
+    out, files = even_files(idx, n, min_rows_per_file, task_bytes=_TARGET)
     out.sortWithinPartitions("file", "key").select("key", "members", F.col("file").cast("bigint").alias("file")) \
         .write.format("tarshards").mode("overwrite" if overwrite else "append").save(path)
     return files if n else 0

@@ -1,15 +1,19 @@
 """Streaming jobs: EMA codebook updates per micro-batch (V9s) and the incremental shard job
-as a file stream (S7)."""
+as a stream of samples (S7)."""
 
 from __future__ import annotations
 
 import os
+import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum import constants as C
 from stratum.operators import vq
+from stratum.sources import files as fs
+from stratum.sources import shards as sh
 
 
 def _listdir(root: str) -> list[str]:
@@ -74,35 +78,28 @@ def run_ema_stream(spark: SparkSession, source: DataFrame, initial: DataFrame, r
     return latest_codebook(spark, root)
 
 
-def run_incremental_stream(spark: SparkSession, shard_root: str, out_root: str, checkpoint: str, process,
-                           group_size: int = C.SHARD_GROUP, glob: str = "*.tar", clean_source: str | None = None,
-                           archive_dir: str | None = None):
-    """S7 as a file stream: at most ``group_size`` new shards per micro-batch, output folder
-    shard_%03d = batch id, progress kept in the checkpoint (a restart resumes after the last
-    committed batch; a half-written batch is redone, never skipped). ``process(paths_df)``
-    turns a micro-batch of shard paths into rows. ``clean_source`` ("delete" or "archive" with
-    ``archive_dir``) drops consumed shards once their batch is committed."""
-    reader = spark.readStream.format("binaryFile")
-    if clean_source:
-        reader = reader.option("cleanSource", clean_source)
-        if archive_dir:
-            reader = reader.option("sourceArchiveDir", archive_dir)
-    listing = (reader
-               .schema("path string, modificationTime timestamp, length long, content binary")
-               .option("pathGlobFilter", glob)
-               .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", group_size)
-               .load(shard_root).select("path"))
+def run_shard_stream(spark: SparkSession, shard_root: str, out_root: str, checkpoint: str, process: Callable[[DataFrame], DataFrame],
+                     group_size: int = C.SHARD_GROUP, settle_seconds: float = 1.0) -> DataFrame:
+    """S7 as a stream of samples: at most ``group_size`` new shards per micro-batch, output folder shard_%03d = batch id, progress kept
+    in the checkpoint. A run takes all shards that are there and ends; the next one takes what has come since. A restart resumes after the
+    last committed batch; a half-written batch is redone into its own folder, never skipped or doubled.
 
-    def fn(batch: DataFrame, batch_id: int) -> None:
-        rows = process(batch)
-        rows.write.mode("overwrite").json(os.path.join(out_root, f"shard_{batch_id:03d}"))
+    ``process(samples)`` turns the samples (shard, key, members) of a micro-batch into rows; the tasks read the shards, the driver
+    only their names. Returns (output, n_rows) of this run, counted while writing."""
+    time.sleep(settle_seconds)  # what was there when this was called is then old enough
+    samples = sh.stream_shards(spark, shard_root, max_files=group_size, progress=f"{checkpoint.rstrip('/')}-source.json", settle_seconds=settle_seconds)
+    done: dict[str, int] = {}
 
-    q = (listing.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    outs = sorted(d for d in _listdir(out_root) if d.startswith("shard_"))
-    return spark.createDataFrame(
-        [(d, spark.read.text(os.path.join(out_root, d)).count()) for d in outs], "output string, n_rows long")
+    def fn(batch: DataFrame, batch_id: int) -> None:
+        name = f"shard_{batch_id:03d}"
+        done[name] = fs.write_counted(process(batch), os.path.join(out_root, name))
+
+    q = samples.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return spark.createDataFrame(sorted(done.items()), "output string, n_rows long")
 
 
 def stream_from_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1) -> DataFrame:
