@@ -83,19 +83,22 @@ def flag_slot(*cols: Column, slots: int = FLAG_SLOTS) -> Column:
 
 
 def flag_filter(keys: DataFrame, slot: Column) -> DataFrame:
-    """The flags of ``keys`` as bitmaps. A row whose flag isn't set has none of the keys; the reverse may fail, which
-    only costs work."""
+    """The flags of ``keys`` as bitmaps of 4,096 bytes each. A row whose flag isn't set has none of the keys; the reverse may
+    fail, which only costs work."""
+    byte = lambda i: F.conv(F.hex(F.substring("_bits", i + 1, F.lit(1))), 16, 10).cast("int")
+    signed = lambda i: (F.pmod(byte(i) + 128, F.lit(256)) - 128).cast("tinyint")
     return keys.select(slot.alias("_slot")).groupBy(F.bitmap_bucket_number("_slot").alias("_bucket")) \
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits")) \
+        .select("_bucket", F.transform(F.sequence(F.lit(0), F.lit(4095)), signed).alias("_bytes"))
 
 
 def with_flag(rows: DataFrame, flags: DataFrame, slot: Column, out: str) -> DataFrame:
     """``rows`` plus a boolean: whether the row's flag is set."""
     pos = F.bitmap_bit_position("_slot")
-    byte = F.conv(F.hex(F.substring("_bits", (F.floor(pos / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("bigint")
+    byte = F.get("_bytes", F.floor(pos / 8).cast("int"))
     return rows.withColumn("_slot", slot).withColumn("_bucket", F.bitmap_bucket_number("_slot")) \
         .join(F.broadcast(flags), "_bucket", "left") \
-        .withColumn(out, F.coalesce(F.getbit(byte, (pos % 8).cast("int")) == 1, F.lit(False))).drop("_slot", "_bucket", "_bits")
+        .withColumn(out, F.coalesce(F.getbit(byte, (pos % 8).cast("int")) == 1, F.lit(False))).drop("_slot", "_bucket", "_bytes")
 
 
 def _min_neighbour(edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import connected_components, flag_filter, flag_slot, join_groups, materialise, small_batches, text_or_empty, with_flag
+from stratum.llm.common import connected_components, discard, flag_filter, flag_slot, flag_slots, join_groups, materialise, small_batches, text_or_empty, with_flag
 
 #: Groups of candidates beyond this size are cut into blocks and joined block by block.
 GROUP_ROWS = 4000
@@ -264,19 +264,41 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("_text", "cid", "sig", "grp", "rows").mapInArrow(run, "cid bigint, grp bigint, rows bigint, grams binary")
 
 
+def _first_of_each(every: DataFrame, seen: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of ``every`` that are their class's first, and a few more by chance; no keys are shuffled for it. Bitmaps from the narrow
+    tables tell rows of classes with several, and among what those hit the firsts."""
+    multi = classes.where("rows > 1")
+    n = multi.count()
+    if n == 0:
+        return every.where("sig is not null")
+    several = flag_slot(F.col("sig"), slots=flag_slots(n))
+    flags = flag_filter(multi, several)
+    hit = with_flag(seen.where("sig is not null").select("rid", "sig"), flags, several, "_hit").where("_hit").select("rid")
+    stay = materialise(hit.join(classes.select(F.col("cid").alias("rid")), "rid", "left_semi"), "op5-firsts")
+    first = flag_slot(F.col("rid"), slots=flag_slots(stay.count()))
+    marked = with_flag(with_flag(every.where("sig is not null"), flags, several, "_hit"), flag_filter(stay, first), first, "_first")
+    return marked.where("not _hit or _first")
+
+
 def _families(rows: DataFrame, n: int, num: int, den: int, group_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``_shingled`` rows; their classes of equal sets (sig, rep, rep_hash, rows, cid); and the candidate classes' sets dealt into the
-    groups (grp, a, b) to be joined. ``rows`` has _id, _text and _hash."""
-    seen = materialise(_shingled(rows, n, (num, den)), "op5-sets")
+    """``_shingled`` rows without keys; their classes of equal sets (sig, rep, rep_hash, rows, cid); and the candidate classes' sets dealt
+    into the groups (grp, a, b) to be joined. ``rows`` has _id, _text and _hash.
+
+    The block keys are written once, with the rows, and go as soon as the candidates are known. They are shuffled once, to find those
+    that repeat; only these meet their classes."""
+    every = materialise(_shingled(rows, n, (num, den)).withColumn("rid", F.monotonically_increasing_id()), "op5-sets")
+    seen = materialise(every.drop("keys"), "op5-seen")
     least = F.min(F.struct(F.col("_id").isNull().alias("nil"), F.col("_id").alias("id"), F.col("_hash").alias("hash")))
     classes = materialise(seen.where("sig is not null").groupBy("sig").agg(
-        least.alias("least"), F.count(F.lit(1)).alias("rows"), F.first("keys").alias("keys"))
-        .select("sig", F.col("least.id").alias("rep"), F.col("least.hash").alias("rep_hash"), "rows", "keys")
-        .withColumn("cid", F.monotonically_increasing_id()), "op5-classes")
-    keyed = classes.select("cid", F.explode("keys").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("cid").alias("head"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    stars = join_groups(keyed, materialise(heads, "op5-heads"), ["key"], "_n", F.col("cid")).where("head < cid").select("cid", "head")
+        least.alias("least"), F.count(F.lit(1)).alias("rows"), F.min("rid").alias("cid"))
+        .select("sig", F.col("least.id").alias("rep"), F.col("least.hash").alias("rep_hash"), "rows", "cid"), "op5-classes")
+    keyed = _first_of_each(every, seen, classes).select(F.col("rid").alias("cid"), F.explode("keys").alias("key"))
+    heads = materialise(keyed.groupBy("key").agg(F.min("cid").alias("head"), F.count(F.lit(1)).alias("_n")).where("_n > 1"), "op5-heads")
+    shared = flag_slot(F.col("key"), slots=flag_slots(heads.count()))
+    again = with_flag(keyed, flag_filter(heads, shared), shared, "_shared").where("_shared").drop("_shared")
+    stars = join_groups(again, heads, ["key"], "_n", F.col("cid")).where("head < cid").select("cid", "head")
     groups = materialise(connected_components(stars, "cid", "head").select(F.col("node").alias("cid"), F.col("component").alias("grp")), "op5-groups")
+    discard(every, heads)
     wanted = materialise(groups.join(classes.select("cid", "rep", "sig", "rows"), "cid"), "op5-wanted")
     texts = with_flag(rows.select("_id", "_text"), flag_filter(wanted, flag_slot(F.col("rep"))), flag_slot(F.col("_id")), "_flag").where("_flag").drop("_flag")
     sets = _sets(texts.join(wanted, F.col("_id").eqNullSafe(F.col("rep"))), n)
@@ -359,7 +381,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = named.groupBy("component").agg(first.alias("least"), F.count(F.lit(1)).alias("_n")) \
         .select("component", F.col("least.id").alias("component_id"), F.col("least.hash").alias("kept_hash"), "_n")
     named = join_groups(named, materialise(least, "op5-least"), ["component"], "_n", F.col("cid")).select("sig", "rows", "n_links", "component_id", "kept_hash")
-    out = join_groups(seen.drop("keys"), materialise(named, "op5-named"), ["sig"], "rows", F.col("_id"))
+    out = join_groups(seen, materialise(named, "op5-named"), ["sig"], "rows", F.col("_id"))
     alone = F.col("sig").isNull()
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
                       F.when(alone, F.col("_id")).otherwise(F.col("component_id")).alias("component_id"),
