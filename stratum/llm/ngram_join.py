@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from stratum.llm.common import connected_components, discard, flag_filter, flag_slot, flag_slots, join_groups, materialise, small_batches, text_or_empty, with_flag
 
-#: Groups of candidates beyond this size are cut into blocks and joined block by block.
-GROUP_ROWS = 4000
+#: Groups of candidates beyond this many rows are cut into blocks and joined block by block; a block's sets take about
+#: GROUP_BYTES at most, whatever their length.
+GROUP_ROWS = 16_000
+GROUP_BYTES = 48 << 20
 #: Levels of a prefix tree: the range of the n-gram order is cut into this many parts.
 LEVELS = 8
 _WORDS = 200_000
@@ -290,8 +292,8 @@ def _families(rows: DataFrame, n: int, num: int, den: int, group_rows: int) -> t
     seen = materialise(every.drop("keys"), "op5-seen")
     least = F.min(F.struct(F.col("_id").isNull().alias("nil"), F.col("_id").alias("id"), F.col("_hash").alias("hash")))
     classes = materialise(seen.where("sig is not null").groupBy("sig").agg(
-        least.alias("least"), F.count(F.lit(1)).alias("rows"), F.min("rid").alias("cid"))
-        .select("sig", F.col("least.id").alias("rep"), F.col("least.hash").alias("rep_hash"), "rows", "cid"), "op5-classes")
+        least.alias("least"), F.count(F.lit(1)).alias("rows"), F.min("rid").alias("cid"), F.max("n").alias("n"))
+        .select("sig", F.col("least.id").alias("rep"), F.col("least.hash").alias("rep_hash"), "rows", "cid", "n"), "op5-classes")
     keyed = _first_of_each(every, seen, classes).select(F.col("rid").alias("cid"), F.explode("keys").alias("key"))
     heads = materialise(keyed.groupBy("key").agg(F.min("cid").alias("head"), F.count(F.lit(1)).alias("_n")).where("_n > 1"), "op5-heads")
     shared = flag_slot(F.col("key"), slots=flag_slots(heads.count()))
@@ -299,12 +301,13 @@ def _families(rows: DataFrame, n: int, num: int, den: int, group_rows: int) -> t
     stars = join_groups(again, heads, ["key"], "_n", F.col("cid")).where("head < cid").select("cid", "head")
     groups = materialise(connected_components(stars, "cid", "head").select(F.col("node").alias("cid"), F.col("component").alias("grp")), "op5-groups")
     discard(every, heads)
-    wanted = materialise(groups.join(classes.select("cid", "rep", "sig", "rows"), "cid"), "op5-wanted")
+    wanted = materialise(groups.join(classes.select("cid", "rep", "sig", "rows", "n"), "cid"), "op5-wanted")
     texts = with_flag(rows.select("_id", "_text"), flag_filter(wanted, flag_slot(F.col("rep"))), flag_slot(F.col("_id")), "_flag").where("_flag").drop("_flag")
     sets = _sets(texts.join(wanted, F.col("_id").eqNullSafe(F.col("rep"))), n)
-    sizes = wanted.groupBy("grp").agg(F.count(F.lit(1)).alias("_n"))
+    # 8 bytes an n-gram; a set that is larger than a block by itself is a block's only one or nearly so
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / group_rows), F.ceil(F.sum("n") * 8 / GROUP_BYTES)).cast("int")
+    sizes = wanted.groupBy("grp").agg(F.count(F.lit(1)).alias("_n"), blocks.alias("_blocks"))
     sets = join_groups(sets, sizes, ["grp"], "_n", F.col("cid")) \
-        .withColumn("_blocks", F.ceil(F.col("_n") / group_rows).cast("int")) \
         .withColumn("_own", F.pmod(F.xxhash64("cid"), F.col("_blocks")).cast("int")) \
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))) \
         .select("cid", "grp", "rows", "grams", F.least("_own", "_other").alias("a"), F.greatest("_own", "_other").alias("b"), "_own")
