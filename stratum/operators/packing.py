@@ -26,6 +26,8 @@ _ASSIGN_SCHEMA = "bucket int, seq_id long, length int, pack_no int, pos int"
 
 def _ordered(df: DataFrame, id_col: str, length_col: str, seed: int, epoch: int, n_buckets: int,
              capacity: int, oversize: str) -> DataFrame:
+    if not n_buckets:
+        raise ValueError("packs are defined per bucket: give n_buckets")
     narrow = df.select(F.col(id_col).cast("bigint").alias("seq_id"), F.col(length_col).cast("int").alias("length"))
     if oversize == "drop":
         narrow = narrow.where(F.col("length") <= F.lit(capacity))
@@ -80,23 +82,36 @@ def pack_next_fit(df: DataFrame, id_col: str = "seq_id", length_col: str = "leng
 def ffd_assign(lengths: np.ndarray, seq: np.ndarray, capacity: int, max_bins: int | None = None):
     """First-fit decreasing: rows by length desc (tie seq_id asc); each goes to the first bin with
     room, else opens a bin. Returns (bin per row in input order, processing order) or None when
-    ``max_bins`` is given and a row does not fit in that many bins."""
+    ``max_bins`` is given and a row does not fit in that many bins.
+
+    The first bin with room is found by a tournament tree over the bins' free space (unopened bins are empty ones), so a row
+    takes log(rows) steps however many bins are open. A row longer than the capacity opens a bin of its own."""
     order = np.lexsort((seq, -lengths))
-    rem = np.empty(0, dtype=np.int64)
-    bins = np.empty(len(lengths), dtype=np.int32)
-    for i in order:
-        size = lengths[i]
-        hit = np.flatnonzero(rem >= size)
-        if hit.size:
-            b = hit[0]
-            rem[b] -= size
-        else:
-            if max_bins is not None and rem.size >= max_bins:
+    leaves = 1 << max(len(lengths) - 1, 0).bit_length()
+    room = [capacity] * (2 * leaves)
+    sizes = lengths.tolist()
+    bins, opened = [0] * len(sizes), 0
+    for i in order.tolist():
+        size, node = sizes[i], 1
+        if room[1] < size:
+            node = leaves + opened
+        while node < leaves:
+            node *= 2
+            if room[node] < size:
+                node += 1
+        if node - leaves == opened:
+            if max_bins is not None and opened >= max_bins:
                 return None
-            b = rem.size
-            rem = np.append(rem, capacity - size)
-        bins[i] = b
-    return bins, order
+            opened += 1
+        bins[i] = node - leaves
+        room[node] -= size
+        while node > 1:
+            node //= 2
+            best = max(room[2 * node], room[2 * node + 1])
+            if room[node] == best:
+                break
+            room[node] = best
+    return np.array(bins, dtype=np.int32), order
 
 
 def _ffd_group(capacity: int):
@@ -198,6 +213,31 @@ def assign_lanes(df: DataFrame, id_col: str, n_ranks: int, n_workers: int, seed:
             .withColumn("worker_seed", F.col("rank") * F.lit(n_workers) + F.col("worker")))
 
 
+def deal_packs(packs: DataFrame, n_ranks: int, pack_col: str = "pack_id") -> DataFrame:
+    """K8 for packs of one rank (K4, K6): the packs of a bucket go round the ranks, so batch b holds the bucket's packs b * n_ranks
+    to b * n_ranks + n_ranks - 1. Adds batch_id (as K5 numbers them) and rank; ``pack_col`` alone decides."""
+    no = F.pmod(F.col(pack_col), F.lit(PACK_ID_SHIFT))
+    bucket = F.floor(F.col(pack_col) / PACK_ID_SHIFT)
+    return packs.withColumn("batch_id", (bucket * PACK_ID_SHIFT + F.floor(no / n_ranks)).cast("bigint")) \
+        .withColumn("rank", F.pmod(no, F.lit(n_ranks)).cast("int"))
+
+
+def write_ranks(packs: DataFrame, path: str, batches_per_file: int = 4096) -> None:
+    """K8: one folder per rank with its packs in batch order: rows (batch_id, rank, ...) as Parquet partitioned by ``rank``; a
+    file holds ``batches_per_file`` or fewer neighbouring batches of one rank, and its name sorts as they do. One shuffle, no
+    rank or bucket is a single task."""
+    batch = F.col("batch_id")
+    w = packs.withColumn("chunk", (F.floor(batch / PACK_ID_SHIFT) * F.lit(1 << 20) + F.floor(F.pmod(batch, F.lit(PACK_ID_SHIFT)) / batches_per_file)).cast("bigint"))
+    w.repartition("rank", "chunk").sortWithinPartitions("rank", "chunk", "batch_id").write.mode("overwrite").partitionBy("rank", "chunk").parquet(path)
+
+
+def read_rank(spark, path: str, rank: int, chunks: tuple[int, int] | None = None) -> DataFrame:
+    """The packs of one rank, or of a range of its chunks (both ends included); the other folders aren't opened. Sort by
+    batch_id inside a chunk for the rank's order."""
+    rows = spark.read.parquet(path).where(F.col("rank") == rank)
+    return rows if chunks is None else rows.where(F.col("chunk").between(*chunks))
+
+
 def split_tail(assign: DataFrame, batch_col: str = "batch_id") -> tuple[DataFrame, DataFrame]:
     """K5 rows in a batch, and the tail rows that fill no whole batch (to be reported or packed again)."""
     return assign.where(F.col(batch_col).isNotNull()), assign.where(F.col(batch_col).isNull())

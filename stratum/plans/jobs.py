@@ -81,9 +81,10 @@ def tokenise_series_job(series: DataFrame, out_dir: str, frame_len: int, hop: in
 
 
 def pack_corpus_job(rows: DataFrame, out_dir: str, capacity: int = C.PACK_CAPACITY, seed: int = 0,
-                    n_buckets: int | None = None) -> DataFrame:
+                    n_buckets: int = C.PACK_BUCKETS) -> DataFrame:
     """Token rows (seq_id, input_ids, labels) are written once, packed on their lengths and
-    gathered into packs written as Parquet. Returns the written packs."""
+    gathered into packs written as Parquet. Packs depend on ``n_buckets`` and never on the number of rows. Returns the
+    written packs."""
     checkpoint_dir(rows.sparkSession)
     rows = rows.checkpoint(eager=True)
     lengths = rows.select("seq_id", F.size("input_ids").alias("length"))

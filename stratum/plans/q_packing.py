@@ -166,6 +166,27 @@ def k8_assign_rank(spark, sf_dir):
         "seq_id", "lane", "rank", "worker", "worker_seed")
 
 
+@query("k8_rank_packs", S.with_(S.F3, _ordered_sql("f3", 0, NB, f"length <= {CAP}")).replace("WITH ", "WITH RECURSIVE ", 1)
+       + ",\n" + _next_fit_sql(CAP) + f""",
+dealt AS (SELECT pack_id, CAST(pack_id // 4294967296 * 4294967296 + pack_id % 4294967296 // {RANKS} AS BIGINT) AS batch_id,
+                 CAST(pack_id % 4294967296 % {RANKS} AS INTEGER) AS rank, seq_id, length, pos FROM packs)
+SELECT pack_id, batch_id, rank, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(length) AS BIGINT) AS n_tokens,
+       md5(string_agg(seq_id::VARCHAR, ',' ORDER BY pos)) AS ids_md5
+FROM dealt WHERE rank = 1 GROUP BY ALL""")
+def k8_rank_packs(spark, sf_dir):
+    """K6 packs dealt to ranks and written by rank; one rank's packs read back from its own folder."""
+    from stratum.plans.q_sources import _scratch
+
+    a = pk.pack_next_fit(_f3(spark, sf_dir), capacity=CAP, n_buckets=NB)
+    packs = a.groupBy("pack_id").agg(F.array_sort(F.collect_list(F.struct("pos", "seq_id", "length"))).alias("members"))
+    path = _scratch(spark, "ranks")
+    pk.write_ranks(pk.deal_packs(packs, RANKS), path)
+    return pk.read_rank(spark, path, 1).select(
+        "pack_id", "batch_id", "rank", F.size("members").cast("bigint").alias("n_rows"),
+        F.aggregate("members", F.lit(0).cast("bigint"), lambda t, m: t + m["length"]).alias("n_tokens"),
+        F.md5(F.array_join(F.transform("members", lambda m: m["seq_id"].cast("string")), ",")).alias("ids_md5"))
+
+
 @query("k11_packing_stats", S.with_(S.F3, _ordered_sql("f3", 0, NB, f"length <= {CAP}")).replace("WITH ", "WITH RECURSIVE ", 1)
        + ",\n" + _next_fit_sql(CAP) + f"""
 SELECT CAST(count(DISTINCT pack_id) AS BIGINT) AS n_batches, CAST(sum(length) AS BIGINT) AS used_tokens,
