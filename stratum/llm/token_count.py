@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from stratum.llm.common import small_batches, text_or_empty
 
 MARK = "▁"
 _RUNS = re.compile(" +[^ ]*")
+#: Distinct pre-tokens encoded as one text.
+LINE_WORDS = 1000
 
 
 def model_path(name: str) -> str:
@@ -36,6 +40,27 @@ def pre_tokens(text: str) -> tuple[list[str], bool]:
     return words, False
 
 
+def cut_words(texts: pa.Array) -> pa.Array:
+    """The pre-tokens of each text as a list, without their first space; "" is a single space left over at the end. An empty
+    text has none. Texts without double, leading or trailing spaces are split by Arrow, the others by ``_RUNS``."""
+    texts = pc.replace_substring(texts, MARK, " ")
+    odd = pc.or_(pc.or_(pc.equal(texts, ""), pc.match_substring(texts, "  ")), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")))
+    cut = pc.split_pattern(texts, " ")
+    at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+    if not len(at):
+        return cut
+    runs = [[m[1:] for m in _RUNS.findall(" " + t)] if t else [] for t in texts.take(pa.array(at)).to_pylist()]
+    order = np.arange(len(cut))
+    order[at] = len(cut) + np.arange(len(at))
+    return pa.concat_arrays([cut, pa.array(runs, cut.type)]).take(pa.array(order))
+
+
+def list_ends(lists: pa.Array) -> np.ndarray:
+    """Where each list begins and the last one ends among the flattened values."""
+    at = lists.offsets.to_numpy()
+    return at - at[0]
+
+
 class PreTokenCounter:
     """Counts the tokens of a text pre-token by pre-token.
 
@@ -58,11 +83,39 @@ class PreTokenCounter:
             raise ValueError("a piece crosses pre-tokens; the pre-token count does not hold for this model")
         if self.sp.encode("a  b ", out_type=str)[0] != MARK + "a" or self.sp.encode(" ", out_type=str) != [MARK * 2]:
             raise ValueError("the model does not mark the start of a text or does not keep spaces as they are")
+        if any(self.sp.normalize(t) != MARK + t for t in ("ﬁ", "Ａ", "é")):
+            raise ValueError("the model's normaliser changes texts")
         words = [(i, p[1:]) for i, (p, ok) in enumerate(zip(pieces, plain)) if ok and len(p) > 1 and p[0] == MARK and MARK not in p[1:]]
         self.whole = {w: 1 for (i, w), ids in zip(words, self.sp.encode([w for _, w in words])) if ids == [i]}
         self.known = dict(self.whole)
         self.remember = remember
         self.last_space = len(self.sp.encode("a ")) - len(self.sp.encode("a"))
+        self.leads = np.array([p.startswith(MARK) for p in pieces])
+        self.proven = pa.array(list(self.whole), pa.string())
+
+    def _merged(self, words: list[str]) -> np.ndarray:
+        """Counts of pre-tokens with one marker each: many of them are one text to the library, told apart by the pieces with the marker."""
+        lines = self.sp.encode([" ".join(words[i:i + LINE_WORDS]) for i in range(0, len(words), LINE_WORDS)])
+        ids = np.concatenate([np.array(x, np.int32) for x in lines]) if lines else np.zeros(0, np.int32)
+        starts = np.flatnonzero(self.leads[ids])
+        if len(starts) != len(words):
+            raise ValueError("the ids of a line do not fall into its pre-tokens")
+        return np.diff(np.append(starts, len(ids)))
+
+    def count_batch(self, texts: pa.Array) -> np.ndarray:
+        """Token counts of a batch of texts. Its distinct pre-tokens are found by Arrow; the proven ones count 1, the rest is merged
+        once each, and a text's count is the difference of two running sums. Nothing is remembered from batch to batch."""
+        cut = cut_words(texts)
+        words = cut.flatten().dictionary_encode()
+        counts = np.ones(len(words.dictionary), np.int64)
+        rest = np.flatnonzero(~pc.is_in(words.dictionary, value_set=self.proven).to_numpy(zero_copy_only=False))
+        named = words.dictionary.take(pa.array(rest)).to_pylist()
+        plain = np.array([w != "" and " " not in w for w in named], bool)
+        counts[rest[plain]] = self._merged([w for w, ok in zip(named, plain) if ok])
+        other = [w for w, ok in zip(named, plain) if not ok]
+        counts[rest[~plain]] = [len(x) if w else self.last_space for w, x in zip(other, self.sp.encode(other))]
+        ends = np.append(0, np.cumsum(counts[words.indices.to_numpy()]))[list_ends(cut)]
+        return np.diff(ends)
 
     def _learn(self, words: list[str]) -> None:
         if len(self.known) > len(self.whole) + self.remember:
@@ -85,8 +138,8 @@ def count_tokens(docs: DataFrame, path: str | None = None, model: str = "piece_b
     """One row per input row: ``id_col``, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > ``limit``).
 
     ``path`` is a model file that every executor can read; by default the public file ``model``. Null counts as empty, an empty
-    text has 0 tokens. Repeated rows are counted each; one map stage, no shuffle. Text goes in byte-bounded
-    batches, so long texts stay single rows of their own batch."""
+    text has 0 tokens, an empty table gives no rows. Repeated rows are counted each; one map stage, no shuffle. Text goes in
+    byte-bounded batches, so long texts stay single rows of their own batch. A model whose normaliser changes texts is refused."""
     small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -94,8 +147,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, model: str = "piece_b
         counter = None
         for b in batches:
             counter = counter or PreTokenCounter(path or model_path(model))
-            n = [counter.count(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["_id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counter.count_batch(b.column(2)), pa.int64())], ["_id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.octet_length(text_or_empty(text_col)).cast("bigint").alias("n_bytes"),
                        text_or_empty(text_col).alias("_text"))

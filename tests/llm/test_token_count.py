@@ -30,3 +30,14 @@ def test_memory_of_other_words_is_bounded():
 def test_empty_and_repeated(frame):
     assert count_tokens(frame([])).collect() == []
     assert len(count_tokens(frame([(1, "a"), (1, "a"), (None, "a")])).collect()) == 3
+
+
+def test_batches_like_single_texts():
+    import pyarrow as pa
+
+    c = PreTokenCounter(model_path("piece_bpe_32k.model"))
+    texts = [t or "" for t in NASTY] * 2 + ["plain words only", "a" * 3000 + " é日🙂"]
+    for part in (texts, texts[:1], [""], ["one two three"], []):
+        assert c.count_batch(pa.array(part, pa.string())).tolist() == [len(c.sp.encode(t)) for t in part]
+    sliced = pa.array(texts, pa.string()).slice(3, 9)
+    assert c.count_batch(sliced).tolist() == [len(c.sp.encode(t)) for t in texts[3:12]]
