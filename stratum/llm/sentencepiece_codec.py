@@ -8,11 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratum.llm.common import small_batches, text_or_empty
-from stratum.llm.token_count import MARK, model_path, pre_tokens
+from stratum.llm.token_count import MARK, cut_words, list_ends, model_path, pre_tokens
 
 # Fixed values of the model file format: field numbers and enumerations of its protobuf messages.
 MODEL_PIECES, MODEL_TRAINER, MODEL_NORMALIZER = 1, 2, 3
@@ -119,8 +120,8 @@ class Codec:
     """Encoder and decoder of one model file inside a task.
 
     Where no piece crosses pre-tokens, a text's ids are those of its pre-tokens in a row: the library encodes each
-    distinct pre-token once, in multithreaded batches, and a table of at most ``remember`` of them, emptied when
-    full, serves the repeats. Other models get whole texts. With ``verify``, everything the library encodes is
+    distinct pre-token of a batch once, multithreaded (``encode_batch``; ``encode`` serves single texts and remembers at most
+    ``remember`` pre-tokens). Other models get whole texts. With ``verify``, everything the library encodes is
     encoded by the sentencepiece library too; ``odd`` collects the pre-tokens of what differs."""
 
     def __init__(self, path: str, verify: bool = False, remember: int = 100_000):
@@ -185,6 +186,67 @@ class Codec:
         self.odd.update(w for line in self.unlike for w in ([line] if " " in line and not line.strip() else line.split(" ")))
         return ids, [not self.odd or self.odd.isdisjoint(words) for words, _ in cut]
 
+    def _word_ids(self, words: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """(list of ids of each distinct pre-token, whether the sentencepiece library differs). Those with one marker are
+        encoded many at a time and told apart by the piece with the marker; where a line differs, all its words count as odd."""
+        plain = np.array([w != "" and " " not in w for w in words], bool)
+        at = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        n = int(plain.sum())
+        lines = [" ".join([words[i] for i in at[k:min(k + LINE_WORDS, n)]]) for k in range(0, n, LINE_WORDS)]
+        self.unlike = set()
+        ids = np.frombuffer(b"".join(self._learn(lines)), np.int32)
+        starts = np.flatnonzero(self.leads[ids])
+        if len(starts) != n:
+            raise ValueError("the ids of a line do not fall into its pre-tokens")
+        odd = np.zeros(len(words), bool)
+        for k, line in enumerate(lines):
+            if line in self.unlike:
+                odd[at[k * LINE_WORDS:min((k + 1) * LINE_WORDS, n)]] = True
+        rest = [words[i] for i in at[n:]]
+        spaced = [x if w else self.last_space for w, x in zip(rest, self._learn(rest))]
+        odd[at[n:]] = [w in self.unlike for w in rest]
+        ends = np.cumsum([len(ids), *(len(x) // 4 for x in spaced)])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([starts, ends]), pa.int32()),
+                                         pa.array(np.concatenate([ids, np.frombuffer(b"".join(spaced), np.int32)])))
+        place = np.empty(len(words), np.int64)
+        place[at] = np.arange(len(words))
+        return lists.take(pa.array(place)), odd
+
+    def encode_batch(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """(ids of each text, same as the sentencepiece library as far as compared). Arrow finds the batch's distinct pre-tokens, each
+        is encoded and compared once, and the ids go back by the lists' places; nothing is remembered from batch to batch."""
+        if not self.apart:
+            raw, same = self.encode(texts.to_pylist())
+            ends = np.cumsum([0, *(len(x) // 4 for x in raw)])
+            flat = pa.array(np.frombuffer(b"".join(raw), np.int32))
+        else:
+            cut = cut_words(texts)
+            words = cut.flatten().dictionary_encode()
+            lists, odd = self._word_ids(words.dictionary.to_pylist())
+            at, docs = words.indices.to_numpy(), list_ends(cut)
+            same = np.diff(np.append(0, np.cumsum(odd[at]))[docs]) == 0
+            ends = np.append(0, np.cumsum(np.diff(lists.offsets.to_numpy())[at]))[docs]
+            flat = lists.take(words.indices).flatten()
+        if ends[-1] >= 1 << 31:
+            raise ValueError("a batch has too many ids")
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(same, pa.bool_())
+
+    def decode_batch(self, lists: pa.Array) -> pa.Array:
+        """Text of each list of ids. The ids are cut before every piece with a leading marker; byte runs never cross such a cut, so each
+        distinct run of the batch is decoded once and the runs' texts are joined by the space that decoding strips off a start."""
+        ids, docs = lists.flatten().to_numpy(), list_ends(lists)
+        if not self.apart or (len(ids) and (ids.min() < 0 or ids.max() >= len(self.leads))):
+            return pa.array([self.decode(x) for x in lists.to_pylist()], pa.string())
+        cut = self.leads[ids]
+        cut[docs[:-1][np.diff(docs) > 0]] = True
+        starts = np.append(np.flatnonzero(cut), len(ids))
+        ids = np.ascontiguousarray(ids, np.int32)
+        runs = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int64) * 4), pa.py_buffer(ids)])
+        runs = runs.dictionary_encode()
+        distinct = [np.frombuffer(x, np.int32).tolist() for x in runs.dictionary.to_pylist()]
+        texts = pa.array(self.tok.decode_batch(distinct, skip_special_tokens=False), pa.string()).take(runs.indices)
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, docs), pa.int32()), texts), " ")
+
     def decode(self, ids: list[int]) -> str:
         out, at = [], 0
         while len(ids) - at > DECODE_IDS and self.apart:
@@ -203,8 +265,9 @@ def encode(docs: DataFrame, path: str | None = None, model: str = "piece_bpe_32k
     ``path`` is a model file that every executor can read; by default the public file ``model``. Batches go to the
     library's own threads. Null counts as empty; an empty text has no ids. With ``verify``, same_as_library
     says whether the sentencepiece library gives the same ids; with ``decoded_col``, that column holds the ids decoded
-    again by the same worker. Rows stay rows; a column named as an output must not be kept."""
-    small_batches(docs.sparkSession, 4)
+    again by the same worker. Rows stay rows, an empty table gives none, a very long text is a batch of its own; a column named as an
+    output must not be kept."""
+    small_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     if {ids_col, "same_as_library", decoded_col} & set(keep):
         raise ValueError("an output column has the name of a kept one")
@@ -216,17 +279,12 @@ def encode(docs: DataFrame, path: str | None = None, model: str = "piece_bpe_32k
         codec = None
         for b in batches:
             codec = codec or Codec(path or model_path(model), verify)
-            ids, same = codec.encode(b.column(n).to_pylist())
-            ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
-            if ends[-1] >= 1 << 31:
-                raise ValueError("a batch has too many ids")
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+            lists, same = codec.encode_batch(b.column(n))
             cols, names = [*b.columns[:n], lists], [*(f"k{i}" for i in range(n)), "_ids"]
             if verify:
-                cols, names = [*cols, pa.array(same, pa.bool_())], [*names, "_same"]
+                cols, names = [*cols, same], [*names, "_same"]
             if decoded_col:
-                back = [codec.decode(np.frombuffer(x, np.int32).tolist()) for x in ids]
-                cols, names = [*cols, pa.array(back, pa.string())], [*names, "_back"]
+                cols, names = [*cols, codec.decode_batch(lists)], [*names, "_back"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     out = rows.mapInArrow(run, schema)
@@ -237,7 +295,7 @@ def encode(docs: DataFrame, path: str | None = None, model: str = "piece_bpe_32k
 def decode(rows: DataFrame, path: str | None = None, model: str = "piece_bpe_32k.model", ids_col: str = "ids",
            out_col: str = "decoded", keep: list[str] | None = None) -> DataFrame:
     """The ``keep`` columns (default: all) plus ``out_col``, the text of the ids in ``ids_col``. Null ids give an empty text."""
-    small_batches(rows.sparkSession, 4)
+    small_batches(rows.sparkSession)
     keep = rows.columns if keep is None else keep
     if out_col in keep:
         raise ValueError("an output column has the name of a kept one")
@@ -249,8 +307,7 @@ def decode(rows: DataFrame, path: str | None = None, model: str = "piece_bpe_32k
         codec = None
         for b in batches:
             codec = codec or Codec(path or model_path(model))
-            texts = [codec.decode(x) for x in b.column(n).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(texts, pa.string())], [f"k{i}" for i in range(n)] + ["_text"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], codec.decode_batch(b.column(n))], [f"k{i}" for i in range(n)] + ["_text"])
 
     return src.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("_text").alias(out_col))
 

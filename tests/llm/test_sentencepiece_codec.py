@@ -61,3 +61,26 @@ def test_clashing_names_and_empty(frame):
     assert codec.decode(codec.encode(frame([]), keep=["doc_id"])).collect() == []
     twice = codec.encode(frame([(1, "a"), (1, "a"), (None, None)])).collect()
     assert len(twice) == 3 and sorted(map(len, (r["ids"] for r in twice))) == [0, 1, 1]
+
+
+def test_runs_decode_as_whole_lists():
+    """Any ids at all, markers and bytes in any order, decode as the library decodes the whole list."""
+    import pyarrow as pa
+
+    c = codec.Codec(PATH, verify=True)
+    rng = random.Random(8)
+    odd = [i for i, (p, _, kind) in enumerate(c.model.pieces) if kind != 1 or p.strip(MARK) == ""] + [c.sp.piece_to_id(MARK + "the"), c.sp.piece_to_id("e")]
+    lists = [[rng.choice(odd) for _ in range(rng.randrange(12))] for _ in range(800)] + [[], c.sp.encode("é🙂 " * 300)]
+    got = c.decode_batch(pa.array(lists, pa.list_(pa.int32()))).to_pylist()
+    assert got == [c.tok.decode(x, skip_special_tokens=False) for x in lists]
+    assert c.decode_batch(pa.array([], pa.list_(pa.int32()))).to_pylist() == []
+
+
+def test_a_word_that_differs_is_reported(monkeypatch):
+    import pyarrow as pa
+
+    c = codec.Codec(PATH, verify=True)
+    theirs = c.sp.encode
+    monkeypatch.setattr(c, "sp", type("Other", (), {"encode": staticmethod(lambda texts: [x + [7] if "zebra" in t else x for t, x in zip(texts, theirs(texts))])}))
+    same = c.encode_batch(pa.array(["a zebra"] + [f"w{i}" for i in range(500)], pa.string()))[1].to_pylist()
+    assert not same[0] and same.count(False) <= codec.LINE_WORDS and same[-1]
