@@ -26,7 +26,8 @@ LOOSE = {
     "email": [r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?)[A-Za-z0-9-]++)++"],
     "ip": [r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])"],
     "card": [r"(?<![0-9])[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{2,4}(?![0-9])"],
-    "phone": [r"(?<![0-9+])\+?[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"],
+    "phone": [r"(?<![0-9+])\+?[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
+              r"(?<![0-9+])\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"],
 }
 #: A kind is looked for only in texts that match this, which its base and loose patterns all imply.
 HINT = {"email": r"@|[(\[]at[)\]]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]", "phone": r"\+[0-9]|[0-9]{2}"}
@@ -92,15 +93,31 @@ def _char_class(c: Column) -> Column:
     return F.when(F.length(c) == 0, 0).when(c.rlike(r"^\s"), 1).when(c.rlike("^[A-Za-z]"), 2).when(c.rlike("^[0-9]"), 3).otherwise(4)
 
 
+def _plain(kind: str, value: Column) -> Column:
+    """The value without what sets a disguised one apart from one that the base patterns find: an address with its signs
+    written out, a number without its plus. Features are taken of this form, so that they don't tell the label."""
+    if kind == "email":
+        value = F.regexp_replace(value, r" ?(?:@|\(at\)|\[at\]) ?", "@")
+        return F.regexp_replace(value, r" ?(?:\.|\(dot\)|\[dot\]) ?", ".")
+    return F.ltrim(value, F.lit("+")) if kind == "phone" else value
+
+
+def _plausible(kind: str, value: Column) -> Column:
+    """Whether a loose span that the base patterns don't confirm may still be one; the others serve as counterexamples."""
+    if kind == "email":
+        return _plain(kind, value).rlike(r"\.[A-Za-z]{2,}$")
+    return value.rlike(r"[0-9][^0-9]") if kind == "phone" else _valid(kind, value)
+
+
 def _cell(kind: str, x: Column) -> Column:
     """The candidate's features as one number below N_CELLS: format (number of digits, kind of joints, checksum) and
     context (characters beside it, words before it)."""
-    v, n = x["value"], F.length(_digits(x["value"]))
+    v, n = _plain(kind, x["value"]), F.length(_digits(x["value"]))
     digits = F.when(n < 8, 0).when(n < 10, 1).when(n <= 10, 2).when(n <= 11, 3).when(n < 14, 4).when(n <= 15, 5).when(n <= 16, 6).otherwise(7)
     joint = F.when(v.contains(" ") & v.contains("("), 4).when(v.contains("(") | v.contains("["), 5).when(v.contains(" "), 1).when(v.contains("-"), 2) \
         .when(v.contains("."), 3).otherwise(0)
     check = (F.when(n.between(14, 19), F.call_function("luhn_check", _digits(v))).otherwise(F.lit(False)) if kind == "card"
-             else _valid("ip", v) if kind == "ip" else v.startswith("+") if kind == "phone" else v.rlike(r"\.[A-Za-z]{2,}$"))
+             else _valid("ip", v) if kind == "ip" else n.between(10, 15) if kind == "phone" else v.rlike(r"\.[A-Za-z]{2,}$"))
     context = F.when(x["before"].rlike(r"(?i)(?:mail|tel|phone|call|fax|mobil|contact|card|visa|credit|ip|server|host)[^a-z]*$"), 1) \
         .when(x["before"].rlike(r"(?i)(?:token|key|secret|id|order|ref|version|hash|sha)[^a-z]*$"), 2).otherwise(0)
     code = F.lit(KINDS.index(kind))
@@ -111,12 +128,13 @@ def _cell(kind: str, x: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """array of (kind, start, end, base, cell): the base spans, and every loose span that isn't a base span."""
+    """array of (kind, start, end, base, against, cell): the base spans, and every loose span that isn't a base span; ``against``
+    marks loose spans that can't be personal data and don't touch a base span of their kind."""
     return F.concat(*[F.when(text.rlike(HINT[kind]), _of_kind(text, k, kind)).otherwise(F.array().cast(_CANDIDATES))
                       for k, kind in enumerate(KINDS)])
 
 
-_CANDIDATES = "array<struct<kind:int,start:int,end:int,base:boolean,cell:int>>"
+_CANDIDATES = "array<struct<kind:int,start:int,end:int,base:boolean,against:boolean,cell:int>>"
 
 
 def _key(x: Column) -> Column:
@@ -124,27 +142,30 @@ def _key(x: Column) -> Column:
 
 
 def _of_kind(text: Column, k: int, kind: str) -> Column:
-    def out(spans, is_base):
+    def out(spans, is_base, base=None):
+        against = (lambda x: F.lit(False)) if is_base else (lambda x: ~_plausible(kind, x["value"]) & ~F.exists(
+            base, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
         return F.transform(spans, lambda x: F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end"),
-                                                     F.lit(is_base).alias("base"), _cell(kind, x).alias("cell")))
+                                                     F.lit(is_base).alias("base"), against(x).alias("against"), _cell(kind, x).alias("cell")))
 
     def others(spans, base):
         return _let(F.transform(base, _key), lambda keys: F.filter(spans, lambda x: ~F.array_contains(keys, _key(x))))
 
     return _let(F.filter(_runs(text, BASE[kind]), lambda x: _valid(kind, x["value"])), lambda base: F.concat(
-        out(base, True), *[out(others(_runs(text, p), base), False) for p in LOOSE[kind]]))
+        out(base, True), *[out(others(_runs(text, p), base), False, base) for p in LOOSE[kind]]))
 
 
-def choose_cells(rows: DataFrame, precision: float = 0.95, least: int = 20, rounds: int = 12) -> list[int]:
+def choose_cells(rows: DataFrame, precision: float = 0.95, rounds: int = 12) -> list[int]:
     """Cells whose loose spans are taken, the most certain first.
 
     All candidates of the corpus are counted by cell (N_CELLS rows at most), half of the rows for fitting and half for
-    calibration; the label is whether the base patterns confirm the span. Boosted trees score the cells; a kind's
-    threshold is the lowest score from which on the calibration half confirms at least ``precision`` of ``least`` or
-    more candidates. Nothing is taken where a half lacks either label."""
+    calibration. Confirmed are the base spans, counterexamples the implausible loose ones; loose spans that may be either
+    have no label and count for nothing. Boosted trees score the cells; a kind's threshold is the lowest score from which on
+    the calibration half confirms at least ``precision`` of the labelled candidates. A format (kind, digits, joint, check) that no
+    confirmed span of the fitting half has is never taken, and nothing is where that half lacks either label."""
     c = F.col("c")
     counted = rows.select("_fold", F.explode("_cands").alias("c")).groupBy("_fold", c["cell"].alias("cell")) \
-        .agg(F.count_if(c["base"]).alias("yes"), F.count_if(~c["base"]).alias("no"))
+        .agg(F.count_if(c["base"]).alias("yes"), F.count_if(c["against"]).alias("no"))
     counted = materialise(counted, "op2-cells")
     left, feats = F.col("cell"), []
     for name in reversed(RANGES):
@@ -162,6 +183,8 @@ def choose_cells(rows: DataFrame, precision: float = 0.95, least: int = 20, roun
         return []
     model = GBTClassifier(labelCol="label", weightCol="weight", maxDepth=4, maxIter=rounds, seed=11).fit(sample.coalesce(1))
     scored = model.transform(cells).select("_fold", "cell", "kind", "yes", "no", vector_to_array("probability")[1].alias("score")).collect()
+    per_format = RANGES["before"] * RANGES["after"] * RANGES["context"]
+    formats = {r["cell"] // per_format for r in scored if r["_fold"] == 0 and r["yes"]}
     taken: list[tuple[float, int]] = []
     for kind in range(len(KINDS)):
         own = [r for r in scored if r["kind"] == kind]
@@ -170,10 +193,10 @@ def choose_cells(rows: DataFrame, precision: float = 0.95, least: int = 20, roun
         for i, r in enumerate(held):
             yes, total = yes + r["yes"], total + r["yes"] + r["no"]
             last = i + 1 == len(held) or held[i + 1]["score"] < r["score"]
-            if last and total >= least and yes >= precision * total:
+            if last and total and yes >= precision * total:
                 best = r["score"]
         if best is not None:
-            taken += {(-r["score"], r["cell"]) for r in own if r["score"] >= best and r["score"] > 0.5}
+            taken += {(-r["score"], r["cell"]) for r in own if r["score"] >= best and r["score"] > 0.5 and r["cell"] // per_format in formats}
     return [cell for _, cell in sorted(set(taken))]
 
 
@@ -185,7 +208,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pr
     ``base`` holds what the base patterns and their checks find. ``spans`` adds loose spans whose cell was chosen
     by the boosted trees (``choose_cells``), unless they touch a base span of their kind or a more certain loose one.
     The texts are scanned once, row by row, in the JVM: no shuffle but the cell counts. The narrow candidate
-    table is written once. Null texts count as empty; repeated rows and null ids stay rows of their own."""
+    table is written once. Null texts count as empty; repeated rows and null ids stay rows of their own; an empty table gives no rows;
+    equally certain loose spans that touch: the first, of these the longest, stays."""
     checkpoint_dir(docs.sparkSession)
     carry = carry or {}
     fold = (F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")) % 2).cast("int")

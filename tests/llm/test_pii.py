@@ -74,3 +74,25 @@ def test_redacted_text_and_empty(frame, spark):
                                  "text string, spans array<struct<kind:string,start:int,end:int>>")
     assert docs.select(pii.redact(F.col("text"), F.col("spans"))).first()[0] == "call [PHONE] or é@b é[EMAIL]!"
     assert pii.find_pii(frame([])).collect() == []
+
+
+def test_disguised_spans_are_learned(frame):
+    """Addresses with their signs written out and phones without a plus are found by the shape of plain ones; recall and precision."""
+    rng = random.Random(12)
+    phone = lambda: f"({rng.randrange(200, 999)}) 555-{rng.randrange(10**4):04d}"
+    rows = [(i, f"word u{i}@mail{i % 9}.example.com word +1 {phone()} word") for i in range(200)]
+    plain = len(rows)
+    want = {}
+    for i in range(plain, plain + 200):
+        a, p = f"u{i} (at) mail{i % 9}.example.com", f"1 {phone()}"
+        if i % 2:
+            a = f"u{i}[at]mail.example[dot]com"
+        rows.append((i, f"word {a} word {p} word"))
+        want[i] = [("email", 5, 5 + len(a)), ("phone", 11 + len(a), 11 + len(a) + len(p))]
+    rows += [(1000 + i, f"meet (at) noon.{i} or number 1{rng.randrange(10**9, 10**10)} and 41{rng.randrange(10**13, 10**14)} 999.{i}.1.2 word") for i in range(200)]
+    got = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in pii.find_pii(frame(rows)).collect()}
+    right = sum(x in got[i] for i, spans in want.items() for x in spans)
+    assert right >= 0.95 * sum(map(len, want.values()))
+    extra = sum(x not in want[i] for i in want for x in got[i]) + sum(x[0] != "card" for i in got if i >= 1000 for x in got[i])
+    assert extra <= 0.05 * right
+    assert all(len(got[i]) == 2 for i in range(plain))
