@@ -78,45 +78,38 @@ class Threshold:
             self.floors.append(self.floors[-1] * self.den // self.num + 1)
         return int(np.searchsorted(self.floors, size, "right")) - 1
 
-    def segments(self, k: int) -> tuple[int, int, int]:
-        """(segments, spare, least) for pairs whose smaller set is of class k: similar sets differ in at most d elements, so of
-        d + 1 + spare segments at least 1 + spare agree. Segments of fewer than ``least`` elements are too common to be
-        keys: 3 where segments hold 6 or more on average, else only empty ones. (0, 0, 0) if only equal sets are similar."""
+    def segments(self, k: int) -> tuple[int, int]:
+        """(segments, spare) for pairs whose smaller set is of class k: similar sets differ in at most d elements, so of
+        d + 1 + spare segments at least 1 + spare agree. (0, 0) if only equal sets are similar."""
         self.size_class(self.floors[-1] if len(self.floors) <= k + 1 else self.floors[k + 1])
         d = (self.floors[k + 1] - 1) * (self.den - self.num) // self.num
-        if not d:
-            return 0, 0, 0
-        spare = 1 + d // 10
-        if self.floors[k] >= 6 * (d + 1 + spare):
-            return d + 1 + spare, spare, 3
-        spare = 1 + d // 5
-        return d + 1 + spare, spare, 1
+        return (d + 2 + d // 2, 1 + d // 2) if d else (0, 0)
 
 
 def block_keys(grams: np.ndarray, t: Threshold) -> np.ndarray:
     """Keys such that two similar, unequal sets share at least one.
 
-    The order's range is cut into equal segments; a key is a segment's whole content. Segments of too few
-    elements are left out while they are no more than the spare ones, since then an agreeing larger one remains. A set gives keys
-    for its own size class and, as the larger partner, for the class below."""
+    The order's range is cut into equal segments; a key is a segment's whole content. Every set leaves out its ``spare`` smallest
+    segments (by number of elements, then by key), which unlike sets with a common passage are most likely to share. Of the 1 + spare or
+    more segments that two similar sets have in common, the last in this order has ``spare`` before it in both sets, so both
+    keep it. A set gives keys for its own size class and, as the larger partner, for the class below."""
     if not len(grams):
         return np.zeros(0, np.int64)
     own, out = t.size_class(len(grams)), []
     mixed = _mix(grams + _MIX[0])
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)))
     for k in (own, own - 1):
         if k < 0:
             continue
-        n, spare, least = t.segments(k)
+        n, spare = t.segments(k)
         if not n:
             continue
         segment = ((grams >> np.uint64(40)) * np.uint64(n)) >> np.uint64(24)
         sizes = np.bincount(segment.astype(np.int64), minlength=n)
         ends = np.cumsum(sizes)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)))
         sums = total[ends] - total[ends - sizes]
         keys = _mix(sums + _mix(np.arange(n, dtype=np.uint64) + np.uint64(k << 32) + _MIX[1]))
-        large = sizes >= least
-        out.append(keys[large] if n - int(large.sum()) <= spare else keys)
+        out.append(keys[np.lexsort((keys, sizes))[spare:]])
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
