@@ -219,19 +219,25 @@ def resample_series(events: DataFrame, step_seconds: int, series_col: str = "ser
     Two-phase, chunked by time (``chunk_seconds``, a day by default; shorten it for denser
     series): neighbours are looked up inside (series, chunk) with an ordered window over the
     union of grid points and events; a grid point with no neighbour inside its chunk takes the
-    carry from a small per-(series, chunk) table (last/first event of other chunks).
+    carry from a small per-(series, chunk) table (last/first event of other chunks). The grid itself is made chunk by
+    chunk, so no array is longer than a chunk and a dominant series' points are made by many tasks.
     """
     step = step_seconds * 1_000_000
     ev = events.select(series_col, micros(events, ts_col).alias("_t"), F.col(tie_col).alias("_tie"),
                        F.col(value_col).alias("_v"))
     span = ev.groupBy(series_col).agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
     first_grid = F.ceil(F.col("_lo") / F.lit(step)) * F.lit(step)
-    seq = F.when(first_grid <= F.col("_hi"), F.sequence(first_grid.cast("bigint"), F.col("_hi"),
-                                                         F.lit(step).cast("bigint")))
-    grid = span.select(series_col, F.explode(seq).alias("_t"))
-    day = F.floor(F.col("_t") / F.lit(chunk_seconds * 1_000_000)).cast("bigint")
-    evd = ev.withColumn("_day", day)
-    grd = grid.withColumn("_day", day)
+    chunk = chunk_seconds * 1_000_000
+    # two levels: the chunks of a series first, dealt to the tasks, then the grid points of each chunk
+    chunk_of = lambda c: F.floor(c / F.lit(chunk)).cast("bigint")
+    chunks = (span.withColumn("_g0", first_grid.cast("bigint")).where("_g0 <= _hi")
+              .withColumn("_day", F.explode(F.sequence(chunk_of(F.col("_g0")), chunk_of(F.col("_hi")))))
+              .repartition(series_col, "_day"))
+    start = F.greatest("_g0", (F.ceil(F.col("_day") * F.lit(chunk) / F.lit(step)) * F.lit(step)).cast("bigint"))
+    end = F.least("_hi", (F.col("_day") + 1) * F.lit(chunk) - 1)
+    points = F.when(start <= end, F.sequence(start, end, F.lit(step).cast("bigint")))
+    grd = chunks.select(series_col, "_day", F.explode(points).alias("_t"))
+    evd = ev.withColumn("_day", chunk_of(F.col("_t")))
 
     rows = (evd.select(series_col, "_day", "_t", "_tie", "_v", F.lit(0).alias("_g"))
             .unionByName(grd.select(series_col, "_day", "_t", F.lit(None).cast("bigint").alias("_tie"),

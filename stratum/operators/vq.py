@@ -219,7 +219,13 @@ def quantisation_error(df: DataFrame, codebook: DataFrame, id_col: str = "vec_id
 
 
 # ---------------------------------------------------------------------- k-means, EMA, expiry
-def _partial_sums(df: DataFrame, vec_col: str, means: np.ndarray) -> DataFrame:
+#: Tasks that merge the partitions' sums; at most so many rows a code are left.
+SUM_LANES = 16
+
+
+def _partial_sums(df: DataFrame, vec_col: str, means: np.ndarray, final: bool = False) -> DataFrame:
+    """(code, n, s): vectors and their sum per nearest code, SUM_LANES rows a code at most, with ``final`` one. Each partition sums its
+    own vectors as one array a code; the lanes merge whole arrays, however many partitions there are."""
     k, d = means.shape
 
     def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -236,16 +242,30 @@ def _partial_sums(df: DataFrame, vec_col: str, means: np.ndarray) -> DataFrame:
         if len(used):
             yield pd.DataFrame({"code": used.astype(np.int32), "n": n[used], "s": list(s[used])})
 
-    parts = df.select(vec_col).mapInPandas(fn, "code int, n long, s array<double>")
-    summed = parts.groupBy("code").agg(F.sum("n").alias("n"), *[F.sum(F.get("s", F.lit(i))).alias(f"_s{i}") for i in range(d)])
-    return summed.select("code", "n", F.array(*[f"_s{i}" for i in range(d)]).alias("s"))
+    schema = "code int, n long, s array<double>"
+
+    def merge(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, s = np.zeros(k, dtype=np.int64), np.zeros((k, d))
+        for pdf in it:
+            if len(pdf):
+                codes = pdf["code"].to_numpy()
+                np.add.at(n, codes, pdf["n"].to_numpy())
+                np.add.at(s, codes, _matrix(pdf["s"]))
+        used = np.flatnonzero(n)
+        if len(used):
+            yield pd.DataFrame({"code": used.astype(np.int32), "n": n[used], "s": list(s[used])})
+
+    parts = df.select(vec_col).mapInPandas(fn, schema)
+    lanes = parts.withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(SUM_LANES))).repartition(SUM_LANES, "lane")
+    merged = lanes.select("code", "n", "s").mapInPandas(merge, schema)
+    return merged.repartition("code").mapInPandas(merge, schema) if final else merged
 
 
 def kmeans(df: DataFrame, k: int, n_iters: int = C.KMEANS_ITERS, id_col: str = "vec_id", vec_col: str = "vec",
            seed: int = 0, materialize: bool = False) -> DataFrame:
     """V2: Lloyd rounds from k sampled rows (V1). Each round ships the k means to the tasks,
-    which return per-partition partial sums (k rows each); only k rows per round reach the
-    driver. An empty cluster keeps its previous mean. Returns (code, centroid, bins) where
+    which return per-partition partial sums (k rows each), merged as arrays in SUM_LANES tasks; only
+    k * SUM_LANES rows per round reach the driver. An empty cluster keeps its previous mean. Returns (code, centroid, bins) where
     ``bins`` counts the last assignment (made before the last mean update). ``materialize``
     checkpoints the (id, vector) input once, for inputs whose plan is costly to re-run per round."""
     spark = df.sparkSession
@@ -263,8 +283,8 @@ def kmeans(df: DataFrame, k: int, n_iters: int = C.KMEANS_ITERS, id_col: str = "
         bins = np.zeros(k, dtype=np.int64)
         sums = np.zeros_like(means)
         for r in rows:
-            bins[r["code"]] = r["n"]
-            sums[r["code"]] = np.asarray(r["s"])
+            bins[r["code"]] += r["n"]
+            sums[r["code"]] += np.asarray(r["s"])
         new = sums / np.maximum(bins, 1)[:, None]
         means = np.where((bins == 0)[:, None], means, new)
     rows = list(zip(range(k), means.tolist(), bins.tolist()))
@@ -303,7 +323,7 @@ def ema_update(state: DataFrame, batch: DataFrame, decay: float = C.EMA_DECAY, e
         centroid     =  embed_avg / smoothed
     """
     book = load_codebook(state.select(F.lit(0).alias("layer"), "code", "centroid"))[0]
-    parts = _partial_sums(batch.select(id_col, vec_col), vec_col, book)
+    parts = _partial_sums(batch.select(id_col, vec_col), vec_col, book, final=True)
     agg = parts.select("code", F.col("n").cast("double").alias("_n"),
                        F.when(F.col("n") > 0, F.col("s")).alias("_sum"))
     st = state.join(agg, "code", "left").withColumn("_n", F.coalesce("_n", F.lit(0.0)))

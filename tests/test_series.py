@@ -89,3 +89,14 @@ def test_results_do_not_depend_on_session_time_zone(spark):
             assert sorted(map(tuple, qs[n](spark, SMOKE).collect())) == rows, n
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_resampling_makes_the_grid_chunk_by_chunk(spark):
+    """Chunks of any length give the same grid, shorter or longer than a step, and no array outgrows its chunk."""
+    ev = spark.sql("""SELECT cast(s AS bigint) series_id, timestamp_seconds(1700000003 + i * 977 + s * 31) ts, cast(i AS bigint) event_id, cast(i * i % 17 AS double) value
+                      FROM VALUES (0), (1), (2) v(s) LATERAL VIEW explode(sequence(0, 40 - 20 * s)) AS i""")
+    want = None
+    for chunk in (86_400, 3_600, 250):
+        got = sorted(tuple(r) for r in sr.resample_series(ev, 300, chunk_seconds=chunk).collect())
+        want = want or got
+        assert got == want and len(got) > 100

@@ -82,3 +82,18 @@ def test_ema_code_without_members_decays(spark):
     batch = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, vec array<double>")
     out = vq.ema_update(state, batch, decay=0.5, eps=0.0).orderBy("code").toPandas()
     assert out.cluster_size.iloc[1] == 0.5 and out.embed_avg.iloc[1][0] == 50.0
+
+
+def test_sums_merge_over_lanes(spark, monkeypatch):
+    """Any number of partitions and lanes gives the sums of one pass."""
+    rng = np.random.default_rng(2)
+    x, means = rng.normal(size=(500, 3)), rng.normal(size=(4, 3))
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "vec array<double>").repartition(37)
+    codes = vq.nearest(x, means)
+    want = {c: (int((codes == c).sum()), x[codes == c].sum(0)) for c in set(codes.tolist())}
+    once = {r["code"]: (r["n"], r["s"]) for r in vq._partial_sums(df, "vec", means, final=True).collect()}
+    assert once.keys() == want.keys()
+    assert all(once[c][0] == n and np.allclose(once[c][1], s) for c, (n, s) in want.items())
+    monkeypatch.setattr(vq, "SUM_LANES", 3)
+    rows = vq._partial_sums(df, "vec", means).collect()
+    assert len(rows) <= 12 and sum(r["n"] for r in rows) == 500
