@@ -19,7 +19,7 @@ GROUP_ROWS = 16_000
 GROUP_BYTES = 48 << 20
 #: Levels of a prefix tree: the range of the n-gram order is cut into this many parts.
 LEVELS = 8
-_WORDS = 200_000
+_WORDS = 100_000
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -234,15 +234,18 @@ def _shingled(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, limit = Shingler(n), Threshold(*t)
         for b in batches:
-            sets = [shingler.ngrams(x) for x in b.column(1).to_pylist()]
-            keys = [block_keys(s, limit) for s in sets]
+            sizes, digests, keys = [], [], []
+            for x in b.column(1):  # one text and one set at a time
+                grams = shingler.ngrams(x.as_py())
+                sizes.append(len(grams))
+                digests.append(xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None)
+                keys.append(block_keys(grams, limit))
             at = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                [b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                  pa.ListArray.from_arrays(at, pa.array(np.concatenate([*keys, np.zeros(0, np.int64)]))), *b.columns[2:]], ["_id", "n", "sig", "keys", *more])
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 2)
     kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in more)
     return docs.mapInArrow(run, f"_id {docs.schema['_id'].dataType.simpleString()}, n bigint, sig binary, keys array<bigint>{kinds}")
 
@@ -252,7 +255,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
         for b in batches:
-            sets = [shingler.ngrams(x).tobytes() for x in b.column(0).to_pylist()]
+            sets = [shingler.ngrams(x.as_py()).tobytes() for x in b.column(0)]
             mask = pa.array([xxhash.xxh3_128_digest(s) == d for s, d in zip(sets, b.column(2).to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(3), b.column(4), pa.array(sets, pa.binary())], ["cid", "grp", "rows", "grams"]).filter(mask)
 
