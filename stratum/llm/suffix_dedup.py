@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import flag_filter, flag_slot, materialise, small_batches, text_or_empty, with_flag
+from stratum.llm.common import discard, flag_filter, flag_slot, flag_slots, materialise, small_batches, text_or_empty, with_flag
 
 #: Bytes of a repeated string, and of the piece of it by which suffixes are chosen.
 LENGTH = 50
@@ -346,11 +346,31 @@ def _digest(text: Column) -> Column:
     return F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
 
 
+def _with_copies(rows: DataFrame) -> DataFrame:
+    """``rows`` plus ``copy``: true only where a row with a smaller id has the same text of LENGTH bytes or more.
+
+    The least id of every such text is found on a narrow table. One bitmap holds the texts that come more than once, another
+    (text, least id) of every text that the first one flags; a row in the first and not in the second is a copy. False hits
+    leave a copy unmarked, which only costs work."""
+    h = F.xxhash64("text")
+    firsts = materialise(rows.where(F.octet_length("text") >= LENGTH).groupBy(F.unhex(F.sha2("text", 256)).alias("key"))
+                         .agg(F.first(h).alias("h"), F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "op6-texts")
+    slots = flag_slots(2 * firsts.where("n > 1").count())
+    again = materialise(flag_filter(firsts.where("n > 1"), flag_slot(F.col("h"), slots=slots)), "op6-again")
+    least = materialise(flag_filter(with_flag(firsts, again, flag_slot(F.col("h"), slots=slots), "_dup").where("_dup"),
+                                    flag_slot(F.col("h"), F.col("least"), slots=slots)), "op6-least")
+    discard(firsts)
+    marked = with_flag(with_flag(rows, again, flag_slot(h, slots=slots), "_dup"), least, flag_slot(h, F.col("id"), slots=slots), "_first")
+    return marked.withColumn("copy", F.col("_dup") & ~F.col("_first") & (F.octet_length("text") >= LENGTH)).drop("_dup", "_first")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col`` (a whole number), n_bytes, n_removed, n_spans, kept (the remaining bytes).
 
     A byte goes when a string of 50 bytes over it also starts in a document with a smaller id; all strings are judged on the
     input and none crosses documents.
+    0. Whole copies of a text with a smaller id lose every byte and repeat nothing that the least id doesn't: they are
+       marked by two bitmaps (``_with_copies``) and take no further part.
     1. Every string chooses one suffix by its content (``chosen_suffixes``), about one per 18 bytes. Their leads are counted;
        those that come once can't repeat.
     2. Suffixes with a repeated lead carry the bytes that their strings can reach. Each batch settles what it can by
@@ -364,10 +384,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null texts count as empty. A null id counts as larger than all others; rows of one id don't cover each other; equal rows get equal
     results. An empty table gives an empty result."""
     order = F.coalesce(F.col(id_col).cast("bigint"), F.lit((1 << 63) - 1))
-    rows = docs.select(order.alias("id"), _digest(text_or_empty(text_col)).alias("dig"), text_or_empty(text_col).alias("text"))
+    marked = _with_copies(docs.select(F.col(id_col).alias("_id"), order.alias("id"), text_or_empty(text_col).alias("text")))
+    rows = marked.where("not copy").select("id", _digest(F.col("text")).alias("dig"), "text")
     spans = materialise(repeated_spans(rows).groupBy("id", "dig").agg(
         F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")), "op6-spans")
-    full = with_flag(docs.select(F.col(id_col).alias("_id"), order.alias("_order"), text_or_empty(text_col).alias("_text")),
+    full = with_flag(marked.select("_id", F.col("id").alias("_order"), F.col("text").alias("_text"), "copy"),
                      flag_filter(spans, flag_slot(F.col("id"))), flag_slot(F.col("_order")), "_flag")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,10 +404,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r + len(k) for r, k in zip(removed, kept)], pa.int64()), pa.array(removed, pa.int64()),
                                               pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], ["_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    met = full.where("_flag").withColumn("_dig", _digest(F.col("_text"))) \
+    met = full.where("_flag and not copy").withColumn("_dig", _digest(F.col("_text"))) \
         .join(spans, (F.col("_order") == F.col("id")) & (F.col("_dig") == F.col("dig")), "left").select("_id", "_text", "starts", "ends")
     changed = met.mapInArrow(cut, f"_id {docs.schema[id_col].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
-    none = F.lit(0).cast("bigint")
-    whole = full.where("not _flag").select("_id", F.octet_length("_text").cast("bigint").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"),
-                                           F.encode("_text", "UTF-8").alias("kept"))
+    none, n_bytes = F.lit(0).cast("bigint"), F.octet_length("_text").cast("bigint")
+    whole = full.where("copy or not _flag").select(
+        "_id", n_bytes.alias("n_bytes"), F.when(F.col("copy"), n_bytes).otherwise(none).alias("n_removed"),
+        F.col("copy").cast("bigint").alias("n_spans"), F.encode(F.when(F.col("copy"), "").otherwise(F.col("_text")), "UTF-8").alias("kept"))
     return whole.unionByName(changed).withColumnRenamed("_id", id_col)
