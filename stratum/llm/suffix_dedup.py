@@ -17,9 +17,14 @@ LENGTH = 50
 LEAD = 16
 _LEFT = LENGTH - LEAD
 _CONTEXT = _LEFT + LENGTH
-#: Leads are told apart by 46 bits, dealt over 64 buckets to be counted; one flag for every 2^19 of their values says
-#: whether a lead repeats: 16 MB at any input size.
-_BUCKETS, _LOW_BITS, _FLAG_BITS = 64, 40, 21
+#: A string of LENGTH bytes reaches RIGHT bytes from its suffix's place on, or LEFT bytes before it.
+RIGHT, LEFT = LENGTH - 17, 18
+#: Suffixes are counted by 46 bits of the lead and 8 bits each of what lies to its right and left, in buckets of about
+#: COUNT_BYTES of text. Flags say which may repeat: one for every 4 bytes of text, 64 MB at most.
+_LEAD_BITS, _SIDE_BITS = 46, 8
+_VALUE_BITS = _LEAD_BITS + 2 * _SIDE_BITS
+COUNT_BYTES = 32 << 20
+LEAST_FLAG_BITS, MOST_FLAG_BITS = 23, 29
 #: Longer texts are looked at in pieces that overlap by a string.
 PIECE_BYTES = 1 << 20
 BUCKET_BYTES = 24 << 20
@@ -138,8 +143,27 @@ def spans_of(covered: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.nda
     return row, place[row] - high, place[row] - low + LENGTH
 
 
-def _lead_bits(h: np.ndarray) -> np.ndarray:
-    return h >> np.uint64(64 - 6 - _LOW_BITS)
+def _values(data: bytes, place: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The number by which each chosen suffix is counted: its lead, then what follows the lead, then what precedes it."""
+    padded = bytes(24) + data + bytes(RIGHT)
+    w = _words(padded, len(padded) - 7)
+    at = place + 24
+    right = _mix(_mix(w[at + LEAD] * _C[0]) + w[at + RIGHT - 8] * _C[1] + w[at + LEAD + 1] * _C[4])
+    left = _mix(_mix(w[at - 8] * _C[3]) + w[at - 16] * _C[0] + w[at - LEFT] * _C[1])
+    side = np.uint64(64 - _SIDE_BITS)
+    return (((h >> np.uint64(64 - _LEAD_BITS)) << np.uint64(_SIDE_BITS) | right >> side) << np.uint64(_SIDE_BITS)) | left >> side
+
+
+def _side_keys(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lead and right side, lead and left side) of counted values."""
+    low = np.uint64((1 << _SIDE_BITS) - 1)
+    return values >> np.uint64(_SIDE_BITS), (values >> np.uint64(2 * _SIDE_BITS)) << np.uint64(_SIDE_BITS) | (values & low)
+
+
+def _side_slots(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The flags, of 2^bits in a bucket, of both sides of counted values."""
+    right, left = _side_keys(values)
+    return _mix(right * _C[0]) >> np.uint64(64 - bits), _mix(left * _C[3] ^ _C[4]) >> np.uint64(64 - bits)
 
 
 def _rows_of(b: pa.RecordBatch, ids: int, digs: int, texts: int) -> Iterator[tuple[int, int, bytes]]:
@@ -152,59 +176,82 @@ def _rows_of(b: pa.RecordBatch, ids: int, digs: int, texts: int) -> Iterator[tup
             yield i, d, data
 
 
-def _lead_counts(rows: DataFrame) -> DataFrame:
-    """(bucket, low, n): for each batch and bucket the sorted distinct leads (5 bytes each) and how often they came."""
+def _suffix_counts(rows: DataFrame, bucket_bits: int) -> DataFrame:
+    """(bucket, low, n): for each batch and bucket the sorted distinct values (7 bytes each) and how often they came."""
+    shift = np.uint64(_VALUE_BITS - bucket_bits)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            leads = [_lead_bits(chosen_suffixes(data)[1]) for _, _, data in _rows_of(b, 0, 1, 2)]
-            values, n = np.unique(np.concatenate([*leads, np.zeros(0, np.uint64)]), return_counts=True)
+            found = [_values(data, *chosen_suffixes(data)[:2]) for _, _, data in _rows_of(b, 0, 1, 2)]
+            values, n = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
             n = np.minimum(n, 65535).astype(np.uint16)
-            cut = np.searchsorted(values, np.arange(_BUCKETS + 1, dtype=np.uint64) << np.uint64(_LOW_BITS))
-            part = [(k, values[i:j], n[i:j]) for k, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]
+            bucket = (values >> shift).astype(np.int64)
+            cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
+            part = [(int(bucket[i]), values[i:j], n[i:j]) for i, j in zip(cut, [*cut[1:], len(bucket)])]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k for k, _, _ in part], pa.int32()),
-                 pa.array([v.view(np.uint8).reshape(-1, 8)[:, :_LOW_BITS // 8].tobytes() for _, v, _ in part], pa.binary()),
+                 pa.array([v.view(np.uint8).reshape(-1, 8)[:, :7].tobytes() for _, v, _ in part], pa.binary()),
                  pa.array([c.tobytes() for _, _, c in part], pa.binary())], ["bucket", "low", "n"])
 
     return rows.mapInArrow(run, "bucket int, low binary, n binary")
 
 
-def _repeating_leads(key, table):
-    """One bucket's flags of leads that came more than once, and the hottest leads with their counts."""
-    low = [np.frombuffer(x, np.uint8).reshape(-1, _LOW_BITS // 8) for x in table.column("low").to_pylist()]
-    values = np.zeros((sum(map(len, low)), 8), np.uint8)
-    if len(low):
-        values[:, :_LOW_BITS // 8] = np.concatenate(low)
-    values = values.view(np.uint64).ravel()
-    n = np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(x, np.uint16) for x in table.column("n").to_pylist())]).astype(np.int64)
-    order = np.argsort(values, kind="stable")
-    values, n = values[order], n[order]
-    head = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
-    total = np.add.reduceat(n, head) if len(head) else n
-    often = total > 1
-    flags = np.zeros(1 << _FLAG_BITS, np.uint8)
-    flags[values[head][often] >> np.uint64(_LOW_BITS - _FLAG_BITS)] = 1
-    hot = total >= max(HOT_FLOOR, int(total.sum()) // HOT_SHARE)
-    lead = values[head][hot] | (np.uint64(key[0].as_py()) << np.uint64(_LOW_BITS))
-    return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "flags": pa.array([np.packbits(flags).tobytes()], pa.binary()),
-                     "hot": pa.array([lead.tobytes()], pa.binary()), "hot_n": pa.array([total[hot].astype(np.int64).tobytes()], pa.binary()),
-                     "often": pa.array([int(total[often].sum())], pa.int64()), "all": pa.array([int(total.sum())], pa.int64())})
+def _run_totals(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each of some sorted keys the sum of ``n`` over its equals."""
+    head = np.concatenate(([True], keys[1:] != keys[:-1]))
+    return np.add.reduceat(n, np.flatnonzero(head))[np.cumsum(head) - 1]
+
+
+def _repeating(bucket_bits: int, flag_bits: int):
+    """For ``applyInArrow``: one bucket's flags of sides that came more than once, and the hottest leads with their counts."""
+    shift = np.uint64(_VALUE_BITS - bucket_bits)
+
+    def run(key, table):
+        bucket = key[0].as_py()
+        low = [np.frombuffer(x, np.uint8).reshape(-1, 7) for x in table.column("low").to_pylist()]
+        values = np.zeros((sum(map(len, low)), 8), np.uint8)
+        values[:, :7] = np.concatenate(low)
+        values = (values.view(np.uint64).ravel() & ((np.uint64(1) << shift) - np.uint64(1))) | (np.uint64(bucket) << shift)
+        n = np.concatenate([np.frombuffer(x, np.uint16) for x in table.column("n").to_pylist()]).astype(np.int64)
+        order = np.argsort(values, kind="stable")
+        values, n = values[order], n[order]
+        head = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+        values, n = values[head], np.add.reduceat(n, head)
+        right, left = _side_keys(values)
+        again_right = _run_totals(right, n) > 1
+        order = np.argsort(left, kind="stable")
+        again_left = np.zeros(len(values), bool)
+        again_left[order] = _run_totals(left[order], n[order]) > 1
+        flags = np.zeros(1 << flag_bits, np.uint8)
+        for slots, again in zip(_side_slots(values, flag_bits), (again_right, again_left)):
+            flags[slots[again]] = 1
+        lead = values >> np.uint64(2 * _SIDE_BITS)
+        total = _run_totals(lead, n)
+        hot = (total >= max(HOT_FLOOR, int(n.sum()) // HOT_SHARE)) & np.concatenate(([True], lead[1:] != lead[:-1]))
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "flags": pa.array([np.packbits(flags).tobytes()], pa.binary()),
+                         "hot": pa.array([lead[hot].tobytes()], pa.binary()), "hot_n": pa.array([total[hot].tobytes()], pa.binary()),
+                         "often": pa.array([int(n[again_right | again_left].sum())], pa.int64()), "all": pa.array([int(n.sum())], pa.int64())})
+
+    return run
 
 
 class _Plan:
-    """What the tasks know: flags of repeating leads, the few hot leads, and the splitters of the buckets."""
+    """What the tasks know: flags of repeating suffixes, the few hot leads, and the splitters of the buckets."""
 
-    def __init__(self, flags: np.ndarray, hot: np.ndarray):
-        self.flags, self.hot = flags, hot
+    def __init__(self, flags: np.ndarray, hot: np.ndarray, bucket_bits: int, flag_bits: int):
+        self.flags, self.hot, self.bucket_bits, self.flag_bits = flags, hot, bucket_bits, flag_bits
         self.splitters = np.zeros(0, f"S{LEAD}")
 
     def suffixes(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(place, first, last, is hot) of the chosen suffixes whose lead may repeat."""
+        """(place, first, last, is hot) of the chosen suffixes that may repeat on either side."""
         place, h, first, last = chosen_suffixes(data)
-        lead = _lead_bits(h)
-        slot = lead >> np.uint64(_LOW_BITS - _FLAG_BITS)
-        keep = (self.flags[slot >> np.uint64(3)] >> (np.uint64(7) - (slot & np.uint64(7))).astype(np.uint8)) & 1 == 1
-        return place[keep], first[keep], last[keep], np.isin(lead[keep], self.hot)
+        values = _values(data, place, h)
+        bucket = (values >> np.uint64(_VALUE_BITS - self.bucket_bits)) << np.uint64(self.flag_bits)
+        keep = np.zeros(len(values), bool)
+        for slot in _side_slots(values, self.flag_bits):
+            slot |= bucket
+            keep |= (self.flags[slot >> np.uint64(3)] >> (np.uint64(7) - (slot & np.uint64(7))).astype(np.uint8)) & 1 == 1
+        return place[keep], first[keep], last[keep], np.isin((values >> np.uint64(2 * _SIDE_BITS))[keep], self.hot)
 
 
 def _leads(ctx: np.ndarray) -> np.ndarray:
@@ -309,16 +356,19 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     """(id, dig, start, end), perhaps overlapping, of the (id, dig, text) rows: what strings of smaller ids cover."""
     spark = rows.sparkSession
     small_batches(spark, 4)
-    counted = _lead_counts(rows).groupBy("bucket").applyInArrow(_repeating_leads, "bucket int, flags binary, hot binary, hot_n binary, often bigint, all bigint").collect()
-    flags = np.zeros((_BUCKETS, (1 << _FLAG_BITS) // 8), np.uint8)
+    n_docs, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()
+    bucket_bits = max(6, (size // COUNT_BYTES).bit_length())
+    flag_bits = max(3, min(MOST_FLAG_BITS, max(LEAST_FLAG_BITS, (size // 4).bit_length())) - bucket_bits)
+    counted = _suffix_counts(rows, bucket_bits).groupBy("bucket").applyInArrow(
+        _repeating(bucket_bits, flag_bits), "bucket int, flags binary, hot binary, hot_n binary, often bigint, all bigint").collect()
+    flags = np.zeros((1 << bucket_bits, (1 << flag_bits) // 8), np.uint8)
     for r in counted:
         flags[r["bucket"]] = np.frombuffer(bytes(r["flags"]), np.uint8)
     often, total = sum(r["often"] for r in counted), sum(r["all"] for r in counted)
     hot = [np.frombuffer(bytes(r["hot"]), np.uint64)[np.frombuffer(bytes(r["hot_n"]), np.int64) >= max(HOT_FLOOR, total // HOT_SHARE)] for r in counted]
-    plan = _Plan(flags.ravel(), np.concatenate([*hot, np.zeros(0, np.uint64)]))
+    plan = _Plan(flags.ravel(), np.concatenate([*hot, np.zeros(0, np.uint64)]), bucket_bits, flag_bits)
     n_buckets = max(16, -(-often * (_CONTEXT + 24) // BUCKET_BYTES))
     rough = spark.sparkContext.broadcast(plan)
-    n_docs = rows.count()
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -371,9 +421,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     input and none crosses documents.
     0. Whole copies of a text with a smaller id lose every byte and repeat nothing that the least id doesn't: they are
        marked by two bitmaps (``_with_copies``) and take no further part.
-    1. Every string chooses one suffix by its content (``chosen_suffixes``), about one per 18 bytes. Their leads are counted;
-       those that come once can't repeat.
-    2. Suffixes with a repeated lead carry the bytes that their strings can reach. Each batch settles what it can by
+    1. Every string chooses one suffix by its content (``chosen_suffixes``), about one per 18 bytes. Two that belong to equal
+       strings agree in the 33 bytes from the lead on or in the lead and 18 bytes before it. Both are counted; suffixes
+       of which neither comes again can't repeat.
+    2. The other suffixes carry the bytes that their strings can reach. Each batch settles what it can by
        itself; the rest is range-partitioned by leading bytes at sampled splitters. A lead never
        straddles a boundary, so nothing must be compared across buckets but the leads beyond ``HOT_SHARE``, whose strings are
        dealt by hash instead, once per batch.

@@ -51,10 +51,14 @@ def fix(rows):
     return sorted(((None if i == 1 << 63 else i, *rest) for i, *rest in rows), key=str)
 
 
-@pytest.mark.parametrize("seed,hot", [(1, 10**9), (2, 10**9), (3, 3)])
-def test_against_brute_force(frame, monkeypatch, seed, hot):
-    """The last one sends the strings around every lead that comes three times or more the hot way."""
+@pytest.mark.parametrize("seed,hot,few", [(1, 10**9, False), (2, 10**9, True), (3, 3, False)])
+def test_against_brute_force(frame, monkeypatch, seed, hot, few):
+    """The second one has few flags, nearly all of them set, in many buckets; the last one sends every string the hot way."""
     monkeypatch.setattr(S, "HOT_SHARE", 10**9)
+    if few:
+        monkeypatch.setattr(S, "LEAST_FLAG_BITS", 10)
+        monkeypatch.setattr(S, "MOST_FLAG_BITS", 10)
+        monkeypatch.setattr(S, "COUNT_BYTES", 500)
     rows = corpus(seed)
     if hot == 3:
         monkeypatch.setattr(S._Plan, "suffixes", _all_hot(S._Plan.suffixes))
@@ -78,6 +82,22 @@ def test_pieces_of_long_texts(frame, monkeypatch):
     assert {s for _, s in pairs(a)} == {s for _, s in pairs(b)} == set(range(3000 - 49)) and pairs(a) == pairs(b)
 
 
+def test_sides_of_a_suffix():
+    """Equal strings give equal values on the side that they reach, whatever surrounds them."""
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdef ") for _ in range(n)).encode()
+    for _ in range(200):
+        shared = text(S.LENGTH)
+        sides = []
+        for data in (text(rng.randrange(80)) + shared + text(rng.randrange(80)), shared, text(3) + shared):
+            at = data.index(shared)
+            place, h, first, last = S.chosen_suffixes(data)
+            k = next(i for i in range(len(place)) if place[i] - first[i] <= at <= place[i] - last[i])
+            right, left = S._side_keys(S._values(data, place, h))
+            sides.append((int(right[k]) if place[k] - at <= 17 else int(left[k]), int(place[k] - at)))
+        assert len(set(sides)) == 1
+
+
 def test_multikey_order():
     rng = np.random.default_rng(1)
     rows = rng.integers(0, 2, (300, 21), dtype=np.uint8)
