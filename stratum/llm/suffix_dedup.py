@@ -151,7 +151,8 @@ def _values(data: bytes, place: np.ndarray, h: np.ndarray) -> np.ndarray:
     right = _mix(_mix(w[at + LEAD] * _C[0]) + w[at + RIGHT - 8] * _C[1] + w[at + LEAD + 1] * _C[4])
     left = _mix(_mix(w[at - 8] * _C[3]) + w[at - 16] * _C[0] + w[at - LEFT] * _C[1])
     side = np.uint64(64 - _SIDE_BITS)
-    return (((h >> np.uint64(64 - _LEAD_BITS)) << np.uint64(_SIDE_BITS) | right >> side) << np.uint64(_SIDE_BITS)) | left >> side
+    lead = _mix(h * _C[4])  # chosen leads are the least of their neighbours, so their hashes crowd at the low end
+    return (((lead >> np.uint64(64 - _LEAD_BITS)) << np.uint64(_SIDE_BITS) | right >> side) << np.uint64(_SIDE_BITS)) | left >> side
 
 
 def _side_keys(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
