@@ -4,9 +4,12 @@
 from __future__ import annotations
 
 import os
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratum import constants as C
 from stratum.session import path_exists
@@ -56,6 +59,32 @@ def write_counted(rows: DataFrame, path: str) -> int:
     return seen.get["n"]
 
 
+def write_groups(rows: DataFrame, out_root: str, group_col: str = "output") -> dict[str, int]:
+    """Write the rows of many groups as JSON lines in one job, those of a group to ``out_root/<group>`` without ``group_col``. They are
+    written aside and each finished folder then takes the place of what is there. Returns the rows of each group that has any."""
+    spark = rows.sparkSession
+    aside = f"{out_root.rstrip('/')}/_aside-{uuid.uuid4().hex}"
+    # by group, so each is one file; a task's share of groups follows the shuffle's size
+    rows.repartition(group_col).write.partitionBy(group_col).json(aside)
+    schema = T.StructType([T.StructField("value", T.StringType()), T.StructField(group_col, T.StringType())])
+    lines = spark.read.schema(schema).text(aside).select(group_col).coalesce(4 * spark.sparkContext.defaultParallelism)
+    counts = {r[0]: r[1] for r in lines.groupBy(group_col).count().collect()}
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(out_root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def place(group: str) -> None:
+        done, target = path(f"{aside}/{group_col}={group}"), path(f"{out_root.rstrip('/')}/{group}")
+        store.createNewFile(path(done, "_SUCCESS"))
+        store.delete(target, True)
+        if not store.rename(done, target):
+            raise OSError(f"{target} could not be put in place")
+
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(place, counts))
+    store.delete(path(aside), True)
+    return counts
+
+
 def pending_shards(listing: DataFrame, manifest: DataFrame | None) -> DataFrame:
     """Paths of the listing that no committed group holds (``left_anti`` by path)."""
     paths = listing.select("path").distinct()

@@ -23,6 +23,7 @@ import os
 import tarfile
 import time
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -44,6 +45,8 @@ from pyspark.sql.types import StructType
 
 _RENAMES = 16
 _TARGET = 128 * 1024 * 1024
+_STREAM_TARGET = 16 * 1024 * 1024
+_BATCH_BYTES = 4 * 1024 * 1024
 SHARD_SCHEMA = "shard string, key string, members map<string, binary>"
 
 
@@ -82,7 +85,7 @@ def split_member(name: str) -> tuple[str, str]:
 
 @dataclass
 class _TarPartition(InputPartition):
-    splits: list  # (path, start, end), end None for a whole file
+    splits: list  # (path, start, end, tag), end None for a whole file
 
 
 def plan_partitions(splits: list, sizes: list[int], target_bytes: int) -> list[list]:
@@ -170,8 +173,8 @@ def _split_large(spark: SparkSession, paths: list[str], target_bytes: int) -> di
 
 
 class _ShardReader(DataSourceReader):
-    def __init__(self, splits: list, sizes: list[int], target_bytes: int, members: list[str] | None):
-        self.splits, self.sizes, self.target_bytes, self.members = splits, sizes, target_bytes, members
+    def __init__(self, splits: list, sizes: list[int], target_bytes: int, members: list[str] | None, tag: str | None = None):
+        self.splits, self.sizes, self.target_bytes, self.members, self.tag = splits, sizes, target_bytes, members, tag
         self.shards: set | None = None
         self.keys: set | None = None
 
@@ -179,11 +182,9 @@ class _ShardReader(DataSourceReader):
         kept = [(s, n) for s, n in zip(self.splits, self.sizes) if self.shards is None or _shard_name(s[0]) in self.shards]
         return [_TarPartition(g) for g in plan_partitions([s for s, _ in kept], [n for _, n in kept], self.target_bytes)]
 
-    def read(self, partition) -> Iterator[tuple]:
-        if partition is None:  # no shard paths at all: an empty scan
-            return
-        for split in partition.splits:
-            yield from _read_tar(*split, self.members, self.keys)
+    def read(self, partition) -> Iterator:
+        # without a partition there are no shard paths at all: an empty scan
+        return _record_batches(partition.splits if partition else [], self.tag, self.members, self.keys)
 
 
 class _FilteringShardReader(_ShardReader):
@@ -228,7 +229,8 @@ def _read_tar(path: str, start: int = 0, end: int | None = None, wanted: list[st
         if end is not None and end <= start:
             return
         with tarfile.open(fileobj=f if end is None else _Range(f, start, end), mode="r|*" if end is None else "r|") as tf:
-            for m in tf:
+            while (m := tf.next()) is not None:
+                tf.members.clear()  # else every header is kept
                 if not m.isfile():
                     continue
                 stem, ext = split_member(m.name)
@@ -244,17 +246,51 @@ def _read_tar(path: str, start: int = 0, end: int | None = None, wanted: list[st
         yield (shard, key, members)
 
 
+def _record_batches(splits: list, tag: str | None, wanted: list[str] | None = None, keys: set | None = None) -> Iterator:
+    """The samples of some splits as Arrow batches of about ``_BATCH_BYTES``, so a task holds that much and one sample, however many
+    rows it reads. With ``tag``, a column of that name holds the tag of the split."""
+    import pyarrow as pa
+
+    schema = pa.schema([("shard", pa.string()), ("key", pa.string()), ("members", pa.map_(pa.string(), pa.binary())),
+                        *([(tag, pa.string())] if tag else [])])
+
+    def batch(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    rows, size = [], 0
+    for path, start, end, mark in splits:
+        for shard, key, members in _read_tar(path, start, end, wanted, keys):
+            rows.append((shard, key, list(members.items()), *([mark] if tag else [])))
+            size += 256 + sum(map(len, members.values()))
+            if size >= _BATCH_BYTES:
+                yield batch(rows)
+                rows, size = [], 0
+    if rows:
+        yield batch(rows)
+
+
 class _ShardStreamReader(DataSourceStreamReader):
     """Shards under a folder in order of (modification time, path); the offset is that of the last shard taken.
 
     A shard younger than ``settle`` seconds waits, so that none can still appear before an offset. ``limit`` shards are taken at a
     time at most; a restarted reader goes on from the last offset it handed out, which it keeps in the file ``progress`` (Spark's
-    own checkpoint stays what decides: an offset that was handed out but never logged only makes the next batch larger)."""
+    own checkpoint stays what decides: an offset that was handed out but never logged only makes the next batch larger).
+
+    The folder is listed when all shards of the last listing are taken, not for every batch. With ``group_size``, the shards of a batch
+    are numbered in groups of that many, in order, and the offset also holds the number of groups before the next batch; ``tag``
+    is the column that holds the group, as shard_%03d."""
 
-    def __init__(self, root: str, suffix: str, target_bytes: int, members: list[str] | None, settle: float, limit: int | None, progress: str | None):
+    def __init__(self, root: str, suffix: str, target_bytes: int, members: list[str] | None, settle: float, limit: int | None, progress: str | None,
+                 group_size: int | None = None, tag: str | None = None):
         self.root, self.suffix, self.target_bytes, self.members = root, suffix, target_bytes, members
         self.settle, self.limit, self.progress = settle, limit, progress
+        self.group_size, self.tag = group_size, tag
         self.at: list | None = None
+        self.groups = 0
+        self.found: list[tuple[int, str, int]] = []  # of the last listing: what is not yet in a planned batch
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "found": []}
 
     def _listed(self) -> list[tuple[int, str, int]]:
         import pyarrow.fs as pafs
@@ -265,17 +301,33 @@ class _ShardStreamReader(DataSourceStreamReader):
         return sorted((i.mtime_ns, i.path, i.size) for i in found if i.type == pafs.FileType.File and i.path.endswith(self.suffix)
                       and i.mtime_ns <= young and not i.base_name.startswith(("_", ".")))
 
+    def _after(self, at: list) -> list[tuple[int, str, int]]:
+        """Shards after ``at``, of the last listing or, where that has none, of a new one."""
+        after = (at[0], at[1], float("inf"))
+        if bisect_right(self.found, after) == len(self.found):
+            self.found = self._listed()
+        return self.found[bisect_right(self.found, after):]
+
+    def _offset(self, at: list, groups: int) -> dict:
+        return {"time": at[0], "path": at[1], **({"groups": groups} if self.group_size else {})}
+
     def initialOffset(self) -> dict:
-        return {"time": 0, "path": ""}
+        return self._offset([0, ""], 0)
 
     def latestOffset(self) -> dict:
         if self.at is None:
-            self.at = self._kept() or [0, ""]
-        new = [[t, p] for t, p, _ in self._listed() if [t, p] > self.at]
+            kept = self._kept() or [0, "", 0]
+            self.at, self.groups = kept[:2], kept[2] if len(kept) > 2 else 0
+            if self.group_size and self.at[0] and len(kept) < 3:
+                raise ValueError("the progress file was kept by a stream that numbered no groups")
+        new = self._after(self.at)
         if new:
-            self.at = new[min(self.limit or len(new), len(new)) - 1]
+            n = min(self.limit or len(new), len(new))
+            self.at = list(new[n - 1][:2])
+            if self.group_size:
+                self.groups += -(-n // self.group_size)
             self._keep()
-        return {"time": self.at[0], "path": self.at[1]}
+        return self._offset(self.at, self.groups)
 
     def _kept(self) -> list | None:
         import pyarrow.fs as pafs
@@ -293,22 +345,27 @@ class _ShardStreamReader(DataSourceStreamReader):
             fs, p = _fs(self.progress)
             fs.create_dir(os.path.dirname(p), recursive=True)
             with fs.open_output_stream(p + ".new") as f:
-                f.write(json.dumps(self.at).encode())
+                f.write(json.dumps([*self.at, *([self.groups] if self.group_size else [])]).encode())
             fs.move(p + ".new", p)
 
     def partitions(self, start: dict, end: dict):
         lo, hi = [start["time"], start["path"]], [end["time"], end["path"]]
         if self.at is None or hi > self.at:
-            self.at = hi
-        files = [(p, n) for t, p, n in self._listed() if lo < [t, p] <= hi]
+            self.at, self.groups = hi, end.get("groups", 0)
+        if not self.found or list(self.found[0][:2]) > lo and lo[0]:  # a restarted reader, or a batch of an earlier listing
+            self.found = self._listed()
+        first, last = (bisect_right(self.found, (*x, float("inf"))) for x in (lo, hi))
+        files = self.found[first:last]
+        if first > 4 * len(files) + 10_000:  # taken long ago
+            self.found = self.found[first - 1:]
+        tags = [f"shard_{start['groups'] + i // self.group_size:03d}" if self.group_size else None for i in range(len(files))]
         with ThreadPoolExecutor(_RENAMES) as pool:  # headers only, and only of large tars
-            cuts = pool.map(lambda f: split_tar(f[0], self.target_bytes) if f[1] > 2 * self.target_bytes else [(0, None)], files)
-            splits = [(p, a, b, n if b is None else b - a) for (p, n), ranges in zip(files, cuts) for a, b in ranges]
-        return [_TarPartition(g) for g in plan_partitions([s[:3] for s in splits], [s[3] for s in splits], self.target_bytes)]
+            cuts = pool.map(lambda f: split_tar(f[1], self.target_bytes) if f[2] > 2 * self.target_bytes else [(0, None)], files)
+            splits = [(p, a, b, tag, n if b is None else b - a) for (_, p, n), tag, ranges in zip(files, tags, cuts) for a, b in ranges]
+        return [_TarPartition(g) for g in plan_partitions([s[:4] for s in splits], [s[4] for s in splits], self.target_bytes)]
 
-    def read(self, partition) -> Iterator[tuple]:
-        for split in partition.splits:
-            yield from _read_tar(*split, self.members)
+    def read(self, partition) -> Iterator:
+        return _record_batches(partition.splits, self.tag, self.members)
 
 
 @dataclass
@@ -392,7 +449,7 @@ class TarShardSource(DataSource):
         return "tarshards"
 
     def schema(self):
-        return SHARD_SCHEMA
+        return SHARD_SCHEMA + (f", {self.options['tag']} string" if self.options.get("tag") else "")
 
     def _members(self) -> list[str] | None:
         members = self.options.get("members")
@@ -401,12 +458,14 @@ class TarShardSource(DataSource):
     def reader(self, schema: StructType):
         splits = json.loads(self.options.get("splits", "[]"))
         kind = _FilteringShardReader if self.options.get("pushFilters") == "true" else _ShardReader
-        return kind([tuple(s[:3]) for s in splits], [s[3] for s in splits], int(self.options.get("targetBytes", _TARGET)), self._members())
+        return kind([(*s[:3], s[4] if len(s) > 4 else None) for s in splits], [s[3] for s in splits], int(self.options.get("targetBytes", _TARGET)),
+                    self._members(), self.options.get("tag"))
 
     def streamReader(self, schema: StructType):
-        limit = self.options.get("maxFilesPerTrigger")
+        limit, group = self.options.get("maxFilesPerTrigger"), self.options.get("groupSize")
         return _ShardStreamReader(self.options["path"], self.options.get("suffix", ".tar"), int(self.options.get("targetBytes", _TARGET)), self._members(),
-                                  float(self.options.get("settleSeconds", 2)), int(limit) if limit else None, self.options.get("progress"))
+                                  float(self.options.get("settleSeconds", 2)), int(limit) if limit else None, self.options.get("progress"),
+                                  int(group) if group else None, self.options.get("tag"))
 
     def writer(self, schema: StructType, overwrite: bool):
         return _ShardWriter(self.options["path"], overwrite)
@@ -421,6 +480,7 @@ def list_shards(spark: SparkSession, root: str, glob: str = "*.tar", sort: bool
     never selected, so file bodies are not read."""
     df = (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
           .load(root).select("path", "length", "modificationTime"))
+    df = df.coalesce(4 * spark.sparkContext.defaultParallelism)  # a scan makes a task of every few files
     return df.orderBy("path") if sort else df
 
 
@@ -436,7 +496,7 @@ def read_shards(spark: SparkSession, paths: list[str] | DataFrame, target_bytes:
     a path and a size per file or range, as for any file scan."""
     register(spark)
     if isinstance(paths, DataFrame):
-        files = [[r["path"], r["length"]] for r in paths.select("path", "length").orderBy("path").collect()]
+        files = [[r["path"], r["length"]] for r in sorted(paths.select("path", "length").collect())]
     else:
         with ThreadPoolExecutor(_RENAMES) as pool:
             files = [[p, n] for p, n in zip(paths, pool.map(_size, paths))]
@@ -457,15 +517,19 @@ def read_shards(spark: SparkSession, paths: list[str] | DataFrame, target_bytes:
 
 
 def stream_shards(spark: SparkSession, root: str, max_files: int | None = None, progress: str | None = None, settle_seconds: float = 2.0,
-                  members: list[str] | None = None, suffix: str = ".tar") -> DataFrame:
+                  members: list[str] | None = None, suffix: str = ".tar", group_size: int | None = None) -> DataFrame:
     """The samples of shards as they appear under ``root``, as a streaming DataFrame. The offset is (modification time, path) of the last
     shard taken, so a shard must get its time when it appears there; ``settle_seconds`` covers stores with coarse
-    times. ``max_files`` limits a micro-batch and needs ``progress``, a file of this query's own."""
+    times. ``max_files`` limits a micro-batch and needs ``progress``, a file of this query's own. With ``group_size``, the column ``output``
+    names the group of that many neighbouring shards that a sample is in: shard_%03d, numbered on from batch to batch."""
     register(spark)
+    if group_size and not progress:
+        raise ValueError("group_size needs a progress file")
     if max_files and not progress:
         raise ValueError("max_files needs a progress file")
     reader = spark.readStream.format("tarshards").option("suffix", suffix).option("settleSeconds", str(settle_seconds))
-    for name, value in (("maxFilesPerTrigger", max_files), ("progress", progress), ("members", json.dumps(members) if members is not None else None)):
+    for name, value in (("maxFilesPerTrigger", max_files), ("progress", progress), ("members", json.dumps(members) if members is not None else None),
+                        ("groupSize", group_size), ("tag", "output" if group_size else None), ("targetBytes", _STREAM_TARGET if group_size else None)):
         reader = reader.option(name, str(value)) if value is not None else reader
     return reader.load(root)
 

@@ -184,3 +184,47 @@ def test_stream_reader_offsets(tmp_path):
         at = end
     assert seen == [["0.tar", "1.tar"], ["2.tar", "3.tar"], ["4.tar"], []]
     assert make().latestOffset() == at  # a restarted reader never goes back
+
+
+def test_stream_of_many_groups_a_batch(spark, tmp_path):
+    """Folders of at most ``group_size`` shards, several written by one micro-batch and numbered on by the next; a batch that fails is redone."""
+    src, out, ck = tmp_path / "src", str(tmp_path / "out"), str(tmp_path / "ck")
+    src.mkdir()
+    for i in range(9):
+        _tar(str(src / f"{9 - i}.tar"), _samples(6, seed=i, prefix=f"b{i}-"))
+        time.sleep(0.02)
+    calls, broken = [], [True]
+
+    def process(samples):
+        calls.append(1)
+        if len(calls) == 2 and broken:
+            raise RuntimeError("lost")
+        return samples.select("key", "output")
+
+    run = lambda: jobs.run_shard_stream(spark, str(src), out, ck, process, group_size=2, settle_seconds=0.1, groups_at_once=3).collect()
+    with pytest.raises(Exception, match="lost"):
+        run()
+    assert sorted(os.listdir(out)) == ["shard_000", "shard_001", "shard_002"]
+    broken.clear()
+    assert [(r.output, r.n_rows) for r in run()] == [("shard_003", 12), ("shard_004", 6)] and len(calls) == 3
+    _tar(str(src / "0.tar"), _samples(4, seed=99, prefix="late-"))
+    assert [(r.output, r.n_rows) for r in run()] == [("shard_005", 4)] and run() == []
+    for g, i in (("shard_000", [0, 1]), ("shard_004", [8])):
+        want = sorted(k for j in i for k, _ in _samples(6, seed=j, prefix=f"b{j}-"))
+        assert sorted(r.key for r in spark.read.schema("key string").json(f"{out}/{g}").collect()) == want
+        assert os.path.exists(f"{out}/{g}/_SUCCESS")
+    assert len(_written(spark, out)) == 58
+
+
+def test_stream_reader_lists_once_for_many_batches(tmp_path, monkeypatch):
+    for i in range(30):
+        _tar(str(tmp_path / f"{i:02d}.tar"), _samples(1, seed=i))
+    r = sh._ShardStreamReader(str(tmp_path), ".tar", 1 << 20, None, 0, 5, str(tmp_path / "p" / "at.json"), 2, "output")
+    listed, old = [], r._listed
+    monkeypatch.setattr(r, "_listed", lambda: listed.append(1) or old())
+    at, tags = r.initialOffset(), []
+    for _ in range(6):
+        end = r.latestOffset()
+        tags += [[s[3] for p in r.partitions(at, end) for s in p.splits]]
+        at = end
+    assert len(listed) == 1 and tags[1] == ["shard_003", "shard_003", "shard_004", "shard_004", "shard_005"] and at["groups"] == 18
