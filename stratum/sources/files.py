@@ -59,21 +59,23 @@ def write_counted(rows: DataFrame, path: str) -> int:
     return seen.get["n"]
 
 
-def write_groups(rows: DataFrame, out_root: str, group_col: str = "output") -> dict[str, int]:
+def write_groups(rows: DataFrame, out_root: str, group_col: str = "output", names: list[str] | None = None) -> dict[str, int]:
     """Write the rows of many groups as JSON lines in one job, those of a group to ``out_root/<group>`` without ``group_col``. They are
-    written aside and each finished folder then takes the place of what is there. Returns the rows of each group that has any."""
+    written aside and each finished folder then takes the place of what is there. Returns the rows of each group: of those that have
+    any, or with ``names`` also of the others, whose folders are empty."""
     spark = rows.sparkSession
     aside = f"{out_root.rstrip('/')}/_aside-{uuid.uuid4().hex}"
     # by group, so each is one file; a task's share of groups follows the shuffle's size
     rows.repartition(group_col).write.partitionBy(group_col).json(aside)
     schema = T.StructType([T.StructField("value", T.StringType()), T.StructField(group_col, T.StringType())])
     lines = spark.read.schema(schema).text(aside).select(group_col).coalesce(4 * spark.sparkContext.defaultParallelism)
-    counts = {r[0]: r[1] for r in lines.groupBy(group_col).count().collect()}
+    counts = {**dict.fromkeys(names or [], 0), **{r[0]: r[1] for r in lines.groupBy(group_col).count().collect()}}
     path = spark._jvm.org.apache.hadoop.fs.Path
     store = path(out_root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def place(group: str) -> None:
         done, target = path(f"{aside}/{group_col}={group}"), path(f"{out_root.rstrip('/')}/{group}")
+        store.mkdirs(done)
         store.createNewFile(path(done, "_SUCCESS"))
         store.delete(target, True)
         if not store.rename(done, target):
@@ -102,17 +104,29 @@ def shard_groups(paths: DataFrame, group_size: int = C.SHARD_GROUP, first: int =
 
 
 def run_incremental(spark: SparkSession, listing: DataFrame, out_root: str, process, group_size: int = C.SHARD_GROUP,
-                    manifest_path: str | None = None) -> DataFrame:
+                    manifest_path: str | None = None, groups_at_once: int = 1) -> DataFrame:
     """Process the shards that no earlier run did. The manifest holds one row per processed path, so shards may arrive in any
     order of names; new groups are numbered after the largest committed one. ``process(paths_df) -> DataFrame`` gives
     the rows of one group, written as JSON lines to ``out_root/shard_%03d``; then the group's paths are appended to
-    the manifest (commit marker), so a half-written group is redone. Returns (output, n_rows) of this run."""
+    the manifest (commit marker), so a half-written group is redone. Returns (output, n_rows) of this run.
+
+    With ``groups_at_once``, ``process`` gets the paths (path, group_id, output) of up to that many groups, and its rows must keep ``output``, the
+    name of their group's folder; all of them are written and committed together, by a few jobs for any number of groups."""
     manifest_path = manifest_path or os.path.join(out_root, "_manifest")
     # with its schema declared, a folder that a failed first run left empty reads as no rows
     manifest = spark.read.schema(MANIFEST).parquet(manifest_path) if path_exists(spark, manifest_path) else None
     first = 0 if manifest is None else manifest.agg(F.coalesce(F.max("group_id") + 1, F.lit(0))).first()[0]
     groups = shard_groups(pending_shards(listing, manifest), group_size, first).checkpoint(eager=True)
     done = []
+    if groups_at_once > 1:
+        top = groups.agg(F.max("group_id")).first()[0]
+        for lo in range(first, -1 if top is None else top + 1, groups_at_once):
+            paths = groups.where(F.col("group_id").between(lo, lo + groups_at_once - 1))
+            names = [r["output"] for r in paths.select("output").distinct().collect()]
+            counts = write_groups(process(paths), out_root, names=names)
+            paths.select("path", "group_id", "output").coalesce(1).write.mode("append").parquet(manifest_path)
+            done += sorted(counts.items())
+        return spark.createDataFrame(done, "output string, n_rows long")
     for g in sorted(r["output"] for r in groups.select("output").distinct().collect()):
         paths = groups.where(F.col("output") == g)
         n = write_counted(process(paths), os.path.join(out_root, g))

@@ -485,18 +485,21 @@ def list_shards(spark: SparkSession, root: str, glob: str = "*.tar", sort: bool
 
 
 def read_shards(spark: SparkSession, paths: list[str] | DataFrame, target_bytes: int | None = None,
-                members: list[str] | None = None) -> DataFrame:
+                members: list[str] | None = None, tag: str | None = None) -> DataFrame:
     """One row per sample (members grouped by stem). A task reads consecutive tars up to
     ``target_bytes`` (default ``spark.sql.files.maxPartitionBytes``). A tar of more than twice that is cut between samples into byte
     ranges of about that size; a compressed one can't be and is one task. Where ``spark.sql.python.filterPushdown.enabled`` is set,
     filters on ``shard`` and ``key`` decide what is opened and read.
 
     ``paths`` may be the listing of ``list_shards``, which has the sizes already; for plain paths they are asked for
-    once, many at a time. ``members`` (extensions) leaves all other members unread. The driver holds
-    a path and a size per file or range, as for any file scan."""
+    once, many at a time. ``members`` (extensions) leaves all other members unread. ``tag`` is a text column of the listing that
+    the samples of each shard get too. The driver holds a path and a size per file or range, as for any file scan."""
     register(spark)
+    tags: dict[str, str] = {}
     if isinstance(paths, DataFrame):
-        files = [[r["path"], r["length"]] for r in sorted(paths.select("path", "length").collect())]
+        listed = sorted(paths.select("path", "length", *([tag] if tag else [])).collect())
+        files = [[r["path"], r["length"]] for r in listed]
+        tags = {r["path"]: r[tag] for r in listed} if tag else {}
     else:
         with ThreadPoolExecutor(_RENAMES) as pool:
             files = [[p, n] for p, n in zip(paths, pool.map(_size, paths))]
@@ -510,9 +513,10 @@ def read_shards(spark: SparkSession, paths: list[str] | DataFrame, target_bytes:
             target_bytes = max(1, per_core)
     large = [p for p, n in files if n > 2 * max(target_bytes, 1 << 20)]
     cut = _split_large(spark, large, target_bytes) if large else {}
-    splits = [[p, a, b, n if b is None else b - a] for p, n in files for a, b in cut.get(p, [(0, None)])]
+    splits = [[p, a, b, n if b is None else b - a, *([tags[p]] if tag else [])] for p, n in files for a, b in cut.get(p, [(0, None)])]
     reader = spark.read.format("tarshards").option("splits", json.dumps(splits)).option("targetBytes", str(target_bytes)) \
         .option("pushFilters", str(spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")).lower())
+    reader = reader.option("tag", tag) if tag else reader
     return (reader.option("members", json.dumps(members)) if members is not None else reader).load()
 
 

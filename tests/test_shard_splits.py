@@ -228,3 +228,29 @@ def test_stream_reader_lists_once_for_many_batches(tmp_path, monkeypatch):
         tags += [[s[3] for p in r.partitions(at, end) for s in p.splits]]
         at = end
     assert len(listed) == 1 and tags[1] == ["shard_003", "shard_003", "shard_004", "shard_004", "shard_005"] and at["groups"] == 18
+
+
+def test_incremental_groups_written_together(spark, tmp_path):
+    """Many groups by few jobs: same folders, rows and manifest as group by group; a group without rows has its folder too."""
+    for i in range(11):
+        _tar(str(tmp_path / f"{i:02d}.tar"), _samples(5, seed=i, prefix=f"b{i}-"))
+    listing = sh.list_shards(spark, str(tmp_path), sort=False)
+    runs = []
+
+    def one(paths):
+        return sh.read_shards(spark, listing.join(paths.select("path"), "path")).where("not key like '%b4-%' and not key like '%b5-%'").select("key")
+
+    def many(paths):
+        runs.append(1)
+        rows = sh.read_shards(spark, listing.join(paths.select("path", "output"), "path"), tag="output")
+        return rows.where("not key like '%b4-%' and not key like '%b5-%'").select("key", "output")
+
+    first = listing.where("path not like '%07.tar'")
+    got = {}
+    for name, fn, at_once in (("one", one, 1), ("many", many, 4)):
+        out = str(tmp_path / name)
+        got[name] = [[tuple(r) for r in fs.run_incremental(spark, seen, out, fn, group_size=2, groups_at_once=at_once).collect()] for seen in (first, listing, listing)]
+        got[name] += [sorted((r.path, r.group_id) for r in spark.read.parquet(f"{out}/_manifest").collect())]
+        got[name] += [{g: sorted(r.key for r in spark.read.schema("key string").json(f"{out}/{g}").collect()) for g in sorted(os.listdir(out)) if g[0] == "s"}]
+    assert got["one"] == got["many"] and len(runs) == 3
+    assert got["many"][0] == [("shard_000", 10), ("shard_001", 10), ("shard_002", 0), ("shard_003", 10), ("shard_004", 10)] and got["many"][1] == [("shard_005", 5)]
