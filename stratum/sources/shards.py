@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
+    DataSourceArrowWriter,
     DataSourceReader,
     DataSourceStreamReader,
-    DataSourceWriter,
     EqualTo,
     Filter,
     In,
@@ -45,6 +45,7 @@ from pyspark.sql.types import StructType
 
 _RENAMES = 16
 _TARGET = 128 * 1024 * 1024
+_INLINE_SPLITS = 100
 _STREAM_TARGET = 16 * 1024 * 1024
 _BATCH_BYTES = 4 * 1024 * 1024
 SHARD_SCHEMA = "shard string, key string, members map<string, binary>"
@@ -173,14 +174,22 @@ def _split_large(spark: SparkSession, paths: list[str], target_bytes: int) -> di
 
 
 class _ShardReader(DataSourceReader):
-    def __init__(self, splits: list, sizes: list[int], target_bytes: int, members: list[str] | None, tag: str | None = None):
-        self.splits, self.sizes, self.target_bytes, self.members, self.tag = splits, sizes, target_bytes, members, tag
+    """``splits`` is a list of [path, start, end, size, tag], or the file that holds it as JSON. Spark sends the reader and its source to
+    every task, so the reader keeps the name of the file and reads it only where the partitions are planned."""
+
+    def __init__(self, splits: list | str, target_bytes: int, members: list[str] | None, tag: str | None = None):
+        self.splits, self.target_bytes, self.members, self.tag = splits, target_bytes, members, tag
         self.shards: set | None = None
         self.keys: set | None = None
 
     def partitions(self):
-        kept = [(s, n) for s, n in zip(self.splits, self.sizes) if self.shards is None or _shard_name(s[0]) in self.shards]
-        return [_TarPartition(g) for g in plan_partitions([s for s, _ in kept], [n for _, n in kept], self.target_bytes)]
+        splits = self.splits
+        if isinstance(splits, str):
+            fs, p = _fs(splits)
+            with fs.open_input_stream(p) as f:
+                splits = json.loads(f.read())
+        kept = [s for s in splits if self.shards is None or _shard_name(s[0]) in self.shards]
+        return [_TarPartition(g) for g in plan_partitions([(*s[:3], s[4] if len(s) > 4 else None) for s in kept], [s[3] for s in kept], self.target_bytes)]
 
     def read(self, partition) -> Iterator:
         # without a partition there are no shard paths at all: an empty scan
@@ -373,7 +382,16 @@ class _Written(WriterCommitMessage):
     files: list
 
 
-class _ShardWriter(DataSourceWriter):
+def _rows(batch) -> Iterator[tuple]:
+    """(key, [(extension, payload)], file or None) of each row of an Arrow batch, one row's payloads at a time."""
+    names = batch.schema.names
+    keys, members = batch.column(names.index("key")), batch.column(names.index("members"))
+    files = batch.column(names.index("file")) if "file" in names else None
+    for i in range(len(batch)):
+        yield keys[i].as_py(), sorted(dict(members[i].as_py() or ()).items()), files[i].as_py() if files is not None else None
+
+
+class _ShardWriter(DataSourceArrowWriter):
     def __init__(self, path: str, overwrite: bool):
         self.path = path if "://" in path and not path.startswith("file:") else os.path.abspath(_local(path))
         self.overwrite = overwrite
@@ -388,9 +406,8 @@ class _ShardWriter(DataSourceWriter):
         fs, root = _fs(self.path)
         fs.create_dir(root, recursive=True)
         written, tf, stream, current, n = [], None, None, object(), 0
-        for row in iterator:
-            has_file = "file" in row.__fields__
-            group = row["file"] if has_file else pid
+        for key, members, file, has_file in ((*row, "file" in b.schema.names) for b in iterator for row in _rows(b)):
+            group = file if has_file else pid
             if tf is None or group != current:
                 if tf is not None:
                     tf.close()
@@ -402,11 +419,12 @@ class _ShardWriter(DataSourceWriter):
                 stream = fs.open_output_stream(tmp)
                 tf = tarfile.open(fileobj=stream, mode="w|")
                 n += 1
-            for ext, data in sorted((row["members"] or {}).items()):
-                info = tarfile.TarInfo(name=f"{row['key']}.{ext}")
+            for ext, data in members:
+                info = tarfile.TarInfo(name=f"{key}.{ext}")
                 info.size = len(data)
                 info.mtime = 0
-                tf.addfile(info, io.BytesIO(bytes(data)))
+                tf.addfile(info, io.BytesIO(data))
+                tf.members.clear()  # else every header is kept
         if tf is not None:
             tf.close()
             stream.close()
@@ -441,7 +459,8 @@ class _ShardWriter(DataSourceWriter):
 
 
 class TarShardSource(DataSource):
-    """``spark.read.format("tarshards").option("splits", '[["a.tar", 0, null, 1024]]')`` (path, start, end, size) /
+    """``spark.read.format("tarshards").option("splits", '[["a.tar", 0, null, 1024]]')`` (path, start, end, size; many in a file
+    named by ``splitsFile``) /
     ``spark.readStream.format("tarshards").load(dir)`` / ``df.write.format("tarshards").save(dir)``."""
 
     @classmethod
@@ -456,10 +475,9 @@ class TarShardSource(DataSource):
         return json.loads(members) if members else None
 
     def reader(self, schema: StructType):
-        splits = json.loads(self.options.get("splits", "[]"))
+        splits = self.options.get("splitsFile") or json.loads(self.options.get("splits", "[]"))
         kind = _FilteringShardReader if self.options.get("pushFilters") == "true" else _ShardReader
-        return kind([(*s[:3], s[4] if len(s) > 4 else None) for s in splits], [s[3] for s in splits], int(self.options.get("targetBytes", _TARGET)),
-                    self._members(), self.options.get("tag"))
+        return kind(splits, int(self.options.get("targetBytes", _TARGET)), self._members(), self.options.get("tag"))
 
     def streamReader(self, schema: StructType):
         limit, group = self.options.get("maxFilesPerTrigger"), self.options.get("groupSize")
@@ -484,6 +502,20 @@ def list_shards(spark: SparkSession, root: str, glob: str = "*.tar", sort: bool
     return df.orderBy("path") if sort else df
 
 
+def _splits_option(spark: SparkSession, splits: list) -> tuple[str, str]:
+    """The option that names the splits. Options go to every task, so more than a few splits are written to the shared folder."""
+    if len(splits) <= _INLINE_SPLITS:
+        return "splits", json.dumps(splits)
+    from stratum.session import checkpoint_dir
+
+    at = _join(checkpoint_dir(spark), f"stratum/splits-{uuid.uuid4().hex}.json")
+    fs, p = _fs(at)
+    fs.create_dir(os.path.dirname(p), recursive=True)
+    with fs.open_output_stream(p) as f:
+        f.write(json.dumps(splits).encode())
+    return "splitsFile", at
+
+
 def read_shards(spark: SparkSession, paths: list[str] | DataFrame, target_bytes: int | None = None,
                 members: list[str] | None = None, tag: str | None = None) -> DataFrame:
     """One row per sample (members grouped by stem). A task reads consecutive tars up to
@@ -514,7 +546,7 @@ def read_shards(spark: SparkSession, paths: list[str] | DataFrame, target_bytes:
     large = [p for p, n in files if n > 2 * max(target_bytes, 1 << 20)]
     cut = _split_large(spark, large, target_bytes) if large else {}
     splits = [[p, a, b, n if b is None else b - a, *([tags[p]] if tag else [])] for p, n in files for a, b in cut.get(p, [(0, None)])]
-    reader = spark.read.format("tarshards").option("splits", json.dumps(splits)).option("targetBytes", str(target_bytes)) \
+    reader = spark.read.format("tarshards").option(*_splits_option(spark, splits)).option("targetBytes", str(target_bytes)) \
         .option("pushFilters", str(spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")).lower())
     reader = reader.option("tag", tag) if tag else reader
     return (reader.option("members", json.dumps(members)) if members is not None else reader).load()
