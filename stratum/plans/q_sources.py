@@ -103,7 +103,8 @@ FROM (SELECT count(*) AS n FROM documents)""")
 def s4_write_jsonl(spark, sf_dir):
     path = _scratch(spark, "jsonl")
     fs.write_jsonl(fx.utterances(spark, sf_dir), path, 30)
-    per = spark.read.text(path).groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("c"))
+    lines = spark.read.text(path).select(F.input_file_name().alias("file")).coalesce(4 * spark.sparkContext.defaultParallelism)
+    per = lines.groupBy("file").agg(F.count(F.lit(1)).alias("c"))
     return per.agg(F.count(F.lit(1)).cast("bigint").alias("n_files"), F.sum("c").cast("bigint").alias("n_rows"),
                    F.min("c").cast("bigint").alias("min_rows"))
 

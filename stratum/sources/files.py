@@ -18,12 +18,27 @@ from stratum.session import path_exists
 def write_jsonl(df: DataFrame, path: str, min_rows_per_file: int = C.JSONL_MIN_ROWS) -> int:
     """JSON lines with at least ``min_rows_per_file`` rows per file (Spark's
     ``maxRecordsPerFile`` is an upper bound, not this); non-ASCII text is written as is. The rows are
-    numbered densely and dealt by number, so no file falls short. Returns the number of files."""
-    from stratum.operators.ordering import dense_index, even_files
+    numbered densely and dealt by number, so no file falls short. Returns the number of files.
+
+    Of n rows in f files, n % f files hold a row more than the others: these are written first, then the others, and then
+    the folder has its _SUCCESS. A task writes a run of files of one size, which ``maxRecordsPerFile`` cuts; its rows keep their numbers' order."""
+    from stratum.operators.ordering import dense_index
 
     rows, n = dense_index(df, "_idx")
-    rows, files = even_files(rows, n, min_rows_per_file)
-    rows.select(*df.columns).write.mode("overwrite").json(path)
+    files = max(1, n // min_rows_per_file)
+    least, more = divmod(n, files)
+    cores = 2 * df.sparkSession.sparkContext.defaultParallelism
+    split = more * (least + 1)
+    parts = [(F.col("_idx"), rows.where(F.col("_idx") < split), least + 1, more), (F.col("_idx") - split, rows.where(F.col("_idx") >= split), least, files - more)]
+    parts = [p for p in parts if p[2] and p[3]]
+    if not parts:
+        rows.select(*df.columns).coalesce(1).write.mode("overwrite").json(path)
+    for k, (at, some, size, count) in enumerate(parts):
+        per_task = min(max(1, FILE_ROWS_PER_TASK // size), -(-count // cores))  # files of a task
+        task = F.floor(at / F.lit(size * per_task)).cast("int")
+        out = some.repartitionById(-(-count // per_task), task).sortWithinPartitions("_idx").select(*df.columns)
+        out.write.mode("append" if k else "overwrite").option("maxRecordsPerFile", size) \
+            .option("mapreduce.fileoutputcommitter.marksuccessfuljobs", str(k + 1 == len(parts)).lower()).json(path)
     return files
 
 
@@ -49,6 +64,8 @@ def verify_checksum(df: DataFrame, content_col: str, expected_col: str, raise_on
     return out
 
 
+# Rows that a task writes as files of its own.
+FILE_ROWS_PER_TASK = 20_000
 MANIFEST = "path string, group_id bigint, output string"
 
 

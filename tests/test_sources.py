@@ -177,3 +177,17 @@ def test_ranks_gather_apart_and_the_tail_is_reported(spark):
     for r in packs:
         batches.setdefault(r["batch_id"], set()).add(r["rank"])
     assert batches and all(v == {0, 1, 2, 3} for v in batches.values())
+
+
+def test_a_task_writes_many_json_files_of_even_size(spark, tmp_path):
+    """n rows in n // 3 files of n // files rows or one more, by far fewer tasks than files; every row is in one file."""
+    for n in (0, 1, 5, 12, 2000):
+        out = str(tmp_path / str(n))
+        files = fs.write_jsonl(spark.range(n).withColumn("é", F.lit("ü")), out, 3)
+        names = [f for f in os.listdir(out) if f.endswith(".json")]
+        counts = [sum(1 for _ in open(os.path.join(out, f))) for f in names]
+        assert files == max(1, n // 3) and os.path.exists(f"{out}/_SUCCESS")
+        if n:
+            assert len(names) == files and set(counts) <= {n // files, n // files + 1} and sum(counts) == n
+            assert len({f.split("-")[1] for f in names}) <= 4 * spark.sparkContext.defaultParallelism
+        assert sorted(r.id for r in spark.read.schema("id long").json(out).collect()) == list(range(n))
