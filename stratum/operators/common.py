@@ -39,6 +39,11 @@ def write_once(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark, mb: int = 8) -> None:
+    """Bound the Arrow batches that go to Python by bytes, so what a worker holds doesn't grow with the rows of a task."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+
+
 def join_counted(rows: DataFrame, groups: DataFrame, key: str, n_col: str) -> DataFrame:
     """Inner join of written ``rows`` with one row per key of ``groups`` (also written), where a few keys may hold much of
     ``rows``. ``n_col`` is the key's number of rows.

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratum import constants as C
-from stratum.operators.common import join_counted, write_once
+from stratum.operators.common import join_counted, small_batches, write_once
 from stratum.operators.ordering import global_rank
 
 TOKEN_PATTERN = r"<\|[A-Za-z0-9_]+\|>|[^ \t\n\r\f\x0b<]+|<"
@@ -25,7 +25,7 @@ SPECIAL_TOKENS = ("<|endoftext|>", "<unk>", "<|im_start|>", "<|im_end|>")
 PAD_ID = 0
 UNK_ID = 1
 
-# Up to this many bytes (tokens and ids) of a vocabulary, its commonest tokens first, every worker holds as a dictionary.
+# Up to this many bytes (tokens and ids) of a vocabulary, its commonest tokens first, every worker holds as an Arrow table.
 BROADCAST_VOCAB_BYTES = 64 << 20
 
 
@@ -87,26 +87,30 @@ def audio_id_array(vocab: DataFrame) -> list[int]:
     return [int(held[t]) for t in audio_token_list()]
 
 
-_dictionaries: dict = {}
+_tables: dict = {}
 
 
-def _dictionary(shared: tuple) -> dict:
-    """Token -> id of a named, broadcast Arrow table, built once per Python worker (the last vocabulary is kept)."""
+def _table(shared: tuple) -> tuple:
+    """(tokens, ids) of a named, broadcast Arrow table, whose bytes they share (the last vocabulary is kept). No Python object is made
+    of a token, so a worker holds little more than those bytes."""
     import pyarrow as pa
 
     name, table = shared
-    if name not in _dictionaries:
+    if name not in _tables:
         t = pa.ipc.open_stream(table.value).read_all()
-        _dictionaries.clear()
-        _dictionaries[name] = dict(zip(t["token"].to_pylist(), t["id"].to_pylist()))
-    return _dictionaries[name]
+        _tables.clear()
+        _tables[name] = tuple(t[c].chunk(0) if t[c].num_chunks else pa.array([], t[c].type) for c in ("token", "id"))
+    return _tables[name]
 
 
 def _share(vocab: DataFrame) -> tuple:
-    """The vocabulary as a name and a broadcast variable in Arrow's form; its bytes were checked before."""
+    """The vocabulary as a name and a broadcast variable in Arrow's form; its bytes were checked before. The last row comes first, since
+    of rows with the same token the last one counts and a look-up takes the first."""
+    import numpy as np
     import pyarrow as pa
 
     table = vocab.select("token", F.col("id").cast("bigint").alias("id")).toArrow()
+    table = table.take(pa.array(np.arange(len(table))[::-1])).combine_chunks()
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
@@ -131,10 +135,10 @@ def head_of_vocab(vocab: DataFrame, limit: int, steps: int = 4096) -> int | None
     return cut
 
 
-def _look_up(df: DataFrame, tokens_col: str, shared, out: str, misses: str | None) -> DataFrame:
+def _look_up(df: DataFrame, tokens_col: str, shared, out: str, misses: str | None, narrow: bool = False) -> DataFrame:
     """``df`` with the ids of ``tokens_col`` in its place, row by row: the tokens of an Arrow batch are dictionary-encoded, each
     distinct one is looked up once, and the ids go back by the list's own offsets. With ``misses``, also
-    the (position, token) pairs that the dictionary lacks."""
+    the (position, token) pairs that the table lacks; with ``narrow``, ids are ints."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -142,22 +146,23 @@ def _look_up(df: DataFrame, tokens_col: str, shared, out: str, misses: str | Non
 
     at = df.columns.index(tokens_col)
     kept = [c for c in df.columns if c != tokens_col]
-    fields = [df.schema[c] for c in kept] + [T.StructField(out, T.ArrayType(T.LongType()))]
+    fields = [df.schema[c] for c in kept] + [T.StructField(out, T.ArrayType(T.IntegerType() if narrow else T.LongType()))]
+    small_batches(df.sparkSession)
     if misses:
         fields.append(T.StructField(misses, T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("token", T.StringType())]))))
 
     def run(batches):
-        ids = _dictionary(shared)
+        tokens, ids = _table(shared)
         for b in batches:
             lists = b.column(at)
             n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
             ends = np.concatenate([[0], np.cumsum(n)])
             code = lists.flatten().dictionary_encode()
-            known = np.array([ids.get(t, -1) for t in code.dictionary.to_pylist()], np.int64)
+            known = pc.fill_null(ids.take(pc.index_in(code.dictionary.cast(tokens.type), value_set=tokens)), -1).to_numpy()
             flat = known[code.indices.to_numpy()] if len(code) else np.zeros(0, np.int64)
             offsets = pa.array(ends, pa.int32())
             cols = [c for i, c in enumerate(b.columns) if i != at]
-            cols.append(pa.ListArray.from_arrays(offsets, pa.array(np.where(flat < 0, UNK_ID, flat))))
+            cols.append(pa.ListArray.from_arrays(offsets, pa.array(np.where(flat < 0, UNK_ID, flat).astype(np.int32 if narrow else np.int64))))
             if misses:
                 lost = np.flatnonzero(flat < 0)
                 row = np.searchsorted(ends, lost, side="right") - 1
@@ -177,13 +182,14 @@ def _fill(rows: DataFrame, ids_col: str, found_col: str) -> DataFrame:
     from pyspark.sql import types as T
 
     ids_at, found_at = rows.columns.index(ids_col), rows.columns.index(found_col)
-    schema = T.StructType([f for f in rows.schema if f.name != found_col])
+    schema = T.StructType([T.StructField(ids_col, T.ArrayType(T.LongType())) if f.name == ids_col else f for f in rows.schema if f.name != found_col])
+    small_batches(rows.sparkSession)
 
     def run(batches):
         for b in batches:
             ids, found = b.column(ids_at), b.column(found_at)
             starts = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy())])
-            flat = ids.flatten().to_numpy(zero_copy_only=False).copy()
+            flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             row = np.repeat(np.arange(len(b)), pc.fill_null(pc.list_value_length(found), 0).to_numpy())
             pairs = found.flatten()
             flat[starts[row] + pairs.field("pos").to_numpy()] = pairs.field("id").to_numpy()
@@ -199,7 +205,7 @@ def tokens_to_ids(df: DataFrame, tokens_col: str, vocab: DataFrame, out: str = "
     stay with their row, so nothing is joined back. Null arrays count as empty, null tokens are left out.
 
     ``vocab`` (token, id, by falling frequency) is best a written table. Up to ``limit`` bytes (default BROADCAST_VOCAB_BYTES;
-    summed first) it becomes a dictionary that every worker holds, and the look-up is one map stage. Of a larger vocabulary the
+    summed first) it becomes an Arrow table that every worker holds, and the look-up is one map stage. Of a larger vocabulary the
     commonest tokens up to the limit are looked up that way, so the tokens that make up most of a corpus never leave their row; the
     rest are counted, resolved once per distinct token and joined to their positions, tokens that are still common (such as a repeated unknown one)
     by broadcast."""
@@ -207,7 +213,8 @@ def tokens_to_ids(df: DataFrame, tokens_col: str, vocab: DataFrame, out: str = "
     cut = head_of_vocab(vocab, BROADCAST_VOCAB_BYTES if limit is None else limit)
     if cut is None:
         return _look_up(tokens, tokens_col, _share(vocab), out, None)
-    looked = _look_up(tokens, tokens_col, _share(vocab.where(F.col("id") < cut)), out, "_miss")
+    narrow = vocab.agg(F.max("id")).first()[0] < 1 << 31  # ids then take half the room in what is written and joined
+    looked = _look_up(tokens, tokens_col, _share(vocab.where(F.col("id") < cut)), out, "_miss", narrow)
     rows = write_once(looked.withColumn("_row", F.monotonically_increasing_id()), "token-rows")
     miss = write_once(rows.select("_row", F.explode("_miss").alias("_m")).select("_row", "_m.pos", "_m.token"), "token-misses")
     tail = miss.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).join(vocab.where(F.col("id") >= cut).select("token", "id"), "token")

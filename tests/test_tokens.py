@@ -86,3 +86,33 @@ def test_format_function_carries_codes(spark):
     got = sorted((r.doc_id, r.input_ids, r.labels, r.length) for r in make_tokenise_fn(vocab, use_chat_template=False)(docs).collect())
     want = [(1, [0, 1, 2, 4, 6, 3]), (2, [1, 2, 3]), (3, [0, 2, 5, 3]), (3, [0, 2, 5, 3])]
     assert got == [(k, ids, [-100 if x <= 2 else x for x in ids], len(ids)) for k, ids in want]
+
+
+def test_a_worker_makes_no_python_objects_of_the_vocabulary(spark):
+    """The table of a worker lies in the broadcast bytes: 300,000 tokens add no Python memory to speak of."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    shared = tk._share(spark.range(300_000).selectExpr("concat('token', id) as token", "id"))
+    shared[1].value  # noqa: B018 - loaded before
+    tracemalloc.start()
+    tokens, ids = tk._table(shared)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 1 << 20 and len(tokens) == len(ids) == 300_000 and isinstance(tokens, pa.Array)
+
+
+@pytest.mark.parametrize("limit", [None, 60])
+def test_of_rows_with_the_same_token_the_last_one_counts(spark, limit):
+    vocab = spark.createDataFrame([("a", 4), ("a", 5), ("b", 6), ("c", 2_000_000)], "token string, id long").coalesce(1)
+    df = spark.createDataFrame([(1, ["a", "c", "x"])], "doc_id long, toks array<string>")
+    assert tk.tokens_to_ids(df, "toks", vocab, limit=limit).first().ids == [5, 2_000_000, tk.UNK_ID]
+
+
+def test_rows_written_for_the_join_hold_narrow_ids(spark):
+    vocab = spark.createDataFrame([("a", 4), ("b", 5), ("c", 6)], "token string, id long")
+    df = spark.createDataFrame([(1, ["a", "c", "b"])], "doc_id long, toks array<string>")
+    plan = tk.tokens_to_ids(df, "toks", vocab, limit=20)
+    assert dict(plan.dtypes)["ids"] == "array<bigint>" and plan.first().ids == [4, 6, 5]
+    assert "ids:array<int>" in plan._jdf.queryExecution().analyzed().toString().replace("`", "") or "array<int>" in plan._jdf.queryExecution().executedPlan().toString()
