@@ -20,6 +20,7 @@ from stratum import constants as C
 from stratum.functions import batch_udf as bu
 from stratum.operators import filtering as flt
 from stratum.operators import packing as pk
+from stratum.operators.common import write_once
 from stratum.session import checkpoint_dir
 from stratum.sources import files as fs
 from stratum.sources import shards as sh
@@ -85,8 +86,7 @@ def pack_corpus_job(rows: DataFrame, out_dir: str, capacity: int = C.PACK_CAPACI
     """Token rows (seq_id, input_ids, labels) are written once, packed on their lengths and
     gathered into packs written as Parquet. Packs depend on ``n_buckets`` and never on the number of rows. Returns the
     written packs."""
-    checkpoint_dir(rows.sparkSession)
-    rows = rows.checkpoint(eager=True)
+    rows = write_once(rows, "packed-rows")  # by column and compressed: a row checkpoint is several times that
     lengths = rows.select("seq_id", F.size("input_ids").alias("length"))
     assign = pk.pack_next_fit(lengths, capacity=capacity, seed=seed, n_buckets=n_buckets)
     packs = pk.materialise_packs(assign, rows)
