@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stratum.session import checkpoint_dir, table
@@ -48,13 +48,15 @@ def small_batches(spark: SparkSession, mb: int = 8) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n_col: str, spread: Column) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n_col: str, spread: Column,
+                sizes: tuple[int | None, int | None] | None = None) -> DataFrame:
     """Left join of ``rows`` with one row per key of ``groups`` where single keys may hold much of ``rows``.
 
     ``n_col`` of ``groups`` is the number of rows of the key. Keys with over max(HOT_FLOOR, total / HOT_SHARE)
     rows, HOT_SHARE of them at most whatever the data, are broadcast; their rows are then scattered by
-    ``spread`` in the shuffle join that serves all the others. Null keys match nothing."""
-    total, most = groups.agg(F.sum(n_col), F.max(n_col)).first()
+    ``spread`` in the shuffle join that serves all the others. Null keys match nothing. ``sizes``: sum and maximum of
+    ``n_col``, where they are known; else a job finds them."""
+    total, most = sizes or groups.agg(F.sum(n_col), F.max(n_col)).first()
     at = max(HOT_FLOOR, (total or 0) // HOT_SHARE)
     vals = [c for c in groups.columns if c not in keys]
     if (most or 0) <= at:
@@ -101,36 +103,53 @@ def with_flag(rows: DataFrame, flags: DataFrame, slot: Column, out: str) -> Data
         .withColumn(out, F.coalesce(F.getbit(byte, (pos % 8).cast("int")) == 1, F.lit(False))).drop("_slot", "_bucket", "_bytes")
 
 
-def _min_neighbour(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(u, v) rows -> (u, v, m) with m the smallest v of u; and the table of these minima, which that reads."""
-    mins = materialise(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")), "cc-min")
-    return join_groups(edges, mins, ["u"], "_n", F.col("v")).select("u", "v", "m"), mins
+#: Rows of two ids, 4 MB, that are worth a task of their own.
+TASK_ROWS = 1 << 18
+
+
+def few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of about ``rows`` narrow rows in no more tasks than these need, and no fewer than there are cores. Every task costs
+    the driver memory, however little it reads, and only Spark's own coalescing, where it is on, would spare them."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)))
+
+
+def _written_edges(edges: DataFrame) -> tuple[DataFrame, int]:
+    """``edges`` written, and their number."""
+    seen = Observation()
+    return materialise(edges.observe(seen, F.count(F.lit(1)).alias("n")), "cc"), seen.get["n"]
+
+
+def _min_neighbours(edges: DataFrame, n: int) -> tuple[DataFrame, tuple[int | None, int | None], int]:
+    """(u, m, _n) of ``n`` edges, with m the smallest v of u and _n its edges; their sum and maximum; and how many nodes forbid that
+    the edges are stars around their smallest nodes. The numbers are observed while the table is written, without a job of their own."""
+    seen = Observation()
+    mins = few_tasks(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")), n)
+    loose = F.count_if((F.col("m") < F.col("u")) & (F.col("_n") > 1))
+    mins = materialise(mins.observe(seen, F.sum("_n").alias("total"), F.max("_n").alias("most"), loose.alias("loose")), "cc-min")
+    return mins, (seen.get["total"], seen.get["most"]), seen.get["loose"]
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """(node, component): every node of ``edges`` with the smallest node reachable from it.
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014) as joins and minima; each round's edge
-    table is written to the shared folder. No component is gathered in one task; hubs go through
-    ``join_groups``. Raises if it hasn't settled after ``max_rounds`` (logarithmic in practice)."""
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
-    e = materialise(e, "cc")
-    before = None
+    table is written to the shared folder. It has settled when every node either is smaller than all its neighbours or has
+    one only: then that one is of the first kind, and the minima are the result. No component is gathered in one task; hubs go
+    through ``join_groups``. Raises if it hasn't settled after ``max_rounds`` (logarithmic in practice)."""
+    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), (F.col(a) != F.col(b)).alias("_two")).where("_two").select("u", "v").distinct()
+    e, n = _written_edges(e)
     for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lm, large_mins = _min_neighbour(both)
-        large = materialise(lm.select("u", "v", F.least("u", "m").alias("m"))
-                            .where("v > u and v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")), "cc")
-        sm, small_mins = _min_neighbour(large)
-        small = sm.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")) \
-            .unionByName(sm.select("u", F.col("m").alias("v"))).distinct()
-        old, e = e, materialise(small, "cc")
-        discard(old, large, large_mins, small_mins)
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("connected components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")) \
-        .unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+        down = e.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        mins, sizes, loose = _min_neighbours(e.unionByName(down), 2 * n)
+        if not loose:
+            discard(e)
+            return mins.select(F.col("u").alias("node"), F.least("u", "m").alias("component"))
+        large = materialise(few_tasks(join_groups(down, mins, ["u"], "_n", F.col("v"), sizes), n)
+                            .select(F.col("v").alias("u"), F.least("u", "m").alias("v")), "cc")
+        low, sizes, _ = _min_neighbours(large, n)
+        pairs = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = few_tasks(join_groups(large, low, ["u"], "_n", F.col("v"), sizes), n).select(F.explode(pairs).alias("_e")).select("_e.*")
+        old = e
+        e, n = _written_edges(few_tasks(small.where("u <> v").distinct(), 2 * n))
+        discard(old, large, mins, low)
+    raise RuntimeError("connected components did not settle")

@@ -20,6 +20,44 @@ def test_components_against_brute_force(spark, monkeypatch):
     assert C.connected_components(spark.createDataFrame([], "a bigint, b bigint"), "a", "b").collect() == []
 
 
+def test_components_end_once_the_edges_are_stars(spark, monkeypatch):
+    """Stars need no round: their minima are written, nothing is joined and no job only counts."""
+    labels, sizes = [], []
+    write, join = C.materialise, C.join_groups
+    monkeypatch.setattr(C, "materialise", lambda df, label: (labels.append(label), write(df, label))[1])
+    monkeypatch.setattr(C, "join_groups", lambda *a: (sizes.append(a[5]), join(*a))[1])
+    for pairs, rounds in (([(1, 2), (3, 1), (1, 4), (9, 8), (8, 9), (None, 5), (5, 5)], 0), ([(i, i + 1) for i in range(4)], 1)):
+        labels.clear()
+        sizes.clear()
+        got = C.connected_components(spark.createDataFrame(pairs, "a bigint, b bigint"), "a", "b").collect()
+        want = [(0, 0), (1, 0), (2, 0), (3, 0), (4, 0)] if rounds else [(1, 1), (2, 1), (3, 1), (4, 1), (8, 8), (9, 8)]
+        assert sorted(map(tuple, got)) == want
+        assert len(sizes) >= 2 * rounds and all(total >= most > 0 for total, most in sizes)
+        assert rounds or labels == ["cc", "cc-min"]
+
+
+def test_small_graphs_take_few_tasks(spark, monkeypatch):
+    """However many partitions a shuffle has, a round's tables come from no more tasks than their rows need."""
+    write, tasks = C.materialise, []
+
+    def counted(df, label):
+        tasks.append((label, df.rdd.getNumPartitions()))
+        return write(df, label)
+
+    monkeypatch.setattr(C, "materialise", counted)
+    conf = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = C.connected_components(spark.createDataFrame([(i, i + 1) for i in range(4)], "a bigint, b bigint"), "a", "b").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, got)) == [(i, 0) for i in range(5)]
+    assert len(tasks) > 3 and all(n <= spark.sparkContext.defaultParallelism for _, n in tasks[1:]), tasks
+
+
 def test_join_groups_with_and_without_hot_keys(spark, monkeypatch):
     rows = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"k{i % 40}") for i in range(600)] + [(9000, None)], "id bigint, k string")
     groups = rows.where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
