@@ -217,58 +217,43 @@ def resample_series(events: DataFrame, step_seconds: int, series_col: str = "ser
     the neighbouring events.
 
     Two-phase, chunked by time (``chunk_seconds``, a day by default; shorten it for denser
-    series): neighbours are looked up inside (series, chunk) with an ordered window over the
-    union of grid points and events; a grid point with no neighbour inside its chunk takes the
-    carry from a small per-(series, chunk) table (last/first event of other chunks). The grid itself is made chunk by
-    chunk, so no array is longer than a chunk and a dominant series' points are made by many tasks.
+    series): events are ordered inside (series, chunk), after the last one stands the first event of the series' next
+    chunk that has any, from a small per-(series, chunk) table. Each event makes the grid points from itself to before the event after
+    it; they are neither shuffled nor sorted. A long gap is cut at the chunks first, and its pieces are dealt to the tasks, so
+    no array is longer than a chunk and a dominant series' points are made by many tasks.
     """
-    step = step_seconds * 1_000_000
-    ev = events.select(series_col, micros(events, ts_col).alias("_t"), F.col(tie_col).alias("_tie"),
-                       F.col(value_col).alias("_v"))
-    span = ev.groupBy(series_col).agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
-    first_grid = F.ceil(F.col("_lo") / F.lit(step)) * F.lit(step)
-    chunk = chunk_seconds * 1_000_000
-    # two levels: the chunks of a series first, dealt to the tasks, then the grid points of each chunk
+    step, chunk = step_seconds * 1_000_000, chunk_seconds * 1_000_000
     chunk_of = lambda c: F.floor(c / F.lit(chunk)).cast("bigint")
-    chunks = (span.withColumn("_g0", first_grid.cast("bigint")).where("_g0 <= _hi")
-              .withColumn("_day", F.explode(F.sequence(chunk_of(F.col("_g0")), chunk_of(F.col("_hi")))))
-              .repartition(series_col, "_day"))
-    start = F.greatest("_g0", (F.ceil(F.col("_day") * F.lit(chunk) / F.lit(step)) * F.lit(step)).cast("bigint"))
-    end = F.least("_hi", (F.col("_day") + 1) * F.lit(chunk) - 1)
+    first_grid = lambda c: c + F.pmod(-c, F.lit(step))  # noqa: E731  at or after c
+    ev = (events.select(series_col, micros(events, ts_col).alias("_t"), F.col(tie_col).alias("_tie"), F.col(value_col).alias("_v"))
+          .where("_t is not null").withColumn("_day", chunk_of(F.col("_t"))))
+    days = ev.groupBy(series_col, "_day").agg(F.min(F.struct("_t", "_tie", "_v")).alias("_first"))
+    after = F.lead("_first").over(Window.partitionBy(series_col).orderBy("_day"))
+    ends = days.select(series_col, "_day", after.alias("_e")).where("_e is not null").select(series_col, "_day", "_e.*")
+
+    # events at the same instant: the last of them is the one before a later point, the first the one after an earlier point
+    w = Window.partitionBy(series_col, "_day").orderBy("_t", F.col("_tie").asc_nulls_first(), "_v")
+    untied = F.last(F.when(F.col("_tie").isNull(), F.struct("_t", "_v")), ignorenulls=True)
+    rows = ev.withColumn("_end", F.lit(False)).unionByName(ends.withColumn("_end", F.lit(True)))
+    pairs = (rows.select(series_col, "_day", "_t", "_v", "_end", F.lead("_t").over(w).alias("_t1"), F.lead("_v").over(w).alias("_v1"),
+                         untied.over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_u"))
+             .where("not _end"))
+    # of events at one instant those without a tie value come last for points of their own chunk, first for later ones
+    near = F.when(F.col("_u._t") == F.col("_t"), F.col("_u._v")).otherwise(F.col("_v"))
+    gaps = pairs.select(series_col, "_day", "_t", "_v", near.alias("_v0"), "_t1", "_v1", first_grid(F.col("_t")).alias("_from"),
+                        F.coalesce(F.col("_t1") - 1, F.col("_t")).alias("_to")).where("_from <= _to")
+    pieces = (gaps.withColumn("_at", F.explode(F.sequence(chunk_of(F.col("_from")), chunk_of(F.col("_to")))))
+              .repartition(series_col, "_at"))
+    start = F.greatest("_from", first_grid(F.col("_at") * F.lit(chunk)))
+    end = F.least("_to", (F.col("_at") + 1) * F.lit(chunk) - 1)
     points = F.when(start <= end, F.sequence(start, end, F.lit(step).cast("bigint")))
-    grd = chunks.select(series_col, "_day", F.explode(points).alias("_t"))
-    evd = ev.withColumn("_day", chunk_of(F.col("_t")))
-
-    rows = (evd.select(series_col, "_day", "_t", "_tie", "_v", F.lit(0).alias("_g"))
-            .unionByName(grd.select(series_col, "_day", "_t", F.lit(None).cast("bigint").alias("_tie"),
-                                    F.lit(None).cast("double").alias("_v"), F.lit(1).alias("_g"))))
-    ev_struct = F.when(F.col("_g") == 0, F.struct(F.col("_t").alias("t"), F.col("_v").alias("v")))
-    # events at the same instant as a grid point: prev takes the last of them, next the first
-    w_prev = (Window.partitionBy(series_col, "_day").orderBy("_t", F.col("_g").asc(), F.col("_tie").asc_nulls_last())
-              .rowsBetween(Window.unboundedPreceding, 0))
-    w_next = (Window.partitionBy(series_col, "_day").orderBy("_t", F.col("_g").desc(), F.col("_tie").asc_nulls_first())
-              .rowsBetween(0, Window.unboundedFollowing))
-    inday = (rows.withColumn("_prev", F.last(ev_struct, ignorenulls=True).over(w_prev))
-             .withColumn("_next", F.first(ev_struct, ignorenulls=True).over(w_next))
-             .where(F.col("_g") == 1))
-
-    days = evd.groupBy(series_col, "_day").agg(
-        F.max(F.struct("_t", "_tie", "_v")).alias("_last"), F.min(F.struct("_t", "_tie", "_v")).alias("_first"))
-    all_days = days.select(series_col, "_day").unionByName(grd.select(series_col, "_day")).distinct()
-    dd = all_days.join(days, [series_col, "_day"], "left")
-    wb = Window.partitionBy(series_col).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    wf = Window.partitionBy(series_col).orderBy("_day").rowsBetween(1, Window.unboundedFollowing)
-    carry = dd.select(series_col, "_day",
-                      F.last("_last", ignorenulls=True).over(wb).alias("_cin"),
-                      F.first("_first", ignorenulls=True).over(wf).alias("_cout"))
-    j = inday.join(carry, [series_col, "_day"], "left")
-    prev = F.coalesce(F.col("_prev"), F.struct(F.col("_cin._t").alias("t"), F.col("_cin._v").alias("v")))
-    nxt = F.coalesce(F.col("_next"), F.struct(F.col("_cout._t").alias("t"), F.col("_cout._v").alias("v")))
-    j = j.withColumn("_p", prev).withColumn("_q", nxt)
-    frac = (F.col("_t") - F.col("_p.t")).cast("double") / (F.col("_q.t") - F.col("_p.t")).cast("double")
-    val = F.when(F.col("_q.t") == F.col("_p.t"), F.col("_p.v")).otherwise(
-        F.col("_p.v") + (F.col("_q.v") - F.col("_p.v")) * frac)
-    return j.select(series_col, F.col("_t").alias("t_us"), val.alias(value_col))
+    grd = pieces.select("*", F.explode(points).alias("_g"))
+    v0 = F.when(F.col("_at") == F.col("_day"), F.col("_v0")).otherwise(F.col("_v"))
+    frac = (F.col("_g") - F.col("_t")).cast("double") / (F.col("_t1") - F.col("_t")).cast("double")
+    val = F.when(F.col("_g") == F.col("_t"), v0).otherwise(v0 + (F.col("_v1") - v0) * frac)
+    # rows without a series have no neighbours in other chunks
+    inside = (F.col("_at") == F.col("_day")) & ((F.col("_g") == F.col("_t")) | (chunk_of(F.col("_t1")) == F.col("_at")))
+    return grd.select(series_col, F.col("_g").alias("t_us"), F.when(F.col(series_col).isNotNull() | inside, val).alias(value_col))
 
 
 def chunked(df: DataFrame, pos_col: str, chunk_rows: int, halo: int) -> DataFrame:

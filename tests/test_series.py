@@ -100,3 +100,24 @@ def test_resampling_makes_the_grid_chunk_by_chunk(spark):
         got = sorted(tuple(r) for r in sr.resample_series(ev, 300, chunk_seconds=chunk).collect())
         want = want or got
         assert got == want and len(got) > 100
+
+
+def test_resampling_neither_shuffles_nor_sorts_grid_points(spark):
+    """Points are made last, from pairs of neighbouring events: above the step that makes them nothing sorts, joins or deals."""
+    ev = spark.sql("""SELECT cast(s AS bigint) series_id, timestamp_seconds(1700000003 + i * 977) ts, cast(i AS bigint) event_id, cast(i AS double) value
+                      FROM VALUES (0), (1) v(s) LATERAL VIEW explode(sequence(0, 40)) AS i""")
+    plan = sr.resample_series(ev, 300)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan.split("Generate")[0]
+    assert "Generate" in plan and not any(x in above for x in ("Join", "Window", "Sort", "Aggregate", "Repartition")), plan
+
+
+def test_resampling_across_empty_chunks_ties_and_rows_without_keys(spark):
+    day, t0 = 86_400, 1_700_006_400  # a midnight
+    rows = [(1, t0 + 1800, 1, 1.0), (1, t0 + 3 * day, 2, 4.0), (1, t0 + 3 * day, 3, 5.0), (1, t0 + 3 * day + 3600, 4, 6.0),
+            (None, t0, 5, 1.0), (None, t0 + 7200, 6, 3.0), (None, t0 + day, 7, 9.0), (2, None, 8, 1.0)]
+    ev = spark.createDataFrame(rows, "series_id long, s long, event_id long, value double").selectExpr("series_id", "timestamp_seconds(s) ts", "event_id", "value")
+    got = {(r[0], r[1] // 1_000_000 - t0): r[2] for r in sr.resample_series(ev, 3600).collect()}
+    assert sorted(t for s, t in got if s == 1) == list(range(3600, 3 * day + 3601, 3600)) and not any(s == 2 for s, _ in got)
+    assert got[1, 3 * day] == 5.0 and got[1, 3 * day + 3600] == 6.0
+    assert np.isclose(got[1, day], 1.0 + 3.0 * (day - 1800) / (3 * day - 1800))
+    assert [got[None, t] for t in (0, 3600, 7200, 10_800, day)] == [1.0, 2.0, 3.0, None, 9.0] and len([1 for s, _ in got if s is None]) == 25
