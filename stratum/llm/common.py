@@ -3,8 +3,10 @@ connected components."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,15 @@ def small_batches(spark: SparkSession, mb: int = 8) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
+def give_back() -> None:
+    """Return to the system what this process has freed. A Python worker serves one stage after another, and what the last
+    one's libraries hold unused would come on top of the next one's. Without glibc only Arrow's part goes."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n_col: str, spread: Column,
                 sizes: tuple[int | None, int | None] | None = None) -> DataFrame:
     """Left join of ``rows`` with one row per key of ``groups`` where single keys may hold much of ``rows``.

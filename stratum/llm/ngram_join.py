@@ -5,18 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import connected_components, discard, flag_filter, flag_slot, flag_slots, join_groups, materialise, small_batches, text_or_empty, with_flag
+from stratum.llm.common import connected_components, discard, flag_filter, flag_slot, flag_slots, give_back, join_groups, materialise, small_batches, text_or_empty, with_flag
 
 #: Groups of candidates beyond this many rows are cut into blocks and joined block by block; a block's sets take about
-#: GROUP_BYTES at most, whatever their length.
+#: GROUP_BYTES at most, whatever their length. A task holds two blocks and about as much again to join them.
 GROUP_ROWS = 16_000
-GROUP_BYTES = 48 << 20
+GROUP_BYTES = 24 << 20
+#: Before groups of more bytes than this, a worker gives back what earlier ones have left.
+GIVE_BACK = 1 << 20
 #: Levels of a prefix tree: the range of the n-gram order is cut into this many parts.
 LEVELS = 8
 _WORDS = 100_000
@@ -113,42 +114,66 @@ def block_keys(grams: np.ndarray, t: Threshold) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
+class Parts:
+    """Ordered n-gram sets cut into the LEVELS parts of the order's range. Equal parts of a level are kept once, their n-grams as
+    consecutive numbers, one part after another. One level is sorted at a time, so beside the sets there is an eighth of them or less
+    to work on and half of them to keep."""
+
+    def __init__(self, sets: list[np.ndarray], cuts: np.ndarray, order: np.ndarray):
+        """``cuts``: per set where each level's part begins and the last one ends; parts are numbered as they come in ``order``."""
+        self.of = np.zeros((LEVELS, len(sets)), np.int32)  # the part that a set has on a level
+        self.grams, self.at, self.width = [], [], []
+        for level in range(LEVELS):
+            known: dict[bytes, int] = {}
+            for k in order.tolist():
+                self.of[level, k] = known.setdefault(sets[k][cuts[k, level]:cuts[k, level + 1]].tobytes(), len(known))
+            self.at.append(np.cumsum([0, *map(len, known)]) // 8)
+            raw = np.frombuffer(b"".join(known), np.uint64)
+            del known
+            values = np.unique(raw)
+            self.grams.append(np.searchsorted(values, raw).astype(np.int32))
+            self.width.append(len(values))
+
+    def part(self, level: int, row: int) -> np.ndarray:
+        k = self.of[level, row]
+        return self.grams[level][self.at[level][k]:self.at[level][k + 1]]
+
+
 class PrefixTree:
-    """A trie of ordered n-gram sets; each level holds the part of a set in one LEVELS-th of the order's range, so
-    sets that begin alike share nodes. Rows are sorted by their parts, so a node is a range of rows on its level;
-    ``parts`` holds the n-grams of a level's nodes one after another."""
-
-    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray, cuts: np.ndarray):
-        """``sets``: sorted n-gram numbers; ``cuts``: per row where each level's part begins and the last one ends."""
-        keys = [tuple(g[i:j].tobytes() for i, j in zip(c, c[1:])) for g, c in zip(sets, cuts.tolist())]
-        self.order = np.array(sorted(range(len(sets)), key=keys.__getitem__), np.int64)
-        rows = self.order.tolist()
+    """A trie of some rows' sets; each level holds the part of a set in one LEVELS-th of the order's range, so sets that begin
+    alike share nodes. Rows are sorted by their parts, so a node is a range of rows on its level. Their parts are the first ones."""
+
+    def __init__(self, parts: Parts, rows: np.ndarray, sizes: np.ndarray, cuts: np.ndarray):
+        """``sizes``, ``cuts``: of the ``rows`` only."""
+        self.parts = parts
+        of = parts.of[:, rows]
+        self.grams = [parts.grams[level][:parts.at[level][of[level].max() + 1]] for level in range(LEVELS)]
+        self.order = np.lexsort(of[::-1])
         new = np.zeros(len(rows), bool)
-        self.first, self.last, self.parent, self.parts, self.part_at, self.left, self.least = [], [], [], [], [], [], []
+        self.first, self.last, self.parent, self.part, self.left, self.least = [], [], [], [], [], []
         size, above = sizes[self.order], np.zeros(len(rows), np.int64)
         for level in range(LEVELS):
-            new = new | np.array([True] + [keys[x][level] != keys[y][level] for x, y in zip(rows[1:], rows)])
+            mine = of[level][self.order]
+            new = new | np.concatenate(([True], mine[1:] != mine[:-1]))
             first = np.flatnonzero(new)
-            lead = [rows[k] for k in first]
-            part = [sets[r][cuts[r, level]:cuts[r, level + 1]] for r in lead]
             self.first.append(first)
             self.last.append(np.append(first[1:], len(rows)))
             self.parent.append(above[first])
             above = np.cumsum(new) - 1
-            self.parts.append(np.concatenate(part))
-            self.part_at.append(np.concatenate(([0], np.cumsum([len(x) for x in part]))))
+            self.part.append(mine[first])
             self.left.append(np.maximum.reduceat(size - cuts[self.order, level + 1], first))
             self.least.append(np.minimum.reduceat(size, first))
 
     def overlaps(self, level: int, nodes: np.ndarray, mine: np.ndarray) -> np.ndarray:
         """How many n-grams of each node's part are marked in ``mine``."""
-        at, end = self.part_at[level][nodes], self.part_at[level][nodes + 1]
-        if 2 * len(nodes) > len(self.first[level]):
-            total = np.concatenate(([0], np.cumsum(mine[self.parts[level]])))
-            return total[end] - total[at]
+        grams, part = self.grams[level], self.part[level][nodes]
+        at, end = self.parts.at[level][part], self.parts.at[level][part + 1]
         n = end - at
+        if 2 * n.sum() > len(grams):
+            total = np.concatenate((np.zeros(1, np.int32), np.cumsum(mine[grams], dtype=np.int32)))
+            return (total[end] - total[at]).astype(np.int64)
         start = np.cumsum(n) - n
-        hit = mine[self.parts[level][np.arange(n.sum()) + np.repeat(at - start, n)]]
+        hit = mine[grams[np.arange(n.sum()) + np.repeat(at - start, n)]]
         total = np.concatenate(([0], np.cumsum(hit)))
         return total[start + n] - total[start]
 
@@ -162,19 +187,17 @@ def _probes(sets: list[np.ndarray], side: list[int], t: Threshold) -> Iterator[t
     needs, or when no set below it is of a possible size."""
     if len(sets) < 2:
         return
-    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
     sizes = np.array([len(g) for g in sets], np.int64)
-    ends = np.cumsum(sizes)
-    bounds = [np.uint64(k << 61) for k in range(1, LEVELS)]
-    cuts = np.stack([np.concatenate(([0], np.searchsorted(g, bounds), [len(g)])) for g in sets])
-    coded = [codes[e - n:e] for e, n in zip(ends, sizes)]
     cross = 1 in side
     own = np.flatnonzero(np.array(side) == 0)
     if not len(own):
         return
-    tree = PrefixTree([coded[k] for k in own], sizes[own], cuts[own])
+    bounds = [np.uint64(k << 61) for k in range(1, LEVELS)]
+    cuts = np.stack([np.concatenate(([0], np.searchsorted(g, bounds), [len(g)])) for g in sets])
+    parts = Parts(sets, cuts, np.concatenate((own, np.flatnonzero(np.array(side) == 1))))
+    tree = PrefixTree(parts, own, sizes[own], cuts[own])
     members = own[tree.order]
-    mine = np.zeros(len(values), bool)
+    marks = [np.zeros(n, bool) for n in parts.width]
     probes = [(k, len(members)) for k in np.flatnonzero(np.array(side) == 1)] if cross else [(k, i) for i, k in enumerate(members)]
     for row, before in probes:
         size = int(sizes[row])
@@ -183,19 +206,20 @@ def _probes(sets: list[np.ndarray], side: list[int], t: Threshold) -> Iterator[t
         if not open_.any():
             continue
         reached = np.concatenate(([0], np.cumsum(open_), np.full(len(members) - before, open_.sum())))
-        mine[coded[row]] = True
         alive, shared = np.ones(1, bool), np.zeros(1, np.int64)  # the root
         for level in range(LEVELS):
             nodes = np.flatnonzero(alive[tree.parent[level]])
             nodes = nodes[reached[tree.last[level][nodes]] > reached[tree.first[level][nodes]]]
+            part, mine = parts.part(level, row), marks[level]
+            mine[part] = True
             overlap = shared[tree.parent[level][nodes]] + tree.overlaps(level, nodes, mine)
+            mine[part] = False
             left = np.minimum(size - cuts[row, level + 1], tree.left[level][nodes])
             keep = overlap + left >= -(-t.num * (size + tree.least[level][nodes]) // (t.num + t.den))
             alive, shared = np.zeros(len(tree.first[level]), bool), np.zeros(len(tree.first[level]), np.int64)
             alive[nodes[keep]], shared[nodes[keep]] = True, overlap[keep]
             if not keep.any():
                 break
-        mine[coded[row]] = False
         leaves = np.flatnonzero(alive)
         if not len(leaves):
             continue
@@ -213,7 +237,7 @@ def _linked(ids: list[int], sets: list[np.ndarray], side: list[int], t: Threshol
     return [(ids[row], ids[k]) for row, found in _probes(sets, side, t) for k in found]
 
 
-def _counted(ids: np.ndarray, weights: np.ndarray, sets: list[np.ndarray], side: list[int], t: Threshold) -> pd.DataFrame:
+def _counted(ids: np.ndarray, weights: np.ndarray, sets: list[np.ndarray], side: list[int], t: Threshold) -> pa.Table:
     """(x, y, w) of each set with links: its id, the first id that links reach from it, and the weights of all sets linked with it."""
     total, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
     for row, found in _probes(sets, side, t):
@@ -223,7 +247,7 @@ def _counted(ids: np.ndarray, weights: np.ndarray, sets: list[np.ndarray], side:
         joined[label[found]] = joined[label[row]] = True
         label[joined[label]] = np.flatnonzero(joined)[0]
     linked = total > 0
-    return pd.DataFrame({"x": ids[linked], "y": ids[label[linked]], "w": total[linked]}, dtype="int64")
+    return pa.table({"x": ids[linked], "y": ids[label[linked]], "w": total[linked]})
 
 
 def _shingled(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
@@ -232,6 +256,7 @@ def _shingled(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
     more = docs.columns[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         shingler, limit = Shingler(n), Threshold(*t)
         for b in batches:
             sizes, digests, keys = [], [], []
@@ -253,6 +278,7 @@ def _shingled(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
 def _sets(docs: DataFrame, n: int) -> DataFrame:
     """(cid, grp, rows, grams) of (_text, cid, sig, grp, rows) rows whose text has that digest."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         shingler = Shingler(n)
         for b in batches:
             sets = [shingler.ngrams(x.as_py()).tobytes() for x in b.column(0)]
@@ -310,11 +336,14 @@ def _families(rows: DataFrame, n: int, num: int, den: int, group_rows: int) -> t
     return seen, classes, sets
 
 
-def _group(key, pdf) -> tuple[pd.DataFrame, list[np.ndarray], list[int]]:
-    """A group's rows, one per class in order, their sets, and the sides of ``_probes``."""
-    pdf = pdf.drop_duplicates("cid").sort_values("cid")
-    cross = key[1] != key[2]
-    return pdf, [np.frombuffer(g, np.uint64) for g in pdf["grams"]], [int(cross and o == key[2]) for o in pdf["_own"]]
+def _group(key, table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[int]]:
+    """A group's ids, one per class in order, their rows, their sets (views of the table, not copies), and the sides of ``_probes``."""
+    if table.nbytes > GIVE_BACK:
+        give_back()
+    ids, at = np.unique(table["cid"].to_numpy(), return_index=True)
+    cross, grams, own = key[1] != key[2], table["grams"], table["_own"].to_numpy()
+    sets = [np.frombuffer(grams[k].as_buffer(), np.uint64) for k in at.tolist()]
+    return ids, table["rows"].to_numpy()[at], sets, [int(cross and own[k] == key[2].as_py()) for k in at]
 
 
 def _rows(id_col: str, text_col: str) -> list[Column]:
@@ -329,11 +358,12 @@ def jaccard_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     are linked too and not listed."""
     _, classes, sets = _families(docs.select(*_rows(id_col, text_col)), n, num, den, group_rows)
 
-    def join(key, pdf):
-        pdf, grams, side = _group(key, pdf)
-        return pd.DataFrame(_linked(pdf["cid"].tolist(), grams, side, Threshold(num, den)), columns=["x", "y"], dtype="int64")
+    def join(key, table):
+        ids, _, grams, side = _group(key, table)
+        pairs = np.array(_linked(ids.tolist(), grams, side, Threshold(num, den)), np.int64).reshape(-1, 2)
+        return pa.table({"x": pairs[:, 0], "y": pairs[:, 1]})
 
-    links = sets.groupBy("grp", "a", "b").applyInPandas(join, "x bigint, y bigint") \
+    links = sets.groupBy("grp", "a", "b").applyInArrow(join, "x bigint, y bigint") \
         .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     for c, to in (("x", "a"), ("y", "b")):
         links = links.join(classes.select(F.col("cid").alias(c), F.col("sig").alias(f"sig_{to}"), F.col("rep").alias(f"id_{to}"),
@@ -365,11 +395,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     carry = carry or {}
     seen, classes, sets = _families(docs.select(*_rows(id_col, text_col), *[v.alias(k) for k, v in carry.items()]), n, num, den, group_rows)
 
-    def join(key, pdf):
-        pdf, grams, side = _group(key, pdf)
-        return _counted(pdf["cid"].to_numpy(np.int64), pdf["rows"].to_numpy(np.int64), grams, side, Threshold(num, den))
+    def join(key, table):
+        return _counted(*_group(key, table), Threshold(num, den))
 
-    links = materialise(sets.groupBy("grp", "a", "b").applyInPandas(join, "x bigint, y bigint, w bigint"), "op5-links")
+    links = materialise(sets.groupBy("grp", "a", "b").applyInArrow(join, "x bigint, y bigint, w bigint"), "op5-links")
     found = connected_components(links, "x", "y")
     others = links.groupBy(F.col("x").alias("cid")).agg(F.sum("w").alias("w"))
     named = classes.select("cid", "sig", "rep", "rep_hash", "rows").join(found.withColumnRenamed("node", "cid"), "cid", "left") \

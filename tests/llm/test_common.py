@@ -82,3 +82,17 @@ def test_hot_rows_are_dealt_by_the_salt(spark, monkeypatch):
     dealt = [line for line in plan.splitlines() if "hashpartitioning" in line]
     assert dealt and all("_salt" in line for line in dealt), plan
     assert sorted((r["id"], r["n"]) for r in out.collect()) == [(i, 200 if i < 200 else 1) for i in range(400)]
+
+
+def test_freed_memory_is_given_back():
+    def held():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    C.give_back()
+    before = held()
+    blocks = [bytes(4000) for _ in range(20_000)]
+    assert held() - before > 60_000_000
+    del blocks[:-1]  # the last one keeps the heap from shrinking at its end
+    C.give_back()
+    assert held() - before < 20_000_000

@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stratum.llm import ngram_join as N
@@ -127,3 +129,32 @@ def test_every_link_against_brute_force(frame, n, num, den, block):
     got = [(min(x, y), max(x, y)) for r in pairs for x in members[r["sig_a"]] for y in members[r["sig_b"]]]
     got += [(x, y) for m in members.values() for x in m for y in m if x < y]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("cross", [False, True])
+def test_a_group_is_joined_in_little_more_memory_than_its_sets(cross):
+    rng = np.random.default_rng(4)
+    sets, t = [], N.Threshold(4, 5)
+    for _ in range(60):
+        base = np.unique(rng.integers(0, 1 << 63, 700, dtype=np.uint64) * np.uint64(2))
+        sets += [base[rng.random(len(base)) > 0.1 * (k % 3)] for k in range(8)]
+    own = [k % 2 if cross else 0 for k in range(len(sets))]
+    want = {(i, k) for i in range(len(sets)) for k in range(i // 8 * 8, i)
+            if (not cross or own[i] != own[k]) and t.enough(len(np.intersect1d(sets[i], sets[k])), len(sets[i]), len(sets[k]))}
+    tracemalloc.start()
+    try:
+        got = [tuple(sorted(x, reverse=True)) for x in N._linked(list(range(len(sets))), sets, own, t)]
+        assert tracemalloc.get_traced_memory()[1] < 2 * sum(g.nbytes for g in sets)
+    finally:
+        tracemalloc.stop()
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_group_is_read_without_copies():
+    sets = [np.arange(k, 50, dtype=np.uint64) for k in range(4)]
+    rows = [(7, 2, 0), (3, 1, 1), (7, 2, 0), (5, 4, 1)]
+    table = pa.table({"cid": [r[0] for r in rows], "rows": [r[1] for r in rows], "_own": [r[2] for r in rows], "grams": pa.array([sets[r[0] % 4].tobytes() for r in rows], pa.binary())})
+    for b, side in ((1, [1, 1, 0]), (0, [0, 0, 0])):
+        ids, weights, grams, sides = N._group((pa.scalar(1), pa.scalar(0), pa.scalar(b)), table)
+        assert (ids.tolist(), weights.tolist(), sides) == ([3, 5, 7], [1, 4, 2], side)
+        assert all(np.array_equal(g, sets[i % 4]) and not g.flags.owndata for g, i in zip(grams, ids))
