@@ -66,7 +66,7 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3. doc_id, lang, source, n_tokens and the ids of every remaining row."""
-    coded = sentencepiece_codec.encode(docs.select("doc_id", "lang", "source", "text"), keep=["doc_id", "lang", "source"])
+    coded = sentencepiece_codec.encode(docs.select("doc_id", "lang", "source", "text"), keep=["doc_id", "lang", "source"], batch_mb=4)
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
 
 

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import small_batches, text_or_empty
+from stratum.llm.common import give_back, small_batches, text_or_empty
 from stratum.llm.token_count import MARK, cut_words, list_ends, model_path, pre_tokens
 
 # Fixed values of the model file format: field numbers and enumerations of its protobuf messages.
@@ -259,15 +259,15 @@ class Codec:
 
 
 def encode(docs: DataFrame, path: str | None = None, model: str = "piece_bpe_32k.model", text_col: str = "text",
-           ids_col: str = "ids", keep: list[str] | None = None, verify: bool = False, decoded_col: str | None = None) -> DataFrame:
+           ids_col: str = "ids", keep: list[str] | None = None, verify: bool = False, decoded_col: str | None = None, batch_mb: int = 8) -> DataFrame:
     """The ``keep`` columns (default: all) plus ``ids_col``, the model's ids of each whole text, no begin or end ids.
 
     ``path`` is a model file that every executor can read; by default the public file ``model``. Batches go to the
-    library's own threads. Null counts as empty; an empty text has no ids. With ``verify``, same_as_library
+    library's own threads; smaller ones (``batch_mb``) take less memory and more time. Null counts as empty; an empty text has no ids. With ``verify``, same_as_library
     says whether the sentencepiece library gives the same ids; with ``decoded_col``, that column holds the ids decoded
     again by the same worker. Rows stay rows, an empty table gives none, a very long text is a batch of its own; a column named as an
     output must not be kept."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, batch_mb)
     keep = docs.columns if keep is None else keep
     if {ids_col, "same_as_library", decoded_col} & set(keep):
         raise ValueError("an output column has the name of a kept one")
@@ -276,6 +276,7 @@ def encode(docs: DataFrame, path: str | None = None, model: str = "piece_bpe_32k
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         codec = None
         for b in batches:
             codec = codec or Codec(path or model_path(model), verify)
