@@ -6,6 +6,7 @@ from __future__ import annotations
 import ctypes
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from stratum.session import checkpoint_dir, table
 
 HOT_SHARE = 1000
 HOT_FLOOR = 256
+#: With this setting a query's shuffle files are deleted at its end.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read_columns(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -29,10 +32,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder named by ``spark.checkpoint.dir`` and read it back.
 
     The table survives lost executors, is computed once and cuts the lineage; columnar files are a
-    fraction of the size of a row checkpoint."""
+    fraction of the size of a row checkpoint. The shuffle files that it was made from go at once: else they stay on disk until
+    the driver happens to collect its garbage, and large steps pile up theirs."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/stratum-llm/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before) if before else spark.conf.unset(SHUFFLE_CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
@@ -114,6 +123,18 @@ def with_flag(rows: DataFrame, flags: DataFrame, slot: Column, out: str) -> Data
         .withColumn(out, F.coalesce(F.getbit(byte, (pos % 8).cast("int")) == 1, F.lit(False))).drop("_slot", "_bucket", "_bytes")
 
 
+def flag_bitmap(keys: DataFrame, col: str, slots: int) -> np.ndarray:
+    """The flags of a column of evenly distributed 64-bit keys, as bytes on the driver: a key's flag is at its lowest bits, lowest bit of
+    a byte first. ``slots``: their number, a power of two and no less than 32,768."""
+    slot = F.col(col).bitwiseAND(F.lit(slots - 1))
+    found = keys.select(F.shiftright(slot, 15).alias("_bucket"), slot.bitwiseAND(F.lit(32767)).alias("_bit")) \
+        .groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits")).toArrow()
+    out = np.zeros((slots >> 15, 4096), np.uint8)
+    for bucket, bits in zip(found["_bucket"].to_pylist(), found["_bits"]):
+        out[bucket] = np.frombuffer(bits.as_buffer(), np.uint8)
+    return out.reshape(-1)
+
+
 #: Rows of two ids, 4 MB, that are worth a task of their own.
 TASK_ROWS = 1 << 18
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import connected_components, discard, flag_filter, flag_slot, flag_slots, give_back, join_groups, materialise, small_batches, text_or_empty, with_flag
+from stratum.llm.common import connected_components, discard, flag_bitmap, flag_filter, flag_slot, flag_slots, give_back, join_groups, materialise, small_batches, text_or_empty, with_flag
 
 #: Groups of candidates beyond this many rows are cut into blocks and joined block by block; a block's sets take about
 #: GROUP_BYTES at most, whatever their length. A task holds two blocks and about as much again to join them.
@@ -20,6 +21,10 @@ GROUP_BYTES = 24 << 20
 GIVE_BACK = 1 << 20
 #: Levels of a prefix tree: the range of the n-gram order is cut into this many parts.
 LEVELS = 8
+#: Block keys are counted in this many rounds, each a part of them, so only that part is in the shuffle at a time.
+COUNT_ROUNDS = 4
+#: A key is the more common the more of these counts it reaches.
+COMMON = (2, 3, 4, 8, 32)
 _WORDS = 100_000
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -87,22 +92,16 @@ class Threshold:
         return (d + 2 + d // 2, 1 + d // 2) if d else (0, 0)
 
 
-def block_keys(grams: np.ndarray, t: Threshold) -> np.ndarray:
-    """Keys such that two similar, unequal sets share at least one.
-
-    The order's range is cut into equal segments; a key is a segment's whole content. Every set leaves out its ``spare`` smallest
-    segments (by number of elements, then by key), which unlike sets with a common passage are most likely to share. Of the 1 + spare or
-    more segments that two similar sets have in common, the last in this order has ``spare`` before it in both sets, so both
-    keep it. A set gives keys for its own size class and, as the larger partner, for the class below."""
+def segment_keys(grams: np.ndarray, t: Threshold) -> np.ndarray:
+    """The keys of a set's segments: a key is the whole content of one of the equal parts that the order's range is cut into. A set has
+    keys for its own size class and then, as the larger partner, for the class below; each by number of elements, then by key."""
     if not len(grams):
         return np.zeros(0, np.int64)
     own, out = t.size_class(len(grams)), []
     mixed = _mix(grams + _MIX[0])
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)))
     for k in (own, own - 1):
-        if k < 0:
-            continue
-        n, spare = t.segments(k)
+        n, _ = t.segments(k) if k >= 0 else (0, 0)
         if not n:
             continue
         segment = ((grams >> np.uint64(40)) * np.uint64(n)) >> np.uint64(24)
@@ -110,10 +109,40 @@ def block_keys(grams: np.ndarray, t: Threshold) -> np.ndarray:
         ends = np.cumsum(sizes)
         sums = total[ends] - total[ends - sizes]
         keys = _mix(sums + _mix(np.arange(n, dtype=np.uint64) + np.uint64(k << 32) + _MIX[1]))
-        out.append(keys[np.lexsort((keys, sizes))[spare:]])
+        out.append(keys[np.lexsort((keys, sizes))])
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
+def chosen_keys(keys: np.ndarray, sizes: np.ndarray, t: Threshold, common: np.ndarray) -> np.ndarray:
+    """Which of the ``segment_keys`` of sets of ``sizes`` elements, one set after another, are their block keys: two similar, unequal
+    sets share at least one. ``common`` says how common each key is, by any rule that depends on nothing but the key.
+
+    Every set leaves out the ``spare`` most common keys of a class (of equally common ones the first), which unlike sets with a
+    common passage are most likely to share. Of the 1 + spare or more segments that two similar sets have in common, the last in this
+    order has ``spare`` before it in both sets, so both keep it. Of keys that are not common at all (0), which may be given for any
+    or none of the sets' keys, none is among those marked."""
+    counts, spares = [], []
+    for own in map(t.size_class, sizes.tolist()):
+        for k in (own, own - 1):
+            n, spare = t.segments(k) if k >= 0 else (0, 0)
+            counts.append(n)
+            spares.append(spare)
+    at = np.flatnonzero(common)
+    part = np.repeat(np.arange(len(counts)), counts)[at]
+    order = np.lexsort((at, -common[at], part))
+    first = np.searchsorted(part, np.arange(len(counts)))
+    left = np.arange(len(at)) - first[part] < np.array(spares, np.int64)[part]
+    marked = np.zeros(len(keys), bool)
+    marked[at[order[~left]]] = True
+    return marked
+
+
+def block_keys(grams: np.ndarray, t: Threshold) -> np.ndarray:
+    """Keys such that two similar, unequal sets share at least one, where nothing is known of how common they are."""
+    keys = segment_keys(grams, t)
+    return keys[chosen_keys(keys, np.array([len(grams)]), t, np.ones(len(keys), np.int8))]
+
+
 class Parts:
     """Ordered n-gram sets cut into the LEVELS parts of the order's range. Equal parts of a level are kept once, their n-grams as
     consecutive numbers, one part after another. One level is sorted at a time, so beside the sets there is an eighth of them or less
@@ -251,7 +280,7 @@ def _counted(ids: np.ndarray, weights: np.ndarray, sets: list[np.ndarray], side:
 
 
 def _shingled(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
-    """(_id, n, sig, keys) of each (_id, _text) row: set size, 128-bit digest of the set (null if empty) and block keys; then
+    """(_id, n, sig, keys) of each (_id, _text) row: set size, 128-bit digest of the set (null if empty) and segment keys; then
     the further columns of ``docs``."""
     more = docs.columns[2:]
 
@@ -264,7 +293,7 @@ def _shingled(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
                 grams = shingler.ngrams(x.as_py())
                 sizes.append(len(grams))
                 digests.append(xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None)
-                keys.append(block_keys(grams, limit))
+                keys.append(segment_keys(grams, limit))
             at = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
@@ -276,16 +305,16 @@ def _shingled(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """(cid, grp, rows, grams) of (_text, cid, sig, grp, rows) rows whose text has that digest."""
+    """(cid, grp, rows, _blocks, grams) of (_text, cid, sig, grp, rows, _blocks) rows whose text has that digest."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
         shingler = Shingler(n)
         for b in batches:
             sets = [shingler.ngrams(x.as_py()).tobytes() for x in b.column(0)]
             mask = pa.array([xxhash.xxh3_128_digest(s) == d for s, d in zip(sets, b.column(2).to_pylist())], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(3), b.column(4), pa.array(sets, pa.binary())], ["cid", "grp", "rows", "grams"]).filter(mask)
+            yield pa.RecordBatch.from_arrays([b.column(1), *b.columns[3:], pa.array(sets, pa.binary())], ["cid", "grp", "rows", "_blocks", "grams"]).filter(mask)
 
-    return docs.select("_text", "cid", "sig", "grp", "rows").mapInArrow(run, "cid bigint, grp bigint, rows bigint, grams binary")
+    return docs.select("_text", "cid", "sig", "grp", "rows", "_blocks").mapInArrow(run, "cid bigint, grp bigint, rows bigint, _blocks int, grams binary")
 
 
 def _first_of_each(every: DataFrame, seen: DataFrame, classes: DataFrame) -> DataFrame:
@@ -304,32 +333,78 @@ def _first_of_each(every: DataFrame, seen: DataFrame, classes: DataFrame) -> Dat
     return marked.where("not _hit or _first")
 
 
+def _commonness(counted: DataFrame) -> list[np.ndarray]:
+    """One bitmap for each of the counts in ``COMMON``, as long as there are such keys: flags of the keys of ``counted`` that come so often."""
+    numbers = counted.agg(*[F.count_if(F.col("_n") >= least) for least in COMMON]).first()
+    return [flag_bitmap(counted.where(F.col("_n") >= least), "key", flag_slots(n, 1 << (27 if k else 28)))
+            for k, (least, n) in enumerate(zip(COMMON, numbers)) if n]
+
+
+def how_common(keys: np.ndarray, bitmaps: list[np.ndarray]) -> np.ndarray:
+    """In how many of the ``bitmaps``, from the first one on, each key's flag is set. Other keys' flags only make a key count for more
+    common than it is, the same in every set."""
+    out = np.zeros(len(keys), np.int8)
+    at = np.arange(len(keys))
+    for bits in bitmaps:
+        slot = keys[at] & (8 * len(bits) - 1)
+        at = at[(bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1]
+        out[at] += 1
+    return out
+
+
+def _repeating_keys(firsts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(cid, key): the block keys of (cid, n, keys) rows, a few of them that no other row has among them.
+
+    Keys are counted first, without ids; those that come once are no block keys that matter, and of the others each set leaves out its
+    most common ones (``chosen_keys``). Without that, passages that many texts have in common chain unlike texts into ever larger
+    families as the corpus grows."""
+    keys = firsts.select(F.explode("keys").alias("key"))
+    turn = F.pmod(F.shiftright("key", 32), F.lit(COUNT_ROUNDS))
+    counted = [materialise(keys.where(turn == k).groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "op5-counted") for k in range(COUNT_ROUNDS)]
+    shared = firsts.sparkSession.sparkContext.broadcast(_commonness(reduce(DataFrame.unionByName, counted)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        limit = Threshold(num, den)
+        for b in batches:
+            keys = b.column(2).flatten().to_numpy()
+            marked = chosen_keys(keys, b.column(1).to_numpy(), limit, how_common(keys, shared.value))
+            cids = np.repeat(b.column(0).to_numpy(), b.column(2).value_lengths().to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(cids[marked]), pa.array(keys[marked])], ["cid", "key"])
+
+    out = materialise(firsts.select("cid", "n", "keys").mapInArrow(run, "cid bigint, key bigint"), "op5-keys")
+    shared.destroy()
+    discard(*counted)
+    return out
+
+
 def _families(rows: DataFrame, n: int, num: int, den: int, group_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``_shingled`` rows without keys; their classes of equal sets (sig, rep, rep_hash, rows, cid); and the candidate classes' sets dealt
     into the groups (grp, a, b) to be joined. ``rows`` has _id, _text and _hash.
 
-    The block keys are written once, with the rows, and go as soon as the candidates are known. They are shuffled once, to find those
-    that repeat; only these meet their classes."""
+    The segment keys are written once, with the rows, and go as soon as the block keys that repeat are known. They are shuffled
+    once, a part at a time, to be counted; only those that repeat meet their classes. Sets are shuffled only into their groups."""
     every = materialise(_shingled(rows, n, (num, den)).withColumn("rid", F.monotonically_increasing_id()), "op5-sets")
     seen = materialise(every.drop("keys"), "op5-seen")
     least = F.min(F.struct(F.col("_id").isNull().alias("nil"), F.col("_id").alias("id"), F.col("_hash").alias("hash")))
     classes = materialise(seen.where("sig is not null").groupBy("sig").agg(
         least.alias("least"), F.count(F.lit(1)).alias("rows"), F.min("rid").alias("cid"), F.max("n").alias("n"))
         .select("sig", F.col("least.id").alias("rep"), F.col("least.hash").alias("rep_hash"), "rows", "cid", "n"), "op5-classes")
-    keyed = _first_of_each(every, seen, classes).select(F.col("rid").alias("cid"), F.explode("keys").alias("key"))
+    keyed = _repeating_keys(_first_of_each(every, seen, classes).select(F.col("rid").alias("cid"), "n", "keys"), n, num, den)
+    discard(every)
     heads = materialise(keyed.groupBy("key").agg(F.min("cid").alias("head"), F.count(F.lit(1)).alias("_n")).where("_n > 1"), "op5-heads")
-    shared = flag_slot(F.col("key"), slots=flag_slots(heads.count()))
-    again = with_flag(keyed, flag_filter(heads, shared), shared, "_shared").where("_shared").drop("_shared")
-    stars = join_groups(again, heads, ["key"], "_n", F.col("cid")).where("head < cid").select("cid", "head")
+    stars = join_groups(keyed, heads, ["key"], "_n", F.col("cid")).where("head < cid").select("cid", "head")
     groups = materialise(connected_components(stars, "cid", "head").select(F.col("node").alias("cid"), F.col("component").alias("grp")), "op5-groups")
-    discard(every, heads)
-    wanted = materialise(groups.join(classes.select("cid", "rep", "sig", "rows", "n"), "cid"), "op5-wanted")
-    texts = with_flag(rows.select("_id", "_text"), flag_filter(wanted, flag_slot(F.col("rep"))), flag_slot(F.col("_id")), "_flag").where("_flag").drop("_flag")
-    sets = _sets(texts.join(wanted, F.col("_id").eqNullSafe(F.col("rep"))), n)
+    discard(keyed, heads)
+    found = materialise(groups.join(classes.select("cid", "rep", "sig", "rows", "n"), "cid"), "op5-found")
     # 8 bytes an n-gram; a set that is larger than a block by itself is a block's only one or nearly so
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / group_rows), F.ceil(F.sum("n") * 8 / GROUP_BYTES)).cast("int")
-    sizes = wanted.groupBy("grp").agg(F.count(F.lit(1)).alias("_n"), blocks.alias("_blocks"))
-    sets = join_groups(sets, sizes, ["grp"], "_n", F.col("cid")) \
+    sizes = materialise(found.groupBy("grp").agg(F.count(F.lit(1)).alias("_n"), blocks.alias("_blocks")), "op5-sizes")
+    wanted = materialise(join_groups(found, sizes, ["grp"], "_n", F.col("cid")).drop("_n"), "op5-wanted")
+    slots = flag_slots(wanted.count())
+    texts = with_flag(rows.select("_id", "_text"), flag_filter(wanted, flag_slot(F.col("rep"), slots=slots)), flag_slot(F.col("_id"), slots=slots), "_flag") \
+        .where("_flag").drop("_flag")
+    sets = _sets(texts.join(wanted, F.col("_id").eqNullSafe(F.col("rep"))), n) \
         .withColumn("_own", F.pmod(F.xxhash64("cid"), F.col("_blocks")).cast("int")) \
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))) \
         .select("cid", "grp", "rows", "grams", F.least("_own", "_other").alias("a"), F.greatest("_own", "_other").alias("b"), "_own")
@@ -382,7 +457,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     1. One pass over the texts gives each set's digest and block keys (``block_keys``, exact by the pigeonhole
        principle). Documents with equal sets form one class, so copies take no further work.
-    2. Classes that share a key are candidates; a key gives star edges to its smallest class, never pairs. Their components are
+    2. Keys are counted, and every set leaves out its most common ones, so a passage that many texts have in common makes no family.
+       Classes that share a key are candidates; a key gives star edges to its smallest class, never pairs. Their components are
        the join's groups, mostly real families of near copies.
     3. Only candidate texts are read again (a bounded bitmap filter keeps the others from the shuffle), one per class. Each
        group is joined by a ``PrefixTree``; groups beyond ``group_rows`` are dealt into blocks and joined for every

@@ -1,4 +1,6 @@
+import os
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -96,3 +98,19 @@ def test_freed_memory_is_given_back():
     del blocks[:-1]  # the last one keeps the heap from shrinking at its end
     C.give_back()
     assert held() - before < 20_000_000
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    where = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def files():
+        return {f for d in list(where) for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+
+    before, setting = files(), spark.conf.get(C.SHUFFLE_CLEANUP, None)
+    out = C.materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test")
+    for _ in range(50):  # files are deleted in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert out.count() == 7 and spark.conf.get(C.SHUFFLE_CLEANUP, None) == setting

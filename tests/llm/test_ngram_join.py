@@ -158,3 +158,41 @@ def test_a_group_is_read_without_copies():
         ids, weights, grams, sides = N._group((pa.scalar(1), pa.scalar(0), pa.scalar(b)), table)
         assert (ids.tolist(), weights.tolist(), sides) == ([3, 5, 7], [1, 4, 2], side)
         assert all(np.array_equal(g, sets[i % 4]) and not g.flags.owndata for g, i in zip(grams, ids))
+
+
+def test_similar_sets_share_a_key_whatever_is_common():
+    rng = np.random.default_rng(2)
+    t = N.Threshold(4, 5)
+    for trial in range(600):
+        a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(5, 300)), dtype=np.uint64) * np.uint64(2))
+        b = np.unique(np.concatenate((a[rng.random(len(a)) > 0.1], rng.integers(0, 1 << 63, len(a) // 12, dtype=np.uint64) * np.uint64(2))))
+        both = len(np.intersect1d(a, b))
+        if not t.enough(both, len(a), len(b)) or np.array_equal(a, b):
+            continue
+        keys, sizes = [N.segment_keys(x, t) for x in (a, b)], np.array([len(a), len(b)])
+        every = np.concatenate(keys)
+        common = (every >> 7) % 5 * (every % (trial % 3 + 2) == 0) + np.isin(every, np.intersect1d(*keys))  # what both have comes twice at least
+        marked = np.split(N.chosen_keys(every, sizes, t, common.astype(np.int8)), [len(keys[0])])
+        assert set(keys[0][marked[0]]) & set(keys[1][marked[1]])
+
+
+def test_common_passages_chain_no_family(frame):
+    rng = random.Random(5)
+    passages = [[f"p{k}_{i}" for i in range(25)] for k in range(3)]
+    rows = [(i, " ".join([f"w{rng.randrange(10 ** 6)}" for _ in range(rng.randrange(50, 90))] + passages[i % 3] + passages[i % 2])) for i in range(400)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 50, 10)]
+    _, _, sets = N._families(frame(rows).select(*N._rows("doc_id", "text")), 5, 4, 5, N.GROUP_ROWS)
+    groups = [r["count"] for r in sets.groupBy("grp").count().collect()]
+    assert max(groups) < 10 and sum(groups) < 100  # one family of nearly all rows, without counts of the keys
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in N.jaccard_components(frame(rows)).collect()) == brute(rows, 5, 4, 5)
+
+
+def test_bitmaps_say_how_common_keys_are(spark):
+    rng = np.random.default_rng(3)
+    keys = rng.integers(-(1 << 63), (1 << 63) - 1, 3000)
+    times = rng.choice([2, 3, 4, 7, 8, 31, 32, 500], len(keys))
+    bitmaps = N._commonness(spark.createDataFrame([(int(k), int(n)) for k, n in zip(keys, times)], "key bigint, _n bigint"))
+    want = np.searchsorted(N.COMMON, times, "right")
+    got = N.how_common(keys, bitmaps)
+    assert len(bitmaps) == len(N.COMMON) and (got >= want).all() and (got == want).mean() > 0.99
+    assert N.how_common(rng.integers(-(1 << 63), (1 << 63) - 1, 3000), bitmaps).mean() < 0.01
